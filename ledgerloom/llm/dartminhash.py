@@ -8,8 +8,10 @@ weighted Jaccard similarity. Only ranks that some coordinate still needs are vis
 Bands of the signature are joined; each pair that the join proposes is checked on its exact shingle sets, so links are those of similarity at or over the
 threshold. With 24 bands of 4, a pair at exactly 0.8 is missed with chance 3e-6, at 0.85 with 2e-7.
 
-Groups: a band's members are checked against its smallest member, not against each other; then only members that are still in different components of
-one band are paired. So copies cost one link each, yet no two different texts of one band that are similar stay apart.
+Groups: a band's members are checked against its hub, the member with the most company over all bands, not against each other; copies cost one link each.
+Only members of one band that are then in different components are looked at again, so that no two similar texts of one band stay apart. Of these, texts
+with too many shingles that no other such text has cannot be similar to any and go. Bands with few cross pairs left are joined; in the others, blocks of bounded size
+meet inside tasks, which give out links only.
 
 Edge cases: a null or empty text, or one without words, is a class of its own; texts of fewer than five words are one shingle, their whole word sequence;
 texts that differ in white space only are copies; repeated rows are copies; a null doc_id has a null class only if its whole class has; an empty table
@@ -22,6 +24,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -45,7 +48,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 class _WordHash(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h
@@ -128,11 +131,11 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> n
     return h.view(np.int64)
 
 
-def _runs(texts: list[str], most: int = 400_000) -> Iterator[tuple[int, list[list[str]]]]:
+def _runs(texts: pa.Array, most: int = 100_000) -> Iterator[tuple[int, list[list[str]]]]:
     """Consecutive texts split into words, a bounded number of words at a time."""
     first, held, size = 0, [], 0
     for i, t in enumerate(texts):
-        held.append(t.split())
+        held.append(t.as_py().split())
         size += len(held[-1])
         if size > most:
             yield first, held
@@ -150,7 +153,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, weighting: str, bands: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, split in _runs(b.column(1).to_pylist()):
+            for first, split in _runs(b.column(1)):
                 sets = [elements(w, weighting) for w in split]
                 n = np.array([len(s) for s in sets])
                 keys = band_keys(dart_signatures(np.concatenate(sets), np.repeat(np.arange(len(sets)), n), len(sets), bands * rows), bands, rows)
@@ -166,7 +169,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, split in _runs(b.column(1).to_pylist()):
+            for first, split in _runs(b.column(1)):
                 keys = b.column(0).slice(first, len(split)).to_pylist()
                 same = [i for i, w in enumerate(split) if text_key(w) == keys[i]]  # rows that share an id may differ in text
                 sets = [np.unique(elements(split[i], weighting).astype(np.uint32)).view(np.int32) for i in same]
@@ -208,28 +211,95 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _linkable(rooted: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The (band, key, root, size, e) that may still have a link: `e` of the `size` shingles are also in another of these texts.
+
+    A similar text shares at most e of them, so e >= threshold * size is needed. The counts are sums per shingle and per text.
+    """
+    own = sets.join(rooted.select("key").distinct(), "key", "left_semi")
+    shingle = own.select("key", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n"), F.min("key").alias("key"))
+    alone = shingle.filter("n = 1").groupBy("key").agg(F.count("*").alias("alone"))
+    sized = own.select("key", F.size("items").alias("size")).join(alone, "key", "left")
+    sized = sized.select("key", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("e")).filter(F.col("e") >= threshold * F.col("size") - 1e-9)
+    return rooted.join(sized, "key")
+
+
+def _block_links(rows: DataFrame, sets: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(a, b) of similar texts in different components, for bands with many: blocks of `rest` texts (outside the band's largest component) against blocks of all.
+
+    A text is sent to each block of the other side; a group holds two blocks, and only similar pairs leave it.
+    """
+    full = rows.join(sets, "key").select("band", "key", "root", "items", (F.col("root") != F.col("big")).alias("rest"), "n_all", "n_rest")
+    n_a, n_b = F.ceil(F.col("n_rest") / block).cast("int"), F.ceil(F.col("n_all") / block).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    a = full.filter("rest").select("band", "key", "root", "items", F.lit(True).alias("asks"), "rest", own(n_a).alias("i"), every(n_b).alias("j"))
+    b = full.select("band", "key", "root", "items", F.lit(False).alias("asks"), "rest", every(n_a).alias("i"), own(n_b).alias("j"))
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        one, two = frame[frame["asks"]], frame[~frame["asks"]]
+        if not len(one) or not len(two):
+            return pd.DataFrame({"a": [], "b": []})
+        sizes = np.array([len(x) for x in two["items"]])
+        flat = np.concatenate(two["items"].to_list())
+        names, place = np.unique(flat, return_inverse=True)
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        keys, roots, rest = two["key"].to_list(), two["root"].to_list(), two["rest"].to_numpy()
+        found = []
+        for key, root, items in zip(one["key"], one["root"], one["items"], strict=True):
+            at = np.searchsorted(names, items)
+            at = at[(at < len(names)) & (names[np.minimum(at, len(names) - 1)] == items)]
+            seen = np.zeros(len(names), np.int32)
+            seen[at] = 1
+            common = np.add.reduceat(seen[place], starts)
+            for j in np.flatnonzero(common >= threshold * (len(items) + sizes - common) - 1e-9):
+                if roots[j] != root and (not rest[j] or key < keys[j]):
+                    found.append((key, keys[j]))
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return a.unionByName(b).groupBy("band", "i", "j").applyInPandas(compare, "a binary, b binary").distinct()
+
+
+def apart_links(members: DataFrame, roots: DataFrame, sets: DataFrame, threshold: float, block: int = 256, few: int = 10) -> DataFrame:
+    """Links between members (band, key) of one band that `roots` holds in different components."""
+    rooted = members.join(roots, "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
+    split = rooted.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 != r2").select("band")
+    rooted = cut(rooted.join(split, "band", "left_semi"))
+    able = cut(_linkable(rooted, sets, threshold))
+    counts = able.groupBy("band", "root").agg(F.count("*").alias("n"))
+    bands = counts.groupBy("band").agg(
+        F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n_all"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("k")
+    ).filter("k > 1")
+    cross = (F.col("n_all") * F.col("n_all") - F.col("squares")) / 2
+    bands = cut(bands.select("band", F.col("top.root").alias("big"), "n_all", (F.col("n_all") - F.col("top.n")).alias("n_rest"), (cross > few * F.col("n_all")).alias("many")))
+    rows = cut(able.join(bands, "band"))
+    side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("root", "size", "e")]
+    one = rows.filter("not many and root != big").select("band", "big", F.col("key").alias("a"), *side("a"))
+    two = rows.filter("not many").select("band", F.col("key").alias("b"), *side("b"))
+    fits = F.least("e_a", "e_b") * (1 + 1 / threshold) >= F.col("size_a") + F.col("size_b") - 1e-6
+    pairs = one.join(two, "band").filter(fits & (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("big")) | (F.col("a") < F.col("b"))))
+    return similar(pairs.select("a", "b").distinct(), sets, threshold).unionByName(_block_links(rows.filter("many"), sets, threshold, block))
+
+
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighting: str = "set"
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighting: str = "set", block: int = 256, few: int = 10
 ) -> DataFrame:
     """(doc_id, class_id, copy_of) of every row: the smallest doc_id of its class, and of its exact copies."""
     sketches = written(sketch(docs, id_col, text_col, weighting, bands, rows), "sketches")
     owners = cut(sketches.filter("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
-    # a row per band and distinct text; the partial minima meet in the shared bands only
+    # a row per band and distinct text; the partial counts meet in the shared bands only
     banded = sketches.filter("key is not null").select("key", "bands").distinct().select("key", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("key").alias("rep"), F.count("*").alias("n")).filter("n > 1")
-    members = written(banded.join(shared, "band").select("band", "key", "rep"), "shared-bands")
-    wanted = owners.join(members.select("key").distinct(), "key", "left_semi").select("id", "key")
+    shared = cut(banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"))
+    met = written(banded.join(shared, "band").select("band", "key", "n"), "shared-bands")
+    company = cut(met.groupBy("key").agg(F.sum("n").alias("company")))
+    hubs = cut(met.join(company, "key").groupBy("band").agg(F.max(F.struct("company", "key")).alias("hub")).select("band", F.col("hub.key").alias("hub")))
+    members = met.select("band", "key")
+    wanted = owners.join(company.select("key"), "key", "left_semi").select("id", "key")
     sets = written(shingle_sets(docs, wanted, id_col, text_col, weighting), "shingles")
-    stars = members.filter("key != rep").select(F.col("key").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = members.join(hubs, "band").filter("key != hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
     links = cut(similar(stars, sets, threshold))
     roots = components(links)
-    # what the stars leave apart: members of one band in different components
-    rooted = members.join(roots, "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
-    apart = rooted.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 != r2").select("band")
-    rooted = cut(rooted.join(apart, "band", "left_semi"))
-    one, two = (rooted.select("band", F.col("key").alias(k), F.col("root").alias(f"root_{k}")) for k in "ab")
-    rest = one.join(two, "band").filter("root_a < root_b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    more = cut(similar(rest.join(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), sets, threshold))
+    more = cut(apart_links(members, roots, sets, threshold, block, few))
     if more.limit(1).count():
         roots = components(links.union(more))
     classes = roots.join(owners, "key").groupBy("root").agg(F.min("id").alias("class_id"))

@@ -128,6 +128,23 @@ def test_near_dedup_chain_and_hot_copies(spark):
     assert got == brute_classes(rows) and len(set(got.values())) == 2
 
 
+@pytest.mark.parametrize("block,few", [(512, 10), (16, 0)])
+def test_near_dedup_hot_near_copies(spark, block, few):
+    """Many edits of one text around the threshold: some links only join texts that no hub is similar to."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.randrange(6)):
+            words[rng.randrange(120)] = f"e{rng.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    shared = " ".join(f"s{i}" for i in range(60))
+    rows += [(1000 + i, shared + " " + " ".join(f"o{i}x{k}" for k in range(90))) for i in range(100)]
+    got = {r["doc_id"]: r["class_id"] for r in dartminhash.near_duplicates(docs_of(spark, rows), block=block, few=few).collect()}
+    assert got == brute_classes(rows)
+
+
 def test_near_dedup_edges(spark):
     got = {(r["doc_id"], r["class_id"]) for r in dartminhash.near_duplicates(odd_docs(spark)).collect()}
     assert {(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (None, None)} <= got
