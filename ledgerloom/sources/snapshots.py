@@ -26,16 +26,16 @@ def snapshot_export(tables: dict[str, DataFrame], exported_at: str) -> DataFrame
     return out.select("user_id", F.to_json(F.struct(*head, *arrays)).alias("document"))
 
 
-def snapshot_head(documents: DataFrame) -> DataFrame:
-    """The documents with `reason`: null if the document can be restored."""
+def snapshot_head(documents: DataFrame, formats: tuple[str, ...] = (FORMAT,)) -> DataFrame:
+    """The documents with `reason`: null if the document can be restored. `formats` are the format names taken for one's own."""
     head = F.from_json("document", "format string, version int, schemaVersion int")
-    reason = F.when(F.coalesce(F.col("h.format"), F.lit("")) != FORMAT, "foreign format").when(F.col("h.schemaVersion") > SCHEMA_VERSION, "newer schema")
+    reason = F.when(~F.coalesce(F.col("h.format"), F.lit("")).isin(*formats), "foreign format").when(F.col("h.schemaVersion") > SCHEMA_VERSION, "newer schema")
     return documents.withColumn("h", head).withColumn("reason", reason).drop("h")
 
 
-def snapshot_restore(documents: DataFrame, schemas: dict[str, str]) -> tuple[dict[str, DataFrame], DataFrame]:
+def snapshot_restore(documents: DataFrame, schemas: dict[str, str], formats: tuple[str, ...] = (FORMAT,)) -> tuple[dict[str, DataFrame], DataFrame]:
     """Each table's rows with user_id, parents before children, and (user_id, reason) of the documents refused whole."""
-    judged = snapshot_head(documents)
+    judged = snapshot_head(documents, formats)
     good = judged.filter("reason is null")
     rows = {}
     for name in TABLES:
