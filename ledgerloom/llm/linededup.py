@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, scratch_path, written
+from .common import SPACE, cut, scratch_path, written
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -94,7 +94,8 @@ def dropped_positions(docs: DataFrame, id_col: str, text_col: str, min_chars: in
     index = LineRuns(spark, fanout)
     for b in range(batches):
         index.add(staged.filter(F.col("batch") == b).drop("batch"))
-    hits = lines.join(index.repeated(min_docs), ["h1", "h2"]).filter(~F.col("id").eqNullSafe(F.col("last_doc")))
+    # written, so that both sides of the join are plain exchanges and a hot line's rows can be dealt to several tasks
+    hits = lines.join(cut(index.repeated(min_docs)), ["h1", "h2"]).filter(~F.col("id").eqNullSafe(F.col("last_doc")))
     return hits.groupBy("id", "th").agg(F.array_sort(F.collect_set("pos")).alias("drops"))
 
 
