@@ -15,7 +15,7 @@ from .common import SPACE, cut
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A host is rejected when its shrunk failure rate reaches this.
+#: A host is rejected when both its shrunk and its own failure rate reach this; the prior alone condemns no host.
 HOST_LIMIT = 0.8
 
 
@@ -107,7 +107,7 @@ def host_rules(measured: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     hosts = cut(measured.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed")))
     alpha, beta = beta_prior(hosts)
     shrunk = (F.col("failed") + F.lit(alpha)) / (F.col("n") + F.lit(alpha + beta))
-    return hosts.select("host", "n", "failed", shrunk.alias("shrunk"), (shrunk >= limit).alias("rejected"))
+    return hosts.select("host", "n", "failed", shrunk.alias("shrunk"), ((shrunk >= limit) & (F.col("failed") >= limit * F.col("n"))).alias("rejected"))
 
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: float = HOST_LIMIT) -> DataFrame:

@@ -108,7 +108,7 @@ h AS (SELECT source, count(*) AS n, CAST(sum(CASE WHEN base_failed THEN 1 ELSE 0
 p AS (SELECT sum(n) AS n, least(greatest(sum(f) / sum(n), 1e-6), 1 - 1e-6) AS mean, sum(f * f / n) / sum(n) AS sq, count(*) AS k FROM h),
 v AS (SELECT mean, greatest(sq - mean * mean - mean * (1 - mean) * k / n, 1e-9) AS var FROM p),
 s AS (SELECT mean, least(greatest(mean * (1 - mean) / var - 1, 2.0), 1e6) AS strength FROM v),
-x AS (SELECT source, (f + mean * strength) / (n + strength) >= {quality.HOST_LIMIT} AS rejected FROM h, s)
+x AS (SELECT source, (f + mean * strength) / (n + strength) >= {quality.HOST_LIMIT} AND f >= {quality.HOST_LIMIT} * n AS rejected FROM h, s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(rejected, FALSE) AS kept
 FROM b LEFT JOIN x ON b.source IS NOT DISTINCT FROM x.source""",
     "op10_topk": """

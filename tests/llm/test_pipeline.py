@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from ledgerloom.llm import secrets
 from ledgerloom.llm.common import table
@@ -34,7 +36,7 @@ def test_stages_in_turn(spark):
 
 def test_run_and_edges(spark):
     assert cp.run(spark, "/root/testdata/sf0.001").count() > 0
-    docs = odd_docs(spark)
+    docs = odd_docs(spark).withColumn("source", F.col("doc_id").cast("string"))
     for _, stage in cp.STAGES:
         docs = stage(spark, docs, "")
     assert docs.count() >= 1
