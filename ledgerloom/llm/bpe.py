@@ -60,6 +60,9 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.words: dict[str, tuple] = {}
         self.young, self.old, self.size = {}, {}, 0
         self.encoded = self.reused = 0
@@ -75,10 +78,17 @@ class ChunkEncoder:
             if len(words) > KEPT_WORDS:
                 words.clear()
                 missing = list(set(pieces))
-            for p, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                words[p] = tuple(e.ids)
+            words.update(zip(missing, self.word_ids(missing), strict=True))
         return np.array([i for p in pieces for i in words[p]], dtype=np.int32)
 
+    def word_ids(self, words: list[str]) -> list[tuple]:
+        """The ids of each word, from one call: every word ends with a token that says so."""
+        ids = self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids
+        cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(cuts) != len(words) or cuts[-1] != len(ids):  # not of this kind of vocabulary
+            return [tuple(e.ids) for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        return [tuple(ids[a:b]) for a, b in zip([0, *cuts], cuts)]
+
     def chunk(self, text: str) -> tuple[int, int, np.ndarray] | None:
         """Where the closed middle of a chunk starts and ends, and its ids; None if it has no white space."""
         key = xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
