@@ -14,6 +14,7 @@ EXPENSE = [
 INCOME = ["Salary", "Freelance", "Business", "Interest & Dividends", "Refunds & Cashback", "Rent Received", "Gifts Received", "Investments", "Transfers", "Other Income"]
 LENDING = "Lending & Repayments"
 MOVED = ["Transfers", "Credit Card Payment", "Cash Withdrawal", LENDING]
+MOST_RENAMES = 200
 SCHEMA = "id long, name string, kind string, money_moved boolean, archived boolean, sort_order int, builtin boolean"
 
 
@@ -32,8 +33,16 @@ def normalize_name(name: Column) -> Column:
 
 
 def rename_categories(frame: DataFrame, renames: DataFrame, column: str = "category") -> DataFrame:
-    """`frame` with its category names changed by (old_name, new_name). The renames are a user's edit, and left to the optimiser's size check."""
-    new = renames.select(F.col("old_name").alias(column), normalize_name(F.col("new_name")).alias("__new"))
+    """`frame` with its category names changed by (old_name, new_name).
+
+    A rename is a user's edit, so there are few: up to `MOST_RENAMES` are a literal map and `frame` is not shuffled by its few, skewed names; more are joined.
+    """
+    tidy = renames.select("old_name", normalize_name(F.col("new_name")).alias("new_name"))
+    few = tidy.limit(MOST_RENAMES + 1).collect()
+    if len(few) <= MOST_RENAMES:
+        names = F.create_map(*[F.lit(x) for r in few for x in r]) if few else F.create_map().cast("map<string,string>")
+        return frame.withColumn(column, F.coalesce(F.try_element_at(names, F.col(column)), F.col(column)))
+    new = tidy.select(F.col("old_name").alias(column), F.col("new_name").alias("__new"))
     return frame.join(new, column, "left").withColumn(column, F.coalesce("__new", column)).drop("__new").select(*frame.columns)
 
 

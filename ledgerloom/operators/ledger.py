@@ -14,6 +14,8 @@ from ..functions.periods import cycle_start
 from ..functions.text import day_of, ms_of
 
 PAGE_ROWS = 50
+#: Money-moved category names kept as a literal set; more are joined.
+MOST_NAMES = 500
 
 
 def in_range(at: Column, start_ms: int | None, end_ms: int | None) -> Column:
@@ -65,11 +67,24 @@ def lent_per_txn(splits: DataFrame) -> DataFrame:
     return splits.filter("direction = 'owed_to_me'").groupBy("user_id", F.col("transaction_id").alias("id")).agg(F.sum("amount_paise").alias("lent_paise"))
 
 
+def is_moved(ledger: DataFrame, categories: DataFrame) -> DataFrame:
+    """The ledger with `moved`: whether its category only moves money.
+
+    Such categories are a handful of names a user ticks. Up to `MOST_NAMES` of them become a literal set, so the ledger isn't shuffled by its few, skewed
+    categories; beyond that they are joined.
+    """
+    names = categories.filter("money_moved").select("name").distinct()
+    few = [r["name"] for r in names.limit(MOST_NAMES + 1).collect()]
+    if len(few) <= MOST_NAMES:
+        return ledger.withColumn("moved", F.coalesce(F.col("category").isin(few), F.lit(False)) if few else F.lit(False))
+    joined = ledger.join(names.select(F.col("name").alias("category"), F.lit(True).alias("moved")), "category", "left")
+    return joined.withColumn("moved", F.coalesce("moved", F.lit(False)))
+
+
 def with_lent(ledger: DataFrame, splits: DataFrame, categories: DataFrame) -> DataFrame:
-    """The ledger with lent_paise and moved. One shuffle by (user, payment); the category table is fixed in kind and left to the optimiser's size check."""
-    moved = categories.filter("money_moved").select(F.col("name").alias("category"), F.lit(True).alias("moved")).distinct()
-    out = ledger.join(lent_per_txn(splits), ["user_id", "id"], "left").join(moved, "category", "left")
-    return out.withColumn("lent_paise", F.coalesce("lent_paise", F.lit(0))).withColumn("moved", F.coalesce("moved", F.lit(False)))
+    """The ledger with lent_paise and moved; one shuffle, by (user, payment), which the sums of the splits share."""
+    out = is_moved(ledger, categories).join(lent_per_txn(splits), ["user_id", "id"], "left")
+    return out.withColumn("lent_paise", F.coalesce("lent_paise", F.lit(0)))
 
 
 def totals() -> list[Column]:
