@@ -3,8 +3,9 @@
 A document's chance is 1 - (1 - leak) * prod(1 - p_s) over its sentences, with p_s a logistic score of the sentence's words. Fitting
 needs document labels only; the sentence scores then say where the offence is.
 
-The fit takes a bounded sample (`MAX_FIT_DOCS` labelled documents, the smallest hashes of their ids) and a bounded vocabulary
-(`MAX_FEATURES` hashed words); scoring covers every document and every word of it. Inputs of a score are the words alone.
+The fit takes a bounded sample (`MAX_FIT_DOCS` labelled documents, at most half of them of either label, those with the smallest hashes of their ids; each
+label's documents are weighted back to its share) and a bounded vocabulary (`MAX_FEATURES` hashed words and beginnings of words); scoring covers every
+document and every word of it. Inputs of a score are the words alone.
 
 Edge cases: a null or empty text, or one without letters, scores the leak; a null label is left out; documents labelled twice are toxic if
 any label says so; without labelled rows of both kinds every score is the leak; sentences are cut at `.!?` and line ends, and after 60 words.
@@ -22,10 +23,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Bounds of the fit: documents, hash buckets of words, and words that get a weight.
-MAX_FIT_DOCS = 20_000
+MAX_FIT_DOCS = 12_000
 BUCKETS = 1 << 20
 MAX_FEATURES = 4_096
+#: Words also count by their first letters, so that a stem is known with endings not seen before.
+STEMS = (4, 5, 6)
+#: The weights' prior: the larger, the less a word that few documents have can weigh.
+PRIOR = 0.2
 THRESHOLD = 0.3
 LEAK = 1e-3
 SENTENCE_WORDS = 60
@@ -41,8 +48,9 @@ def sentences(text: str) -> Iterator[list[str]]:
             yield words[i : i + SENTENCE_WORDS]
 
 
-def bucket(word: str) -> int:
-    return zlib.crc32(word.encode()) & (BUCKETS - 1)
+def buckets(word: str) -> list[int]:
+    """The hash buckets of a word and of its beginnings."""
+    return [zlib.crc32(x.encode()) & (BUCKETS - 1) for x in (word, *[f"^{word[:n]}" for n in STEMS if len(word) > n - 2])]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -63,7 +71,7 @@ class NoisyOr:
         if w is None:
             if len(self.words) > 300_000:
                 self.words.clear()
-            w = self.words[word] = self.weights.get(bucket(word), 0.0)
+            w = self.words[word] = sum(self.weights.get(b, 0.0) for b in buckets(word))
         return w
 
     def sentence_scores(self, text: str) -> list[float]:
@@ -76,71 +84,75 @@ class NoisyOr:
         return min(1.0, max(0.0, 1 - clean))
 
 
-def fit_arrays(labels: np.ndarray, doc_of: np.ndarray, sent_of: np.ndarray, feature: np.ndarray, rounds: int = 150) -> NoisyOr:
-    """Fit on flat word rows: the label of each document, the document of each sentence, the sentence and bucket of each word."""
-    n_docs, pos = len(labels), int(labels.sum())
-    if not 0 < pos < n_docs or not len(feature):
-        return NoisyOr({}, -30.0)
-    # words are chosen by how far their document counts in the two classes are from chance
-    pairs = np.unique(doc_of[sent_of].astype(np.int64) * BUCKETS + feature)
-    docs, words = pairs // BUCKETS, pairs % BUCKETS
-    found = np.bincount(words, minlength=BUCKETS)
-    toxic = np.bincount(words, weights=labels[docs], minlength=BUCKETS)
-    rate = pos / n_docs
-    far = np.abs(toxic - found * rate) / np.sqrt(found * rate * (1 - rate) + 1)
-    chosen = np.argsort(-far, kind="stable")[:MAX_FEATURES]
-    chosen = chosen[far[chosen] > 1.5]
-    if not len(chosen):
-        return NoisyOr({}, math.log(1e-4))
-    column = np.full(BUCKETS, -1)
-    column[chosen] = np.arange(len(chosen))
-    x, s = column[feature], sent_of
-    x, s = x[x >= 0], s[x >= 0]
-    w, b = np.zeros(len(chosen)), math.log(rate / max(1, len(doc_of) / n_docs) / 4)
+def fit_arrays(labels: np.ndarray, weight: np.ndarray, doc_of: np.ndarray, sent_of: np.ndarray, column: np.ndarray, chosen: np.ndarray, rounds: int = 150) -> NoisyOr:
+    """Fit on flat rows: label and weight of each document, the document of each sentence, the sentence and column of each word; `chosen` are the columns' buckets."""
+    n_docs = len(labels)
+    share = float((weight * labels).sum() / weight.sum())
+    weight = weight / weight.mean()
+    w, b = np.zeros(len(chosen)), math.log(share / max(1, len(doc_of) / n_docs) / 4)
     step_w, step_b = np.full(len(chosen), 1e-8), 1e-8
     for _ in range(rounds):
-        z = np.clip(b + np.bincount(s, weights=w[x], minlength=len(doc_of)), -30, 30)
+        z = np.clip(b + np.bincount(sent_of, weights=w[column], minlength=len(doc_of)), -30, 30)
         p = 1 / (1 + np.exp(-z))
         log_clean = np.bincount(doc_of, weights=np.log1p(-p), minlength=n_docs) + math.log(1 - LEAK)
-        pull = np.where(labels > 0, -np.exp(log_clean) / -np.expm1(log_clean), 1.0)  # of the loss on -log_clean
+        pull = weight * np.where(labels > 0, -np.exp(log_clean) / -np.expm1(log_clean), 1.0)  # of the loss on -log_clean
         g = p * pull[doc_of]
-        gw, gb = np.bincount(x, weights=g[s], minlength=len(chosen)) / n_docs + 1e-5 * w, g.sum() / n_docs
+        gw, gb = np.bincount(column, weights=g[sent_of], minlength=len(chosen)) / n_docs + PRIOR / n_docs * w, g.sum() / n_docs
         step_w += gw * gw
         step_b += gb * gb
         w -= 0.5 * gw / np.sqrt(step_w)
-        b -= 0.1 * gb / math.sqrt(step_b)
+        b -= 0.3 * gb / math.sqrt(step_b)
     keep = np.abs(w) > 0.05
     return NoisyOr(dict(zip(chosen[keep].tolist(), w[keep].tolist(), strict=True)), float(b))
 
 
+def _distinct_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, 200):
+            part = b.slice(i, 200)
+            found = [sorted({x for s in sentences(t) for w in set(s) for x in buckets(w)}) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32()))], ["toxic", "words"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_FIT_DOCS) -> NoisyOr:
-    """Fit to the labelled documents outside the held-out fold. At most `max_docs` ids are chosen and joined; tasks turn texts into word buckets."""
+    """Fit to the labelled documents outside the held-out fold.
+
+    At most `max_docs` ids are chosen. Tasks turn their texts into word buckets, Spark counts documents per bucket, and the `MAX_FEATURES` buckets whose counts in
+    the two labels are furthest from chance are kept; a second pass sends only the words in these to the fit.
+    """
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic"))
+    usable = usable.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    totals = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    few = lambda label: usable.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs // 2)
+    sample = cut(few(0).unionByName(few(1)).select(F.col("doc_id").alias("__id"), "toxic"))
+    # the sample is bounded by max_docs, so it may be broadcast
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select("toxic", "text")
+
+    sizes = {label: min(n, max_docs // 2) for label, n in totals.items()}
+    rate = sizes.get(1, 0) / max(1, sum(sizes.values()))
+    counts = texts.mapInArrow(_distinct_buckets, "toxic int, words array<int>").select("toxic", F.explode("words").alias("word"))
+    counts = counts.groupBy("word").agg(F.count("*").alias("found"), F.sum("toxic").alias("toxic"))
+    far = F.abs(F.col("toxic") - F.col("found") * rate) / F.sqrt(F.col("found") * rate * (1 - rate) + 1)
+    top = counts.select("word", far.alias("far")).filter("far > 1.5").orderBy(F.desc("far"), "word").limit(MAX_FEATURES).collect()
+    if not 0 < rate < 1 or not top:
+        return NoisyOr({}, -30.0 if not 0 < rate < 1 else math.log(1e-4))
+    chosen = np.array([r["word"] for r in top])
+    column = {w: i for i, w in enumerate(chosen.tolist())}
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, flat = [], []
-            for text in b.column(1).to_pylist():
-                split = [[bucket(x) for x in s] for s in sentences(text)]
-                sizes.append([len(s) for s in split])
-                flat.append([x for s in split for x in s])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.list_(pa.int32())), pa.array(flat, pa.list_(pa.int32()))], ["toxic", "sizes", "words"])
-
-    # the sample is bounded by max_docs, so it may be broadcast
-    chosen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("__id"))
-    rows = chosen.select("toxic", "text").mapInArrow(words, "toxic int, sizes array<int>, words array<int>").toArrow().combine_chunks()
-    if not rows.num_rows:
-        return NoisyOr({}, -30.0)
-    y = np.asarray(rows["toxic"], dtype=np.float64)
-    per_doc = rows["sizes"].combine_chunks()
-    per_doc = per_doc.combine_chunks() if isinstance(per_doc, pa.ChunkedArray) else per_doc
-    sizes = np.asarray(per_doc.flatten())
-    doc_of = np.repeat(np.arange(len(y)), np.diff(np.asarray(per_doc.offsets)))
-    flat = rows["words"].combine_chunks()
-    flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
-    return fit_arrays((y > 0).astype(np.float64), doc_of, np.repeat(np.arange(len(sizes)), sizes), np.asarray(flat.flatten()).astype(np.int64))
+            for i in range(0, b.num_rows, 200):
+                part = b.slice(i, 200)
+                split = [[[column[x] for w in s for x in buckets(w) if x in column] for s in sentences(t)] for t in part.column(1).to_pylist()]
+                sizes = pa.array([[len(s) for s in t] for t in split], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), sizes, pa.array([[x for s in t for x in s] for t in split], pa.list_(pa.int32()))], ["toxic", "sizes", "words"])
+
+    rows = texts.mapInArrow(words, "toxic int, sizes array<int>, words array<int>").toArrow()
+    flat = lambda name: np.concatenate([np.asarray(c.flatten()) for c in rows[name].chunks] or [np.zeros(0, np.int32)])
+    y, n_sents, per_sent = np.asarray(rows["toxic"], dtype=np.float64), np.concatenate([np.asarray(c.value_lengths()) for c in rows["sizes"].chunks]), flat("sizes")
+    doc_of, sent_of = np.repeat(np.arange(len(y)), n_sents), np.repeat(np.arange(len(per_sent)), per_sent)
+    weight = np.where(y > 0, totals.get(1, 0) / max(1, y.sum()), totals.get(0, 0) / max(1, len(y) - y.sum()))
+    return fit_arrays(y, weight, doc_of, sent_of, flat("words"), chosen)
 
 
 def score(docs: DataFrame, model: NoisyOr) -> DataFrame:

@@ -10,7 +10,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, chat, dartminhash, html, linededup, packing, quality, queries, secrets, topk, toxicity
 from ledgerloom.llm.common import table
