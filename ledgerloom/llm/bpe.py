@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 #: One cut in so many characters, on average.
 CHUNK = 512
 #: Bounds of a worker's tables: ids of kept chunks, and words.
-KEPT_IDS, KEPT_WORDS = 6_000_000, 400_000
+KEPT_IDS, KEPT_WORDS = 4_000_000, 400_000
 TASK_CHARS = 2_000_000
 
 # The split of the word tokenizer (fixed by its file), and the characters for which Python and the library surely agree on it.
@@ -63,6 +63,7 @@ class ChunkEncoder:
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.numbers = list(range(len(self.ends)))  # one object an id, however many words hold it
         self.words: dict[str, tuple] = {}
         self.young, self.old, self.size = {}, {}, 0
         self.encoded = self.reused = 0
@@ -83,7 +84,7 @@ class ChunkEncoder:
 
     def word_ids(self, words: list[str]) -> list[tuple]:
         """The ids of each word, from one call: every word ends with a token that says so."""
-        ids = self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids
+        ids = [self.numbers[i] for i in self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids]
         cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
         if len(cuts) != len(words) or cuts[-1] != len(ids):  # not of this kind of vocabulary
             return [tuple(e.ids) for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
@@ -169,7 +170,9 @@ _TOKENS: dict[str, list[str]] = {}
 def tokens(path: str) -> list[str]:
     """The string of each id; ids of the vocabulary are dense."""
     if path not in _TOKENS:
-        vocab = encoder(path).tokenizer.get_vocab(with_added_tokens=True)
+        from tokenizers import Tokenizer
+
+        vocab = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)  # the decoding worker keeps the strings alone
         table = [""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             table[i] = token
