@@ -206,13 +206,13 @@ def parsed(text: Column, posted_ms: Column) -> Column:
 def parse_captures(captures: DataFrame) -> DataFrame:
     """Typed rows of the messages (id, user_id, source, sender, body, posted_at_ms) that report a payment; other messages go.
 
-    One narrow pass: the cheap word tests are filters before the pattern work. Each message's fields are built once, and rows without a direction fall in
-    the generator, so no filter repeats the patterns.
+    One narrow pass: the cheap word tests are filters before the pattern work. Each message's fields are built once: the generator of one row keeps the
+    optimiser from moving the filter on them below, where it would repeat the patterns.
     """
     text = squeezed(F.col("body"))
     likely = captures.filter((text != "") & ~is_noise(text) & has_movement(text))
-    rows = F.explode(F.filter(F.array(parsed(text, F.col("posted_at_ms"))), lambda p: p["direction"].isNotNull())).alias("p")
-    read = likely.select("id", "user_id", "source", "sender", "body", "posted_at_ms", rows)
+    fields = F.explode(F.array(parsed(text, F.col("posted_at_ms")))).alias("p")
+    read = likely.select("id", "user_id", "source", "sender", "body", "posted_at_ms", fields).filter("p.direction is not null")
     key = capture_key(F.col("source"), F.col("sender"), F.col("posted_at_ms"), F.col("body"))
     return read.select("id", "user_id", "source", "sender", "body", "posted_at_ms", "p.*", key.alias("dedup_key"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .messages import merchant_identity
-from .text import NOON_MS, blank_to_null, first_group, first_present, let, ms_of, squeezed, title_case
+from .text import NOON_MS, blank_to_null, first_group, let, ms_of, squeezed, title_case
 
 # Names of months, and what a statement calls its columns and rails.
 MONTHS = {m: i % 12 + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())} | {"sept": 9}
