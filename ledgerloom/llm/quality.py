@@ -17,6 +17,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: A host is rejected when both its shrunk and its own failure rate reach this; the prior alone condemns no host.
 HOST_LIMIT = 0.8
+#: Rejected hosts up to this many are a literal set beside the texts; more are joined.
+MOST_HOSTS = 1_000
 
 
 def _let(value: Column, body) -> Column:
@@ -110,28 +112,34 @@ def host_rules(measured: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     return hosts.select("host", "n", "failed", shrunk.alias("shrunk"), ((shrunk >= limit) & (F.col("failed") >= limit * F.col("n"))).alias("rejected"))
 
 
-def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
+def _with_rejected(rows: DataFrame, hosts: DataFrame, host_col: str, most: int) -> DataFrame:
+    """`rows` with `__rejected`. Few rejected hosts, the usual case, cost no shuffle; beyond `most` they are joined, a hot host being a skewed join."""
+    bad = hosts.filter("rejected").select(F.col("host").alias("__bad"))
+    few = [r["__bad"] for r in bad.limit(most + 1).collect()]
+    if len(few) > most:
+        joined = rows.join(bad.withColumn("__hit", F.lit(True)), F.col(host_col).eqNullSafe(F.col("__bad")), "left")
+        return joined.withColumn("__rejected", F.coalesce("__hit", F.lit(False))).drop("__bad", "__hit")
+    named = F.coalesce(F.col(host_col).isin([h for h in few if h is not None]), F.lit(False)) if any(h is not None for h in few) else F.lit(False)
+    return rows.withColumn("__rejected", named | F.col(host_col).isNull() if None in few else named)
+
+
+def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: float = HOST_LIMIT, most: int = MOST_HOSTS) -> DataFrame:
     """The measures with `kept`: false if the base rules or the host's verdict reject the document.
 
-    The texts are read once: the narrow measures are written to the shared folder, aggregated by host with partial sums,
-    and joined back. The host table is left to the optimiser's size check; beyond it, a hot host is a skewed join.
+    The texts are read once: the narrow measures are written to the shared folder, aggregated by host with partial sums, and judged.
     """
     measured = cut(measures(docs, id_col, text_col, host_col))
-    hosts = host_rules(measured, limit).select(F.col("host").alias("h"), "rejected")
-    joined = measured.join(hosts, F.col("host").eqNullSafe(F.col("h")), "left")
-    return joined.select(
-        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & ~F.coalesce("rejected", F.lit(False))).alias("kept"),
-    )
+    judged = _with_rejected(measured, host_rules(measured, limit), "host", most)
+    return judged.select(
+        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.col("__rejected")).alias("kept")
+    )
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
+def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", limit: float = HOST_LIMIT, most: int = MOST_HOSTS) -> DataFrame:
     """The rows of `docs` that neither the base rules nor their host's verdict reject, with their own columns.
 
     The rules are computed twice, once for the host sums and once beside the texts, rather than shuffling every text to its verdict.
     """
     failed = base_failed(F.col(text_col))
     hosts = host_rules(docs.select(F.col(host_col).alias("host"), failed.alias("base_failed")), limit)
-    bad = hosts.filter("rejected").select(F.col("host").alias("__bad"))
-    good = docs.filter(~failed)
-    return good.join(bad, F.col(host_col).eqNullSafe(F.col("__bad")), "left_anti")
+    return _with_rejected(docs.filter(~failed), hosts, host_col, most).filter("not __rejected").drop("__rejected")

@@ -274,7 +274,9 @@ def test_quality_host_verdicts(spark):
     docs = docs_of(spark, rows, "doc_id long, text string, source string")
     kept = {r["doc_id"]: r["kept"] for r in quality.verdicts(docs).collect()}
     assert kept[1] and not kept[0] and not kept[200] and kept[900] and not kept[901]
-    assert {r["doc_id"] for r in quality.keep_good(docs).collect()} == {d for d, k in kept.items() if k}
+    for most in (0, 1000):  # joined, and as a literal set
+        assert {r["doc_id"] for r in quality.keep_good(docs, most=most).collect()} == {d for d, k in kept.items() if k}
+        assert {r["doc_id"]: r["kept"] for r in quality.verdicts(docs, most=most).collect()} == kept
     lone = docs_of(spark, [(i, good if i == 3 else bad, f"h{i}") for i in range(20)], "doc_id long, text string, source string")
     assert [r["doc_id"] for r in quality.keep_good(lone).collect()] == [3]  # what other hosts do condemns none
     assert quality.verdicts(docs_of(spark, [], "doc_id long, text string, source string")).count() == 0
