@@ -4,7 +4,10 @@ Spans are (kind, start, end) in code points, end exclusive. The method's kinds a
   jwt      three base64url parts, a JSON header with `alg` and a JSON payload
   der      base64 (also in PEM lines) or hex whose nested DER lengths all agree and whose fields are those of a private key
   openssh  base64 of an openssh-key-v1 container whose length-prefixed fields all fit
-  encoded  base64 or hex of printable text that itself holds a base secret
+  encoded  base64 or hex of UTF-8 text, of one line or many, that itself holds a base secret or any of the kinds above, at any depth
+
+Base64 and hex are read in whole runs, and in lines of 60 or more characters, as encoders wrap them, also as one block. Text may hold
+tabs and line ends, but no other control characters.
 
 Edge cases: a null or empty text has no spans; a candidate that fails to decode or parse is skipped; overlapping spans of different
 kinds are all reported; work is linear in the text.
@@ -17,6 +20,8 @@ import binascii
 import hashlib
 import json
 import re
+import sys
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,8 +37,10 @@ KINDS = ("assign", "access", "hex", "jwt", "der", "openssh", "encoded")
 
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,24}PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]{16,}?)-----END \1-----")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{19,}={0,2}")  # the shortest base secret has 14 bytes, which are 19 characters and padding
 HEX_ANY = re.compile(r"(?:[0-9a-f]{2}){12,}|(?:[0-9A-F]{2}){12,}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{60,}+\r?\n[ \t]*+)+[A-Za-z0-9+/_-]*={0,2}")
+CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 
 SEQUENCE, INTEGER, OCTETS, OID = 0x30, 0x02, 0x04, 0x06
 
@@ -112,16 +119,42 @@ def is_jwt(head: str, body: str, signature: str) -> bool:
     return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(claims, dict)
 
 
-def confirmed(data: bytes | None) -> str | None:
-    """The kind that decoded bytes prove to be, if any."""
+def plain_text(data: bytes | None) -> str | None:
+    """The text that decoded bytes hold, if they hold text."""
+    try:
+        text = data.decode() if data else None
+    except UnicodeDecodeError:
+        return None
+    return None if text is None or CONTROL.search(text) else text
+
+
+def confirmed(data: bytes | None, deep: bool = True) -> str | None:
+    """The kind that decoded bytes prove to be, if any; `deep` looks for more than base secrets in decoded text."""
     if not data or len(data) < 12:
         return None
     if data[0] == SEQUENCE and is_private_der(data):
         return "der"
     if is_openssh(data):
         return "openssh"
-    if data.isascii() and (text := data.decode()).isprintable() and base_spans(text):
-        return "encoded"
+    text = plain_text(data)
+    return "encoded" if text and (base_spans(text) or deep and structured_spans(text)) else None
+
+
+def unhex(text: str) -> bytes | None:
+    try:
+        return bytes.fromhex(text)
+    except ValueError:
+        return None
+
+
+def wrapped_value(m: re.Match[str]) -> tuple[int, str | None] | None:
+    """(end, kind) of a block of lines that decode as one value, with the last line or, where that is other text, without it."""
+    for end in (m.end(), m.start() + len(m[0][: m[0].rindex("\n")].rstrip("\r"))):
+        block = re.sub(r"\s", "", m.string[m.start() : end])
+        for data in (unhex(block), unbase64(block)):
+            # what is text as a whole isn't tried in other ways, so that nested values cost no more than their length
+            if (kind := confirmed(data)) or plain_text(data):
+                return end, kind
     return None
 
 
@@ -137,18 +170,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def within(spans: list[tuple[int, int]], at: int) -> bool:
+    """Whether a position lies in one of some ordered spans that don't overlap."""
+    i = bisect_right(spans, (at, sys.maxsize)) - 1
+    return i >= 0 and at < spans[i][1]
+
+
 def structured_spans(text: str) -> list[tuple[int, int, int]]:
     out = []
     if "eyJ" in text:
         out += [(m.start(), 3, m.end()) for m in JWT.finditer(text) if is_jwt(*m.groups())]
+    armored: list[tuple[int, int]] = []
     if "PRIVATE KEY-----" in text:
         for m in PEM.finditer(text):
-            kind = confirmed(unbase64(re.sub(r"\\n|\\r|\s", "", m[2])))
-            if kind:
+            if kind := confirmed(unbase64(re.sub(r"\\n|\\r|\s", "", m[2])), deep=False):
                 out.append((m.start(), KINDS.index(kind), m.end()))
+                armored.append(m.span())
+    blocks: list[tuple[int, int]] = []
+    for m in WRAPPED.finditer(text):
+        if not within(armored, m.start()) and (value := wrapped_value(m)):
+            end, kind = value
+            blocks.append((m.start(), end))
+            if kind:
+                out.append((m.start(), KINDS.index(kind), end))
     for pattern, decode in ((BASE64, unbase64), (HEX_ANY, bytes.fromhex)):
         for m in pattern.finditer(text):
-            if kind := confirmed(decode(m[0])):
+            if not within(blocks, m.start()) and (kind := confirmed(decode(m[0]))):
                 out.append((m.start(), KINDS.index(kind), m.end()))
     return out
 
