@@ -1,11 +1,12 @@
 """Main-text extraction by line-block distribution.
 
 Markup is stripped into lines, one a block element. Lines inside menus, page headers, footers, sidebars, notices, adverts, forms and
-reader comments weigh nothing, nor do lines outside the article where the page marks one. Text lengths are summed over a sliding
-window of lines; a surge opens a region, a dive closes it, and the text between is kept.
+reader comments weigh nothing, nor do lines mostly in links outside an article that the page marks; other lines weigh their length, and lines
+of a marked article so much more that each is a surge. The weights are summed over a sliding window of lines; a surge opens a region,
+a dive closes it, and the weighted lines between are kept, of every region.
 
 Edge cases: a null or empty page, or one without text, gives an empty string; unclosed tags close at the page's end, or at the article
-that follows; a page without any marked article is judged by the distribution alone; repeated rows are each extracted.
+that follows; a page without any surge keeps all its weighted lines; repeated rows are each extracted.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
-#: Characters in a window that make a surge, on a page without a marked article.
+#: Weight in a window above which it is a surge; a character outside a marked article weighs one.
 SURGE = 80
 
 _TOKEN = re.compile(
@@ -140,15 +141,9 @@ def regions(weights: list[int], surge: int, window: int = WINDOW) -> list[tuple[
 
 def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     lines = lines_of(page)
-    if any(inside for _, _, inside in lines):
-        # the page says where its article is: any text there is a surge, and the dive is behind its last line
-        weights = [len(text) * inside for text, _, inside in lines]
-        kept = regions(weights, 0, window)
-        return "\n".join(text for a, b in kept for text, _, inside in lines[a:b] if inside)
-    weights = [0 if 2 * linked > len(text) else len(text) for text, linked, _ in lines]
+    weights = [len(text) * (surge + 1) if inside else 0 if 2 * linked > len(text) else len(text) for text, linked, inside in lines]
     kept = regions(weights, surge, window) or regions(weights, 0, window)
-    sizes = [sum(weights[a:b]) for a, b in kept]
-    return "\n".join(text for (a, b), size in zip(kept, sizes, strict=True) if 5 * size >= max(sizes) for (text, _, _), w in zip(lines[a:b], weights[a:b], strict=True) if w)
+    return "\n".join(text for a, b in kept for (text, _, _), w in zip(lines[a:b], weights[a:b], strict=True) if w)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

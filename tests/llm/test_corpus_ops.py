@@ -303,6 +303,22 @@ def test_html_without_article():
     assert len(got) == 4 and got[3].endswith("3")
 
 
+def test_html_mark_does_not_decide_alone():
+    story = [f"{'A sentence of the story goes on. ' * 5}{i}" for i in range(4)]
+    body, menu = "".join(f"<p>{x}</p>" for x in story), "<div><a href=1>Home</a></div>" * 4
+    for tag in ("article", "main"):
+        card = f"<{tag}><h2>A lead</h2></{tag}>"
+        assert html.main_text(f"<body>{menu}{card}<div>{body}</div>{menu}</body>").split("\n") == ["A lead", *story]
+        assert html.main_text(f"<body><div>{body}</div>{menu}{card}{menu}</body>").split("\n") == [*story, "A lead"]
+    assert html.main_text(f"<body>{menu}<article>{body}</article>{menu}</body>").split("\n") == story
+
+
+def test_html_short_region():
+    long, short = [f"{'A sentence of the story goes on. ' * 5}{i}" for i in range(9)], "The last section is short, but it is of the article, and it stands behind some lines of links."
+    page = "".join(f"<p>{x}</p>" for x in long) + "<div><a href=1>More</a></div>" * 3 + f"<p>{short}</p>"
+    assert html.main_text(page).split("\n") == [*long, short]
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "<article>", "<nav>x", "<!--", "<script>", "</p></article>", "&#x110000; &bad", "<p>" * 500])
 def test_html_odd(page):
     assert isinstance(html.main_text(page), str)
