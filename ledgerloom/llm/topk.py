@@ -5,10 +5,11 @@ the same statistics bound the distance from below. The bounds of 1, 4 and 16 seg
 products are computed for those that no bound rules out.
 
 Queries and candidates are packed into blocks of bounded size; every block of candidates meets every block of queries once, as the job is
-a stated query set against all rows. A block pair gives at most k rows a query, and a window keeps the best k of all.
+a stated query set against all rows. A block pair gives at most k + 1 rows a query, the query's own row among them, and a window keeps the best
+k of all others. Query rows of one id are told apart by a row number.
 
 Edge cases: vectors null or holding null or non-finite components take no part; shorter vectors count as padded by zeros; ties go to the smaller
-id; repeated ids are separate rows; fewer than k candidates give fewer rows; an empty table gives an empty result.
+id; repeated ids are separate rows: each query row has its own k and leaves out one candidate of its id and vector, itself; fewer than k candidates give fewer rows; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ SEGMENTS = (1, 4, 16)
 BLOCK_ROWS, QUERY_ROWS = 4_096, 512
 SCALE = 1024.0
 
-_BLOCK = pa.schema([("part", pa.int32()), ("width", pa.int32()), ("ids", pa.binary()), ("data", pa.binary())])
+_BLOCK = pa.schema([("part", pa.int32()), ("width", pa.int32()), ("ids", pa.binary()), ("nums", pa.binary()), ("data", pa.binary())])
 
 
 def usable(vector: Column) -> Column:
@@ -34,24 +35,24 @@ def usable(vector: Column) -> Column:
 
 
 def blocks(vectors: DataFrame, parts: int, rows: int) -> DataFrame:
-    """(part, width, ids, data) of (vec_id, embedding): at most `rows` integer vectors each, as doubles holding whole numbers; ids are hashed to parts."""
+    """(part, width, ids, nums, data) of (vec_id, embedding) and num, if there: at most `rows` integer vectors each, as doubles holding whole numbers; ids are hashed to parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            part_of = np.asarray(b.column(2))
+            part_of = np.asarray(b.column(3))
             for part in np.unique(part_of):
                 own = b.take(pa.array(np.flatnonzero(part_of == part)))
                 for at in range(0, own.num_rows, rows):
                     some = own.slice(at, rows)
-                    ids, lists = np.asarray(some.column(0), dtype=np.int64), some.column(1)
+                    ids, lists, nums = np.asarray(some.column(0), dtype=np.int64), some.column(1), np.asarray(some.column(2), dtype=np.int64)
                     lens = np.asarray(lists.value_lengths())
                     width = max(1, int(lens.max()))
                     data = np.zeros((len(ids), width))
                     data[np.arange(width) < lens[:, None]] = np.floor(np.asarray(lists.flatten(), dtype=np.float64) * SCALE)
-                    yield pa.RecordBatch.from_pylist([{"part": int(part), "width": width, "ids": ids.tobytes(), "data": data.tobytes()}], schema=_BLOCK)
+                    yield pa.RecordBatch.from_pylist([{"part": int(part), "width": width, "ids": ids.tobytes(), "nums": nums.tobytes(), "data": data.tobytes()}], schema=_BLOCK)
 
-    chosen = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding")).filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    return chosen.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).mapInArrow(run, "part int, width int, ids binary, data binary")
+    chosen = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding"), F.col("num") if "num" in vectors.columns else F.lit(0).alias("num")).filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
+    return chosen.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).mapInArrow(run, "part int, width int, ids binary, nums binary, data binary")
 
 
 def _stats(x: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,8 +77,8 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def search_blocks(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, segments=SEGMENTS) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
-    """(query id, ids, scores, exact products) of each query's best k among one block of candidates."""
+def search_blocks(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, segments=SEGMENTS) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(query's place, ids, scores, whether id and vector are the query's own, exact products) of each query's best k among one block of candidates."""
     width = max(q.shape[1], x.shape[1])
     q, x = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (q, x))
     levels = [(_stats(q, s), _stats(x, s)) for s in segments if s <= width]
@@ -85,9 +86,7 @@ def search_blocks(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarr
     coarse = (qm * size) @ xm.T + (qd * size) @ xd.T
     slack = 1e-9 * np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None] + 1e-6  # bounds are rounded, products are not
     for i, own in enumerate(q_ids):
-        open_ = np.flatnonzero(ids != own)
-        if not len(open_):
-            continue
+        open_ = np.arange(len(ids))
         bound = coarse[i] + slack[i]
         # any k exact scores give a floor; the finest bounds of the coarse leaders make it a high one
         seed = open_[np.argsort(-bound[open_], kind="stable")[: 4 * k]]
@@ -99,19 +98,22 @@ def search_blocks(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarr
             open_ = open_[fine >= floor]
         scores = _exact(np.broadcast_to(q[i], (len(open_), width)), x[open_])
         best = _best(scores, ids[open_], k)
-        yield int(own), ids[open_][best], scores[best], len(open_) + len(seed)
+        found = open_[best]
+        yield i, ids[found], scores[best], (ids[found] == own) & (x[found] == q[i]).all(axis=1), len(open_) + len(seed)
 
 
-_HITS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+_HITS = pa.schema([("query_id", pa.int64()), ("num", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("own", pa.int32())])
 
 
 def topk(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k highest scores of each query over all vectors but those of its own id."""
+    """(query_id, rank, vec_id, score): the k highest scores of each query row over all vectors but itself."""
+    # equal rows of an id can stand for each other, so the numbers are the same whenever they are computed
+    queries = queries.select("vec_id", "embedding", F.row_number().over(W.partitionBy("vec_id").orderBy("embedding")).alias("num"))
     # a grid: each block of queries is sent to every shard of candidates, each block of candidates to every part of the queries
     parts = 1 + queries.count() // QUERY_ROWS
     shards = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + vectors.count() // (16 * BLOCK_ROWS))
     asked = blocks(queries.repartition(parts, "vec_id"), parts, QUERY_ROWS).select(
-        F.col("part").alias("q"), F.col("width").alias("qw"), F.col("ids").alias("qi"), F.col("data").alias("qx"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+        F.col("part").alias("q"), F.col("width").alias("qw"), F.col("ids").alias("qi"), F.col("nums").alias("qn"), F.col("data").alias("qx"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
     )
     offered = blocks(vectors, 1, BLOCK_ROWS).withColumn("shard", F.pmod(F.xxhash64("ids"), F.lit(shards)).cast("int"))
     met = offered.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(asked, ["q", "shard"])
@@ -119,12 +121,17 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
-                row = {c: b.column(c)[r].as_py() for c in ("width", "ids", "data", "qw", "qi", "qx")}
-                q_ids, ids = np.frombuffer(row["qi"], np.int64), np.frombuffer(row["ids"], np.int64)
+                row = {c: b.column(c)[r].as_py() for c in ("width", "ids", "data", "qw", "qi", "qn", "qx")}
+                q_ids, nums, ids = (np.frombuffer(row[c], np.int64) for c in ("qi", "qn", "ids"))
                 q, x = np.frombuffer(row["qx"]).reshape(-1, row["qw"]), np.frombuffer(row["data"]).reshape(-1, row["width"])
-                for own, found, scores, _ in search_blocks(q_ids, q, ids, x, k):
-                    yield pa.RecordBatch.from_arrays([pa.array([own] * len(found), pa.int64()), pa.array(found), pa.array(scores)], schema=_HITS)
-
-    hits = met.mapInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                for i, found, scores, own, _ in search_blocks(q_ids, q, ids, x, k + 1):
+                    key = [pa.array([v[i]] * len(found), pa.int64()) for v in (q_ids, nums)]
+                    yield pa.RecordBatch.from_arrays([*key, pa.array(found), pa.array(scores), pa.array(own.astype(np.int32))], schema=_HITS)
+
+    hits = met.mapInArrow(run, "query_id long, num long, vec_id long, score long, own int")
+    best = W.partitionBy("query_id", "num").orderBy(F.desc("score"), "vec_id", F.desc("own"))
+    top = hits.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1)
+    # the first of a query's own rows is the query itself; others are its copies
+    passed = top.withColumn("passed", F.sum("own").over(best.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    others = passed.filter("own = 0 or passed > 1").withColumn("rank", (F.col("place") - F.least("passed", F.lit(1))).cast("int"))
+    return others.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -498,6 +498,24 @@ def test_topk_against_brute_force(spark):
     assert topk.topk(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_topk_repeated_ids(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 0.3) for _ in range(20)]) for i in range(300)]
+    rows += [rows[100]] * 2 + [(200, [rng.gauss(0, 0.3) for _ in range(20)]), (200, rows[7][1]), (7, rows[7][1]), (0, [2 * x for x in rows[0][1]])]
+    rows += [(900, [1.0] * 20)] * 14  # more equal copies than ranks
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vecs = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows]
+    want = []
+    for at, (q, a) in enumerate(vecs):
+        if q % 100 == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, b)), i) for n, (i, b) in enumerate(vecs) if n != at)[:10]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    got = topk.topk(vectors, vectors.filter("vec_id % 100 = 0")).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    lone = vectors.filter("vec_id = 300 or vec_id = 1").unionByName(vectors.filter("vec_id = 1"))
+    assert [(r["rank"], r["vec_id"]) for r in topk.topk(lone, lone.limit(1)).collect()] == [(1, 1)]
+
+
 def test_topk_bounds_prune():
     rng = np.random.default_rng(0)
     x = np.floor(1024 * rng.normal(size=(4000, 64)) * np.linspace(0.05, 1, 4000)[:, None])
