@@ -624,13 +624,17 @@ def snapshot_retain(spark, sf_dir):
 # --- streams: the same rows, written as files and read as a stream
 
 
-def as_stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+def shared_path(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         import tempfile
 
         shared = tempfile.mkdtemp(prefix="spark-shared-")
-    path = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def as_stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    path = shared_path(spark)
     v.captures(spark, sf_dir).write.parquet(f"{path}/in")
     return cap.read_captures(spark, f"{path}/in", stream=True), path
 
@@ -644,6 +648,47 @@ def stream_ingest(spark, sf_dir):
     return spark.read.schema(cap.SCHEMA).parquet(f"{path}/out").groupBy("user_id", "source").agg(F.count("*").alias("n"), F.sum(F.length("body")).alias("chars"))
 
 
+def in_two(captures: DataFrame) -> list[DataFrame]:
+    """The messages of the first and of the second half of the time, as they would arrive."""
+    middle = captures.agg(F.expr("(min(posted_at_ms) + max(posted_at_ms)) div 2")).first()[0]
+    first = F.coalesce(F.col("posted_at_ms") < middle, F.lit(True))
+    return [captures.filter(first), captures.filter(~first)]
+
+
+LEDGER = ["user_id", "id", "dedup_key", "source", "amount_paise", "direction", "merchant", "reference", "occurred_at_ms", "status"]
+
+
+@query("stream_ledger")
+def stream_ledger(spark, sf_dir):
+    """The whole ingest, twice over one checkpoint: what arrives later is matched with the ledger in the shared folder too. The rows it appends."""
+    path = shared_path(spark)
+    blank = messages.parse_captures(spark.createDataFrame([], cap.SCHEMA)).withColumn("title", F.lit(None).cast("string")).withColumn("raw_sender", F.col("sender")).withColumn("status", F.lit("pending"))
+    blank.write.parquet(f"{path}/ledger/batch=-1")
+    read = lambda: spark.read.schema(blank.schema).parquet(f"{path}/ledger")
+
+    def append(rows: DataFrame, i: int) -> None:
+        rows.withColumn("title", F.lit(None).cast("string")).select(*blank.columns).write.mode("overwrite").parquet(f"{path}/ledger/batch={i}")
+
+    for part in in_two(v.captures(spark, sf_dir)):
+        part.write.mode("append").parquet(f"{path}/in")
+        ingest.stream_ingest(cap.read_captures(spark, f"{path}/in", stream=True), f"{path}/cp", read, append).awaitTermination()
+    return read().select(*LEDGER)
+
+
+@query("stream_totals", sql("SELECT user_id, direction, occurred_at_ms // 86400000 * 86400000 AS day_ms, count(*) AS n, CAST(sum(amount_paise) AS BIGINT) AS total_paise FROM parsed GROUP BY 1, 2, 3", PARSED))
+def stream_totals(spark, sf_dir):
+    rows, path = as_stream(spark, sf_dir)
+
+    def keep(df: DataFrame, i: int) -> None:
+        df.select("user_id", "direction", F.unix_millis("w.start").alias("day_ms"), "n", "total_paise").write.mode("overwrite").parquet(f"{path}/out/batch={i}")
+
+    run = ingest.stream_totals(rows).writeStream.outputMode("complete").option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).foreachBatch(keep).start()
+    run.awaitTermination()
+    out = spark.read.schema("user_id long, direction string, day_ms long, n long, total_paise long, batch int").parquet(f"{path}/out")
+    last = out.agg(F.max("batch")).first()[0]
+    return out.filter(F.col("batch") == last).drop("batch")
+
+
 @query("stream_pending_count", sql("SELECT user_id, count(*) AS pending FROM captures GROUP BY 1"))
 def stream_pending_count(spark, sf_dir):
     rows, path = as_stream(spark, sf_dir)
