@@ -1,8 +1,9 @@
 """Line dedup over levelled sorted runs of line hashes, with DataFrame functions only.
 
 A run is a Parquet table of line keys, sorted by hash within hash partitions: (h1, h2, n_docs, last_doc). Each batch of
-documents is merge-anti-joined against the runs to tell fresh keys from known ones, and is then added as a run of its own;
-when a level holds `fanout` runs they are merged into one run of the next level.
+documents is added whole as a run of its own; when a level holds `fanout` runs they are merged into one run of the next level.
+What is dropped depends on counts, which are summed over all runs. The merge-anti-join that tells a batch's fresh keys from known
+ones is offered by LineRuns.add and not run by dedup_lines.
 
 Edge cases: a null or empty text is one empty line and keeps the hash of the empty string; keys shorter than the limit are
 never dropped; a document's repeated lines count its id once; rows that repeat a doc_id count as one document; a null doc_id
