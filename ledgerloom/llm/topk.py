@@ -1,15 +1,17 @@
 """Exact top-k by inner product, with bounds from segment means and deviations, coarse to fine.
 
 For a segment of length L, <q, x> = L * mean_q * mean_x + <q - mean_q, x - mean_x> <= L * (mean_q * mean_x + dev_q * dev_x), by Cauchy-Schwarz;
-the same statistics bound the distance from below. The bounds of 1, 4 and 16 segments are taken in turn over the pairs still open, and exact
-products are computed for those that no bound rules out.
+the same statistics bound the distance from below. The bounds of 1, 4, 16 and 32 segments are taken in turn over the pairs still open. The candidates of
+the highest bounds give a first floor of k exact scores; of the others, those over the floor get the exact product of their first components beside the bound
+of the rest, and those still over it the whole product. The floor of a query is kept for the next block of the task.
 
 Queries and candidates are packed into blocks of bounded size; every block of candidates meets every block of queries once, as the job is
 a stated query set against all rows. A block pair gives at most k + 1 rows a query, the query's own row among them, and a window keeps the best
 k of all others. Query rows of one id are told apart by a row number.
 
 Edge cases: vectors null or holding null or non-finite components take no part; shorter vectors count as padded by zeros; ties go to the smaller
-id; repeated ids are separate rows: each query row has its own k and leaves out one candidate of its id and vector, itself; fewer than k candidates give fewer rows; an empty table gives an empty result.
+id; repeated ids are separate rows: each query row has its own k and leaves out one candidate of its id and vector, itself; fewer than k candidates give fewer rows; an empty table gives
+an empty result; scores beyond a long are held at its ends, where they tie.
 """
 
 from __future__ import annotations
@@ -23,8 +25,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 K = 10
-SEGMENTS = (1, 4, 16)
+#: Segments of each level; no level has more than half as many as a vector has components.
+SEGMENTS = (1, 4, 16, 32)
 BLOCK_ROWS, QUERY_ROWS = 4_096, 512
+#: Queries whose bounds are taken together.
+QUERY_GROUP = 32
 SCALE = 1024.0
 
 _BLOCK = pa.schema([("part", pa.int32()), ("width", pa.int32()), ("ids", pa.binary()), ("nums", pa.binary()), ("data", pa.binary())])
@@ -77,29 +82,55 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def search_blocks(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, segments=SEGMENTS) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, int]]:
-    """(query's place, ids, scores, whether id and vector are the query's own, exact products) of each query's best k among one block of candidates."""
+def search_blocks(
+    q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, segments=SEGMENTS, floors: np.ndarray | None = None
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(query's place, ids, scores, whether id and vector are the query's own, exact products) of each query's best k among one block of candidates.
+
+    `floors` holds a score that k candidates of each query are known to reach, over all blocks seen; it is raised in place, so a later block
+    gives only what can still count.
+    """
     width = max(q.shape[1], x.shape[1])
     q, x = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (q, x))
-    levels = [(_stats(q, s), _stats(x, s)) for s in segments if s <= width]
-    (size, qm, qd), (_, xm, xd) = levels[0]
-    coarse = (qm * size) @ xm.T + (qd * size) @ xd.T
-    slack = 1e-9 * np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None] + 1e-6  # bounds are rounded, products are not
-    for i, own in enumerate(q_ids):
-        open_ = np.arange(len(ids))
-        bound = coarse[i] + slack[i]
-        # any k exact scores give a floor; the finest bounds of the coarse leaders make it a high one
-        seed = open_[np.argsort(-bound[open_], kind="stable")[: 4 * k]]
-        first = _exact(np.broadcast_to(q[i], (len(seed), width)), x[seed])
-        floor = np.sort(first)[::-1][k - 1] if len(first) >= k else -np.inf
-        open_ = open_[bound[open_] >= floor]
-        for (size, qm, qd), (_, xm, xd) in levels[1:]:
-            fine = xm[open_] @ (qm[i] * size) + xd[open_] @ (qd[i] * size) + slack[i, open_]
-            open_ = open_[fine >= floor]
-        scores = _exact(np.broadcast_to(q[i], (len(open_), width)), x[open_])
-        best = _best(scores, ids[open_], k)
-        found = open_[best]
-        yield i, ids[found], scores[best], (ids[found] == own) & (x[found] == q[i]).all(axis=1), len(open_) + len(seed)
+    floors = np.full(len(q), -np.inf) if floors is None else floors
+    levels = [(_stats(q, s), _stats(x, s)) for s in dict.fromkeys(min(s, max(1, width // 2)) for s in segments)]
+    norms = np.linalg.norm(x, axis=1)
+    slack = 1e-9 * np.linalg.norm(q, axis=1)[:, None] * norms[None] + 1e-6  # bounds are rounded, products are not
+    half = len(levels[-1][0][0]) // 2  # segments in the first half of the finest level
+    cut = int(levels[-1][0][0][:half].sum())  # and the components under them
+    fits = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * width < 2**53
+    for at in range(0, len(q), QUERY_GROUP):
+        group = slice(at, at + QUERY_GROUP)
+        columns = np.arange(len(ids))  # candidates open to some query of the group
+        for (size, qm, qd), (_, xm, xd) in levels:
+            bound = (qm[group] * size) @ xm[columns].T + (qd[group] * size) @ xd[columns].T + slack[group][:, columns]
+            alive = (bound >= floors[group, None]).any(axis=0)
+            columns, bound = columns[alive], bound[:, alive]
+        (size, qm, qd), (_, xm, xd) = levels[-1]
+        rest = (qm[group, half:] * size[half:]) @ xm[columns, half:].T + (qd[group, half:] * size[half:]) @ xd[columns, half:].T + slack[group][:, columns]
+        for g in range(len(bound)):
+            i, done = at + g, 0
+            places, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            open_ = np.flatnonzero(bound[g] >= floors[i])
+            if len(open_) > 4 * k:  # those of the highest bounds first: k exact scores of theirs make a high floor
+                lead = np.argpartition(-bound[g, open_], 4 * k)[: 4 * k]
+                first = columns[open_[lead]]
+                scores, places, done = _exact(np.broadcast_to(q[i], (len(first), width)), x[first]), first, len(first)
+                floors[i] = max(floors[i], np.partition(scores, -k)[-k])
+                open_ = np.delete(open_, lead)
+                open_ = open_[bound[g, open_] >= floors[i]]
+            if fits and cut:  # the first components exactly, the others still by their bounds
+                part = x[columns[open_], :cut] @ q[i, :cut]
+                open_ = open_[part + rest[g, open_] >= floors[i]]
+            left = columns[open_]
+            scores = np.concatenate([scores, _exact(np.broadcast_to(q[i], (len(left), width)), x[left])])
+            places, done = np.concatenate([places, left]), done + len(left)
+            if len(scores) >= k:
+                floors[i] = max(floors[i], np.partition(scores, -k)[-k])
+            high = np.flatnonzero(scores >= floors[i])
+            found = high[_best(scores[high], ids[places[high]], k)]
+            names = ids[places[found]]
+            yield i, names, scores[found], (names == q_ids[i]) & (x[places[found]] == q[i]).all(axis=1), done
 
 
 _HITS = pa.schema([("query_id", pa.int64()), ("num", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("own", pa.int32())])
@@ -119,12 +150,14 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     met = offered.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(asked, ["q", "shard"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        floors: dict[bytes, np.ndarray] = {}  # of each block of queries, over the candidates that this task has seen
         for b in batches:
             for r in range(b.num_rows):
                 row = {c: b.column(c)[r].as_py() for c in ("width", "ids", "data", "qw", "qi", "qn", "qx")}
                 q_ids, nums, ids = (np.frombuffer(row[c], np.int64) for c in ("qi", "qn", "ids"))
                 q, x = np.frombuffer(row["qx"]).reshape(-1, row["qw"]), np.frombuffer(row["data"]).reshape(-1, row["width"])
-                for i, found, scores, own, _ in search_blocks(q_ids, q, ids, x, k + 1):
+                known = floors.setdefault(row["qi"] + row["qn"], np.full(len(q_ids), -np.inf))
+                for i, found, scores, own, _ in search_blocks(q_ids, q, ids, x, k + 1, floors=known):
                     key = [pa.array([v[i]] * len(found), pa.int64()) for v in (q_ids, nums)]
                     yield pa.RecordBatch.from_arrays([*key, pa.array(found), pa.array(scores), pa.array(own.astype(np.int32))], schema=_HITS)
 
