@@ -1,9 +1,8 @@
 """Line dedup over levelled sorted runs of line hashes, with DataFrame functions only.
 
-A run is a Parquet table of line keys, sorted by hash within hash partitions: (h1, h2, n_docs, last_doc). Each batch of
-documents is added whole as a run of its own; when a level holds `fanout` runs they are merged into one run of the next level.
-What is dropped depends on counts, which are summed over all runs. The merge-anti-join that tells a batch's fresh keys from known
-ones is offered by LineRuns.add and not run by dedup_lines.
+A run is a table of line keys, bucketed and sorted by hash: (h1, h2, n_docs, last_doc). Each batch of documents is merge-anti-joined with all
+runs: keys that no run has become a run of their own, the counts of the others are updates. When a level holds `fanout` runs they are merged into one run
+of the next level. What is dropped depends on a key's counts, which are those of its run and its updates.
 
 Edge cases: a null or empty text is one empty line and keeps the hash of the empty string; keys shorter than the limit are
 never dropped; a document's repeated lines count its id once; rows that repeat a doc_id count as one document; a null doc_id
@@ -12,6 +11,8 @@ is one document, smaller than all others; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,48 +29,77 @@ def line_key(line: Column) -> Column:
 
 
 class LineRuns:
-    """Levels of sorted runs in the shared folder. Every run is a written table, so a lost executor costs a re-read."""
+    """Levels of sorted runs in the shared folder: every key is in one run, with the counts of the batch that brought it; later counts are updates.
+
+    Runs are tables bucketed by key, so a batch crosses the network once and meets them all by merge joins, while the runs stay where they are.
+    Every run is a written table, so a lost executor costs a re-read.
+    """
 
     def __init__(self, spark: SparkSession, fanout: int = 3):
         self.spark, self.fanout = spark, fanout
+        self.name = f"line_runs_{uuid.uuid4().hex}"
         self.root = scratch_path(spark, "line-runs")
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
+        self.updates: list[str] = []
         self.made = 0
 
-    def _write(self, df: DataFrame, level: int) -> None:
+    def _write(self, df: DataFrame) -> str:
+        self.made += 1
+        table = f"{self.name}_{self.made}"
+        df.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.root}/{self.made}").saveAsTable(table)
+        return table
+
+    def _add_run(self, df: DataFrame, level: int) -> str:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.made += 1
-        path = f"{self.root}/level={level}/run{self.made}"
-        df.sortWithinPartitions("h1", "h2").write.parquet(path)
-        self.levels[level].append(path)
+        self.levels[level].append(self._write(df))
+        return self.levels[level][-1]
+
+    def rows(self, tables: list[str]) -> DataFrame:
+        """Runs together, as plain files: Spark 4.1 takes a union of bucketed tables for partitioned by key and then sums wrongly."""
+        return self.spark.read.schema(RUN).parquet(*[f"{self.root}/{t.rsplit('_', 1)[1]}" for t in tables])
 
-    def runs(self) -> DataFrame | None:
-        """All rows of all runs; a key known to several runs has a row in each."""
-        paths = [p for level in self.levels for p in level]
-        return self.spark.read.schema(RUN).parquet(*paths) if paths else None
+    def runs(self) -> list[str]:
+        return [t for level in self.levels for t in level]
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Add a batch of (h1, h2, n_docs, last_doc), a row per key. Returns its keys that no run had, for streaming use."""
-        known = self.runs()
-        fresh = batch if known is None else batch.join(known, ["h1", "h2"], "left_anti")
-        self._write(batch, 0)
+        """Add a batch of (h1, h2, n_docs, last_doc), a row per key. The keys that no run has are written as a run and returned; the others are updates."""
+        batch = batch.repartition(self.buckets, "h1", "h2")
+        fresh, known = batch, bool(self.runs())
+        for run in self.runs():
+            fresh = fresh.join(self.spark.table(run).select("h1", "h2"), ["h1", "h2"], "left_anti")
+        added = self._add_run(fresh, 0)
+        out = self.spark.table(added)
+        if known:
+            self.updates.append(self._write(batch.join(out.select("h1", "h2"), ["h1", "h2"], "left_anti")))
         self.compact()
-        return fresh
+        return out
 
     def compact(self) -> None:
+        """Full levels become one run of the next level; their keys differ, so nothing is summed. Updates are summed when there are `fanout` of them."""
         level = 0
         while level < len(self.levels):
             if len(self.levels[level]) >= self.fanout:
-                merged = self.spark.read.schema(RUN).parquet(*self.levels[level])
-                self.levels[level] = []
-                self._write(merged_keys(merged), level + 1)
+                merged, self.levels[level] = self.levels[level], []
+                self._add_run(self.rows(merged).repartition(self.buckets, "h1", "h2"), level + 1)
             level += 1
+        if len(self.updates) >= self.fanout:
+            self.updates = [self._write(merged_keys(self.rows(self.updates)))]
 
     def repeated(self, min_docs: int) -> DataFrame:
-        """Keys found in `min_docs` documents or more, over all runs."""
-        found = self.runs()
-        return merged_keys(found).filter(F.col("n_docs") >= min_docs)
+        """Keys found in `min_docs` documents or more, over all runs and updates."""
+        found = self.rows(self.runs())
+        if self.updates:
+            more = merged_keys(self.rows(self.updates)).select("h1", "h2", F.col("n_docs").alias("more"), F.col("last_doc").alias("later"))
+            n, last = F.col("n_docs") + F.coalesce("more", F.lit(0)), F.greatest("last_doc", "later")
+            found = found.join(more, ["h1", "h2"], "left").select("h1", "h2", n.alias("n_docs"), last.alias("last_doc"))
+        return found.filter(F.col("n_docs") >= min_docs)
+
+    def close(self) -> None:
+        """Take the runs out of the catalog; frames already read from them must have been written by then."""
+        for i in range(1, self.made + 1):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{i}")
 
 
 def merged_keys(rows: DataFrame) -> DataFrame:
@@ -91,12 +121,14 @@ def dropped_positions(docs: DataFrame, id_col: str, text_col: str, min_chars: in
     lines = written(line_rows(docs, id_col, text_col, min_chars, batches), "lines")
     # a row per (key, document) first: a key in a third of all documents is spread over their ids, and met by partial counts
     per_doc = lines.select("batch", "h1", "h2", "id").distinct()
-    staged = written(per_doc.groupBy("batch", "h1", "h2").agg(F.count("*").alias("n_docs"), F.max("id").cast("long").alias("last_doc")), "line-batches")
+    staged = written(per_doc.groupBy("batch", "h1", "h2").agg(F.count("*").alias("n_docs"), F.max("id").cast("long").alias("last_doc")), "line-batches", "batch")
     index = LineRuns(spark, fanout)
     for b in range(batches):
         index.add(staged.filter(F.col("batch") == b).drop("batch"))
     # written, so that both sides of the join are plain exchanges and a hot line's rows can be dealt to several tasks
-    hits = lines.join(cut(index.repeated(min_docs)), ["h1", "h2"]).filter(~F.col("id").eqNullSafe(F.col("last_doc")))
+    repeated = cut(index.repeated(min_docs))
+    index.close()
+    hits = lines.join(repeated, ["h1", "h2"]).filter(~F.col("id").eqNullSafe(F.col("last_doc")))
     return hits.groupBy("id", "th").agg(F.array_sort(F.collect_set("pos")).alias("drops"))
 
 

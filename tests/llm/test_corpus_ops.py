@@ -190,10 +190,27 @@ def test_line_dedup(spark, batches, fanout):
 def test_line_runs_anti_join(spark):
     runs = linededup.LineRuns(spark, fanout=2)
     batch = lambda *keys: spark.createDataFrame([(k, k, 1, k) for k in keys], linededup.RUN)
-    assert [r["h1"] for r in runs.add(batch(1, 2)).collect()] == [1, 2]
+    rows = lambda tables: sorted(r["h1"] for r in runs.rows(tables).collect())
+    assert sorted(r["h1"] for r in runs.add(batch(1, 2)).collect()) == [1, 2]
     assert [r["h1"] for r in runs.add(batch(2, 3)).collect()] == [3]
-    assert [len(x) for x in runs.levels] == [0, 1]
-    assert {r["h1"]: r["n_docs"] for r in runs.repeated(2).collect()} == {2: 2}
+    assert [len(x) for x in runs.levels] == [0, 1] and rows(runs.runs()) == [1, 2, 3] and rows(runs.updates) == [2]
+    runs.add(batch(1, 2, 4))
+    assert rows(runs.runs()) == [1, 2, 3, 4] and rows(runs.updates) == [1, 2] and len(runs.updates) == 1  # compacted
+    assert {r["h1"]: (r["n_docs"], r["last_doc"]) for r in runs.repeated(2).collect()} == {1: (2, 1), 2: (3, 2)}
+    runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(runs.name)]
+
+
+def test_line_runs_join_by_merge(spark):
+    """The runs are read where they are: of a batch's anti-join only the batch is exchanged."""
+    runs, spoken = linededup.LineRuns(spark, fanout=9), []
+    batch = lambda *keys: spark.createDataFrame([(k, k, 1, k) for k in keys], linededup.RUN)
+    runs.add(batch(*range(50)))
+    runs.add(batch(*range(40, 90)))
+    write, runs._write = runs._write, lambda df: spoken.append(df._jdf.queryExecution().executedPlan().toString()) or write(df)
+    runs.add(batch(*range(80, 120)))
+    assert spoken[0].count("LeftAnti") == 2 and spoken[0].count("Exchange hashpartitioning") == 1
+    runs.close()
 
 
 def test_line_dedup_edges(spark):
