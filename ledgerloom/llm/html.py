@@ -1,9 +1,10 @@
 """Main-text extraction by line-block distribution.
 
-Markup is stripped into lines, one a block element. Lines inside menus, page headers, footers, sidebars, notices, adverts, forms and
-reader comments weigh nothing, nor do lines mostly in links outside an article that the page marks; other lines weigh their length, and lines
-of a marked article so much more that each is a surge. The weights are summed over a sliding window of lines; a surge opens a region,
-a dive closes it, and the weighted lines between are kept, of every region.
+Markup is stripped into lines, one a block element, and so are menus, page headers, footers, sidebars, notices, adverts, forms and
+reader comments, as elements, roles, classes and ids tell them; in an article that the page marks, only names that no article part has count.
+A line weighs its length, in a marked article `MARKED` times that, and nothing if it is mostly links outside one. The weights are summed over a
+sliding window of lines. A window of nothing is a dive, a window over `SURGE` a surge; the weighted lines between two dives are kept if they hold a surge.
+Windows end where a marked article begins or ends, so other lines need a surge of their own.
 
 Edge cases: a null or empty page, or one without text, gives an empty string; unclosed tags close at the page's end, or at the article
 that follows; a page without any surge keeps all its weighted lines; repeated rows are each extracted.
@@ -20,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
-#: Weight in a window above which it is a surge; a character outside a marked article weighs one.
-SURGE = 80
+#: Weight in a window above which it is a surge, and the weight of a marked article's characters; others weigh one.
+SURGE, MARKED = 80, 16
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -45,6 +46,9 @@ PARTS = frozenset(
     " sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar comment comments respond disqus replies share sharing social related"
     " recommended newsletter subscribe signup login popup modal overlay widget pagination pager form search".split()
 )
+#: Those of them that may also name parts of an article, and so drop nothing inside one.
+PARTS_OF_ARTICLES = frozenset("alert notice banner widget search form menu nav navigation masthead topbar promotion overlay modal pager pagination related sharing".split())
+PARTS_AND_HEADER = PARTS | {"header"}
 #: A name with one of these is a layout wrapper, such as "no-sidebar" or "content-with-menu".
 WRAPPER = frozenset("has no with without wrapper layout page site content main article body container".split())
 
@@ -61,7 +65,9 @@ def _dropped(tag: str, attrs: str, inside: bool) -> bool:
     for m in _NAMED.finditer(attrs):
         for name in m[1].strip("\"'").lower().split():
             parts = set(re.split(r"[-_:]+", name))
-            if name in ROLES and m[0][:4].lower() == "role" or parts & PARTS and not parts & WRAPPER or not inside and "header" in parts and not parts & WRAPPER:
+            if name in ROLES and m[0][:4].lower() == "role":
+                return True
+            if parts & (PARTS - PARTS_OF_ARTICLES if inside else PARTS_AND_HEADER) and not parts & WRAPPER:
                 return True
     return False
 
@@ -126,23 +132,32 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     return lines
 
 
-def regions(weights: list[int], surge: int, window: int = WINDOW) -> list[tuple[int, int]]:
-    """[start, end) line ranges: a window sum over `surge` opens one at its first weighted line, a window sum of nothing closes it."""
-    n, out, start = len(weights), [], -1
-    sums = [sum(weights[i : i + window]) for i in range(n)]
-    for i in range(n):
-        if start < 0 and sums[i] > surge and weights[i]:
-            start = i
-        elif start >= 0 and not sums[i]:
-            out.append((start, i))
-            start = -1
-    return out + [(start, n)] if start >= 0 else out
+def regions(weights: list[int], surge: int, window: int = WINDOW, marks: list[bool] | None = None) -> list[tuple[int, int]]:
+    """[start, end) line ranges between dives, which are window sums of nothing, that hold a surge, a window sum over `surge`. No window spans both marked and other lines."""
+    n, out, at = len(weights), [], 0
+    while at < n:
+        end = at + 1
+        while end < n and (marks is None or marks[end] == marks[at]):
+            end += 1
+        start, top = -1, 0
+        for i in range(at, end + 1):
+            total = sum(weights[i : min(i + window, end)])
+            if not total and start >= 0:
+                if top > surge:
+                    out.append((start, i))
+                start, top = -1, 0
+            elif start < 0 and i < end and weights[i]:
+                start = i
+            top = max(top, total) if start >= 0 else 0
+        at = end
+    return out
 
 
 def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     lines = lines_of(page)
-    weights = [len(text) * (surge + 1) if inside else 0 if 2 * linked > len(text) else len(text) for text, linked, inside in lines]
-    kept = regions(weights, surge, window) or regions(weights, 0, window)
+    weights = [MARKED * len(text) if inside else 0 if 2 * linked > len(text) else len(text) for text, linked, inside in lines]
+    marks = [inside for _, _, inside in lines]
+    kept = regions(weights, surge, window, marks) or regions(weights, 0, window, marks)
     return "\n".join(text for a, b in kept for (text, _, _), w in zip(lines[a:b], weights[a:b], strict=True) if w)
 
 

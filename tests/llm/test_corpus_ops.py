@@ -330,6 +330,50 @@ def test_html_mark_does_not_decide_alone():
     assert html.main_text(f"<body>{menu}<article>{body}</article>{menu}</body>").split("\n") == story
 
 
+def brute_regions(weights, marks, surge, window):
+    """A line stays if some lines around it, of its own mark, hold a surge and no window of nothing."""
+    n = len(weights)
+    total = lambda i, a, b: sum(weights[j] for j in range(i, min(i + window, b)))
+    kept = set()
+    for a in range(n):
+        for b in range(a + 1, n + 1):
+            if len(set(marks[a:b])) > 1:
+                break
+            edge = next((j for j in range(b, n) if marks[j] != marks[a]), n)
+            sums = [total(i, a, edge) for i in range(a, b)]
+            if all(sums) and max(sums) > surge and weights[a]:
+                kept |= {i for i in range(a, b) if weights[i]}
+    return kept
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_html_regions_against_brute_force(seed):
+    rng = random.Random(seed)
+    for _ in range(60):
+        n, window, surge = rng.randrange(14), rng.randrange(1, 5), rng.randrange(0, 30)
+        weights, marks = [rng.choice((0, 0, 0, 4, 9, 20)) for _ in range(n)], [False] * n
+        if rng.random() < 0.5:
+            marks = [i // 4 % 2 == 1 for i in range(n)]
+        got = {i for a, b in html.regions(weights, surge, window, marks) for i in range(a, b) if weights[i]}
+        assert got == brute_regions(weights, marks, surge, window)
+
+
+def test_html_names_inside_articles():
+    page = '<article><p>One.</p><p class="alert">Two.</p><div class="form-note"><p>Three.</p></div><div class="ad-slot">Buy</div><form>Mail</form></article>'
+    assert html.main_text(page) == "One.\nTwo.\nThree."
+    story = "".join(f"<p>{'A sentence of the story goes on. ' * 5}{i}</p>" for i in range(4))
+    assert html.main_text(f"<body><p>Share this</p><article>{story}</article><p>Posted by us</p></body>").count("\n") == 3  # lines beside an article need their own surge
+    assert "alert" not in html.main_text(f'<body><div class="alert">An alert of the page that is long enough to be a surge of its own, if it weighed anything at all.</div>{story}</body>')
+
+
+def test_html_long_and_empty(spark):
+    long = "<article>" + "<p>x y</p>" * 40_000 + "</article>"
+    frame = spark.createDataFrame([(1, "u", long, "t", 1), (2, None, "", "t", 1), (None, None, None, "t", 1), (1, "u", long, "t", 1)], "page_id long, url string, html string, text string, n_chars int")
+    out = html.extract(frame).collect()
+    assert sorted(r["n_chars"] for r in out) == [0, 0, 159_999, 159_999] and out[0]["text"].count("\n") in (0, 39_999)
+    assert html.extract(frame.limit(0)).count() == 0
+
+
 def test_html_short_region():
     long, short = [f"{'A sentence of the story goes on. ' * 5}{i}" for i in range(9)], "The last section is short, but it is of the article, and it stands behind some lines of links."
     page = "".join(f"<p>{x}</p>" for x in long) + "<div><a href=1>More</a></div>" * 3 + f"<p>{short}</p>"
