@@ -9,9 +9,12 @@ Bands of the signature are joined; each pair that the join proposes is checked o
 threshold. With 24 bands of 4, a pair at exactly 0.8 is missed with chance 3e-6, at 0.85 with 2e-7.
 
 Groups: a band's members are checked against its hub, the member with the most company over all bands, not against each other; copies cost one link each.
-Only members of one band that are then in different components are looked at again, so that no two similar texts of one band stay apart. Of these, texts
-with too many shingles that no other such text has cannot be similar to any and go. Bands with few cross pairs left are joined; in the others, blocks of bounded size
-meet inside tasks, which give out links only.
+Only members of one band that are then in different components are looked at again, so that no two similar texts of one band stay apart. Each of these is
+found by its rarest shingles: similar texts have one of so many in common, and texts with too many shingles that no other such text has go. By shingles that few texts
+have, they are joined. Texts with only common ones to be found by are compared within their bands: bands with few cross pairs left are joined; in the others,
+blocks of bounded size meet inside tasks, which give out links only.
+
+Weights: one for each shingle, so similarity is that of the sets, or with `weighting="count"` how often a text has it.
 
 Edge cases: a null or empty text, or one without words, is a class of its own; texts of fewer than five words are one shingle, their whole word sequence;
 texts that differ in white space only are copies; repeated rows are copies; a null doc_id has a null class only if its whole class has; an empty table
@@ -20,7 +23,6 @@ gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, written
@@ -70,30 +73,29 @@ def shingles(words: list[str], n: int = WORDS) -> np.ndarray:
     return mix(h)
 
 
-def elements(words: list[str], weighting: str) -> np.ndarray:
-    """Distinct unit-weight elements: the shingles, or for "count" each shingle with the number of its occurrence, so sets have the weighted similarity."""
-    found = shingles(words)
-    if weighting == "set":
-        return np.unique(found)
-    seen, at = Counter(), np.zeros(len(found), np.uint64)
-    for i, x in enumerate(found.tolist()):
-        at[i] = seen[x]
-        seen[x] += 1
-    return np.unique(mix(found + at * _GOLD))
+def weighted(words: list[str], weighting: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles and their weights: one each, or for "count" how often each occurs."""
+    found, n = np.unique(shingles(words), return_counts=True)
+    return found, np.ones(len(found), np.int64) if weighting == "set" else n
+
+
+def regions(items: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """A hash for each unit region of elements with whole weights, so that common regions over all regions is the weighted similarity."""
+    cell = np.arange(weights.sum()) - np.repeat(np.cumsum(weights) - weights, weights)
+    return mix(np.repeat(items, weights) + cell.astype(np.uint64) * _GOLD)
 
 
-def dart_signatures(items: np.ndarray, doc: np.ndarray, n_docs: int, k: int, weights: np.ndarray | None = None) -> np.ndarray:
-    """n_docs x k dart ids, zero where a document has no elements. `doc` gives each element's document; weights are positive, one if not given.
+def dart_signatures(items: np.ndarray, doc: np.ndarray, n_docs: int, k: int, weights: np.ndarray) -> np.ndarray:
+    """n_docs x k dart ids, zero where a document has no elements. `doc` gives each element's document; weights are positive.
 
     An element of weight w owns ceil(w) unit regions; darts of the last one count only under w.
     """
-    part = np.ones(len(items)) if weights is None else np.asarray(weights, float)
-    if weights is not None:
-        cells = np.ceil(part).astype(np.int64)
-        cell = np.arange(cells.sum()) - np.repeat(np.cumsum(cells) - cells, cells)
-        items = mix(np.repeat(items, cells) + cell.astype(np.uint64) * _GOLD)
-        doc = np.repeat(doc, cells)
-        part = np.minimum(1.0, np.repeat(part, cells) - cell)
+    weights = np.asarray(weights, float)
+    cells = np.ceil(weights).astype(np.int64)
+    items, doc = regions(items, cells), np.repeat(doc, cells)
+    part = np.ones(len(items))
+    part[np.cumsum(cells) - 1] = weights - cells + 1
+    thin = bool((part < 1).any())  # whole weights leave no dart out
     total = np.bincount(doc, weights=part, minlength=n_docs)
     ranks, ids = np.full(n_docs * k, np.inf), np.zeros(n_docs * k, np.uint64)
     limit = (np.log(k) + 1) * k / np.maximum(total, 1e-300)
@@ -102,10 +104,10 @@ def dart_signatures(items: np.ndarray, doc: np.ndarray, n_docs: int, k: int, wei
     while len(items):
         open_ = np.flatnonzero(at <= limit[doc])
         while len(open_):
-            dart = mix(state[open_] ^ _M1)
-            counts = open_ if weights is None else open_[(mix(dart ^ _M2) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < part[open_]]
-            if weights is not None:
-                dart = mix(state[counts] ^ _M1)
+            dart, counts = mix(state[open_] ^ _M1), open_
+            if thin:
+                hit = (mix(dart ^ _M2) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < part[open_]
+                dart, counts = dart[hit], open_[hit]
             slot, rank = doc[counts] * k + (dart % np.uint64(k)).astype(np.int64), at[counts]
             np.minimum.at(ranks, slot, rank)
             first = rank == ranks[slot]
@@ -148,37 +150,42 @@ def text_key(words: list[str]) -> bytes | None:
     return xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")) if words else None
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, th, text): the hash of the text tells rows of one id apart; a null text is an empty one."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+
 def sketch(docs: DataFrame, id_col: str, text_col: str, weighting: str, bands: int, rows: int) -> DataFrame:
-    """(id, key, bands): a 128-bit key of the word sequence and the band hashes; both null without words."""
+    """(id, th, key, bands): a 128-bit key of the word sequence and the band hashes; both null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, split in _runs(b.column(1)):
-                sets = [elements(w, weighting) for w in split]
-                n = np.array([len(s) for s in sets])
-                keys = band_keys(dart_signatures(np.concatenate(sets), np.repeat(np.arange(len(sets)), n), len(sets), bands * rows), bands, rows)
+            for first, split in _runs(b.column(2)):
+                sets = [weighted(w, weighting) for w in split]
+                n = np.array([len(x) for x, _ in sets])
+                items, weights = (np.concatenate(x) for x in zip(*sets, strict=True))
+                keys = band_keys(dart_signatures(items, np.repeat(np.arange(len(sets)), n), len(sets), bands * rows, weights), bands, rows)
                 lists = pa.array([k if m else None for k, m in zip(keys, n, strict=True)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(split)), pa.array(map(text_key, split), pa.binary()), lists], ["id", "key", "bands"])
+                own = [b.column(c).slice(first, len(split)) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(map(text_key, split), pa.binary()), lists], ["id", "th", "key", "bands"])
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return chosen.mapInArrow(run, "id long, key binary, bands array<long>")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "id long, th long, key binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, weighting: str) -> DataFrame:
-    """(key, items) for the wanted (id, key): 32-bit folded element hashes, one row a key."""
+    """(key, items) for the wanted (id, th, key): hashes of the unit regions, one row a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, split in _runs(b.column(1)):
-                keys = b.column(0).slice(first, len(split)).to_pylist()
-                same = [i for i, w in enumerate(split) if text_key(w) == keys[i]]  # rows that share an id may differ in text
-                sets = [np.unique(elements(split[i], weighting).astype(np.uint32)).view(np.int32) for i in same]
-                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in same], pa.binary()), pa.array(sets, pa.list_(pa.int32()))], ["key", "items"])
+                sets = [regions(*weighted(w, weighting)).view(np.int64) for w in split]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(split)), pa.array(sets, pa.list_(pa.int64()))], ["key", "items"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    named = wanted.select(F.col("id").alias("__id"), "key")
-    chosen = texts.join(named, F.col("id").eqNullSafe(F.col("__id"))).select("key", "text")
-    return chosen.mapInArrow(run, "key binary, items array<int>").dropDuplicates(["key"])
+    named = wanted.select(F.col("id").alias("__id"), F.col("th").alias("__th"), "key")
+    same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
+    chosen = _texts(docs, id_col, text_col).join(named, (F.xxhash64("id", "th") == F.xxhash64("__id", "__th")) & same).select("key", "text")
+    return chosen.mapInArrow(run, "key binary, items array<long>").dropDuplicates(["key"])
 
 
 def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -192,36 +199,43 @@ def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.filter(near).select("a", "b")
 
 
-def components(links: DataFrame, rounds: int = 100) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(key, root) of every key in `links`: the smallest key of its component.
 
     Each round takes the smallest root among a key's neighbours, then the root's root; both are partial minima and joins, with the lineage cut every round.
+    Roots only get smaller, so the rounds end.
     """
     edges = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     roots = cut(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("key"), F.least("a", "m").alias("root")))
-    for _ in range(rounds):
+    moved = True
+    while moved:
         far = edges.join(roots.select(F.col("key").alias("b"), F.col("root").alias("m")), "b").groupBy("a").agg(F.min("m").alias("m"))
         least = roots.join(far, roots["key"] == far["a"]).select("key", "root", F.least("root", "m").alias("least"))
         up = roots.select(F.col("key").alias("least"), F.col("root").alias("up"))
         new = cut(least.join(up, "least").select("key", F.least("least", "up").alias("new"), (F.least("least", "up") != F.col("root")).alias("moved")))
-        moved = new.filter("moved").limit(1).count()
+        moved = bool(new.filter("moved").limit(1).count())
         roots = new.select("key", F.col("new").alias("root"))
-        if not moved:
-            return roots
-    raise RuntimeError("components did not settle")
+    return roots
 
 
-def _linkable(rooted: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The (band, key, root, size, e) that may still have a link: `e` of the `size` shingles are also in another of these texts.
+def _prefixes(rooted: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(key, root, size, e, item, n): the shingles by which a text of `rooted` (band, key, root) can be found by a similar one, `n` of these texts holding each.
 
-    A similar text shares at most e of them, so e >= threshold * size is needed. The counts are sums per shingle and per text.
+    Texts of x and y shingles have threshold / (1 + threshold) * (x + y) in common if they are similar, so with shingles in any one order they have one in common
+    among the first x - that + 1 of x, and of y alike. The order is by rarity. Of each text's `size` shingles only `e` are in another text; the others come first and
+    find nothing, so a text with many of its own has no row.
     """
-    own = sets.join(rooted.select("key").distinct(), "key", "left_semi")
-    shingle = own.select("key", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n"), F.min("key").alias("key"))
-    alone = shingle.filter("n = 1").groupBy("key").agg(F.count("*").alias("alone"))
-    sized = own.select("key", F.size("items").alias("size")).join(alone, "key", "left")
-    sized = sized.select("key", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("e")).filter(F.col("e") >= threshold * F.col("size") - 1e-9)
-    return rooted.join(sized, "key")
+    part = threshold / (1 + threshold)
+    own = rooted.select("key", "root").distinct().join(sets, "key").withColumn("size", F.size("items"))
+    least = rooted.join(own.select("key", "size"), "key").groupBy("band").agg(F.min("size").alias("least"))
+    partner = rooted.join(least, "band").groupBy("key").agg(F.min("least").alias("least"))  # no partner in its bands is shorter
+    need = F.ceil(part * (F.col("size") + F.greatest(F.col("least"), threshold * F.col("size"))) - 1e-9)
+    item = own.join(partner, "key").select("key", "root", "size", (F.col("size") - need + 1).alias("first"), F.explode("items").alias("item"))
+    shared = item.groupBy("item").agg(F.count("*").alias("n")).filter("n > 1")
+    by_text = W.partitionBy("key")
+    placed = item.join(shared, "item").withColumn("e", F.count("*").over(by_text)).withColumn("at", F.row_number().over(by_text.orderBy("n", "item")))
+    kept = placed.filter(F.col("at") <= F.col("first") - (F.col("size") - F.col("e")))
+    return kept.select("key", "root", F.col("size").cast("long").alias("size"), "e", "item", "n")
 
 
 def _block_links(rows: DataFrame, sets: DataFrame, threshold: float, block: int) -> DataFrame:
@@ -260,12 +274,20 @@ def _block_links(rows: DataFrame, sets: DataFrame, threshold: float, block: int)
     return a.unionByName(b).groupBy("band", "i", "j").applyInPandas(compare, "a binary, b binary").distinct()
 
 
-def apart_links(members: DataFrame, roots: DataFrame, sets: DataFrame, threshold: float, block: int = 256, few: int = 10) -> DataFrame:
+def apart_links(members: DataFrame, roots: DataFrame, sets: DataFrame, threshold: float, block: int = 256, few: int = 10, rare: int = 64) -> DataFrame:
     """Links between members (band, key) of one band that `roots` holds in different components."""
     rooted = members.join(roots, "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
     split = rooted.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 != r2").select("band")
     rooted = cut(rooted.join(split, "band", "left_semi"))
-    able = cut(_linkable(rooted, sets, threshold))
+    prefixes = cut(_prefixes(rooted, sets, threshold))
+    side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("root", "size", "e")]
+    fits = F.least("e_a", "e_b") * (1 + 1 / threshold) >= F.col("size_a") + F.col("size_b") - 1e-6
+    # pairs that have a rare shingle in common meet by it, at most `rare` texts at one
+    by_item = prefixes.filter(F.col("n") <= rare)
+    met = by_item.select("item", F.col("key").alias("a"), *side("a")).join(by_item.select("item", F.col("key").alias("b"), *side("b")), "item")
+    pairs = met.filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & fits).select("a", "b").distinct()
+    # the others can only meet by shingles of many texts: they are compared within their bands
+    able = cut(rooted.join(prefixes.filter(F.col("n") > rare).select("key", "size", "e").distinct(), "key"))
     counts = able.groupBy("band", "root").agg(F.count("*").alias("n"))
     bands = counts.groupBy("band").agg(
         F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n_all"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("k")
@@ -273,20 +295,21 @@ def apart_links(members: DataFrame, roots: DataFrame, sets: DataFrame, threshold
     cross = (F.col("n_all") * F.col("n_all") - F.col("squares")) / 2
     bands = cut(bands.select("band", F.col("top.root").alias("big"), "n_all", (F.col("n_all") - F.col("top.n")).alias("n_rest"), (cross > few * F.col("n_all")).alias("many")))
     rows = cut(able.join(bands, "band"))
-    side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("root", "size", "e")]
     one = rows.filter("not many and root != big").select("band", "big", F.col("key").alias("a"), *side("a"))
     two = rows.filter("not many").select("band", F.col("key").alias("b"), *side("b"))
-    fits = F.least("e_a", "e_b") * (1 + 1 / threshold) >= F.col("size_a") + F.col("size_b") - 1e-6
-    pairs = one.join(two, "band").filter(fits & (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("big")) | (F.col("a") < F.col("b"))))
-    return similar(pairs.select("a", "b").distinct(), sets, threshold).unionByName(_block_links(rows.filter("many"), sets, threshold, block))
+    in_band = one.join(two, "band").filter(fits & (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("big")) | (F.col("a") < F.col("b"))))
+    found = similar(pairs.unionByName(in_band.select("a", "b")).distinct(), sets, threshold)
+    return found.unionByName(_block_links(rows.filter("many"), sets, threshold, block))
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighting: str = "set", block: int = 256, few: int = 10
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighting: str = "set", block: int = 256, few: int = 10, rare: int = 64
 ) -> DataFrame:
-    """(doc_id, class_id, copy_of) of every row: the smallest doc_id of its class, and of its exact copies."""
+    """(doc_id, class_id, copy_of, text_hash, keeps) of every row: the smallest doc_id of its class, and of its exact copies, xxhash64 of its text, and whether it is
+    the row that stands for its class; rows that repeat both id and text all are."""
     sketches = written(sketch(docs, id_col, text_col, weighting, bands, rows), "sketches")
-    owners = cut(sketches.filter("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("f")
+    owners = cut(sketches.filter("key is not null").groupBy("key").agg(first, F.count("*").alias("copies")))
     # a row per band and distinct text; the partial counts meet in the shared bands only
     banded = sketches.filter("key is not null").select("key", "bands").distinct().select("key", F.explode("bands").alias("band"))
     shared = cut(banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"))
@@ -294,18 +317,21 @@ def near_duplicates(
     company = cut(met.groupBy("key").agg(F.sum("n").alias("company")))
     hubs = cut(met.join(company, "key").groupBy("band").agg(F.max(F.struct("company", "key")).alias("hub")).select("band", F.col("hub.key").alias("hub")))
     members = met.select("band", "key")
-    wanted = owners.join(company.select("key"), "key", "left_semi").select("id", "key")
+    wanted = owners.join(company.select("key"), "key", "left_semi").select("f.id", "f.th", "key")
     sets = written(shingle_sets(docs, wanted, id_col, text_col, weighting), "shingles")
     stars = members.join(hubs, "band").filter("key != hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
     links = cut(similar(stars, sets, threshold))
     roots = components(links)
-    more = cut(apart_links(members, roots, sets, threshold, block, few))
+    more = cut(apart_links(members, roots, sets, threshold, block, few, rare))
     if more.limit(1).count():
         roots = components(links.union(more))
-    classes = roots.join(owners, "key").groupBy("root").agg(F.min("id").alias("class_id"))
-    grouped = roots.join(classes, "root").select("key", "class_id")
+    classes = roots.join(owners, "key").groupBy("root").agg(F.min("f").alias("c"))
+    grouped = roots.join(classes, "root").select("key", "c")
     # only texts that have copies or links need a look-up
-    known = owners.join(grouped, "key", "left").filter("copies > 1 or class_id is not null")
-    known = cut(known.select("key", F.col("id").alias("first"), F.coalesce("class_id", "id").alias("class_id")))
-    out = sketches.select("id", "key").join(known, "key", "left")
-    return out.select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("first", "id").alias("copy_of"))
+    known = owners.join(grouped, "key", "left").filter("copies > 1 or c is not null")
+    known = cut(known.select("key", "f", F.coalesce("c", "f").alias("c")))
+    out = sketches.select("id", "th", "key").join(known, "key", "left")
+    return out.select(
+        F.col("id").alias("doc_id"), F.coalesce("c.id", "id").alias("class_id"), F.coalesce("f.id", "id").alias("copy_of"), F.col("th").alias("text_hash"),
+        (F.col("c").isNull() | (F.col("id").eqNullSafe(F.col("c.id")) & (F.col("th") == F.col("c.th")))).alias("keeps"),
+    )

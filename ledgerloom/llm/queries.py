@@ -27,7 +27,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dartminhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return dartminhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_of")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

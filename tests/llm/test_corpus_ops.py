@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, chat, dartminhash, html, linededup, packing, quality, queries, secrets, topk, toxicity
 from ledgerloom.llm.common import table
@@ -83,7 +84,7 @@ def test_chat_edges(spark):
 # --- near-dedup
 
 
-def brute_classes(rows, threshold=0.8):
+def brute_classes(rows, threshold=0.8, counted=False):
     sets, parent = {}, {}
 
     def find(x):
@@ -95,7 +96,8 @@ def brute_classes(rows, threshold=0.8):
         w = (t or "").split()
         parent[d] = d
         if w:
-            sets[d] = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+            found = Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+            sets[d] = frozenset((x, i) for x, n in found.items() for i in range(n if counted else 1))
     by = defaultdict(list)
     for d, s in sets.items():
         for x in s:
@@ -127,8 +129,8 @@ def test_near_dedup_chain_and_hot_copies(spark):
     assert got == brute_classes(rows) and len(set(got.values())) == 2
 
 
-@pytest.mark.parametrize("block,few", [(512, 10), (16, 0)])
-def test_near_dedup_hot_near_copies(spark, block, few):
+@pytest.mark.parametrize("block,few,rare,weighting", [(512, 10, 64, "set"), (16, 0, 2, "count"), (16, 0, 2, "set")])
+def test_near_dedup_hot_near_copies(spark, block, few, rare, weighting):
     """Many edits of one text around the threshold: some links only join texts that no hub is similar to."""
     rng = random.Random(11)
     base = [f"w{i}" for i in range(120)]
@@ -138,10 +140,41 @@ def test_near_dedup_hot_near_copies(spark, block, few):
         for _ in range(rng.randrange(6)):
             words[rng.randrange(120)] = f"e{rng.randrange(40)}"
         rows.append((i, " ".join(words)))
+    for i in range(60):  # the same with lines said several times
+        rows.append((300 + i, " ".join(base[:40] * (i % 3 + 1) + base[40:])))
     shared = " ".join(f"s{i}" for i in range(60))
     rows += [(1000 + i, shared + " " + " ".join(f"o{i}x{k}" for k in range(90))) for i in range(100)]
-    got = {r["doc_id"]: r["class_id"] for r in dartminhash.near_duplicates(docs_of(spark, rows), block=block, few=few).collect()}
-    assert got == brute_classes(rows)
+    got = {r["doc_id"]: r["class_id"] for r in dartminhash.near_duplicates(docs_of(spark, rows), block=block, few=few, rare=rare, weighting=weighting).collect()}
+    assert got == brute_classes(rows, counted=weighting == "count")
+
+
+def test_near_dedup_rare_shingles_find_apart_texts(spark):
+    """A template with a sixth of it edited in 2,000 ways: no two are similar, and no two meet; edits that two have make them meet."""
+    base = [f"w{i}" for i in range(300)]
+
+    def edited(i, n=9):
+        words = list(base)
+        for k in range(n):
+            words[33 * k + 3] = f"e{i}x{k}"
+        return words
+
+    rows = [(i, " ".join(edited(i))) for i in range(2000)] + [(5000 + i, " ".join([*edited(i), "more"])) for i in range(3)]
+    docs = docs_of(spark, rows)
+    sets = dartminhash.shingle_sets(docs, docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), F.col("doc_id").cast("string").cast("binary").alias("key")), "doc_id", "text", "set")
+    rooted = sets.select(F.lit(1).alias("band"), "key", F.col("key").alias("root"))
+    found = dartminhash._prefixes(rooted, sets, 0.8)
+    assert {bytes(r["key"]).decode() for r in found.select("key").distinct().collect()} == {"0", "1", "2", "5000", "5001", "5002"}
+    assert found.agg(F.max("n")).first()[0] == 2
+    got = {r["doc_id"]: r["class_id"] for r in dartminhash.near_duplicates(docs).collect()}
+    assert got == {i: i - 5000 if i >= 5000 else i for i, _ in rows}
+
+
+def test_near_dedup_names_one_row_of_a_class(spark):
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    rows = [(3, a), (5, a), (5, b), (5, b), (6, "a  b c d e f g h"), (6, a), (None, b), (7, None), (8, ""), (None, "x y"), (None, "x y z"), (9, "x y")]
+    out = [(r["doc_id"], r["class_id"], r["keeps"]) for r in dartminhash.near_duplicates(docs_of(spark, rows)).collect()]
+    assert sorted((d, c) for d, c, keeps in out if keeps and d is not None) == [(3, 3), (5, 5), (5, 5), (7, 7), (8, 8), (9, 9)]
+    assert sum(keeps for *_, keeps in out) == 7  # and x y z
 
 
 def test_near_dedup_edges(spark):
@@ -158,8 +191,9 @@ def test_darts_estimate_weighted_similarity():
     sig = dartminhash.dart_signatures(np.tile(items, 2), np.repeat([0, 1], 60), 2, 4096, np.concatenate([a, b]))
     assert (sig != 0).all()
     assert abs((sig[0] == sig[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.04
-    counts = dartminhash.elements("a b c d e a b c d e".split(), "count")
-    assert len(counts) == 6 and len(dartminhash.elements("a b c d e a b c d e".split(), "set")) == 5
+    items, counts = dartminhash.weighted("a b c d e a b c d e".split(), "count")
+    assert len(items) == 5 and sorted(counts) == [1, 1, 1, 1, 2] and len(dartminhash.regions(items, counts)) == 6
+    assert dartminhash.weighted("a b c d e a b c d e".split(), "set")[1].tolist() == [1] * 5
 
 
 # --- line dedup
