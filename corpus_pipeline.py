@@ -1,7 +1,8 @@
 """A corpus pipeline: quality rules, line dedup, near-dedup, secret redaction, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns the columns of documents; the last returns the packing plan.
-Edge cases are those of the operators; texts that lose all their lines stay, empty; rows that repeat both id and text are one document.
+Edge cases are those of the operators; texts that lose all their lines stay, empty; rows that repeat both id and text
+are one document, and a null text is an empty one there; of each near-duplicate class one row stays, whatever ids and texts repeat.
 """
 
 from __future__ import annotations
@@ -28,10 +29,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = dartminhash.near_duplicates(docs)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    stays = docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    return stays.withColumn("__h", F.xxhash64("text")).dropDuplicates(["doc_id", "__h"]).select(*COLUMNS)
+    found = dartminhash.near_duplicates(docs).filter("keeps")
+    kept = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th")).distinct()
+    # one hash is the key of the join and of the last step, so texts cross the network once; the id and the text's own hash decide
+    rows = docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit(""))).alias("__h")).withColumn("__k", F.xxhash64("doc_id", "__h"))
+    same = (F.col("__k") == F.xxhash64("__id", "__th")) & F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["__k", "doc_id", "__h"]).select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
