@@ -40,3 +40,18 @@ def test_run_and_edges(spark):
     for _, stage in cp.STAGES:
         docs = stage(spark, docs, "")
     assert docs.count() >= 1
+
+
+def test_near_duplicates_by_id_and_text(spark):
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    rows = [(3, a), (5, a), (5, b), (5, b), (6, None), (6, ""), (None, b)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1, "x") for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, __k string")
+    out = cp.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in out) == [(3, a), (5, b), (6, "")]
+
+
+def test_stages_take_empty_tables(spark):
+    docs = odd_docs(spark).withColumn("source", F.lit("s")).limit(0)
+    for _, stage in cp.STAGES:
+        docs = stage(spark, docs, "")
+        assert docs.count() == 0
