@@ -78,8 +78,10 @@ def _month(name: Column) -> Column:
 def parse_table_date(raw: Column) -> Column:
     """Noon of a statement date in wall-clock milliseconds: day first, month by name, year first, or a spreadsheet serial."""
     text = F.trim(raw)
-    head = F.regexp_extract(text, "^([^ T]*)", 1)
+    return let(F.struct(text.alias("text"), F.regexp_extract(text, "^([^ T]*)", 1).alias("head")), lambda v: _table_date(v["text"], v["head"]))
 
+
+def _table_date(text: Column, head: Column) -> Column:
     def named(value: Column, pattern: str, day: int, month: int) -> Column:
         part = lambda g: first_group(value, pattern, g)
         return _built(part(day).try_cast("int"), _month(part(month)), part(3).try_cast("int"))

@@ -61,4 +61,4 @@ def is_self_transfer(parsed: DataFrame, accounts: DataFrame) -> DataFrame:
 
 
 def txn_with_account(ledger: DataFrame, accounts: DataFrame) -> DataFrame:
-    return ledger.join(accounts.select(F.col("id").alias("account_id"), F.col("name").alias("account_name")), "account_id", "left")
+    return ledger.join(accounts.select("user_id", F.col("id").alias("account_id"), F.col("name").alias("account_name")), ["user_id", "account_id"], "left")

@@ -1,8 +1,9 @@
-"""The category table: seed, names, renames, choices."""
+"""The category table: seed, names, renames, choices. A category with a null user_id is every user's."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # The built-in names, in order, and those that only move money.
@@ -12,9 +13,10 @@ EXPENSE = [
     "Credit Card Payment", "Taxes & Fees", "Bank Charges", "Gifts & Donations", "Cash Withdrawal", "Investments", "Transfers", "Other",
 ]
 INCOME = ["Salary", "Freelance", "Business", "Interest & Dividends", "Refunds & Cashback", "Rent Received", "Gifts Received", "Investments", "Transfers", "Other Income"]
+#: Names of incoming money alone.
+INCOME_ONLY = [n for n in INCOME if n not in EXPENSE]
 LENDING = "Lending & Repayments"
 MOVED = ["Transfers", "Credit Card Payment", "Cash Withdrawal", LENDING]
-MOST_RENAMES = 200
 SCHEMA = "id long, name string, kind string, money_moved boolean, archived boolean, sort_order int, builtin boolean"
 
 
@@ -25,38 +27,40 @@ def seed_rows() -> list[tuple]:
 
 
 def seed_categories(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(seed_rows(), SCHEMA)
+    return spark.createDataFrame(seed_rows(), SCHEMA).withColumn("user_id", F.lit(None).cast("long"))
 
 
 def normalize_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(name, r"\s+", " "))
 
 
-def rename_categories(frame: DataFrame, renames: DataFrame, column: str = "category") -> DataFrame:
-    """`frame` with its category names changed by (old_name, new_name).
+def judged_renames(renames: DataFrame, categories: DataFrame) -> DataFrame:
+    """(user_id, old_name, new_name, reason): new names tidied; `reason` is null for the renames that hold.
 
-    A rename is a user's edit, so there are few: up to `MOST_RENAMES` are a literal map and `frame` is not shuffled by its few, skewed names; more are joined.
+    Refused are all renames of one name if it has several ("repeated"), an empty new name ("blank"), and one that is another category's already ("clash"), whatever its case.
     """
-    tidy = renames.select("old_name", normalize_name(F.col("new_name")).alias("new_name"))
-    few = tidy.limit(MOST_RENAMES + 1).collect()
-    if len(few) <= MOST_RENAMES:
-        names = F.create_map(*[F.lit(x) for r in few for x in r]) if few else F.create_map().cast("map<string,string>")
-        return frame.withColumn(column, F.coalesce(F.try_element_at(names, F.col(column)), F.col(column)))
-    new = tidy.select(F.col("old_name").alias(column), F.col("new_name").alias("__new"))
-    return frame.join(new, column, "left").withColumn(column, F.coalesce("__new", column)).drop("__new").select(*frame.columns)
+    tidy = renames.select("user_id", "old_name", normalize_name(F.col("new_name")).alias("new_name")).withColumn("n", F.count("*").over(W.partitionBy("user_id", "old_name")))
+    held = categories.select("user_id", F.lower("name").alias("low"), "name").distinct()
+    low = tidy.withColumn("low", F.lower("new_name"))
+    own = low.join(held.filter("user_id is not null"), ["user_id", "low"]).filter("name != old_name").select("user_id", "old_name")
+    common = low.join(held.filter("user_id is null").drop("user_id"), "low").filter("name != old_name").select("user_id", "old_name")
+    clash = own.union(common).distinct().withColumn("clash", F.lit(True))
+    reason = F.when(F.col("n") > 1, "repeated").when(F.col("new_name") == "", "blank").when(F.col("clash"), "clash")
+    return tidy.join(clash, ["user_id", "old_name"], "left").select("user_id", "old_name", "new_name", reason.alias("reason"))
 
 
-def rename_clashes(categories: DataFrame, renames: DataFrame) -> DataFrame:
-    """Renames whose new name is another category's already; none of them may be applied."""
-    held = categories.select(F.lower("name").alias("low"), F.col("name").alias("held"))
-    return renames.join(held, F.lower(normalize_name(F.col("new_name"))) == F.col("low")).filter("held != old_name").select("old_name", "new_name")
+def rename_categories(frame: DataFrame, renames: DataFrame, categories: DataFrame, column: str = "category") -> DataFrame:
+    """`frame` (the ledger, the rules or the categories, by `column`) with each user's names changed by (user_id, old_name, new_name); refused renames change nothing."""
+    good = judged_renames(renames, categories).filter("reason is null").select("user_id", F.col("old_name").alias(column), F.col("new_name").alias("__new"))
+    return frame.join(good, ["user_id", column], "left").withColumn(column, F.coalesce("__new", column)).select(*frame.columns)
 
 
 def rename_counts(ledger: DataFrame, rules: DataFrame, renames: DataFrame) -> DataFrame:
-    """(old_name, transactions, rules): what each rename would touch."""
-    count = lambda df, name: df.groupBy(F.col("category").alias("old_name")).agg(F.count("*").alias(name))
-    out = renames.select("old_name").join(count(ledger, "transactions"), "old_name", "left").join(count(rules, "rules"), "old_name", "left")
-    return out.select("old_name", F.coalesce("transactions", F.lit(0)).alias("transactions"), F.coalesce("rules", F.lit(0)).alias("rules"))
+    """(user_id, old_name, transactions, rules): what each rename would touch."""
+    key = ["user_id", "old_name"]
+    count = lambda df, name: df.groupBy("user_id", F.col("category").alias("old_name")).agg(F.count("*").alias(name))
+    out = renames.select(*key).distinct().join(count(ledger, "transactions"), key, "left").join(count(rules, "rules"), key, "left")
+    return out.select(*key, F.coalesce("transactions", F.lit(0)).alias("transactions"), F.coalesce("rules", F.lit(0)).alias("rules"))
 
 
 def categories_for_direction(categories: DataFrame, direction: str) -> DataFrame:
@@ -68,5 +72,7 @@ def categories_for_direction(categories: DataFrame, direction: str) -> DataFrame
 
 
 def orphan_categories(ledger: DataFrame, categories: DataFrame) -> DataFrame:
-    """(name, kind) for the ledger's names that the table lacks."""
-    return ledger.select(F.col("category").alias("name")).distinct().join(categories.select("name"), "name", "left_anti").withColumn("kind", F.lit("both"))
+    """(user_id, name, kind) for each user's names that the table lacks."""
+    used = ledger.select("user_id", F.col("category").alias("name")).distinct()
+    own, common = (categories.filter(f"user_id is {x} null").select("user_id", "name") for x in ("not", ""))
+    return used.join(common.select("name"), "name", "left_anti").join(own, ["user_id", "name"], "left_anti").select("user_id", "name", F.lit("both").alias("kind"))

@@ -40,40 +40,45 @@ def match_by_reference(incoming: DataFrame, ledger: DataFrame) -> DataFrame:
     return reference_pairs(incoming, ledger).groupBy("user_id", "incoming_id").agg(F.min("ledger_id").alias("ledger_id"))
 
 
-def near_pairs(incoming: DataFrame, ledger: DataFrame, tight_ms: Column | int = TIGHT_MS, wide_ms: int = WIDE_MS) -> DataFrame:
+def near_pairs(incoming: DataFrame, ledger: DataFrame, tight_ms: Column | int = TIGHT_MS, wide_ms: int = WIDE_MS, veto_conflicting_reference: bool = False) -> DataFrame:
     """(user_id, incoming_id, ledger_id, apart_ms) of pairs within the windows that pass as one payment.
 
+    Times and merchants decide, whatever the references; `veto_conflicting_reference` keeps apart payments whose references differ.
+
     A range join made equal: the ledger side is sent to its own time bucket and both neighbours, a bucket being as wide as the window.
     """
     bucket = lambda c: F.floor(F.col(c) / wide_ms).cast("long")
     tight = F.lit(tight_ms) if isinstance(tight_ms, int) else tight_ms
     left = incoming.select(
         F.col("id").alias("incoming_id"), *GROUP, F.col("occurred_at_ms").alias("in_ms"), merchant_identity(F.col("merchant"), 1).alias("in_merchant"),
-        F.col("origin").alias("in_origin"), tight.alias("tight"), bucket("occurred_at_ms").alias("bucket"),
+        F.col("origin").alias("in_origin"), tight.alias("tight"), bucket("occurred_at_ms").alias("bucket"), bare_reference(F.col("reference")).alias("in_ref"),
     )
     right = ledger.select(
         F.col("id").alias("ledger_id"), *GROUP, F.col("occurred_at_ms").alias("led_ms"), merchant_identity(F.coalesce("merchant", "title")).alias("led_merchant"),
         capture_origin(F.col("source"), F.col("raw_sender")).alias("led_origin"), F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: bucket("occurred_at_ms") + d)).alias("bucket"),
+        bare_reference(F.col("reference")).alias("led_ref"),
     )
     same = is_same_payment(F.col("led_ms"), F.col("led_merchant"), F.col("led_origin"), F.col("in_ms"), F.col("in_merchant"), F.col("in_origin"), F.col("tight"), wide_ms)
+    if veto_conflicting_reference:
+        same = same & (F.col("in_ref").isNull() | F.col("led_ref").isNull() | references_match(F.col("in_ref"), F.col("led_ref")))
     return left.join(right, [*GROUP, "bucket"]).filter(same).select("user_id", "incoming_id", "ledger_id", F.abs(F.col("led_ms") - F.col("in_ms")).alias("apart_ms"))
 
 
-def match_near_duplicate(incoming: DataFrame, ledger: DataFrame, tight_ms: Column | int = TIGHT_MS) -> DataFrame:
+def match_near_duplicate(incoming: DataFrame, ledger: DataFrame, tight_ms: Column | int = TIGHT_MS, veto_conflicting_reference: bool = False) -> DataFrame:
     """The nearest ledger row in time that passes, for each incoming row that has one."""
     nearest = F.min(F.struct("apart_ms", "ledger_id")).alias("m")
-    return near_pairs(incoming, ledger, tight_ms).groupBy("user_id", "incoming_id").agg(nearest).select("user_id", "incoming_id", "m.ledger_id", "m.apart_ms")
+    return near_pairs(incoming, ledger, tight_ms, WIDE_MS, veto_conflicting_reference).groupBy("user_id", "incoming_id").agg(nearest).select("user_id", "incoming_id", "m.ledger_id", "m.apart_ms")
 
 
-def find_duplicate(incoming: DataFrame, ledger: DataFrame, tight_ms: Column | int = TIGHT_MS) -> DataFrame:
+def find_duplicate(incoming: DataFrame, ledger: DataFrame, tight_ms: Column | int = TIGHT_MS, veto_conflicting_reference: bool = False) -> DataFrame:
     """(user_id, incoming_id, layer, ledger_id): a reference match outranks a match by time and merchant."""
     by_reference = match_by_reference(incoming, ledger).select("user_id", "incoming_id", F.lit(1).alias("layer"), F.lit(0).cast("long").alias("apart_ms"), "ledger_id")
-    by_time = match_near_duplicate(incoming, ledger, tight_ms).select("user_id", "incoming_id", F.lit(2).alias("layer"), "apart_ms", "ledger_id")
+    by_time = match_near_duplicate(incoming, ledger, tight_ms, veto_conflicting_reference).select("user_id", "incoming_id", F.lit(2).alias("layer"), "apart_ms", "ledger_id")
     best = F.min(F.struct("layer", "apart_ms", "ledger_id")).alias("m")
     return by_reference.unionByName(by_time).groupBy("user_id", "incoming_id").agg(best).select("user_id", "incoming_id", "m.layer", "m.ledger_id")
 
 
-class _Accepted:
+class Accepted:
     """The rows of one group accepted so far, found by reference ends and by time bucket."""
 
     def __init__(self) -> None:
@@ -107,7 +112,7 @@ def collapse_batch(incoming: DataFrame, order: list[Column], tight_ms: Column |
     """(id, user_id, match_id): for each row of a batch, the row accepted before it that is the same payment, or null if it is accepted itself.
 
     Both tests need one amount and direction, so groups are independent. Rows stream through their group in `order`; only short tuples of accepted rows are
-    held, and they are found by reference ends and time buckets, so a large group costs its rows, not their square.
+    held, and they are found by reference ends and time buckets; rows of one group that are all within a day of each other are compared with all accepted ones.
     """
     tight = F.lit(tight_ms) if isinstance(tight_ms, int) else tight_ms
     rows = incoming.select(
@@ -121,7 +126,7 @@ def collapse_batch(incoming: DataFrame, order: list[Column], tight_ms: Column |
             out = []
             for i, user, amount, way, ms, m, origin, ref, tight in zip(*(f[c].tolist() for c in ("id", *GROUP, "ms", "m", "origin", "ref", "tight")), strict=True):
                 if held is None or group != (user, amount, way):
-                    group, held = (user, amount, way), _Accepted()
+                    group, held = (user, amount, way), Accepted()
                 row = (i, ms, m, origin, ref, tight)
                 found = held.match(row)
                 if found is None:
@@ -137,11 +142,11 @@ def statement_supersedes(status: Column, origin: Column, reference: Column) -> C
     return (status == "pending") & (origin != "statement") & reference.isNotNull()
 
 
-def merge_statement(rows: DataFrame, ledger: DataFrame, fmt: str) -> DataFrame:
-    """Each statement row with its `decision` and, for a match, `ledger_id`.
+def merge_statement(rows: DataFrame, ledger: DataFrame, fmt: Column | str) -> DataFrame:
+    """Each statement row with its `decision` and, for a match, `ledger_id`; its file_id stays if it has one.
 
-    `imported`, `replaced` (imported, and ledger_id is deleted), `duplicate` (of the ledger, of an earlier row, or by key). Rows with neither reference, clock
-    nor merchant are judged by their key alone. Both lists come from one plan, so nothing is deleted before its successor is known.
+    `imported`, `replaced` (imported, and ledger_id is deleted), `duplicate` (of the ledger, of an earlier row, or by a key that either holds). Rows with neither
+    reference, clock nor merchant are judged by their key alone. Both lists come from one plan, so nothing is deleted before its successor is known.
     """
     tight = F.when(F.col("has_exact_time"), TIGHT_MS).otherwise(0)
     keyed = rows.withColumn("origin", F.lit("statement")).withColumn(
@@ -153,17 +158,25 @@ def merge_statement(rows: DataFrame, ledger: DataFrame, fmt: str) -> DataFrame:
     judged = keyed.join(found.withColumnRenamed("incoming_id", "id"), ["user_id", "id"], "left").join(held, ["user_id", "ledger_id"], "left")
     replaces = F.coalesce(statement_supersedes(F.col("status"), F.col("led_origin"), F.col("reference")), F.lit(False))
     judged = judged.withColumn("first", F.when(F.col("ledger_id").isNull(), "imported").when(replaces, "replaced").otherwise("duplicate"))
+    if "dedup_key" in ledger.columns:  # a row that is replaced gives its key up
+        keys = ledger.filter(F.col("dedup_key").startswith("stmt|")).groupBy("user_id", "dedup_key").agg(F.min("id").alias("key_id"))
+        judged = judged.join(keys, ["user_id", "dedup_key"], "left")
+        judged = judged.withColumn("first", F.when(F.col("key_id").isNotNull() & ~F.col("key_id").eqNullSafe(F.when(replaces, F.col("ledger_id"))), "duplicate").otherwise(F.col("first")))
     stays = judged.filter("first != 'duplicate'")
     same_key = F.row_number().over(W.partitionBy("user_id", "dedup_key").orderBy("id")) > 1
     stays = stays.withColumn("again", same_key)
     within = collapse_batch(stays.filter("not again"), [F.col("id")], F.when(F.col("has_exact_time"), TIGHT_MS).otherwise(0)).filter("match_id is not null")
     lost = stays.filter("again").select("id", "user_id").unionByName(within.select("id", "user_id")).withColumn("lost", F.lit(True))
     decided = judged.join(lost, ["user_id", "id"], "left")
-    return decided.select("user_id", "id", "dedup_key", "ledger_id", F.when(F.col("lost"), "duplicate").otherwise(F.col("first")).alias("decision"))
+    return decided.select("user_id", *[c for c in ("file_id",) if c in rows.columns], "id", "dedup_key", "ledger_id", F.when(F.col("lost"), "duplicate").otherwise(F.col("first")).alias("decision"))
 
 
-def import_report(decisions: DataFrame) -> DataFrame:
-    """Per user: rows imported, duplicates, and rows of the ledger replaced."""
+def import_report(decisions: DataFrame, unparsed: DataFrame | None = None) -> DataFrame:
+    """Per file (user_id, file_id): rows imported, duplicates, rows of the ledger replaced, and `unparsed`, from (user_id, file_id, skipped)."""
     count = lambda test: F.sum(F.when(test, 1).otherwise(0)).cast("long")
-    what = F.col("decision")
-    return decisions.groupBy("user_id").agg(count(what != "duplicate").alias("imported"), count(what == "duplicate").alias("duplicates"), count(what == "replaced").alias("replaced"))
+    what, key = F.col("decision"), ["user_id", "file_id"]
+    out = decisions.groupBy(*key).agg(count(what != "duplicate").alias("imported"), count(what == "duplicate").alias("duplicates"), count(what == "replaced").alias("replaced"))
+    if unparsed is None:
+        return out.withColumn("unparsed", F.lit(0).cast("long"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return out.join(unparsed.withColumnRenamed("skipped", "unparsed"), key, "full").select(*key, *map(zero, ("imported", "duplicates", "replaced", "unparsed")))

@@ -5,17 +5,16 @@ Times are wall-clock milliseconds; ranges are half-open. `spent` is a debit's am
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.messages import capture_origin
 from ..functions.periods import cycle_start
 from ..functions.text import day_of, ms_of
+from .accounts import txn_with_account
 
 PAGE_ROWS = 50
-#: Money-moved category names kept as a literal set; more are joined.
-MOST_NAMES = 500
 
 
 def in_range(at: Column, start_ms: int | None, end_ms: int | None) -> Column:
@@ -68,17 +67,15 @@ def lent_per_txn(splits: DataFrame) -> DataFrame:
 
 
 def is_moved(ledger: DataFrame, categories: DataFrame) -> DataFrame:
-    """The ledger with `moved`: whether its category only moves money.
+    """The ledger with `moved`: whether its category only moves money, for its user or, where user_id is null, for all.
 
-    Such categories are a handful of names a user ticks. Up to `MOST_NAMES` of them become a literal set, so the ledger isn't shuffled by its few, skewed
-    categories; beyond that they are joined.
+    Names for all users are settings, a literal set beside the ledger, which is not shuffled by its few, skewed categories; users' own are joined by user and name.
     """
-    names = categories.filter("money_moved").select("name").distinct()
-    few = [r["name"] for r in names.limit(MOST_NAMES + 1).collect()]
-    if len(few) <= MOST_NAMES:
-        return ledger.withColumn("moved", F.coalesce(F.col("category").isin(few), F.lit(False)) if few else F.lit(False))
-    joined = ledger.join(names.select(F.col("name").alias("category"), F.lit(True).alias("moved")), "category", "left")
-    return joined.withColumn("moved", F.coalesce("moved", F.lit(False)))
+    names = categories.filter("money_moved").select("user_id", "name").distinct()
+    common = [r["name"] for r in names.filter("user_id is null").select("name").collect()]
+    own = names.filter("user_id is not null").select("user_id", F.col("name").alias("category"), F.lit(True).alias("__own"))
+    hit = F.coalesce(F.col("category").isin(common), F.lit(False)) if common else F.lit(False)
+    return ledger.join(own, ["user_id", "category"], "left").withColumn("moved", hit | F.coalesce("__own", F.lit(False))).drop("__own")
 
 
 def with_lent(ledger: DataFrame, splits: DataFrame, categories: DataFrame) -> DataFrame:
@@ -116,14 +113,14 @@ def by_category(full: DataFrame, start_ms: int | None = None, end_ms: int | None
 
 
 def by_account(full: DataFrame, accounts: DataFrame, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
-    named = _spending(full, start_ms, end_ms).join(accounts.select(F.col("id").alias("account_id"), F.col("name").alias("account_name")), "account_id", "left")
+    named = txn_with_account(_spending(full, start_ms, end_ms), accounts)
     return named.groupBy("user_id", "account_name").agg(F.sum("own_paise").alias("total"))
 
 
 def summary_cube(full: DataFrame, accounts: DataFrame, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
     """The user's totals, categories and accounts in one scan: grouping sets over the confirmed rows. `level` is user, category or account."""
     rows = full.filter((F.col("status") == "confirmed") & in_range(F.col("occurred_at_ms"), start_ms, end_ms))
-    named = rows.join(accounts.select(F.col("id").alias("account_id"), F.col("name").alias("account_name")), "account_id", "left")
+    named = txn_with_account(rows, accounts)
     sets = named.groupingSets([["user_id"], ["user_id", "category"], ["user_id", "account_name"]], "user_id", "category", "account_name")
     out = sets.agg(F.grouping_id().alias("g"), *totals())
     level = F.when(F.col("g") == 3, "user").when(F.col("g") == 1, "category").otherwise("account")
@@ -140,15 +137,21 @@ def summary_by_period(full: DataFrame, cycle_day: int = 1) -> DataFrame:
 
 
 def category_usage(ledger: DataFrame, rules: DataFrame) -> DataFrame:
-    """(category, transactions, rules) by name."""
-    count = lambda df, name: df.groupBy("category").agg(F.count("*").alias(name))
-    both = count(ledger, "transactions").join(count(rules, "rules"), "category", "full")
-    return both.select("category", F.coalesce("transactions", F.lit(0)).alias("transactions"), F.coalesce("rules", F.lit(0)).alias("rules"))
+    """(user_id, category, transactions, rules); rules for all users stand under a null user_id."""
+    count = lambda df, name: df.groupBy("user_id", "category").agg(F.count("*").alias(name))
+    a, b = count(ledger, "transactions").alias("a"), count(rules, "rules").alias("b")
+    both = a.join(b, F.col("a.user_id").eqNullSafe(F.col("b.user_id")) & F.col("a.category").eqNullSafe(F.col("b.category")), "full")
+    there = F.col("transactions").isNotNull()
+    own = lambda c: F.when(there, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c)
+    return both.select(own("user_id"), own("category"), F.coalesce("transactions", F.lit(0)).alias("transactions"), F.coalesce("rules", F.lit(0)).alias("rules"))
 
 
 def deletable_categories(categories: DataFrame, ledger: DataFrame, rules: DataFrame) -> DataFrame:
-    used = ledger.select("category").union(rules.select("category")).distinct().withColumnRenamed("category", "name")
-    return categories.join(used, "name", "left_anti")
+    """The categories that nothing uses: a user's own by that user or a rule for all, one of all users by anybody."""
+    used = ledger.select("user_id", "category").union(rules.select("user_id", "category")).distinct().withColumnRenamed("category", "name")
+    anybody = used.select("name").distinct()
+    own = categories.filter("user_id is not null").join(used, ["user_id", "name"], "left_anti").join(used.filter("user_id is null").select("name"), "name", "left_anti")
+    return categories.filter("user_id is null").join(anybody, "name", "left_anti").select(*categories.columns).unionByName(own.select(*categories.columns))
 
 
 def upsert(ledger: DataFrame, inserts: DataFrame, updates: DataFrame | None = None, deletes: DataFrame | None = None) -> DataFrame:
@@ -167,10 +170,19 @@ def upsert(ledger: DataFrame, inserts: DataFrame, updates: DataFrame | None = No
     return held.unionByName(fresh.withColumn("__n", first).filter("__n = 1").drop("__n"), allowMissingColumns=True)
 
 
-def write_ledger(ledger: DataFrame, path: str) -> None:
-    """A new version by user bucket and month; only the partitions that it holds are overwritten."""
+def write_ledger(ledger: DataFrame, path: str, version: int) -> None:
+    """The ledger as a version of its own, by user bucket and month; writing a version again replaces it, and no other version is touched."""
     placed = ledger.withColumn("user_bucket", F.pmod(F.xxhash64("user_id"), F.lit(64)).cast("int")).withColumn("month", F.date_format(day_of(F.col("occurred_at_ms")), "yyyy-MM"))
-    placed.repartition("user_bucket", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("user_bucket", "month").parquet(path)
+    placed.repartition("user_bucket", "month").write.mode("overwrite").partitionBy("user_bucket", "month").parquet(f"{path}/version={version}")
+
+
+def read_ledger(spark: SparkSession, path: str, version: int) -> DataFrame:
+    return spark.read.parquet(f"{path}/version={version}").drop("user_bucket", "month")
+
+
+def new_id(*key: str) -> Column:
+    """An id for a row that has none, from its key: the same whenever it is made."""
+    return F.shiftrightunsigned(F.xxhash64(*key), 1)
 
 
 def origin(ledger: DataFrame) -> Column:

@@ -8,77 +8,27 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from ..functions.text import blank_to_null
+from .categories import INCOME, INCOME_ONLY
 
-#: More rules than this for all users don't fit a literal; they must be given per user.
-MOST_SHARED = 500
-
-#: A starter list, tried in this order. A household brings its own as the `keywords` parameter.
-KEYWORDS: dict[str, list[str]] = {
-    "Food & Dining": "swiggy zomato dominos pizza mcdonald kfc burger starbucks cafe coffee restaurant dhaba biryani bakery sweets juice".split(),
-    "Groceries": ["blinkit", "zepto", "bigbasket", "dmart", "instamart", "kirana", "supermarket", "jiomart", "milk", "dairy", "vegetable"],
-    "Fuel": ["petrol", "diesel", "fuel", "hpcl", "iocl", "bpcl", "shell", "indian oil"],
-    "Transport": ["uber", "ola", "rapido", "metro", "parking", "toll", "fastag", "auto", "cab"],
-    "Travel": ["irctc", "redbus", "indigo", "air india", "vistara", "makemytrip", "goibibo", "oyo", "airbnb", "booking.com", "railway"],
-    "Clothing": ["myntra", "ajio", "zudio", "westside", "pantaloons", "h&m", "zara", "uniqlo"],
-    "Electronics": ["croma", "reliance digital", "vijay sales", "oneplus", "samsung"],
-    "Shopping": ["amazon", "flipkart", "meesho", "nykaa", "decathlon", "ikea"],
-    "Mobile & Internet": ["airtel", "jio", "vodafone", "bsnl", "broadband", "recharge", "postpaid", "prepaid"],
-    "Bills & Utilities": ["electricity", "tata power", "gas bill", "water bill", "municipal", "dth", "bill payment", "bbps"],
-    "Rent": ["rent", "nobroker", "landlord", "lease"],
-    "Household": ["maintenance", "society", "plumber", "electrician", "repair", "laundry"],
-    "Domestic Help": ["maid", "cook", "househelp", "nanny"],
-    "Fitness": ["cult", "gym", "fitness", "yoga"],
-    "Personal Care": ["salon", "barber", "spa", "lakme"],
-    "Health": ["pharmeasy", "apollo", "1mg", "hospital", "clinic", "pharmacy", "medical"],
-    "Education": ["udemy", "coursera", "school fee", "college", "university", "tuition"],
-    "Kids & Family": ["firstcry", "toys", "daycare", "baby"],
-    "Pets": ["pet", "vet", "dog food"],
-    "Subscriptions": ["netflix", "prime video", "hotstar", "spotify", "youtube premium", "icloud"],
-    "Entertainment": ["bookmyshow", "pvr", "inox", "cinema", "movie", "gaming"],
-    "Insurance": ["insurance", "lic ", "policybazaar", "term plan"],
-    "Loan & EMI": ["emi", "loan", "bajaj finserv", "installment"],
-    "Credit Card Payment": ["credit card payment", "card payment", "cred"],
-    "Taxes & Fees": ["income tax", "gst", "tds", "challan"],
-    "Bank Charges": ["service charge", "annual fee", "late fee", "penalty"],
-    "Gifts & Donations": ["donation", "temple", "charity", "gift"],
-    "Cash Withdrawal": ["atm", "cash withdrawal", "cash wdl"],
-    "Investments": ["zerodha", "groww", "mutual fund", "sip", "nps", "ppf"],
-    "Salary": ["salary", "payroll", "stipend", "wages"],
-    "Freelance": ["freelance", "consulting", "upwork"],
-    "Interest & Dividends": ["interest", "int cr", "dividend"],
-    "Refunds & Cashback": ["refund", "reversal", "reversed", "cashback", "chargeback"],
-    "Rent Received": ["rent received", "rent credit", "tenant"],
-    "Transfers": ["self transfer", "own account", "imps", "neft", "rtgs"],
-}
-#: Names of incoming money; the last two go out as well.
-INCOME_ONLY = ["Salary", "Freelance", "Business", "Interest & Dividends", "Refunds & Cashback", "Rent Received", "Gifts Received", "Other Income"]
-INCOME = [*INCOME_ONLY, "Investments", "Transfers"]
-
-
-@F.pandas_udf(BooleanType())
-def is_regex(patterns: pd.Series) -> pd.Series:
-    """Whether a pattern compiles; the rule table is small, and a pattern that doesn't would stop the job."""
-
-    def good(p: str | None) -> bool:
-        try:
-            re.compile(p or "")
-        except re.error:
-            return False
-        return "(?P" not in (p or "")
-
-    return patterns.map(good)
+#: Rules for all users in one literal array.
+SHARED_CHUNK = 200
+
+Keywords = dict[str, list[str]]
+
+
+def is_regex(pattern: Column) -> Column:
+    """Whether the JVM's own compiler takes the pattern: one that it refuses would stop the job of every user."""
+    return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.concat(F.lit("(?i)"), pattern)).isNotNull()
 
 
 def usable_rules(rules: DataFrame) -> DataFrame:
     """Enabled rules with a pattern, valid if it is a regular expression."""
     on = F.col("enabled") & (F.coalesce("pattern", F.lit("")) != "")
-    return rules.filter(on).withColumn("__ok", (F.col("match_type") != "regex") | is_regex("pattern")).filter("__ok").drop("__ok")
+    return rules.filter(on & ((F.col("match_type") != "regex") | is_regex(F.col("pattern"))))
 
 
 def order_key() -> list[Column]:
@@ -129,37 +79,63 @@ def subject_of(txn: DataFrame, raw: str = "raw_body") -> dict[str, Column]:
     return {"title": col("title"), "merchant": col("merchant"), "note": col("note"), "raw_text": col(raw), "direction": F.col("direction"), "amount_paise": F.col("amount_paise")}
 
 
-def with_rule(txn: DataFrame, rules: DataFrame, raw: str = "raw_body") -> DataFrame:
-    """The rows with rule_id and rule_category, null where no rule applies. Users' own rules and rules for all are ordered together."""
-    shared = rules.filter("user_id is null")
-    few = usable_rules(shared).limit(MOST_SHARED + 1).collect()  # the bound is checked
-    if len(few) > MOST_SHARED:
-        raise ValueError(f"more than {MOST_SHARED} rules for all users; give them per user")
-    order = lambda r: (r["priority"], 0 if r["origin"] == "manual" else 1, -r["hits"], r["id"])
+def _with_arrays(txn: DataFrame, rules: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """The rows, and their rules as ordered arrays.
+
+    A user's own rules reach the row by an equi-join. Rules for all users are settings, few and the same for every row: literal arrays of `SHARED_CHUNK` each.
+    """
+    few = sorted(usable_rules(rules.filter("user_id is null")).collect(), key=lambda r: (r["priority"], 0 if r["origin"] == "manual" else 1, -r["hits"], r["id"]))
     kinds = ("int", "int", "long", "long", "long", "string", "string", "string", "string", "string", "long", "long")
     names = ("o1", "o2", "o3", "o4", *RULE_FIELDS)
-    typed = lambda r: F.struct(*[F.lit(v).cast(k).alias(n) for v, k, n in zip((*order(r), *[r[f] for f in RULE_FIELDS]), kinds, names, strict=True)])
     kind = "array<struct<" + ",".join(f"{n}:{k.replace('long', 'bigint')}" for n, k in zip(names, kinds, strict=True)) + ">>"
-    common = F.array(*[typed(r) for r in sorted(few, key=order)]).cast(kind) if few else F.array().cast(kind)
-    own = rule_arrays(rules.filter("user_id is not null"), ["user_id"])
-    joined = txn.join(own, "user_id", "left")
-    every = F.when(F.col("rules").isNull(), common).otherwise(F.array_sort(F.concat(common, F.col("rules").cast(kind))))
+
+    def typed(r) -> Column:
+        values = (r["priority"], 0 if r["origin"] == "manual" else 1, -r["hits"], r["id"], *[r[f] for f in RULE_FIELDS])
+        return F.struct(*[F.lit(v).cast(k).alias(n) for v, k, n in zip(values, kinds, names, strict=True)])
+
+    own = rule_arrays(rules.filter("user_id is not null"), ["user_id"]).select("user_id", F.col("rules").cast(kind).alias("rules"))
+    return txn.join(own, "user_id", "left"), [F.col("rules"), *[F.array(*map(typed, few[i : i + SHARED_CHUNK])).cast(kind) for i in range(0, len(few), SHARED_CHUNK)]]
+
+
+def with_matches(txn: DataFrame, rules: DataFrame, raw: str = "raw_body") -> DataFrame:
+    """The rows with `matched`, the ids of all rules that match, in order within the user's own rules and those for all."""
+    joined, arrays = _with_arrays(txn, rules)
+    subject = subject_of(txn, raw)
+    ids = [F.coalesce(F.transform(F.filter(a, lambda r: rule_matches(r, subject)), lambda r: r["id"]), F.array().cast("array<bigint>")) for a in arrays]
+    return joined.withColumn("matched", F.concat(*ids)).drop("rules")
+
+
+def with_rule(txn: DataFrame, rules: DataFrame, raw: str = "raw_body") -> DataFrame:
+    """The rows with rule_id and rule_category, null where no rule applies. Users' own rules and rules for all are ordered together."""
+    out, arrays = _with_arrays(txn, rules)
     subject = subject_of(txn, raw)
-    hit = joined.withColumn("rules", every).withColumn("hit", F.get(F.filter("rules", lambda r: rule_matches(r, subject)), F.lit(0)))
-    return hit.withColumn("rule_id", F.col("hit.id")).withColumn("rule_category", F.col("hit.category")).drop("rules", "hit")
+    hits = [F.get(F.filter(a, lambda r: rule_matches(r, subject)), F.lit(0)) for a in arrays]
+    out = out.withColumn("__hits", F.array(hits[0]))
+    for hit in hits[1:]:
+        out = out.withColumn("__hits", F.array_append("__hits", hit))
+    out = out.withColumn("hit", F.array_min("__hits"))  # the order's fields come first
+    return out.withColumn("rule_id", F.col("hit.id")).withColumn("rule_category", F.col("hit.category")).drop("rules", "hit", "__hits")
+
+
+def keywords_of(table: DataFrame) -> Keywords:
+    """The keyword lists of a table (category, keyword, place): categories by their first place. The table is a setting, read once."""
+    out: Keywords = {}
+    for r in table.orderBy("place").collect():
+        out.setdefault(r["category"], []).append(r["keyword"])
+    return out
 
 
-def keyword_category(haystack: Column, direction: Column, keywords: dict[str, list[str]] | None = None) -> Column:
-    """The first category with a keyword in the text, of those that fit the direction; else the direction's default."""
+def keyword_category(haystack: Column, direction: Column, keywords: Keywords) -> Column:
+    """The first category with a keyword in the text, of those that fit the direction; else the direction's default. The lists are the household's."""
     chosen = F.lit(None).cast("string")
-    for category, names in reversed(list((keywords or KEYWORDS).items())):
+    for category, names in reversed(list(keywords.items())):
         pattern = "|".join(re.sub(r"([.^$*+?{}\[\]\\|()&])", r"\\\1", n) for n in names)
         fits = direction == "credit" if category in INCOME_ONLY else F.lit(True) if category in INCOME else direction == "debit"
         chosen = F.when(fits & haystack.rlike(pattern), category).otherwise(chosen)
     return F.coalesce(chosen, F.when(direction == "credit", "Other Income").otherwise("Other"))
 
 
-def suggest_category(txn: DataFrame, rules: DataFrame, raw: str = "raw_body", keywords: dict[str, list[str]] | None = None) -> DataFrame:
+def suggest_category(txn: DataFrame, rules: DataFrame, keywords: Keywords, raw: str = "raw_body") -> DataFrame:
     """The rows with `suggested`: by rules, then keywords in merchant and raw text, then the default."""
     text = F.lower(F.concat(F.coalesce("merchant", F.lit("")), F.lit(" "), F.coalesce(raw, F.lit(""))))
     return with_rule(txn, rules, raw).withColumn("suggested", F.coalesce("rule_category", keyword_category(text, F.col("direction"), keywords)))

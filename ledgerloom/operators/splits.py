@@ -63,9 +63,10 @@ def settle_up(splits: DataFrame, people: DataFrame) -> DataFrame:
 
 
 def split_with_person(splits: DataFrame, people: DataFrame) -> DataFrame:
-    return splits.join(people.select(F.col("id").alias("person_id"), F.col("name").alias("person_name")), "person_id")
+    return splits.join(people.select("user_id", F.col("id").alias("person_id"), F.col("name").alias("person_name")), ["user_id", "person_id"])
 
 
 def deletable_people(people: DataFrame, splits: DataFrame) -> DataFrame:
-    open_ = splits.filter(~F.col("settled")).select(F.col("person_id").alias("id")).distinct()
-    return people.join(open_, "id", "left_anti")
+    """The people with whom their user has nothing unsettled."""
+    open_ = splits.filter(~F.col("settled")).select("user_id", F.col("person_id").alias("id")).distinct()
+    return people.join(open_, ["user_id", "id"], "left_anti")

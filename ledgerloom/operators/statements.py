@@ -11,54 +11,71 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.statements import COLUMN_SYNONYMS, narration_merchant, narration_reference, normal_header, parse_table_date, row_direction_amount
-from ..functions.text import NOON_MS, blank_to_null, first_group, let, ms_of, paise, squeezed, title_case
+from ..functions.text import NOON_MS, blank_to_null, first_group, first_present, let, ms_of, paise, squeezed, title_case
 
 HEADER_ROWS = 80
+LONG_NUMBER = r"\b(\d{9,20})\b"
 ROLES = list(COLUMN_SYNONYMS)
 
 
-def detect_header(cells: DataFrame) -> DataFrame:
-    """(file_id, header_row, and a column number or null per role): the richest of the first rows that has a date and an amount, the first of equals.
+def _roles(heads: Column) -> Column:
+    """struct of a column number or null per role, for headings as an array of (col, head). An exact heading beats one that only holds a synonym, an earlier synonym a later one."""
+
+    def told(names: list[str]) -> Column:
+        synonyms = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("s")) for i, s in enumerate(names)])
+        hits = lambda h: F.transform(F.filter(synonyms, lambda x: h["head"].contains(x["s"])), lambda x: F.struct((h["head"] != x["s"]).alias("partial"), x["i"].alias("i"), h["col"].alias("col")))
+        return F.array_min(F.flatten(F.transform(heads, hits)))["col"]
+
+    return F.struct(*[told(names).alias(role) for role, names in COLUMN_SYNONYMS.items()])
+
 
-    For each role an exact heading beats one that only holds it, and an earlier synonym a later one. The synonyms are a literal, so this is one narrow pass and two
-    small aggregations of at most `HEADER_ROWS` rows a file.
+def _headed(cells: DataFrame) -> DataFrame:
+    """(file_id, row_idx, row, header): a grid row's cells in order, and the file's header_row and roles, null if it has none.
+
+    The header is the richest of the first `HEADER_ROWS` rows that has a date and an amount, the first of equals. One exchange, by file.
     """
-    synonyms = F.array(*[F.struct(F.lit(role).alias("role"), F.lit(i).alias("i"), F.lit(s).alias("s")) for role, names in COLUMN_SYNONYMS.items() for i, s in enumerate(names)])
-    heads = cells.filter(F.col("row_idx") < HEADER_ROWS).select("file_id", "row_idx", "col_idx", normal_header(F.col("cell")).alias("head"))
-    hits = heads.withColumn("hit", F.explode(F.filter(synonyms, lambda x: F.col("head").contains(x["s"]))))
-    rank = F.struct((F.col("head") != F.col("hit.s")).alias("partial"), F.col("hit.i").alias("i"), F.col("col_idx").alias("col"))
-    found = hits.groupBy("file_id", "row_idx").agg(*[F.min(F.when(F.col("hit.role") == r, rank))["col"].alias(r) for r in ROLES])
-    differs = lambda c, *others: F.when(~F.coalesce(*[F.when(F.col(c) == F.col(o), True) for o in others], F.lit(False)), F.col(c))
-    told = found.withColumn("debit", differs("debit", "indicator")).withColumn("credit", differs("credit", "indicator"))
-    told = told.withColumn("amount", differs("amount", "debit", "credit"))
-    usable = told.filter(F.col("date").isNotNull() & F.coalesce("debit", "credit", "amount").isNotNull())
+    rows = cells.repartition("file_id").groupBy("file_id", "row_idx").agg(F.array_sort(F.collect_list(F.struct("col_idx", "cell"))).alias("row"))
+    heads = F.when(F.col("row_idx") < HEADER_ROWS, F.transform("row", lambda c: F.struct(c["col_idx"].alias("col"), normal_header(c["cell"]).alias("head"))))
+    found = rows.withColumn("heads", heads).withColumn("r", _roles(F.col("heads")))
+    apart = lambda c, *others: F.when(~F.coalesce(*[F.when(F.col(c) == F.col(o), True) for o in others], F.lit(False)), F.col(c))
+    told = found.select("file_id", "row_idx", "row", "r.*").withColumn("debit", apart("debit", "indicator")).withColumn("credit", apart("credit", "indicator"))
+    told = told.withColumn("amount", apart("amount", "debit", "credit"))
+    usable = F.col("date").isNotNull() & F.coalesce("debit", "credit", "amount").isNotNull()
     score = sum((F.col(r).isNotNull().cast("int") for r in ROLES), F.lit(0))
-    best = usable.groupBy("file_id").agg(F.max_by(F.struct("row_idx", *ROLES), F.struct(score, -F.col("row_idx"))).alias("b"))
-    return best.select("file_id", F.col("b.row_idx").alias("header_row"), *[F.col(f"b.{r}").alias(r) for r in ROLES])
+    best = F.max_by(F.struct(F.col("row_idx").alias("header_row"), *ROLES), F.when(usable, F.struct(score, -F.col("row_idx")))).over(W.partitionBy("file_id"))
+    return told.select("file_id", "row_idx", "row", best.alias("header"))
+
+
+def detect_header(cells: DataFrame) -> DataFrame:
+    """(file_id, header_row, and a column number or null per role) of the files that have a header."""
+    return _headed(cells).filter(F.col("row_idx") == F.col("header.header_row")).select("file_id", "header.*")
 
 
 def account_hint(cells: DataFrame, headers: DataFrame) -> DataFrame:
     """(file_id, account_mask): the last four of the first long digit run above the header."""
-    run = first_group(F.regexp_replace("cell", r"\s", ""), r"\b(\d{9,20})\b")
+    run = first_group(F.regexp_replace("cell", r"\s", ""), LONG_NUMBER)
     above = cells.join(headers.select("file_id", "header_row"), "file_id").filter("row_idx < header_row").withColumn("run", run).filter("run is not null")
     return above.groupBy("file_id").agg(F.right(F.min_by("run", F.struct("row_idx", "col_idx")), F.lit(4)).alias("account_mask"))
 
 
 def table_rows(cells: DataFrame) -> DataFrame:
-    """Every grid row below its file's header, read; `ok` tells transactions from what is skipped."""
-    headers = detect_header(cells)
-    body = cells.join(headers, "file_id").filter("row_idx > header_row")
-    at = lambda role: F.max(F.when(F.col("col_idx") == F.col(role), F.trim("cell"))).alias(f"c_{role}")
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "cell"))), lambda x: F.trim(x["cell"])), " ")
-    rows = body.groupBy("file_id", "row_idx").agg(*map(at, ROLES), whole.alias("whole")).join(account_hint(cells, headers), "file_id", "left")
+    """Every grid row below its file's header, or of a file without one, read; `ok` tells transactions from what is skipped. One exchange, by file."""
+    number = lambda c: first_group(F.regexp_replace(c["cell"], r"\s", ""), LONG_NUMBER)
+    above = F.when(F.col("row_idx") < F.col("header.header_row"), first_present(F.transform("row", number)))
+    headed = _headed(cells).withColumn("run", above)
+    hint = F.min_by("run", F.when(F.col("run").isNotNull(), F.col("row_idx"))).over(W.partitionBy("file_id"))
+    body = headed.withColumn("account_mask", F.right(hint, F.lit(4))).filter("header is null or row_idx > header.header_row")
+    at = lambda role: F.get(F.filter("row", lambda c: c["col_idx"] == F.col(f"header.{role}")), F.lit(0))["cell"]
+    rows = body.select("file_id", "row_idx", "row", "account_mask", *[F.trim(at(role)).alias(f"c_{role}") for role in ROLES])
     rows = rows.withColumn("occurred_at_ms", parse_table_date(F.col("c_date")))
     rows = rows.withColumn("moved", row_direction_amount(F.col("c_debit"), F.col("c_credit"), F.col("c_amount"), F.col("c_indicator")))
     narration = F.coalesce("c_description", F.lit(""))
     reference = F.coalesce(narration_reference(narration), F.when(F.col("c_reference").rlike("^[A-Za-z0-9]{6,}$"), F.col("c_reference")))
+    whole = F.array_join(F.transform("row", lambda c: F.trim(c["cell"])), " ")
     return rows.select(
         "file_id", "row_idx", (F.col("occurred_at_ms").isNotNull() & F.col("moved").isNotNull()).alias("ok"), F.col("moved.amount_paise").alias("amount_paise"),
         F.col("moved.direction").alias("direction"), narration_merchant(narration).alias("merchant"), "occurred_at_ms", F.lit(False).alias("has_exact_time"), "account_mask",
-        reference.alias("reference"), F.coalesce(blank_to_null(narration), "whole").alias("raw_line"),
+        reference.alias("reference"), F.coalesce(blank_to_null(narration), whole).alias("raw_line"),
     )
 
 
@@ -68,10 +85,7 @@ def parse_table_statement(cells: DataFrame) -> DataFrame:
 
 def skipped_rows(cells: DataFrame) -> DataFrame:
     """(file_id, skipped): rows that are no transactions; a file without a header skips all its rows."""
-    judged = table_rows(cells).select("file_id", "row_idx", "ok")
-    every = cells.select("file_id", "row_idx").distinct().join(detect_header(cells).select("file_id", "header_row"), "file_id", "left")
-    below = every.filter("header_row is null or row_idx > header_row").join(judged, ["file_id", "row_idx"], "left")
-    return below.groupBy("file_id").agg(F.sum(F.when(F.coalesce("ok", F.lit(False)), 0).otherwise(1)).alias("skipped"))
+    return table_rows(cells).groupBy("file_id").agg(F.sum(F.when(F.col("ok"), 0).otherwise(1)).cast("long").alias("skipped"))
 
 
 # The line forms of wallet statements.

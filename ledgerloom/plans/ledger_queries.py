@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,15 +11,16 @@ from ..functions import matching, messages, periods
 from ..functions.text import day_of, ms_of
 from ..operators import accounts as ac
 from ..operators import categories as cat
-from ..operators import dedup, ledger, rules
+from ..operators import dedup, flows, ledger, rules
 from ..operators import splits as sp
 from ..sources import captures as cap
 from ..sources import snapshots as snap
+from ..sources.shared import shared_path
 from ..streaming import ingest
 from . import views as v
 from .message_queries import PARSED, PREFILTERED
 from .registry import query
-from .statement_queries import STMT_KEY
+from .statement_queries import STMT_KEY, statement_files
 from .views import sql
 
 # --- matching
@@ -30,17 +30,51 @@ REFS = lambda a, b: f"coalesce(starts_with({a}, {b}) OR ends_with({a}, {b}) OR s
 IDENT = lambda c, n=3: f"(CASE WHEN length(regexp_replace(lower({c}), '[^a-z0-9]', '', 'g')) >= {n} THEN regexp_replace(lower({c}), '[^a-z0-9]', '', 'g') END)"
 SHOPS = lambda a, b: f"coalesce({a} = {b} OR (least(length({a}), length({b})) >= 4 AND (contains({a}, {b}) OR contains({b}, {a}))), FALSE)"
 
+ON = "i.user_id = l.user_id AND i.amount_paise = l.amount_paise AND i.direction = l.direction"
+
+
+def led_sql(name: str, source: str) -> str:
+    """Ledger rows as they are matched, of parsed messages."""
+    return f"""{name} AS MATERIALIZED (SELECT id, user_id, amount_paise, direction, occurred_at_ms, {IDENT("merchant")} AS m, source AS o, {BARE("reference")} AS r,
+  CASE WHEN id % 4 = 0 THEN 'confirmed' ELSE 'pending' END AS status, dedup_key FROM {source})"""
+
+
+def new_sql(name: str, source: str) -> str:
+    """Incoming rows as they are matched, of parsed messages."""
+    return f"{name} AS MATERIALIZED (SELECT id, user_id, amount_paise, direction, occurred_at_ms, posted_at_ms, {IDENT('merchant', 1)} AS m, source AS o, {BARE('reference')} AS r, dedup_key FROM {source})"
+
+
+def same_sql(a: str, b: str, tight: int, at: str = "occurred_at_ms") -> str:
+    apart = f"abs({a}.{at} - {b}.{at})"
+    return f"(CASE WHEN {apart} <= {tight} THEN {a}.m IS NULL OR {b}.m IS NULL OR {SHOPS(f'{a}.m', f'{b}.m')} ELSE {a}.o <> {b}.o AND {apart} <= 43200000 AND {SHOPS(f'{a}.m', f'{b}.m')} END)"
+
+
+def by_ref(name: str, inc: str, led: str) -> str:
+    return f"{name} AS (SELECT i.user_id, i.id AS incoming_id, min(l.id) AS ledger_id FROM {inc} i JOIN {led} l ON {ON} AND {REFS('i.r', 'l.r')} GROUP BY 1, 2)"
+
+
+def by_time(name: str, inc: str, led: str, tight: int) -> str:
+    return f"""{name} AS (SELECT i.user_id, i.id AS incoming_id, first(l.id ORDER BY abs(i.occurred_at_ms - l.occurred_at_ms), l.id) AS ledger_id,
+  min(abs(i.occurred_at_ms - l.occurred_at_ms)) AS apart_ms FROM {inc} i JOIN {led} l ON {ON} AND {same_sql('i', 'l', tight)} GROUP BY 1, 2)"""
+
+
+def walk_sql(name: str, source: str, order: str, tight: int) -> tuple[str, str]:
+    """The greedy pass over (user, amount, direction) groups, as a recursion that takes the next row of every group: (id, user_id, match_id)."""
+    row = "{'id': s.id, 'ms': s.occurred_at_ms, 'm': s.m, 'o': s.o, 'r': s.r}"
+    near = same_sql("s", "x", tight).replace("x.occurred_at_ms", "x.ms")
+    found = f"""coalesce(list_min(list_transform(list_filter(w.held, lambda x: {REFS('s.r', 'x.r')}), lambda x: x.id)),
+      list_sort(list_transform(list_filter(w.held, lambda x: coalesce({near}, FALSE)), lambda x: {{'apart': abs(x.ms - s.occurred_at_ms), 'id': x.id}}))[1].id)"""
+    seq = f"{name}_seq AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id, amount_paise, direction ORDER BY {order}) AS seq FROM {source})"
+    walk = f"""{name} AS (SELECT s.user_id, s.amount_paise, s.direction, s.seq, s.id, CAST(NULL AS BIGINT) AS match_id, [{row}] AS held FROM {name}_seq s WHERE s.seq = 1
+  UNION ALL SELECT s.user_id, s.amount_paise, s.direction, s.seq, s.id, s.f, CASE WHEN s.f IS NULL THEN list_append(s.held, {row}) ELSE s.held END
+  FROM (SELECT s.*, w.held, {found} AS f FROM {name} w JOIN {name}_seq s ON s.user_id = w.user_id AND s.amount_paise = w.amount_paise AND s.direction = w.direction AND s.seq = w.seq + 1) s)"""
+    return seq, walk
+
+
 #: The parsed messages stand for the ledger, the statement rows for what comes in.
-LED = f"""led AS (SELECT id, user_id, amount_paise, direction, occurred_at_ms, {IDENT("merchant")} AS m, source AS o, {BARE("reference")} AS r,
-  CASE WHEN id % 4 = 0 THEN 'confirmed' ELSE 'pending' END AS status, dedup_key FROM parsed)"""
-INC = f"""inc AS (SELECT id, user_id, amount_paise, direction, occurred_at_ms, {IDENT("merchant", 1)} AS m, 'statement' AS o, {BARE("reference")} AS r, reference,
+INC = f"""inc AS MATERIALIZED (SELECT id, user_id, file_id, amount_paise, direction, occurred_at_ms, {IDENT("merchant", 1)} AS m, 'statement' AS o, {BARE("reference")} AS r, reference,
   {STMT_KEY} AS dedup_key FROM statement_rows)"""
-ON = "i.user_id = l.user_id AND i.amount_paise = l.amount_paise AND i.direction = l.direction"
-SAME = f"(CASE WHEN abs(i.occurred_at_ms - l.occurred_at_ms) <= 0 THEN i.m IS NULL OR l.m IS NULL OR {SHOPS('i.m', 'l.m')} ELSE i.o <> l.o AND abs(i.occurred_at_ms - l.occurred_at_ms) <= 43200000 AND {SHOPS('i.m', 'l.m')} END)"
-BY_REF = f"by_ref AS (SELECT i.user_id, i.id AS incoming_id, min(l.id) AS ledger_id FROM inc i JOIN led l ON {ON} AND {REFS('i.r', 'l.r')} GROUP BY 1, 2)"
-BY_TIME = f"""by_time AS (SELECT i.user_id, i.id AS incoming_id, first(l.id ORDER BY abs(i.occurred_at_ms - l.occurred_at_ms), l.id) AS ledger_id,
-  min(abs(i.occurred_at_ms - l.occurred_at_ms)) AS apart_ms FROM inc i JOIN led l ON {ON} AND {SAME} GROUP BY 1, 2)"""
-BASE = (PARSED, LED, INC, BY_REF, BY_TIME)
+BASE = (PARSED, led_sql("led", "parsed"), INC, by_ref("by_ref", "inc", "led"), by_time("by_time", "inc", "led", 0))
 
 
 def led(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +130,10 @@ def find_duplicate(spark, sf_dir):
     return dedup.find_duplicate(inc(spark, sf_dir), led(spark, sf_dir), 0)
 
 
-@query("collapse_batch")
+NEWEST = "posted_at_ms DESC, id DESC"
+
+
+@query("collapse_batch", sql("SELECT id, user_id, match_id FROM walk", PARSED, new_sql("came", "parsed"), *walk_sql("walk", "came", NEWEST, 600000)))
 def collapse_batch(spark, sf_dir):
     rows = led(spark, sf_dir).withColumn("origin", F.col("source"))
     return dedup.collapse_batch(rows, [F.desc("posted_at_ms"), F.desc("id")])
@@ -114,12 +151,25 @@ def statement_supersedes(spark, sf_dir):
     return both.select("id", dedup.statement_supersedes(F.col("status"), messages.capture_origin(F.col("source"), F.col("raw_sender")), F.col("reference")).alias("replaces"))
 
 
-@query("merge_statement")
+JUDGED = f"""judged AS MATERIALIZED (SELECT i.*, f.ledger_id, CASE WHEN f.ledger_id IS NULL THEN 'imported' WHEN l.status = 'pending' AND i.reference IS NOT NULL THEN 'replaced' ELSE 'duplicate' END AS first
+  FROM inc i LEFT JOIN found f ON f.user_id = i.user_id AND f.incoming_id = i.id LEFT JOIN led l ON l.user_id = f.user_id AND l.id = f.ledger_id)"""
+STAYS = "stays AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id, dedup_key ORDER BY id) > 1 AS again FROM judged WHERE first <> 'duplicate')"
+ALONE = "alone AS MATERIALIZED (SELECT * FROM stays WHERE NOT again)"
+DECIDED = """decided AS (SELECT j.user_id, j.file_id, j.id, j.dedup_key, j.ledger_id, CASE WHEN s.again OR w.match_id IS NOT NULL THEN 'duplicate' ELSE j.first END AS decision
+  FROM judged j LEFT JOIN stays s ON s.user_id = j.user_id AND s.id = j.id LEFT JOIN within_file w ON w.user_id = j.user_id AND w.id = j.id)"""
+MERGE = (*BASE, FOUND, JUDGED, STAYS, ALONE, *walk_sql("within_file", "alone", "id", 0), DECIDED)
+
+
+@query("merge_statement", sql("SELECT * FROM decided", *MERGE))
 def merge_statement(spark, sf_dir):
     return dedup.merge_statement(v.statement_rows(spark, sf_dir), led(spark, sf_dir), "table")
 
 
-@query("import_report")
+@query(
+    "import_report",
+    sql("""SELECT user_id, file_id, count(*) FILTER (WHERE decision <> 'duplicate') AS imported, count(*) FILTER (WHERE decision = 'duplicate') AS duplicates,
+  count(*) FILTER (WHERE decision = 'replaced') AS replaced, CAST(0 AS BIGINT) AS unparsed FROM decided GROUP BY 1, 2""", *MERGE),
+)
 def import_report(spark, sf_dir):
     return dedup.import_report(merge_statement(spark, sf_dir))
 
@@ -163,8 +213,8 @@ def resolve_account_mask(spark, sf_dir):
     return ac.resolve_account_mask(v.statement_rows(spark, sf_dir), v.accounts(spark, sf_dir)).select("id", "account_id", "new_name", "new_kind")
 
 
-SELF = """quoted AS (SELECT id, user_id, posted_at_ms, last4, unnest(list_distinct([last4, CAST(1000 + (user_id + 50 * (id // 2 % 2)) % 97 AS VARCHAR)])) AS n FROM parsed WHERE last4 IS NOT NULL),
-own AS (SELECT user_id, last4, NULL AS at, NULL AS id FROM accounts WHERE NOT archived UNION ALL SELECT user_id, last4, posted_at_ms, id FROM parsed WHERE last4 IS NOT NULL)"""
+SELF = """quoted AS (SELECT id, user_id, posted_at_ms, last4, unnest(list_distinct([last4, CAST(1000 + (10 * user_id + (id // 2 + 1) % 12) % 97 AS VARCHAR)])) AS n FROM parsed WHERE last4 IS NOT NULL),
+own AS (SELECT user_id, last4, CAST(NULL AS BIGINT) AS at, CAST(NULL AS BIGINT) AS id FROM accounts WHERE NOT archived UNION ALL SELECT user_id, last4, posted_at_ms, id FROM parsed WHERE last4 IS NOT NULL)"""
 
 
 @query(
@@ -173,12 +223,12 @@ own AS (SELECT user_id, last4, NULL AS at, NULL AS id FROM accounts WHERE NOT ar
   AND (o.at IS NULL OR o.at > q.posted_at_ms OR (o.at = q.posted_at_ms AND o.id > q.id))) GROUP BY 1, 2 HAVING count(*) >= 2""", PARSED, SELF),
 )
 def is_self_transfer(spark, sf_dir):
-    second = (1000 + (F.col("user_id") + 50 * (F.expr("id div 2") % 2)) % 97).cast("string")
+    second = (1000 + (10 * F.col("user_id") + (F.expr("id div 2") + 1) % 12) % 97).cast("string")
     rows = led(spark, sf_dir).withColumn("all_last4", F.when(F.col("last4").isNotNull(), F.array_distinct(F.array("last4", second))))
     return ac.is_self_transfer(rows, v.accounts(spark, sf_dir))
 
 
-@query("txn_with_account", sql("SELECT t.id, t.user_id, a.name AS account_name FROM transactions t LEFT JOIN accounts a ON a.id = t.account_id"))
+@query("txn_with_account", sql("SELECT t.id, t.user_id, a.name AS account_name FROM transactions t LEFT JOIN accounts a ON a.id = t.account_id AND a.user_id = t.user_id"))
 def txn_with_account(spark, sf_dir):
     return ac.txn_with_account(v.transactions(spark, sf_dir), v.accounts(spark, sf_dir)).select("id", "user_id", "account_name")
 
@@ -187,13 +237,21 @@ def txn_with_account(spark, sf_dir):
 
 HAY = "lower(concat_ws(' ', nullif(title, ''), nullif(merchant, ''), nullif(raw_body, '')))"
 FIELD = f"CASE field WHEN 'merchant' THEN lower(coalesce(merchant, '')) WHEN 'title' THEN lower(coalesce(title, '')) WHEN 'note' THEN '' ELSE {HAY} END"
-HITS = f"""good AS MATERIALIZED (SELECT * FROM category_rules WHERE enabled AND pattern <> '' AND pattern NOT LIKE '%(' ),
-matches AS (SELECT t.id, t.user_id, r.id AS rule_id, r.category AS rule_category, row_number() OVER (PARTITION BY t.id ORDER BY priority, CASE WHEN origin = 'manual' THEN 0 ELSE 1 END, hits DESC, r.id) AS n
-  FROM (SELECT *, {HAY} AS hay FROM transactions) t JOIN good r ON (r.user_id IS NULL OR r.user_id = t.user_id) AND (r.direction IS NULL OR r.direction = t.direction)
+GOOD = "good AS MATERIALIZED (SELECT * FROM category_rules WHERE enabled AND pattern <> '' AND pattern NOT LIKE '%(')"
+
+
+def hits_sql(table: str) -> tuple[str, ...]:
+    """(matches, ruled): every rule that matches a row of the table, and the rows with the first of them."""
+    matches = f"""matches AS MATERIALIZED (SELECT t.id, t.user_id, r.id AS rule_id, r.category AS rule_category,
+    row_number() OVER (PARTITION BY t.user_id, t.id ORDER BY priority, CASE WHEN origin = 'manual' THEN 0 ELSE 1 END, hits DESC, r.id) AS n
+  FROM (SELECT *, {HAY} AS hay FROM {table}) t JOIN good r ON (r.user_id IS NULL OR r.user_id = t.user_id) AND (r.direction IS NULL OR r.direction = t.direction)
   AND (min_paise IS NULL OR amount_paise >= min_paise) AND (max_paise IS NULL OR amount_paise <= max_paise)
   AND CASE match_type WHEN 'regex' THEN regexp_matches({FIELD}, '(?i)' || pattern) WHEN 'starts_with' THEN starts_with({FIELD}, lower(pattern)) WHEN 'ends_with' THEN ends_with({FIELD}, lower(pattern))
-      WHEN 'equals' THEN trim({FIELD}) = lower(pattern) ELSE contains({FIELD}, lower(pattern)) END),
-ruled AS (SELECT t.*, rule_id, rule_category FROM transactions t LEFT JOIN (SELECT * FROM matches WHERE n = 1) m ON m.id = t.id)"""
+      WHEN 'equals' THEN trim({FIELD}) = lower(pattern) ELSE contains({FIELD}, lower(pattern)) END)"""
+    return GOOD, matches, f"ruled AS (SELECT t.*, rule_id, rule_category FROM {table} t LEFT JOIN (SELECT * FROM matches WHERE n = 1) m ON m.id = t.id AND m.user_id = t.user_id)"
+
+
+HITS = hits_sql("transactions")
 
 
 @query("rule_haystack", sql(f"SELECT id, {HAY} AS hay, lower(coalesce(merchant, '')) AS merchant_hay FROM transactions"))
@@ -215,12 +273,10 @@ def rule_text_match(spark, sf_dir):
     return rows.select("id", "r.k", rules.rule_text_match(F.col("m"), F.col("r.p"), F.col("r.t")).alias("hit"))
 
 
-@query("rule_matches", sql("SELECT rule_id, user_id, count(*) AS n FROM matches GROUP BY 1, 2", HITS))
+@query("rule_matches", sql("SELECT rule_id, user_id, count(*) AS n FROM matches GROUP BY 1, 2", *HITS))
 def rule_matches(spark, sf_dir):
-    txn, own = v.transactions(spark, sf_dir), rules.usable_rules(v.category_rules(spark))
-    shared = rules.rule_arrays(own.withColumn("all", F.lit(1)), ["all"]).select(F.explode("rules").alias("r")).join(own.select(F.col("id").alias("rid"), F.col("user_id").alias("rule_user")), F.col("r.id") == F.col("rid"))
-    both = txn.join(F.broadcast(shared), F.col("rule_user").isNull() | (F.col("rule_user") == F.col("user_id")))  # thirteen rules, fixed
-    return both.filter(rules.rule_matches(F.col("r"), rules.subject_of(both))).groupBy(F.col("r.id").alias("rule_id"), "user_id").agg(F.count("*").alias("n"))
+    rows = rules.with_matches(v.transactions(spark, sf_dir), v.category_rules(spark))
+    return rows.select(F.explode("matched").alias("rule_id"), "user_id").groupBy("rule_id", "user_id").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -235,17 +291,16 @@ def order_rules(spark, sf_dir):
     return rules.order_rules(listed).withColumn("place", F.row_number().over(W.orderBy(*rules.order_key()))).select("id", "place", "category", "n")
 
 
-@query("category_from_rules", sql("SELECT id, rule_id, rule_category FROM ruled", HITS))
+@query("category_from_rules", sql("SELECT id, rule_id, rule_category FROM ruled", *HITS))
 def category_from_rules(spark, sf_dir):
     return rules.with_rule(v.transactions(spark, sf_dir), v.category_rules(spark)).select("id", "rule_id", "rule_category")
 
 
-def keyword_sql(hay: str) -> str:
-    def fits(category: str) -> str:
-        return "direction = 'credit'" if category in rules.INCOME_ONLY else "TRUE" if category in rules.INCOME else "direction = 'debit'"
-
-    tests = " ".join(f"WHEN {fits(k)} AND ({' OR '.join(f'contains({hay}, {v._value(w)})' for w in names)}) THEN {v._value(k)}" for k, names in rules.KEYWORDS.items())
-    return f"CASE {tests} WHEN direction = 'credit' THEN 'Other Income' ELSE 'Other' END"
+def keyword_sql(h: str) -> str:
+    return f"""CASE WHEN direction = 'debit' AND contains({h}, 'swiggy') THEN 'Food & Dining' WHEN direction = 'debit' AND contains({h}, 'blinkit') THEN 'Groceries'
+  WHEN direction = 'debit' AND (contains({h}, 'hpcl') OR contains({h}, 'petrol pump')) THEN 'Fuel' WHEN direction = 'debit' AND contains({h}, 'netflix') THEN 'Subscriptions'
+  WHEN direction = 'debit' AND contains({h}, 'uber') THEN 'Transport' WHEN direction = 'credit' AND contains({h}, 'refund') THEN 'Refunds & Cashback' WHEN contains({h}, 'upi/dr') THEN 'Transfers'
+  WHEN direction = 'credit' THEN 'Other Income' ELSE 'Other' END"""
 
 
 TEXT = "lower(coalesce(merchant, '') || ' ' || coalesce(raw_body, ''))"
@@ -254,20 +309,20 @@ TEXT = "lower(coalesce(merchant, '') || ' ' || coalesce(raw_body, ''))"
 @query("keyword_category", sql(f"SELECT id, {keyword_sql('h')} AS category FROM (SELECT id, direction, {TEXT} AS h FROM transactions)"))
 def keyword_category(spark, sf_dir):
     text = F.lower(F.concat(F.coalesce("merchant", F.lit("")), F.lit(" "), F.coalesce("raw_body", F.lit(""))))
-    return v.transactions(spark, sf_dir).select("id", rules.keyword_category(text, F.col("direction")).alias("category"))
+    return v.transactions(spark, sf_dir).select("id", rules.keyword_category(text, F.col("direction"), v.KEYWORDS).alias("category"))
 
 
-@query("suggest_category", sql(f"SELECT id, coalesce(rule_category, {keyword_sql('h')}) AS suggested FROM (SELECT *, {TEXT} AS h FROM ruled)", HITS))
+@query("suggest_category", sql(f"SELECT id, coalesce(rule_category, {keyword_sql('h')}) AS suggested FROM (SELECT *, {TEXT} AS h FROM ruled)", *HITS))
 def suggest_category(spark, sf_dir):
-    return rules.suggest_category(v.transactions(spark, sf_dir), v.category_rules(spark)).select("id", "suggested")
+    return rules.suggest_category(v.transactions(spark, sf_dir), v.category_rules(spark), v.KEYWORDS).select("id", "suggested")
 
 
-@query("apply_rules_dry_run", sql("SELECT count(*) AS examined, CAST(coalesce(sum(CASE WHEN rule_category <> category THEN 1 ELSE 0 END), 0) AS BIGINT) AS changed FROM ruled WHERE status = 'pending'", HITS))
+@query("apply_rules_dry_run", sql("SELECT count(*) AS examined, CAST(coalesce(sum(CASE WHEN rule_category <> category THEN 1 ELSE 0 END), 0) AS BIGINT) AS changed FROM ruled WHERE status = 'pending'", *HITS))
 def apply_rules_dry_run(spark, sf_dir):
     return rules.apply_rules_dry_run(v.transactions(spark, sf_dir), v.category_rules(spark))
 
 
-@query("apply_rules", sql("SELECT user_id, id, category, rule_category AS new_category FROM ruled WHERE rule_category <> category", HITS))
+@query("apply_rules", sql("SELECT user_id, id, category, rule_category AS new_category FROM ruled WHERE rule_category <> category", *HITS))
 def apply_rules(spark, sf_dir):
     return rules.apply_rules(v.transactions(spark, sf_dir), v.category_rules(spark), include_confirmed=True)
 
@@ -355,7 +410,7 @@ def history_filter(spark, sf_dir):
 PLACED = "CAST(row_number() OVER (PARTITION BY user_id ORDER BY occurred_at_ms DESC, id DESC) AS INTEGER) AS row_no"
 
 
-@query("history_page", sql(f"SELECT t.id, t.user_id, a.name AS account_name, row_no FROM (SELECT *, {PLACED} FROM transactions WHERE status = 'confirmed') t LEFT JOIN accounts a ON a.id = t.account_id WHERE row_no > 10 AND row_no <= 60"))
+@query("history_page", sql(f"SELECT t.id, t.user_id, a.name AS account_name, row_no FROM (SELECT *, {PLACED} FROM transactions WHERE status = 'confirmed') t LEFT JOIN accounts a ON a.id = t.account_id AND a.user_id = t.user_id WHERE row_no > 10 AND row_no <= 60"))
 def history_page(spark, sf_dir):
     page = ledger.history_page(ledger.history_filter(v.transactions(spark, sf_dir)), 50, 10)
     return ac.txn_with_account(page, v.accounts(spark, sf_dir)).select("id", "user_id", "account_name", "row_no")
@@ -385,7 +440,7 @@ def pending_count(spark, sf_dir):
 # --- totals
 
 FULL = """lent AS (SELECT user_id, transaction_id AS id, CAST(sum(amount_paise) AS BIGINT) AS lent_paise FROM splits WHERE direction = 'owed_to_me' GROUP BY 1, 2),
-full_rows AS (SELECT t.*, coalesce(lent_paise, 0) AS lent_paise, t.category IN (SELECT name FROM categories WHERE money_moved) AS moved FROM transactions t LEFT JOIN lent ON lent.id = t.id AND lent.user_id = t.user_id)"""
+full_rows AS (SELECT t.*, coalesce(lent_paise, 0) AS lent_paise, t.category IN (SELECT name FROM categories WHERE money_moved) OR (t.category = 'Rent' AND t.user_id % 4 = 0) AS moved FROM transactions t LEFT JOIN lent ON lent.id = t.id AND lent.user_id = t.user_id)"""
 TOTALS = """count(*) AS n, CAST(sum(CASE WHEN direction = 'debit' AND NOT moved THEN amount_paise - lent_paise ELSE 0 END) AS BIGINT) AS spent,
   CAST(sum(CASE WHEN direction = 'credit' AND NOT moved THEN amount_paise ELSE 0 END) AS BIGINT) AS earned, CAST(sum(CASE WHEN direction = 'debit' AND moved THEN amount_paise ELSE 0 END) AS BIGINT) AS moved_paise,
   CAST(sum(CASE WHEN direction = 'debit' THEN lent_paise ELSE 0 END) AS BIGINT) AS lent"""
@@ -394,7 +449,7 @@ SPENT = f"{RANGE} AND direction = 'debit' AND NOT moved"
 
 
 def full_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.with_lent(v.transactions(spark, sf_dir), v.splits(spark, sf_dir), cat.seed_categories(spark))
+    return ledger.with_lent(v.transactions(spark, sf_dir), v.splits(spark, sf_dir), v.categories(spark, sf_dir))
 
 
 @query("lent_per_txn", sql("SELECT * FROM lent", FULL))
@@ -409,7 +464,7 @@ def totals(spark, sf_dir):
 
 @query("history_summary", sql(f"SELECT user_id, {TOTALS} FROM full_rows WHERE id IN (SELECT id FROM filtered) GROUP BY 1", FILTERED, FULL))
 def history_summary(spark, sf_dir):
-    return ledger.with_lent(filtered(spark, sf_dir), v.splits(spark, sf_dir), cat.seed_categories(spark)).groupBy("user_id").agg(*ledger.totals())
+    return ledger.with_lent(filtered(spark, sf_dir), v.splits(spark, sf_dir), v.categories(spark, sf_dir)).groupBy("user_id").agg(*ledger.totals())
 
 
 @query("range_summary", sql(f"SELECT *, earned - spent AS net FROM (SELECT user_id, {TOTALS} FROM full_rows WHERE {RANGE} GROUP BY 1)", FULL))
@@ -422,7 +477,7 @@ def by_category(spark, sf_dir):
     return ledger.by_category(full_rows(spark, sf_dir), START, END)
 
 
-@query("by_account", sql(f"SELECT t.user_id, a.name AS account_name, CAST(sum(amount_paise - lent_paise) AS BIGINT) AS total FROM full_rows t LEFT JOIN accounts a ON a.id = t.account_id WHERE {SPENT} GROUP BY 1, 2", FULL))
+@query("by_account", sql(f"SELECT t.user_id, a.name AS account_name, CAST(sum(amount_paise - lent_paise) AS BIGINT) AS total FROM full_rows t LEFT JOIN accounts a ON a.id = t.account_id AND a.user_id = t.user_id WHERE {SPENT} GROUP BY 1, 2", FULL))
 def by_account(spark, sf_dir):
     return ledger.by_account(full_rows(spark, sf_dir), v.accounts(spark, sf_dir), START, END)
 
@@ -431,7 +486,7 @@ def by_account(spark, sf_dir):
     "summary_cube",
     sql(f"""SELECT user_id, 'user' AS level, NULL AS name, {TOTALS} FROM full_rows WHERE status = 'confirmed' GROUP BY 1
 UNION ALL SELECT user_id, 'category', category, {TOTALS} FROM full_rows WHERE status = 'confirmed' GROUP BY 1, 3
-UNION ALL SELECT t.user_id, 'account', a.name, {TOTALS} FROM full_rows t LEFT JOIN accounts a ON a.id = t.account_id WHERE status = 'confirmed' GROUP BY 1, 3""", FULL),
+UNION ALL SELECT t.user_id, 'account', a.name, {TOTALS} FROM full_rows t LEFT JOIN accounts a ON a.id = t.account_id AND a.user_id = t.user_id WHERE status = 'confirmed' GROUP BY 1, 3""", FULL),
 )
 def summary_cube(spark, sf_dir):
     return ledger.summary_cube(full_rows(spark, sf_dir), v.accounts(spark, sf_dir))
@@ -446,14 +501,21 @@ def summary_by_period(spark, sf_dir):
     return ledger.summary_by_period(full_rows(spark, sf_dir), 7)
 
 
-@query("category_usage", sql("SELECT coalesce(t.category, r.category) AS category, coalesce(t.n, 0) AS transactions, coalesce(r.n, 0) AS rules FROM (SELECT category, count(*) AS n FROM transactions GROUP BY 1) t FULL JOIN (SELECT category, count(*) AS n FROM category_rules GROUP BY 1) r ON t.category = r.category"))
+@query("category_usage", sql("SELECT user_id, category, count(*) FILTER (WHERE t) AS transactions, count(*) FILTER (WHERE NOT t) AS rules FROM (SELECT user_id, category, TRUE AS t FROM transactions UNION ALL SELECT user_id, category, FALSE FROM category_rules) GROUP BY 1, 2"))
 def category_usage(spark, sf_dir):
     return ledger.category_usage(v.transactions(spark, sf_dir), v.category_rules(spark))
 
 
-@query("deletable_categories", sql("SELECT name FROM categories WHERE name NOT IN (SELECT category FROM transactions) AND name NOT IN (SELECT category FROM category_rules)"))
+@query(
+    "deletable_categories",
+    sql("""SELECT CAST(NULL AS BIGINT) AS user_id, name FROM categories WHERE name NOT IN (SELECT category FROM transactions) AND name NOT IN (SELECT category FROM category_rules)
+UNION ALL SELECT user_id, name FROM (SELECT DISTINCT user_id, n AS name FROM accounts, (VALUES ('Salary'), ('Hobby'), ('Shopping')) x(n)) o
+WHERE NOT EXISTS (SELECT 1 FROM transactions t WHERE t.user_id = o.user_id AND t.category = o.name) AND NOT EXISTS (SELECT 1 FROM category_rules r WHERE (r.user_id IS NULL OR r.user_id = o.user_id) AND r.category = o.name)"""),
+)
 def deletable_categories(spark, sf_dir):
-    return ledger.deletable_categories(cat.seed_categories(spark), v.transactions(spark, sf_dir), v.category_rules(spark)).select("name")
+    own = v.accounts(spark, sf_dir).select("user_id").distinct().select("user_id", F.explode(F.array(*map(F.lit, ("Salary", "Hobby", "Shopping")))).alias("name"))
+    every = cat.seed_categories(spark).select("user_id", "name").unionByName(own)
+    return ledger.deletable_categories(every, v.transactions(spark, sf_dir), v.category_rules(spark))
 
 
 @query(
@@ -530,14 +592,14 @@ def settle_up(spark, sf_dir):
     return sp.settle_up(held, held.filter("person_id % 3 = 0")).select(*held.columns)
 
 
-@query("split_with_person", sql("SELECT s.user_id, transaction_id, person_id, amount_paise, direction, settled, p.name AS person_name FROM splits s JOIN people p ON p.id = s.person_id"))
+@query("split_with_person", sql("SELECT s.user_id, transaction_id, person_id, amount_paise, direction, settled, p.name AS person_name FROM splits s JOIN people p ON p.id = s.person_id AND p.user_id = s.user_id"))
 def split_with_person(spark, sf_dir):
     return sp.split_with_person(v.splits(spark, sf_dir), v.people(spark, sf_dir))
 
 
-@query("deletable_people", sql("SELECT * FROM people WHERE id NOT IN (SELECT person_id FROM splits WHERE NOT settled AND transaction_id % 40 = 0)"))
+@query("deletable_people", sql("SELECT * FROM people p WHERE NOT EXISTS (SELECT 1 FROM splits s WHERE NOT s.settled AND s.user_id = p.user_id AND s.person_id = p.id)"))
 def deletable_people(spark, sf_dir):
-    return sp.deletable_people(v.people(spark, sf_dir), v.splits(spark, sf_dir).filter("transaction_id % 40 = 0"))
+    return sp.deletable_people(v.people(spark, sf_dir), v.splits(spark, sf_dir))
 
 
 # --- categories
@@ -549,18 +611,31 @@ def normalize_name(spark, sf_dir):
     return v.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), cat.normalize_name(raw).alias("name"))
 
 
-def renames(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("Rent", " House   Rent "), ("Salary", "Pay")], "old_name string, new_name string")
+RENAMES = """renames AS (SELECT user_id, o AS old_name, n AS new_name FROM (SELECT DISTINCT user_id FROM accounts),
+  (VALUES ('Rent', 'House Rent', 1), ('Salary', 'Pay', 2), ('Groceries', 'fuel', 3), ('Transfers', 'Moved A', 5), ('Transfers', 'Moved B', 5)) x(o, n, k) WHERE user_id % k = 0)"""
+
 
+def renames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per user: a name with white space to tidy, a plain one, one that clashes with a category, and a name renamed twice."""
+    asked = [("Rent", " House   Rent ", 1), ("Salary", "Pay", 2), ("Groceries", "fuel", 3), ("Transfers", "Moved A", 5), ("Transfers", "Moved B", 5)]
+    made = F.explode(F.array(*[F.struct(F.lit(o).alias("old_name"), F.lit(n).alias("new_name"), F.lit(k).alias("k")) for o, n, k in asked])).alias("r")
+    return v.accounts(spark, sf_dir).select("user_id").distinct().select("user_id", made).filter("user_id % r.k = 0").select("user_id", "r.old_name", "r.new_name")
 
-@query("rename_categories", sql("SELECT id, CASE category WHEN 'Rent' THEN 'House Rent' WHEN 'Salary' THEN 'Pay' ELSE category END AS category FROM transactions"))
+
+@query("rename_categories", sql("SELECT id, user_id, CASE WHEN category = 'Rent' THEN 'House Rent' WHEN category = 'Salary' AND user_id % 2 = 0 THEN 'Pay' ELSE category END AS category FROM transactions"))
 def rename_categories(spark, sf_dir):
-    return cat.rename_categories(v.transactions(spark, sf_dir).select("id", "category"), renames(spark))
+    return cat.rename_categories(v.transactions(spark, sf_dir).select("id", "user_id", "category"), renames(spark, sf_dir), v.categories(spark, sf_dir))
+
+
+@query("judged_renames", sql("SELECT *, CASE old_name WHEN 'Groceries' THEN 'clash' WHEN 'Transfers' THEN 'repeated' END AS reason FROM renames", RENAMES))
+def judged_renames(spark, sf_dir):
+    return cat.judged_renames(renames(spark, sf_dir), v.categories(spark, sf_dir))
 
 
-@query("rename_counts", sql("SELECT o AS old_name, (SELECT count(*) FROM transactions WHERE category = o) AS transactions, (SELECT count(*) FROM category_rules WHERE category = o) AS rules FROM (VALUES ('Rent'), ('Salary')) x(o)"))
+@query("rename_counts", sql("""SELECT DISTINCT r.user_id, old_name, (SELECT count(*) FROM transactions t WHERE t.user_id = r.user_id AND t.category = old_name) AS transactions,
+  (SELECT count(*) FROM category_rules c WHERE c.user_id = r.user_id AND c.category = old_name) AS rules FROM renames r""", RENAMES))
 def rename_counts(spark, sf_dir):
-    return cat.rename_counts(v.transactions(spark, sf_dir), v.category_rules(spark), renames(spark))
+    return cat.rename_counts(v.transactions(spark, sf_dir), v.category_rules(spark), renames(spark, sf_dir))
 
 
 @query("categories_for_direction", sql("SELECT t.id, c.name FROM categories c JOIN transactions t ON t.category = c.name AND t.direction = 'credit' WHERE c.kind IN ('income', 'both')"))
@@ -575,10 +650,10 @@ def seed_categories(spark, sf_dir):
     return cat.seed_categories(spark).join(used, "name", "left").select("name", "kind", "money_moved", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("orphan_categories", sql("SELECT DISTINCT category || CASE WHEN id % 3 = 0 THEN ' old' ELSE '' END AS name, 'both' AS kind FROM transactions WHERE id % 3 = 0"))
+@query("orphan_categories", sql("SELECT DISTINCT category || CASE WHEN id % 3 = 0 THEN ' old' ELSE '' END AS name, 'both' AS kind, user_id FROM transactions WHERE id % 3 = 0"))
 def orphan_categories(spark, sf_dir):
     rows = v.transactions(spark, sf_dir).withColumn("category", F.when(F.col("id") % 3 == 0, F.concat(F.col("category"), F.lit(" old"))).otherwise(F.col("category")))
-    return cat.orphan_categories(rows, cat.seed_categories(spark))
+    return cat.orphan_categories(rows, v.categories(spark, sf_dir))
 
 
 # --- snapshots
@@ -588,7 +663,7 @@ def user_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     txn = v.transactions(spark, sf_dir)
     users = txn.select("user_id").distinct()
     own = v.category_rules(spark).filter("user_id is not null")
-    persons = v.splits(spark, sf_dir).select("user_id", F.col("person_id").alias("id")).distinct()
+    persons = v.people(spark, sf_dir).select("user_id", "id", "name")
     tables = {"accounts": v.accounts(spark, sf_dir), "transactions": txn, "category_rules": own, "splits": v.splits(spark, sf_dir), "people": persons}
     return tables | {"categories": users.withColumn("c", F.explode(F.array(*[F.struct(F.lit(r[0]).cast("long").alias("id"), F.lit(r[1]).alias("name")) for r in cat.seed_rows()]))).select("user_id", "c.id", "c.name")}
 
@@ -624,23 +699,14 @@ def snapshot_retain(spark, sf_dir):
 # --- streams: the same rows, written as files and read as a stream
 
 
-def shared_path(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        import tempfile
-
-        shared = tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def as_stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
-    path = shared_path(spark)
+    path = shared_path(spark, "stream")
     v.captures(spark, sf_dir).write.parquet(f"{path}/in")
     return cap.read_captures(spark, f"{path}/in", stream=True), path
 
 
-@query("stream_ingest", sql(f"SELECT user_id, source, count(*) AS n, CAST(sum(length(body)) AS BIGINT) AS chars FROM ({PREFILTERED}) GROUP BY 1, 2"))
-def stream_ingest(spark, sf_dir):
+@query("stream_dedup", sql(f"SELECT user_id, source, count(*) AS n, CAST(sum(length(body)) AS BIGINT) AS chars FROM ({PREFILTERED}) GROUP BY 1, 2"))
+def stream_dedup(spark, sf_dir):
     """The stream's filter and dedup; the rows it appends are read back from its own output."""
     rows, path = as_stream(spark, sf_dir)
     run = ingest.stream_dedup(rows).writeStream.format("parquet").option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).start(f"{path}/out")
@@ -661,7 +727,7 @@ LEDGER = ["user_id", "id", "dedup_key", "source", "amount_paise", "direction", "
 @query("stream_ledger")
 def stream_ledger(spark, sf_dir):
     """The whole ingest, twice over one checkpoint: what arrives later is matched with the ledger in the shared folder too. The rows it appends."""
-    path = shared_path(spark)
+    path = shared_path(spark, "stream")
     blank = messages.parse_captures(spark.createDataFrame([], cap.SCHEMA)).withColumn("title", F.lit(None).cast("string")).withColumn("raw_sender", F.col("sender")).withColumn("status", F.lit("pending"))
     blank.write.parquet(f"{path}/ledger/batch=-1")
     read = lambda: spark.read.schema(blank.schema).parquet(f"{path}/ledger")
@@ -689,9 +755,11 @@ def stream_totals(spark, sf_dir):
     return out.filter(F.col("batch") == last).drop("batch")
 
 
-@query("stream_pending_count", sql("SELECT user_id, count(*) AS pending FROM captures GROUP BY 1"))
+@query("stream_pending_count", sql("SELECT user_id, count(*) AS pending FROM transactions WHERE status = 'pending' GROUP BY 1"))
 def stream_pending_count(spark, sf_dir):
-    rows, path = as_stream(spark, sf_dir)
+    path = shared_path(spark, "stream")
+    v.transactions(spark, sf_dir).write.parquet(f"{path}/in")
+    rows = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).parquet(f"{path}/in")
 
     def keep(df: DataFrame, i: int) -> None:
         df.write.mode("overwrite").parquet(f"{path}/out/batch={i}")
@@ -701,3 +769,133 @@ def stream_pending_count(spark, sf_dir):
     out = spark.read.schema("user_id long, pending long, batch int").parquet(f"{path}/out")
     last = out.agg(F.max("batch")).first()[0]
     return out.filter(F.col("batch") == last).select("user_id", "pending")
+
+
+@query("stream_near_dup", sql("SELECT id, user_id, match_id FROM walk", PARSED, new_sql("came_all", "parsed"), "came AS MATERIALIZED (SELECT * REPLACE (CAST(NULL AS VARCHAR) AS r) FROM came_all)", *walk_sql("walk", "came", "posted_at_ms, id", 600000)))
+def stream_near_dup(spark, sf_dir):
+    rows, path = as_stream(spark, sf_dir)
+    run = ingest.stream_near_dup(rows).writeStream.format("parquet").option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).start(f"{path}/out")
+    run.awaitTermination()
+    return spark.read.schema("id long, user_id long, match_id long").parquet(f"{path}/out")
+
+
+# --- whole flows
+
+ROW = "user_id, dedup_key, amount_paise, direction, merchant, category, status"
+#: Rows accepted from messages, read like a ledger's.
+ACCEPTED = "accepted AS MATERIALIZED (SELECT p.*, CAST(NULL AS VARCHAR) AS title, p.body AS raw_body FROM parsed p JOIN taken t ON t.id = p.id AND t.user_id = p.user_id)"
+NAMED = f"""named AS (SELECT r.user_id, dedup_key, amount_paise, direction, merchant, coalesce(rule_category, {keyword_sql("h")}) AS category, 'pending' AS status, r.last4, k.account_id
+  FROM (SELECT *, {TEXT} AS h FROM ruled) r LEFT JOIN known k ON k.user_id = r.user_id AND k.last4 = r.last4)"""
+
+
+def blank_ledger(rows: DataFrame) -> DataFrame:
+    """Parsed messages as rows of a ledger."""
+    none = lambda kind: F.lit(None).cast(kind)
+    return rows.select(
+        "user_id", "id", none("long").alias("account_id"), "amount_paise", "direction", none("string").alias("title"), "merchant", F.lit("Other").alias("category"), "occurred_at_ms", "source",
+        F.lit("confirmed").alias("status"), F.col("sender").alias("raw_sender"), F.col("body").alias("raw_body"), "dedup_key", "reference",
+    )
+
+
+DRAINED = (
+    PARSED, KNOWN, "drained AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY posted_at_ms DESC, id DESC) AS n FROM captures WHERE id % 5 <> 0) WHERE n <= 200)",
+    "old AS MATERIALIZED (SELECT * FROM parsed WHERE id % 5 = 0)", "young AS MATERIALIZED (SELECT * FROM parsed WHERE id IN (SELECT id FROM drained))", led_sql("held", "old"), new_sql("came", "young"),
+    by_ref("hit_ref", "came", "held"), by_time("hit_time", "came", "held", 600000),
+    "fresh AS MATERIALIZED (SELECT * FROM came c WHERE id NOT IN (SELECT incoming_id FROM hit_ref) AND id NOT IN (SELECT incoming_id FROM hit_time) AND NOT EXISTS (SELECT 1 FROM held h WHERE h.user_id = c.user_id AND h.dedup_key = c.dedup_key))",
+    *walk_sql("walk", "fresh", NEWEST, 600000), "taken AS (SELECT id, user_id FROM walk WHERE match_id IS NULL)", ACCEPTED, *hits_sql("accepted"), NAMED,
+)
+
+
+def drained(spark: SparkSession, sf_dir: str) -> flows.Drained:
+    captures = v.captures(spark, sf_dir)
+    consumed = captures.filter("id % 5 = 0")
+    held = blank_ledger(messages.parse_captures(consumed))
+    return flows.drain_batch(captures, consumed, held, v.accounts(spark, sf_dir), v.category_rules(spark), v.KEYWORDS)
+
+
+@query(
+    "drain_batch",
+    sql(f"""SELECT {ROW}, coalesce(a.name, CASE WHEN n.last4 IS NOT NULL THEN 'Card ••' || n.last4 END) AS account_name FROM named n LEFT JOIN (SELECT id, name FROM accounts) a ON a.id = n.account_id
+UNION ALL SELECT user_id, dedup_key, amount_paise, direction, merchant, 'Other', 'confirmed', NULL FROM old""", *DRAINED),
+)
+def drain_batch(spark, sf_dir):
+    """From the queue to the next version of the ledger; the messages consumed before are in it already."""
+    done = drained(spark, sf_dir)
+    return ac.txn_with_account(done.ledger, done.accounts).select(*ROW.split(", "), "account_name")
+
+
+@query(
+    "drain_report",
+    sql("SELECT d.user_id, count(t.id) AS imported, count(*) - count(t.id) AS skipped FROM drained d LEFT JOIN taken t ON t.id = d.id AND t.user_id = d.user_id GROUP BY 1", *DRAINED),
+)
+def drain_report(spark, sf_dir):
+    return drained(spark, sf_dir).report
+
+
+MIDDLE = "middle AS (SELECT (min(posted_at_ms) + max(posted_at_ms)) // 2 AS mid FROM captures)"
+STREAMED = (
+    PARSED, KNOWN, MIDDLE, f"passed AS MATERIALIZED (SELECT * FROM parsed WHERE id IN (SELECT id FROM ({PREFILTERED})))", "early AS (SELECT * FROM passed WHERE posted_at_ms < (SELECT mid FROM middle))",
+    "late AS (SELECT * FROM passed WHERE posted_at_ms >= (SELECT mid FROM middle))", new_sql("came1", "early"), *walk_sql("walk1", "came1", NEWEST, 600000),
+    "first AS MATERIALIZED (SELECT p.* FROM passed p JOIN walk1 w ON w.id = p.id WHERE w.match_id IS NULL)", led_sql("held", "first"), new_sql("came2", "late"),
+    by_ref("hit_ref", "came2", "held"), by_time("hit_time", "came2", "held", 600000),
+    "fresh AS MATERIALIZED (SELECT * FROM came2 WHERE id NOT IN (SELECT incoming_id FROM hit_ref) AND id NOT IN (SELECT incoming_id FROM hit_time))",
+    *walk_sql("walk2", "fresh", NEWEST, 600000), "taken AS (SELECT id, user_id FROM first UNION ALL SELECT id, user_id FROM walk2 WHERE match_id IS NULL)", ACCEPTED, *hits_sql("accepted"), NAMED,
+)
+
+
+@query("stream_ingest", sql(f"SELECT {ROW}, account_id FROM named", *STREAMED))
+def stream_ingest(spark, sf_dir):
+    """The live ingest over two arrivals of messages: filter, exact dedup, parse, match with the ledger, collapse, account, category. The rows it appends, with the account if it was there."""
+    path = shared_path(spark, "stream")
+    blank = blank_ledger(messages.parse_captures(spark.createDataFrame([], cap.SCHEMA)))
+    blank.write.parquet(f"{path}/ledger/batch=-1")
+    accounts, own_rules = v.accounts(spark, sf_dir), v.category_rules(spark)
+    read = lambda: spark.read.schema(blank.schema).parquet(f"{path}/ledger")
+    append = lambda rows, i: rows.select(*blank.columns).write.mode("overwrite").parquet(f"{path}/ledger/batch={i}")
+    rows_of = lambda rows, held: flows.pending_rows(rows, held, accounts, own_rules, v.KEYWORDS)[0]
+    for part in in_two(v.captures(spark, sf_dir)):
+        part.write.mode("append").parquet(f"{path}/in")
+        ingest.stream_ingest(cap.read_captures(spark, f"{path}/in", stream=True), f"{path}/cp", read, append, rows_of).awaitTermination()
+    known = accounts.select("user_id", F.col("id").alias("account_id"))
+    out = read()
+    return out.join(known, ["user_id", "account_id"], "left_semi").select(*ROW.split(", "), "account_id").unionByName(
+        out.join(known, ["user_id", "account_id"], "left_anti").select(*ROW.split(", "), F.lit(None).cast("long").alias("account_id"))
+    )
+
+
+#: The ledger before statements come: a third of their payments pending and known by reference, a third confirmed and known by time and shop.
+BEFORE = """before AS MATERIALIZED (SELECT user_id, id, amount_paise, direction, 'Shop ' || (id % 50) AS merchant, 'k|' || id AS dedup_key, CASE WHEN id % 3 = 0 THEN 'pending' ELSE 'confirmed' END AS status FROM transactions WHERE id % 3 <> 2)"""
+TAKEN = f"""accepted AS MATERIALIZED (SELECT user_id, id, amount_paise, direction, CAST(NULL AS VARCHAR) AS title, 'Shop ' || (id % 50) AS merchant, 'UPI/SHOP ' || (id % 50) || '/' || (300000000000 + id) || '/x' AS raw_body,
+  'stmt|table|' || (300000000000 + id) AS dedup_key, lpad(CAST(user_id % 10000 AS VARCHAR), 4, '0') AS last4 FROM transactions WHERE id % 9 <> 0 AND id % 3 <> 1)"""
+
+
+def imported(spark: SparkSession, sf_dir: str) -> flows.Imported:
+    txn = v.transactions(spark, sf_dir).filter("id % 3 != 2")
+    noon = F.floor(F.col("occurred_at_ms") / 86_400_000) * 86_400_000 + 46_800_000
+    held = txn.select(
+        "user_id", "id", F.lit(None).cast("long").alias("account_id"), "amount_paise", "direction", F.lit(None).cast("string").alias("title"), F.concat(F.lit("Shop "), F.col("id") % 50).alias("merchant"),
+        F.lit("Other").alias("category"), noon.cast("long").alias("occurred_at_ms"), F.lit("sms").alias("source"), F.when(F.col("id") % 3 == 0, "pending").otherwise("confirmed").alias("status"),
+        F.lit("HDFCBK").alias("raw_sender"), F.lit(None).cast("string").alias("raw_body"), F.concat(F.lit("k|"), "id").alias("dedup_key"),
+        F.when(F.col("id") % 3 == 0, (300000000000 + F.col("id")).cast("string")).alias("reference"),
+    )
+    return flows.import_statements(statement_files(spark, sf_dir), held, v.accounts(spark, sf_dir), v.category_rules(spark), v.KEYWORDS)
+
+
+@query(
+    "import_statements",
+    sql(f"""SELECT {ROW}, coalesce(a.name, 'Card ••' || n.last4) AS account_name FROM named n LEFT JOIN (SELECT id, name FROM accounts) a ON a.id = n.account_id
+UNION ALL SELECT user_id, dedup_key, amount_paise, direction, merchant, 'Other', status, NULL FROM before WHERE id % 3 <> 0 OR id % 9 = 0""", KNOWN, BEFORE, TAKEN, *hits_sql("accepted"), NAMED),
+)
+def import_statements(spark, sf_dir):
+    """From whole statement files to the next version of the ledger."""
+    done = imported(spark, sf_dir)
+    return ac.txn_with_account(done.ledger, done.accounts).select(*ROW.split(", "), "account_name")
+
+
+@query(
+    "statement_report",
+    sql("""SELECT user_id, CAST(user_id AS VARCHAR) AS file_id, count(*) FILTER (WHERE id % 9 <> 0 AND id % 3 <> 1) AS imported, count(*) FILTER (WHERE id % 9 <> 0 AND id % 3 = 1) AS duplicates,
+  count(*) FILTER (WHERE id % 9 <> 0 AND id % 3 = 0) AS replaced, count(*) FILTER (WHERE id % 9 = 0) AS unparsed FROM transactions GROUP BY 1"""),
+)
+def statement_report(spark, sf_dir):
+    return imported(spark, sf_dir).report

@@ -73,25 +73,25 @@ def capture_exact_dedup(spark, sf_dir):
     "drain_pending",
     sql(
         """SELECT id, user_id, source, sender, body, posted_at_ms, row_no FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY posted_at_ms DESC, id DESC) AS INTEGER) AS row_no
-FROM captures WHERE id % 5 <> 0) WHERE row_no <= 20"""
+FROM captures WHERE id % 5 <> 0) WHERE row_no <= 200"""
     ),
 )
 def drain_pending(spark, sf_dir):
     rows = v.captures(spark, sf_dir)
-    return c.drain_pending(rows, rows.filter("id % 5 = 0"), 20)
+    return c.drain_pending(rows, rows.filter("id % 5 = 0"))
 
 
 @query(
     "mark_consumed",
     sql(
         """SELECT user_id, id FROM captures WHERE id % 5 = 0 UNION
-SELECT user_id, id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY posted_at_ms DESC, id DESC) AS n FROM captures WHERE id % 5 <> 0) WHERE n <= 20"""
+SELECT user_id, id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY posted_at_ms DESC, id DESC) AS n FROM captures WHERE id % 5 <> 0) WHERE n <= 200"""
     ),
 )
 def mark_consumed(spark, sf_dir):
     rows = v.captures(spark, sf_dir)
     done = rows.filter("id % 5 = 0")
-    return c.mark_consumed(done, c.drain_pending(rows, done, 20))
+    return c.mark_consumed(done, c.drain_pending(rows, done))
 
 
 NOW_MS = 1_706_600_000_000
@@ -101,11 +101,11 @@ NOW_MS = 1_706_600_000_000
     "backfill_window",
     sql(
         f"""SELECT id, user_id, source, sender, body, posted_at_ms, row_no FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY posted_at_ms DESC, id DESC) AS INTEGER) AS row_no
-FROM captures WHERE posted_at_ms >= {NOW_MS} - 15 * 86400000::BIGINT) WHERE row_no <= 30"""
+FROM captures WHERE posted_at_ms >= {NOW_MS} - 15 * 86400000::BIGINT) WHERE row_no <= 2000"""
     ),
 )
 def backfill_window(spark, sf_dir):
-    return c.backfill_window(v.captures(spark, sf_dir), NOW_MS, 15, 30)
+    return c.backfill_window(v.captures(spark, sf_dir), NOW_MS, 15)
 
 
 # --- parsing; the SQL says what each of the five message shapes holds, apart from the patterns
@@ -160,9 +160,9 @@ SHOP = "CASE (id // 2) % 5 WHEN 0 THEN 'Swiggy' WHEN 1 THEN 'Blinkit' WHEN 2 THE
 MERCHANT = f"CASE WHEN id % 2 = 1 THEN (CASE (id // 2) % 5 WHEN 0 THEN 'SWIGGY' WHEN 1 THEN 'BLINKIT' WHEN 2 THEN 'NETFLIX' WHEN 3 THEN 'UBER INDIA' ELSE 'AMAZON' END) || ' Limited' ELSE {SHOP} END"
 
 
-@query("extract_merchant", sql(f"SELECT id, {MERCHANT} AS merchant FROM captures WHERE body NOT LIKE '%OTP%' AND body NOT LIKE '%credited%'"))
+@query("extract_merchant", sql(f"SELECT id, CASE WHEN body LIKE '%credited%' THEN {SHOP} ELSE {MERCHANT} END AS merchant FROM captures"))
 def extract_merchant(spark, sf_dir):
-    return texts(spark, sf_dir).filter("body not like '%OTP%' and body not like '%credited%'").select("id", m.extract_merchant(F.col("text")).alias("merchant"))
+    return texts(spark, sf_dir).select("id", m.extract_merchant(F.col("text")).alias("merchant"))
 
 
 @query(
@@ -187,9 +187,9 @@ def extract_reference(spark, sf_dir):
     return texts(spark, sf_dir).select("id", m.extract_reference(F.col("text")).alias("reference"))
 
 
-@query("parse_confidence", sql(f"SELECT id, CASE WHEN {LAST4} IS NULL THEN 0.8 ELSE 1.0 END::DOUBLE AS confidence FROM captures WHERE body NOT LIKE '%OTP%'"))
+@query("parse_confidence", sql(f"SELECT id, CASE WHEN {LAST4} IS NULL THEN 0.8 ELSE 1.0 END::DOUBLE AS confidence FROM captures"))
 def parse_confidence(spark, sf_dir):
-    return texts(spark, sf_dir).filter("body not like '%OTP%'").select("id", m.parse_confidence(m.extract_merchant(F.col("text")), m.extract_last4(F.col("text"))).alias("confidence"))
+    return texts(spark, sf_dir).select("id", m.parse_confidence(m.extract_merchant(F.col("text")), m.extract_last4(F.col("text"))).alias("confidence"))
 
 
 KEY = """source || '|' || sender || '|' || posted_at_ms || '|' || lower(to_base(list_reduce(list_prepend(5381::BIGINT, list_transform(string_split(body, ''), lambda x: unicode(x)::BIGINT)),

@@ -125,7 +125,7 @@ def statement_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     cell = lambda c: F.when(c.contains(",") | c.contains("|") | c.contains(";"), F.concat(F.lit('"'), c, F.lit('"'))).otherwise(c)
     lines = statement_lines(spark, sf_dir).withColumn("line", F.call_function("array_join", F.transform("cells", cell), mark))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "line"))), lambda x: x["line"]), "\r\n")
-    return lines.groupBy("f").agg(whole.alias("text")).select(F.col("f").cast("string").alias("file_id"), F.col("text").cast("binary").alias("content"))
+    return lines.groupBy("f").agg(whole.alias("text")).select(F.col("f").cast("string").alias("file_id"), F.col("text").cast("binary").alias("content"), F.col("f").alias("user_id"))
 
 
 @query(
@@ -161,10 +161,10 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE user_id % 3 WHEN 0 THEN 4 END AS credit, CASE user_id % 3 WHEN 0 THEN NULL ELSE 2 END AS amount, CASE user_id % 3 WHEN 1 THEN 1 END AS indicator, CASE user_id % 3 WHEN 0 THEN 2 END AS reference FROM transactions"""),
 )
 def detect_header(spark, sf_dir):
-    return st.detect_header(cells(spark, sf_dir)).drop("balance").withColumn("reference", F.when(F.col("file_id").cast("int") % 3 == 0, F.coalesce("reference", F.lit(2))).otherwise(F.col("reference")))
+    return st.detect_header(cells(spark, sf_dir)).drop("balance")
 
 
-@query("account_hint", sql("SELECT DISTINCT CAST(user_id AS VARCHAR) AS file_id, lpad(CAST(user_id AS VARCHAR), 4, '0') AS account_mask FROM transactions"))
+@query("account_hint", sql("SELECT DISTINCT CAST(user_id AS VARCHAR) AS file_id, lpad(CAST(user_id % 10000 AS VARCHAR), 4, '0') AS account_mask FROM transactions"))
 def account_hint(spark, sf_dir):
     grid = cells(spark, sf_dir)
     return st.account_hint(grid, st.detect_header(grid))
@@ -173,7 +173,7 @@ def account_hint(spark, sf_dir):
 @query(
     "parse_table_statement",
     sql(f"""SELECT CAST(user_id AS VARCHAR) AS file_id, CAST(row_idx AS INTEGER) AS row_idx, amount_paise, direction, 'Shop ' || (id % 50) AS merchant,
-  occurred_at_ms // 86400000 * 86400000 + 43200000 AS occurred_at_ms, lpad(CAST(user_id AS VARCHAR), 4, '0') AS account_mask, CAST(300000000000 + id AS VARCHAR) AS reference FROM {ORDERED} WHERE id % 9 <> 0"""),
+  occurred_at_ms // 86400000 * 86400000 + 43200000 AS occurred_at_ms, lpad(CAST(user_id % 10000 AS VARCHAR), 4, '0') AS account_mask, CAST(300000000000 + id AS VARCHAR) AS reference FROM {ORDERED} WHERE id % 9 <> 0"""),
 )
 def parse_table_statement(spark, sf_dir):
     return st.parse_table_statement(cells(spark, sf_dir)).drop("has_exact_time", "raw_line")
@@ -196,13 +196,13 @@ def wallet_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(date, time, F.concat(F.lit("DEBIT "), amount, F.lit("\t"), to), txn, *tail), F.array(date, time, F.lit("DEBIT"), amount, to, txn, *tail),
         F.array(F.concat(date, F.lit(" "), to, F.lit(" DEBIT "), amount), F.concat(time, F.lit(" "), txn), tail[1]),
     ]
-    lines = v.statement_rows(spark, sf_dir).select((F.col("user_id") % 30).alias("f"), "id", F.array_join(F.get(F.array(*layouts), (F.col("user_id") % 3).cast("int")), "\n").alias("lines"))
+    lines = v.statement_rows(spark, sf_dir).select(F.col("user_id").alias("f"), "id", F.array_join(F.get(F.array(*layouts), (F.col("user_id") % 3).cast("int")), "\n").alias("lines"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "lines"))), lambda x: x["lines"]), "\n")
     head = F.lit("Transaction Statement for 98xxxx\nDate Transaction Details UTR No. Amount\n")
     return lines.groupBy("f").agg(F.concat(head, whole).alias("text")).select(F.col("f").cast("string").alias("file_id"), "text")
 
 
-@query("detect_wallet_statement", sql("SELECT DISTINCT CAST(user_id % 30 AS VARCHAR) AS file_id, user_id % 30 % 2 = 0 AS wallet FROM statement_rows"))
+@query("detect_wallet_statement", sql("SELECT DISTINCT CAST(user_id AS VARCHAR) AS file_id, user_id % 2 = 0 AS wallet FROM statement_rows"))
 def detect_wallet_statement(spark, sf_dir):
     half = F.when(F.col("file_id").cast("int") % 2 == 0, F.col("text")).otherwise(F.regexp_replace("text", "UTR", "Ref"))
     return wallet_texts(spark, sf_dir).select("file_id", st.detect_wallet_statement(half).alias("wallet"))
@@ -210,7 +210,7 @@ def detect_wallet_statement(spark, sf_dir):
 
 @query(
     "parse_wallet_statement",
-    sql("""SELECT CAST(user_id % 30 AS VARCHAR) AS file_id, amount_paise, 'debit' AS direction, 'Shop ' || (id % 9) AS merchant, TRUE AS has_exact_time, 'XX4321' AS account_mask,
+    sql("""SELECT CAST(user_id AS VARCHAR) AS file_id, amount_paise, 'debit' AS direction, 'Shop ' || (id % 9) AS merchant, TRUE AS has_exact_time, 'XX4321' AS account_mask,
   occurred_at_ms - 43200000 + (((id % 12 + 1) % 12 + CASE WHEN id % 2 = 1 THEN 12 ELSE 0 END) * 60 + id % 60) * 60000 AS occurred_at_ms,
   CASE WHEN user_id % 3 = 2 THEN 'T' || id ELSE CAST(500000000000 + id AS VARCHAR) END AS reference FROM statement_rows"""),
 )

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.messages import capture_origin, parse_captures
-from ..operators.dedup import collapse_batch, find_duplicate
+from ..functions.matching import TIGHT_MS, WIDE_MS
+from ..functions.messages import capture_origin, merchant_identity, parse_captures
+from ..operators.dedup import GROUP, Accepted
+from ..operators.flows import ledger_rows
 from ..sources.captures import MINUTE_MS, prefilter
 
 WATERMARK = "12 hours"
@@ -26,32 +30,59 @@ def stream_dedup(captures: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     return kept.drop("minute", "posted_at")
 
 
-def ledger_rows(captures: DataFrame, ledger: DataFrame) -> DataFrame:
-    """New pending rows of one batch of messages: parsed, not in the ledger by any layer, and not twice in the batch. Newest first decides."""
-    parsed = parse_captures(captures).withColumn("origin", capture_origin(F.col("source"), F.col("sender")))
-    fresh = parsed.join(ledger.select("user_id", "dedup_key"), ["user_id", "dedup_key"], "left_anti")
-    known = find_duplicate(fresh, ledger).select("user_id", F.col("incoming_id").alias("id"))
-    fresh = fresh.join(known, ["user_id", "id"], "left_anti")
-    again = collapse_batch(fresh, [F.desc("posted_at_ms"), F.desc("id")]).filter("match_id is not null").select("user_id", "id")
-    rows = fresh.join(again, ["user_id", "id"], "left_anti")
-    return rows.withColumn("status", F.lit("pending")).withColumn("raw_sender", F.col("sender")).withColumn("raw_body", F.col("body"))
-
-
-def stream_ingest(captures: DataFrame, checkpoint: str, read_ledger: Callable[[], DataFrame], append: Callable[[DataFrame, int], None]) -> StreamingQuery:
+def stream_ingest(
+    captures: DataFrame, checkpoint: str, read_ledger: Callable[[], DataFrame], append: Callable[[DataFrame, int], None], rows_of: Callable[[DataFrame, DataFrame], DataFrame] = ledger_rows
+) -> StreamingQuery:
     """Run the stream: each batch is deduplicated, matched with the ledger as it stands, and appended.
 
-    `append(rows, batch_id)` must be idempotent by batch id, as a batch is replayed after a failure.
+    `append(rows, batch_id)` must be idempotent by batch id, as a batch is replayed after a failure. `rows_of(messages, ledger)` makes a batch's rows.
     """
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        append(ledger_rows(rows, read_ledger()), batch_id)
+        append(rows_of(rows, read_ledger()), batch_id)
 
     return stream_dedup(captures).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()
 
 
-def stream_pending_count(captures: DataFrame) -> DataFrame:
-    """The running number of messages per user in the queue."""
-    return captures.groupBy("user_id").agg(F.count("*").alias("pending"))
+def stream_near_dup(captures: DataFrame, watermark: str = WATERMARK, tight_ms: int = TIGHT_MS) -> DataFrame:
+    """(id, user_id, match_id) of a stream's parsed payments: the payment accepted before it that time and merchant take for the same one, or null.
+
+    Each (user, amount, direction) keeps its accepted payments as state, the earliest posted first in a batch, and forgets those that the watermark has left two windows
+    behind. References match at any distance in time, so they need the ledger, as in `stream_ingest`, not bounded state.
+    """
+    parsed = parse_captures(captures).withColumn("posted_at", F.timestamp_millis("posted_at_ms")).withWatermark("posted_at", watermark)
+    rows = parsed.select("id", *GROUP, "posted_at", "posted_at_ms", F.col("occurred_at_ms").alias("ms"), merchant_identity(F.col("merchant"), 1).alias("m"), capture_origin(F.col("source"), F.col("sender")).alias("origin"))
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = Accepted()
+        kept = list(zip(*state.get, strict=True)) if state.exists else []
+        for i, ms, m, origin in kept:
+            held.add((i, ms, m or None, origin, None, tight_ms))
+        batch = pd.concat(frames).sort_values(["posted_at_ms", "id"])
+        out = []
+        for i, ms, m, origin in zip(*(batch[c].tolist() for c in ("id", "ms", "m", "origin")), strict=True):
+            row = (i, ms, m if isinstance(m, str) else None, origin, None, tight_ms)
+            out.append(held.match(row))
+            if out[-1] is None:
+                held.add(row)
+                kept.append((i, ms, row[2] or "", origin))
+        oldest = state.getCurrentWatermarkMs() - 2 * WIDE_MS
+        kept = [x for x in kept if x[1] >= oldest]
+        state.update(tuple(list(c) for c in zip(*kept)) if kept else ([], [], [], []))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(batch["posted_at_ms"].max())) + 2 * WIDE_MS)
+        yield pd.DataFrame({"id": batch["id"], "user_id": batch["user_id"], "match_id": pd.array(out, dtype="Int64")})
+
+    return rows.groupBy(*GROUP).applyInPandasWithState(
+        run, "id long, user_id long, match_id long", "ids array<long>, times array<long>, merchants array<string>, origins array<string>", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def stream_pending_count(ledger: DataFrame) -> DataFrame:
+    """The running number of rows per user that wait for review, over a stream of ledger rows."""
+    return ledger.filter("status = 'pending'").groupBy("user_id").agg(F.count("*").alias("pending"))
 
 
 def stream_totals(captures: DataFrame, width: str = "1 day", watermark: str = WATERMARK) -> DataFrame:

@@ -164,6 +164,7 @@ def test_days_round_trip(spark):
 def test_keywords(spark):
     texts = [("swiggy order", "debit"), ("salary july", "debit"), ("salary july", "credit"), ("neft to x", "debit"), ("swiggy", "credit"), ("zzz", "debit"), ("premium", "debit")]
     df = spark.createDataFrame(texts, "t string, d string")
-    got = [r[0] for r in df.select(rules.keyword_category(F.col("t"), F.col("d"))).collect()]
+    lists = {"Food & Dining": ["swiggy"], "Loan & EMI": ["emi"], "Salary": ["salary"], "Transfers": ["neft"]}
+    got = [r[0] for r in df.select(rules.keyword_category(F.col("t"), F.col("d"), lists)).collect()]
     assert got == ["Food & Dining", "Other", "Salary", "Transfers", "Other Income", "Other", "Loan & EMI"]
     assert df.select(rules.keyword_category(F.col("t"), F.col("d"), {"Mine": ["zzz"]})).collect()[5][0] == "Mine"
