@@ -2,11 +2,13 @@
 
 A rolling hash over the last 16 characters cuts texts where the content says so, so passages that documents share give the same chunks
 wherever they stand. A chunk is encoded once and its ids are kept, within a bound, for the other documents of the worker. The ends of a chunk,
-up to its first and from its last white space, stay open: each join is re-encoded from the open end on its left to the one on its right, reaching over
-chunks without white space, until both sides are closed. There the tokenizer's normaliser and split are independent, so the ids agree exactly.
+up to its first and from its last white space, stay open: each join is re-encoded from the last whole word before it to the first one after it, reaching over
+chunks without whole words. Where those words come out as they did in their chunks, the ids agree; where not, the join is widened by both chunks and encoded
+anew, until its sides agree or it is the whole text.
 
-Inside a chunk, words of plain Latin text are looked up in a bounded word table that the tokenizers library fills; any other text (other scripts,
-odd controls, the strings of special tokens) goes through the library whole.
+For a tokenizer that takes words apart as `_SPLIT` does, which its file is asked, words of plain Latin text are looked up in a bounded word table that the
+tokenizers library fills; any other text (other scripts, odd controls, the strings of special tokens), and every text for other tokenizers, goes through the
+library whole.
 
 Edge cases: a null or empty text has no ids and decodes to the empty string; text without white space is one open end and is encoded whole; repeated
 rows are encoded each, from the kept chunks.
@@ -14,8 +16,11 @@ rows are encoded each, from the kept chunks.
 
 from __future__ import annotations
 
+import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +55,29 @@ def cut_points(text: str, average: int = CHUNK) -> list[int]:
     return [*at, n]
 
 
+def splits_words(spec: dict) -> bool:
+    """Whether a tokenizer's file is of the kind that `_SPLIT` and the word table know: lower-cased words apart, each with a token that ends it."""
+    normal, split, model = ((spec.get(k) or {}) for k in ("normalizer", "pre_tokenizer", "model"))
+    steps = [x.get("type") for x in normal.get("normalizers", ())]
+    parts = split.get("pretokenizers") or [{}]
+    own = (parts[0].get("pattern") or {}).get("Regex"), parts[0].get("behavior"), parts[0].get("invert"), [x.get("type") for x in parts], parts[-1].get("use_regex"), parts[-1].get("add_prefix_space")
+    known = (_SPLIT.pattern, "Removed", True, ["Split", "ByteLevel"], False, False)
+    added = all(t["content"].startswith("<|") for t in spec.get("added_tokens", ()))
+    return steps == ["NFC", "Replace", "Lowercase"] and own == known and added and (model.get("type"), model.get("dropout"), model.get("end_of_word_suffix")) == ("BPE", None, "</w>")
+
+
+class Piece(NamedTuple):
+    """The closed middle of a chunk, [start, end) of its text, and its ids. The first `head` characters hold its first word, `n_head` ids; the last `tail`, its last."""
+
+    start: int
+    end: int
+    ids: np.ndarray
+    head: int
+    n_head: int
+    tail: int
+    n_tail: int
+
+
 class ChunkEncoder:
     """One worker's tokenizer with its kept chunks and words. Two generations bound each table: when the young one is full it becomes the old one."""
 
@@ -60,27 +88,31 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            self.by_word = splits_words(json.load(f))
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.numbers = list(range(len(self.ends)))  # one object an id, however many words hold it
         self.words: dict[str, tuple] = {}
         self.young, self.old, self.size = {}, {}, 0
-        self.encoded = self.reused = 0
+        self.encoded = self.reused = self.widened = 0
 
     def plain(self, text: str) -> np.ndarray:
         """The ids of a text that begins and ends where words do."""
-        if _ODD.search(text):
+        if not self.by_word or _ODD.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int32)
         pieces = _SPLIT.findall(text.lower())
         words = self.words
-        missing = list({p for p in pieces if p not in words})
-        if missing:
+        try:
+            return np.array(list(chain.from_iterable(map(words.__getitem__, pieces))), dtype=np.int32)
+        except KeyError:
+            missing = [p for p in dict.fromkeys(pieces) if p not in words]
             if len(words) > KEPT_WORDS:
                 words.clear()
-                missing = list(set(pieces))
+                missing = list(dict.fromkeys(pieces))
             words.update(zip(missing, self.word_ids(missing), strict=True))
-        return np.array([i for p in pieces for i in words[p]], dtype=np.int32)
+            return np.array(list(chain.from_iterable(map(words.__getitem__, pieces))), dtype=np.int32)
 
     def word_ids(self, words: list[str]) -> list[tuple]:
         """The ids of each word, from one call: every word ends with a token that says so."""
@@ -90,40 +122,75 @@ class ChunkEncoder:
             return [tuple(e.ids) for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
         return [tuple(ids[a:b]) for a, b in zip([0, *cuts], cuts)]
 
-    def chunk(self, text: str) -> tuple[int, int, np.ndarray] | None:
-        """Where the closed middle of a chunk starts and ends, and its ids; None if it has no white space."""
+    def piece(self, text: str) -> Piece | None:
+        """The closed middle of a chunk, from its first white space to its last; None if no word stands whole between."""
+        first = _ENDS.search(text)
+        if not first:
+            return None
+        start, end = first.start(), max(map(text.rfind, " \t\n\r")) + 1
+        bare = text[start:end].strip(" \t\n\r")
+        if not bare:
+            return None
+        stop = _ENDS.search(bare)
+        one, last = bare[: stop.start()] if stop else bare, bare[max(map(bare.rfind, " \t\n\r")) + 1 :]
+        left, right = text.index(bare, start), text.rindex(bare, start, end) + len(bare)
+        return Piece(start, end, self.plain(text[start:end]), left - start + len(one), len(self.plain(one)), end - right + len(last), len(self.plain(last)))
+
+    def chunk(self, text: str) -> Piece | None:
+        """The piece of a chunk, kept if the chunk was met before."""
         key = xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
         found = self.young.get(key, self)
+        if found is not self:
+            self.reused += 1
+            return found
+        found = self.old.get(key, self)
         if found is self:
-            found = self.old.get(key, self)
-            if found is self:
-                first = _ENDS.search(text)
-                found = None
-                if first:
-                    last = max(map(text.rfind, " \t\n\r"))
-                    found = first.start(), last + 1, self.plain(text[first.start() : last + 1])
-                self.encoded += 1
-            else:
-                self.reused += 1
-            self.young[key] = found
-            self.size += 8 + (len(found[2]) if found else 0)
-            if self.size > KEPT_IDS:
-                self.old, self.young, self.size = self.young, {}, 0
+            found = self.piece(text)
+            self.encoded += 1
         else:
             self.reused += 1
+        self.young[key] = found
+        self.size += 16 + (len(found.ids) if found else 0)
+        if self.size > KEPT_IDS:
+            self.old, self.young, self.size = self.young, {}, 0
         return found
 
+    def join(self, text: str, left: Piece | None, right: Piece | None) -> np.ndarray | None:
+        """The ids between two pieces, None for the text's ends, from encoding what lies between with the word before and the word after; None if those come out otherwise
+        than in the pieces."""
+        start, end = left.end - left.tail if left else 0, right.start + right.head if right else len(text)
+        ids, a, b = self.plain(text[start:end]), left.n_tail if left else 0, right.n_head if right else 0
+        if a + b > len(ids) or a and (ids[:a] != left.ids[-a:]).any() or b and (ids[-b:] != right.ids[:b]).any():
+            return None
+        return ids[a : len(ids) - b]
+
+    def merged(self, text: str, left: Piece | None, right: Piece | None) -> Piece:
+        """Both pieces and all between them, encoded at once."""
+        self.widened += 1
+        start, end = left.start if left else 0, right.end if right else len(text)
+        return Piece(start, end, self.plain(text[start:end]), *((left.head, left.n_head) if left else (0, 0)), *((right.tail, right.n_tail) if right else (0, 0)))
+
     def encode(self, text: str, average: int = CHUNK) -> np.ndarray:
-        parts, start, open_at = [], 0, 0
+        pieces, start = [], 0
         for end in cut_points(text, average):
             found = self.chunk(text[start:end])
             if found:
-                closed, last, ids = found
-                parts += [self.plain(text[open_at : start + closed]), ids]  # the join, then the middle
-                open_at = start + last
+                pieces.append(found._replace(start=start + found.start, end=start + found.end))
             start = end
-        parts.append(self.plain(text[open_at:]))
-        return np.concatenate(parts)
+        kept: list[tuple[np.ndarray, Piece]] = []  # each with the join before it
+        for right in (*pieces, None):
+            left = kept[-1][1] if kept else None
+            between = self.join(text, left, right)
+            while between is None:  # widened until both sides agree, at the last over the whole text
+                if left:
+                    kept.pop()
+                right = self.merged(text, left, right)
+                left = kept[-1][1] if kept else None
+                between = self.join(text, left, right)
+            if right:
+                kept.append((between, right))
+        parts = [ids for between, piece in kept for ids in (between, piece.ids)]
+        return np.concatenate([*parts, between] if right is None else parts)
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -164,32 +231,36 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return chosen.mapInArrow(run, "doc_id long, ids array<int>")
 
 
-_TOKENS: dict[str, list[str]] = {}
+_TOKENS: dict[str, Callable[[list[int]], str]] = {}
 
 
-def tokens(path: str) -> list[str]:
-    """The string of each id; ids of the vocabulary are dense."""
+def decoder(path: str) -> Callable[[list[int]], str]:
+    """Ids to text. A tokenizer without a decoder stage joins its tokens by one space, so their strings are all it takes; others decode by the library."""
     if path not in _TOKENS:
         from tokenizers import Tokenizer
 
-        vocab = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)  # the decoding worker keeps the strings alone
-        table = [""] * (max(vocab.values()) + 1)
-        for token, i in vocab.items():
-            table[i] = token
-        _TOKENS[path] = table
+        whole = Tokenizer.from_file(path)
+        if whole.decoder is None:
+            vocab = whole.get_vocab(with_added_tokens=True)
+            table = [""] * (max(vocab.values()) + 1)
+            for token, i in vocab.items():
+                table[i] = token
+            _TOKENS[path] = lambda ids: " ".join(map(table.__getitem__, ids))
+        else:
+            _TOKENS[path] = lambda ids: whole.decode(ids, skip_special_tokens=False)
     return _TOKENS[path]
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """`encoded` with `decoded`, the text of `ids` as this tokenizer, which has no decoder stage, gives it: its tokens joined by one space."""
+    """`encoded` with `decoded`, the text of `ids` as the tokenizer gives it, special tokens kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = tokens(path).__getitem__
+        said = decoder(path)
         for b in batches:
             at = b.schema.get_field_index("ids")
             for first in range(0, b.num_rows, 500):
                 part = b.slice(first, 500)
-                texts = [" ".join(map(name, np.asarray(x.values).tolist())) for x in part.column(at)]
+                texts = [said(np.asarray(x.values).tolist()) for x in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, encoded.schema.simpleString()[7:-1].replace(":", " ", 2) + ", decoded string")

@@ -454,6 +454,54 @@ def test_bpe_equals_library(library):
     assert own.reused > 0
 
 
+def test_bpe_joins_are_checked(library):
+    """Kept ids that are wrong for a place are found out at the joins, and given up."""
+    own = bpe.ChunkEncoder(queries.tokenizer_path())
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choices("abcdef", k=rng.randrange(1, 9))) for _ in range(400))
+    right = library.encode(text, add_special_tokens=False).ids
+    assert own.encode(text, 64).tolist() == right and own.widened == 0
+    for ends in ((0, 1), (-1, None)):
+        made = {k: x and x._replace(ids=np.concatenate([x.ids[:0], [1], x.ids[1:]]) if ends[0] == 0 else np.concatenate([x.ids[:-1], [1]])) for k, x in own.young.items()}
+        own.young, own.widened = made, 0
+        assert own.encode(text, 64).tolist() == right and own.widened > 0
+        own.young, own.old = {}, {}
+        own.encode(text, 64)
+
+
+def test_bpe_other_tokenizers():
+    """A tokenizer of another kind is taken as it is: by the library, joins checked, decoded by its own decoder."""
+    import glob
+    import os
+
+    from tokenizers import Tokenizer
+
+    own = os.path.dirname(queries.tokenizer_path())
+    files = []
+    for path in sorted(glob.glob(os.path.join(own, "*.json"))):
+        try:
+            files.append((path, Tokenizer.from_file(path)))
+        except Exception:  # not a tokenizer's file
+            continue
+    texts = [*TEXTS, "A line of  words,\twith more\n\nlines and l'ete 123 go on " * 30]
+    for path, whole in files:
+        whole.no_truncation()
+        whole.no_padding()
+        mine, said = bpe.ChunkEncoder(path), bpe.decoder(path)
+        assert mine.by_word == (path == queries.tokenizer_path())
+        for t in texts:
+            ids = whole.encode(t, add_special_tokens=False).ids
+            assert mine.encode(t, 64).tolist() == ids, path
+            assert said(ids) == whole.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_edges(spark):
+    docs = docs_of(spark, [(1, None, "a"), (1, "", "b"), (None, "ab cd", "c"), (2, "word " * 60_000, "d")], "doc_id long, text string, ids string")
+    out = [(r["doc_id"], r["n_tokens"]) for r in bpe.digest(docs, queries.tokenizer_path()).collect()]
+    assert sorted(out, key=str) == sorted([(1, 0), (1, 0), (None, 2), (2, 60_000)], key=str)
+    assert bpe.digest(docs.limit(0), queries.tokenizer_path()).count() == 0
+
+
 def test_bpe_query(spark, sf_dir, library):
     out = {r["doc_id"]: tuple(r)[1:] for r in queries.op7_bpe(spark, sf_dir).collect()}
     for r in table(spark, sf_dir, "documents").collect():
