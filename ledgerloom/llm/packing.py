@@ -1,5 +1,8 @@
 """Packing into length buckets whose bounds a dynamic programme picks over the global length histogram.
 
+The histogram has a bin for each length to 256 and 64 for each doubling beyond, with its rows, its tokens and its greatest length. Padding is counted exactly; bounds
+are picked among the bins' greatest lengths, so beyond 256 tokens the best bounds of all may be up to a 64th away from those taken.
+
 Edge cases: a null or empty text has no tokens and sits in the first bucket; a text longer than the token budget is a batch
 of its own, never cut or dropped; equal lengths and repeated rows are ordered by a hash of the id and the text and may
 share a batch; an empty table gives an empty result.
@@ -16,8 +19,8 @@ from .common import cut
 
 BUCKETS = 16
 TOKEN_BUDGET = 65_536
-#: Rows numbered by one task.
-SHARD_ROWS = 100_000
+#: Rows numbered together, on average.
+SHARD_ROWS = 16_384
 
 
 def token_count(text: Column) -> Column:
@@ -31,8 +34,8 @@ def grid(length: Column) -> Column:
     return F.when(length <= 256, length).otherwise(F.ceil(length / step).cast("long") * step)
 
 
-def optimal_bounds(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
-    """The upper bounds, at most `buckets`, that minimise the padding of these length bins.
+def optimal_bounds(lengths: list[int], counts: list[int], buckets: int, tokens: list[int] | None = None) -> list[int]:
+    """The upper bounds, at most `buckets`, that minimise the padding, for bins of `counts` rows, `lengths` at most and `tokens` in all (of equal lengths, if not given).
 
     cost(i, j) = bound_j * rows(i..j) - tokens(i..j); the last bound is the greatest length. The first of equal optima is taken.
     """
@@ -41,7 +44,8 @@ def optimal_bounds(lengths: list[int], counts: list[int], buckets: int) -> list[
     order = np.argsort(lengths)
     x = np.asarray(lengths, dtype=np.float64)[order]
     rows = np.concatenate([[0.0], np.cumsum(np.asarray(counts, dtype=np.float64)[order])])
-    tokens = np.concatenate([[0.0], np.cumsum(np.asarray(counts, dtype=np.float64)[order] * x)])
+    held = np.asarray(counts, dtype=np.float64)[order] * x if tokens is None else np.asarray(tokens, dtype=np.float64)[order]
+    tokens = np.concatenate([[0.0], np.cumsum(held)])
     n, k = len(x), min(buckets, len(x))
     best = np.concatenate([[0.0], x * rows[1:] - tokens[1:]])  # one bucket
     cuts = [np.zeros(n + 1, dtype=np.int64)]
@@ -76,12 +80,12 @@ def pack(
     length = token_count(F.col(text_col)) if length is None else length
     text = F.coalesce(F.col(text_col), F.lit(""))
     sized = cut(docs.select(F.col(id_col).alias("doc_id"), length.alias("n_tokens"), F.xxhash64(F.col(id_col), text).alias("__o")).withColumn("__g", grid(F.col("n_tokens"))))
-    bins = sized.groupBy("__g").agg(F.count("*").alias("n")).collect()  # bounded by the grid, not by the corpus
-    bounds = optimal_bounds([r["__g"] for r in bins], [r["n"] for r in bins], buckets)
-    shards = max(1, -(-sum(r["n"] for r in bins) // SHARD_ROWS), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bins = sized.groupBy("__g").agg(F.count("*").alias("n"), F.max("n_tokens").alias("most"), F.sum("n_tokens").alias("held")).collect()  # bounded by the grid, not by the corpus
+    bounds = optimal_bounds([r["most"] for r in bins], [r["n"] for r in bins], buckets, [r["held"] for r in bins])
+    shards = max(1, -(-sum(r["n"] for r in bins) // SHARD_ROWS))  # by the rows alone, so the same batches come of any cluster
     at = F.lit(None).cast("int")
     for i in reversed(range(len(bounds))):
-        at = F.when(F.col("__g") <= bounds[i], F.lit(i)).otherwise(at)
+        at = F.when(F.col("n_tokens") <= bounds[i], F.lit(i)).otherwise(at)
     placed = sized.withColumn("bucket", at).withColumn("__s", F.pmod("__o", F.lit(shards)).cast("int"))
     counts = placed.groupBy("bucket", "__s").agg(F.count("*").alias("n"))
     # the count table has a row per bucket and shard
