@@ -3,7 +3,8 @@
 Every conversation becomes windows of at most `budget` tokens: the leading system turn is kept in each, up to `history` tokens
 of the turns just before are repeated for context, and only assistant turns that are new in a window carry the loss.
 
-Edge cases: a null role or text is empty; a turn longer than the budget is a window of its own; equal turn numbers are ordered
+Edge cases: a null role or text is empty; a turn longer than the budget is a window of its own; a system turn is kept even where it fills the budget, so
+windows then hold it and one turn more; equal turn numbers are ordered
 by role and text; null turn numbers come first; a null conv_id is a conversation of its own; an empty table gives an empty result.
 """
 
@@ -126,7 +127,7 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     """Windows of the conversations (conv_id, turn, role, text), by `SCHEMA`; `loss` holds code-point spans of `text`.
 
     Spark sums the tokens of the turns before each turn in a window over the conversation; the sorted rows then stream
-    through one open window, so a conversation of any length needs the memory of one window.
+    through one open window, so a conversation of any length needs the memory of one window. It is one task, as each window depends on the one before.
     """
     role, text = F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     sized = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").alias("turn"), role, text).withColumn("n", tokens(F.col("text")))

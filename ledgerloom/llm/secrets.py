@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import base64
 import binascii
-import hashlib
 import json
 import re
 import sys
@@ -254,11 +253,3 @@ def scan_digest(docs: DataFrame) -> DataFrame:
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     digest = F.sha2(joined_spans(F.col("base")).cast("binary"), 256).alias("base_sha256")
     return found.select("doc_id", *map(count, KINDS[:3]), digest, joined_spans(F.col("spans")).alias("spans"))
-
-
-def brute_base(text: str) -> str:
-    """The base contract restated plainly, for tests."""
-    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
-    found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
-    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
-    return hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(found)).encode()).hexdigest()
