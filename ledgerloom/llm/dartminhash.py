@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, written
+from .common import Scratch, cut, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -313,12 +313,13 @@ def near_duplicates(
     # a row per band and distinct text; the partial counts meet in the shared bands only
     banded = sketches.filter("key is not null").select("key", "bands").distinct().select("key", F.explode("bands").alias("band"))
     shared = cut(banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"))
-    met = written(banded.join(shared, "band").select("band", "key", "n"), "shared-bands")
+    scratch = Scratch(docs.sparkSession)
+    met = scratch.written(banded.join(shared, "band").select("band", "key", "n"), "shared-bands")
     company = cut(met.groupBy("key").agg(F.sum("n").alias("company")))
     hubs = cut(met.join(company, "key").groupBy("band").agg(F.max(F.struct("company", "key")).alias("hub")).select("band", F.col("hub.key").alias("hub")))
     members = met.select("band", "key")
     wanted = owners.join(company.select("key"), "key", "left_semi").select("f.id", "f.th", "key")
-    sets = written(shingle_sets(docs, wanted, id_col, text_col, weighting), "shingles")
+    sets = scratch.written(shingle_sets(docs, wanted, id_col, text_col, weighting), "shingles")
     stars = members.join(hubs, "band").filter("key != hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
     links = cut(similar(stars, sets, threshold))
     roots = components(links)
@@ -330,6 +331,7 @@ def near_duplicates(
     # only texts that have copies or links need a look-up
     known = owners.join(grouped, "key", "left").filter("copies > 1 or c is not null")
     known = cut(known.select("key", "f", F.coalesce("c", "f").alias("c")))
+    scratch.clear()
     out = sketches.select("id", "th", "key").join(known, "key", "left")
     return out.select(
         F.col("id").alias("doc_id"), F.coalesce("c.id", "id").alias("class_id"), F.coalesce("f.id", "id").alias("copy_of"), F.col("th").alias("text_hash"),

@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, scratch_path, written
+from .common import SPACE, Scratch, cut, written
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -38,7 +38,8 @@ class LineRuns:
     def __init__(self, spark: SparkSession, fanout: int = 3):
         self.spark, self.fanout = spark, fanout
         self.name = f"line_runs_{uuid.uuid4().hex}"
-        self.root = scratch_path(spark, "line-runs")
+        self.scratch = Scratch(spark)
+        self.root = self.scratch.path("line-runs")
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
         self.updates: list[str] = []
@@ -97,9 +98,10 @@ class LineRuns:
         return found.filter(F.col("n_docs") >= min_docs)
 
     def close(self) -> None:
-        """Take the runs out of the catalog; frames already read from them must have been written by then."""
+        """Delete the runs; what was read from them must have been written by then."""
         for i in range(1, self.made + 1):
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{i}")
+        self.scratch.clear()
 
 
 def merged_keys(rows: DataFrame) -> DataFrame:
@@ -121,8 +123,8 @@ def dropped_positions(docs: DataFrame, id_col: str, text_col: str, min_chars: in
     lines = written(line_rows(docs, id_col, text_col, min_chars, batches), "lines")
     # a row per (key, document) first: a key in a third of all documents is spread over their ids, and met by partial counts
     per_doc = lines.select("batch", "h1", "h2", "id").distinct()
-    staged = written(per_doc.groupBy("batch", "h1", "h2").agg(F.count("*").alias("n_docs"), F.max("id").cast("long").alias("last_doc")), "line-batches", "batch")
     index = LineRuns(spark, fanout)
+    staged = index.scratch.written(per_doc.groupBy("batch", "h1", "h2").agg(F.count("*").alias("n_docs"), F.max("id").cast("long").alias("last_doc")), "line-batches", "batch")
     for b in range(batches):
         index.add(staged.filter(F.col("batch") == b).drop("batch"))
     # written, so that both sides of the join are plain exchanges and a hot line's rows can be dealt to several tasks

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import json
 import math
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -242,7 +243,7 @@ def test_line_runs_anti_join(spark):
     assert rows(runs.runs()) == [1, 2, 3, 4] and rows(runs.updates) == [1, 2] and len(runs.updates) == 1  # compacted
     assert {r["h1"]: (r["n_docs"], r["last_doc"]) for r in runs.repeated(2).collect()} == {1: (2, 1), 2: (3, 2)}
     runs.close()
-    assert not [t for t in spark.catalog.listTables() if t.name.startswith(runs.name)]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(runs.name)] and not os.path.exists(runs.root)
 
 
 def test_line_runs_join_by_merge(spark):
