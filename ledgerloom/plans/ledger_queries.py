@@ -668,16 +668,18 @@ def user_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return tables | {"categories": users.withColumn("c", F.explode(F.array(*[F.struct(F.lit(r[0]).cast("long").alias("id"), F.lit(r[1]).alias("name")) for r in cat.seed_rows()]))).select("user_id", "c.id", "c.name")}
 
 
-COUNTS = """(SELECT user_id, count(*) AS transactions, CAST(sum(amount_paise) AS BIGINT) AS total_paise FROM transactions GROUP BY 1) t
+COUNTS = """(SELECT user_id, count(*) AS transactions, md5(string_agg(concat_ws(':', id, amount_paise, direction, category, occurred_at_ms, coalesce(merchant, '-'), coalesce(reference, '-')), ',' ORDER BY id)) AS digest FROM transactions GROUP BY 1) t
 LEFT JOIN (SELECT user_id, count(*) AS splits FROM splits GROUP BY 1) s USING (user_id) LEFT JOIN (SELECT user_id, count(*) AS accounts FROM accounts GROUP BY 1) a USING (user_id)"""
 
 
-@query("snapshot_export", sql(f"SELECT user_id, transactions, coalesce(splits, 0) AS splits, coalesce(accounts, 0) AS accounts, 40 AS categories, 8 AS schema_version FROM {COUNTS}"))
+@query("snapshot_export", sql(f"SELECT user_id, transactions, coalesce(splits, 0) AS splits, coalesce(accounts, 0) AS accounts, 40 AS categories, 8 AS schema_version, 'ledger-snapshot' AS format, '2026-01-01T00:00:00Z' AS exported_at, digest FROM {COUNTS}"))
 def snapshot_export(spark, sf_dir):
     doc = snap.snapshot_export(user_tables(spark, sf_dir), "2026-01-01T00:00:00Z")
-    shape = F.from_json("document", "schemaVersion int, transactions array<struct<id: long>>, splits array<struct<person_id: long>>, accounts array<struct<id: long>>, categories array<struct<id: long>>").alias("d")
+    shape = F.from_json("document", "format string, exportedAt string, schemaVersion int, transactions array<struct<id: long, amount_paise: long, direction: string, category: string, occurred_at_ms: long, merchant: string, reference: string>>, splits array<struct<person_id: long>>, accounts array<struct<id: long>>, categories array<struct<id: long>>").alias("d")
     n = lambda c: F.size(f"d.{c}")
-    return doc.select("user_id", shape).select("user_id", n("transactions").cast("long").alias("transactions"), n("splits").cast("long").alias("splits"), n("accounts").cast("long").alias("accounts"), n("categories").alias("categories"), F.col("d.schemaVersion").alias("schema_version"))
+    said = lambda t: F.concat_ws(":", t["id"], t["amount_paise"], t["direction"], t["category"], t["occurred_at_ms"], F.coalesce(t["merchant"], F.lit("-")), F.coalesce(t["reference"], F.lit("-")))
+    digest = F.md5(F.array_join(F.transform("d.transactions", said), ",").cast("binary"))
+    return doc.select("user_id", shape).select("user_id", n("transactions").cast("long").alias("transactions"), n("splits").cast("long").alias("splits"), n("accounts").cast("long").alias("accounts"), n("categories").alias("categories"), F.col("d.schemaVersion").alias("schema_version"), "d.format", F.col("d.exportedAt").alias("exported_at"), digest.alias("digest"))
 
 
 @query("snapshot_restore", sql("SELECT user_id, CASE user_id % 5 WHEN 1 THEN 'newer schema' WHEN 2 THEN 'foreign format' END AS reason, CASE WHEN user_id % 5 NOT IN (1, 2) THEN count(*) END AS transactions, CASE WHEN user_id % 5 NOT IN (1, 2) THEN CAST(sum(amount_paise) AS BIGINT) END AS total_paise FROM transactions GROUP BY 1"))
