@@ -226,16 +226,18 @@ def _prefixes(rooted: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
     find nothing, so a text with many of its own has no row.
     """
     part = threshold / (1 + threshold)
-    own = rooted.select("key", "root").distinct().join(sets, "key").withColumn("size", F.size("items"))
-    least = rooted.join(own.select("key", "size"), "key").groupBy("band").agg(F.min("size").alias("least"))
+    own = rooted.select("key", "root").distinct().join(sets, "key")
+    sized = own.select("key", "root", F.size("items").alias("size"))
+    least = rooted.join(sized.select("key", "size"), "key").groupBy("band").agg(F.min("size").alias("least"))
     partner = rooted.join(least, "band").groupBy("key").agg(F.min("least").alias("least"))  # no partner in its bands is shorter
     need = F.ceil(part * (F.col("size") + F.greatest(F.col("least"), threshold * F.col("size"))) - 1e-9)
-    item = own.join(partner, "key").select("key", "root", "size", (F.col("size") - need + 1).alias("first"), F.explode("items").alias("item"))
+    known = sized.join(partner, "key").select("key", "root", F.col("size").cast("long").alias("size"), (F.col("size") - need + 1).alias("first"))
+    item = own.select("key", F.explode("items").alias("item"))
     shared = item.groupBy("item").agg(F.count("*").alias("n")).filter("n > 1")
     by_text = W.partitionBy("key")
     placed = item.join(shared, "item").withColumn("e", F.count("*").over(by_text)).withColumn("at", F.row_number().over(by_text.orderBy("n", "item")))
-    kept = placed.filter(F.col("at") <= F.col("first") - (F.col("size") - F.col("e")))
-    return kept.select("key", "root", F.col("size").cast("long").alias("size"), "e", "item", "n")
+    kept = placed.join(known, "key").filter(F.col("at") <= F.col("first") - (F.col("size") - F.col("e")))
+    return kept.select("key", "root", "size", "e", "item", "n")
 
 
 def _block_links(rows: DataFrame, sets: DataFrame, threshold: float, block: int) -> DataFrame:
