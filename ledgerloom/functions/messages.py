@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import DAY_MS, NOON_MS, blank_to_null, day_of, first_group, first_present, let, ms_of, paise, squeezed, title_case
+from .text import DAY_MS, NOON_MS, blank_to_null, day_of, first_group, let, ms_of, paise, squeezed, title_case
 
 # Patterns and word lists that results depend on.
 NUMBER = r"([0-9][0-9,]*(?:\.[0-9]{1,2})?)"
@@ -104,8 +104,8 @@ def extract_merchant(text: Column) -> Column:
         good = (F.length(value) >= 3) & ~value.rlike(r"^\d+$") & ~F.lower(value).isin(STOPWORDS)
         return F.when(good & (value == F.upper(value)) & (F.length(value) > 3), title_case(value)).when(good, value)
 
-    found = F.array(*[first_group(text, p) for p in MERCHANTS])
-    return first_present(F.transform(F.transform(found, cut), named))
+    # a later pattern is only tried where the earlier ones give no name
+    return F.coalesce(*[let(let(first_group(text, p), cut), named) for p in MERCHANTS])
 
 
 def _dated(day: Column, month: Column, year: Column, posted_ms: Column) -> Column:
@@ -127,7 +127,7 @@ def extract_occurred_at(text: Column, posted_ms: Column) -> Column:
     month = F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(first_group(text, NAMED_DATE, 2))), F.lit(0)).cast("int")
     named = _dated(number(NAMED_DATE, 1), month, number(NAMED_DATE, 3), posted_ms)
     numeric = _dated(number(NUMERIC_DATE, 1), number(NUMERIC_DATE, 2), number(NUMERIC_DATE, 3), posted_ms)
-    return F.coalesce(named, numeric, posted_ms)
+    return F.coalesce(F.when(text.rlike(NAMED_DATE), named), F.when(text.rlike(NUMERIC_DATE), numeric), posted_ms)
 
 
 def extract_reference(text: Column) -> Column:

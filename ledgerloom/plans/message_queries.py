@@ -125,9 +125,12 @@ AMOUNT = "CAST(round(CAST(regexp_extract(body, '(?:Rs\\.|INR |₹)([0-9]+\\.[0-9
 AT = "CASE WHEN body LIKE '123456%' THEN position('Rs.' IN body) - 1 ELSE 0 END"
 
 
-@query("extract_amount", sql(f"SELECT id, CASE WHEN {AMOUNT} > 0 THEN {AMOUNT} END AS amount_paise, CASE WHEN {AMOUNT} > 0 THEN CAST({AT} AS INTEGER) END AS at FROM captures"))
+@query("extract_amount", sql(f"SELECT id, CASE WHEN {AMOUNT} > 0 THEN {AMOUNT} END AS amount_paise, CASE WHEN {AMOUNT} > 0 THEN CAST({AT} AS INTEGER) END AS at, CAST((id % 900 + 1) * 100 + 50 AS BIGINT) AS behind_paise, 9 AS behind_at FROM captures"))
 def extract_amount(spark, sf_dir):
-    return texts(spark, sf_dir).withColumn("a", m.extract_amount(F.col("text"))).select("id", F.col("a.paise").alias("amount_paise"), "a.at")
+    """Of the messages, and of texts whose currency stands behind the number."""
+    behind = F.concat(F.lit("You paid "), F.col("id") % 900 + 1, F.lit(".50 INR to a shop"))
+    rows = texts(spark, sf_dir).withColumn("a", m.extract_amount(F.col("text"))).withColumn("b", m.extract_amount(behind))
+    return rows.select("id", F.col("a.paise").alias("amount_paise"), "a.at", F.col("b.paise").alias("behind_paise"), F.col("b.at").alias("behind_at"))
 
 
 DIRECTION = "CASE WHEN body LIKE '%credited%' THEN 'credit' WHEN body LIKE '%OTP%' THEN NULL ELSE 'debit' END"
@@ -160,9 +163,11 @@ SHOP = "CASE (id // 2) % 5 WHEN 0 THEN 'Swiggy' WHEN 1 THEN 'Blinkit' WHEN 2 THE
 MERCHANT = f"CASE WHEN id % 2 = 1 THEN (CASE (id // 2) % 5 WHEN 0 THEN 'SWIGGY' WHEN 1 THEN 'BLINKIT' WHEN 2 THEN 'NETFLIX' WHEN 3 THEN 'UBER INDIA' ELSE 'AMAZON' END) || ' Limited' ELSE {SHOP} END"
 
 
-@query("extract_merchant", sql(f"SELECT id, CASE WHEN body LIKE '%credited%' THEN {SHOP} ELSE {MERCHANT} END AS merchant FROM captures"))
+@query("extract_merchant", sql(f"SELECT id, CASE WHEN body LIKE '%credited%' THEN {SHOP} ELSE {MERCHANT} END AS merchant, 'shop' || id % 7 AS handle FROM captures"))
 def extract_merchant(spark, sf_dir):
-    return texts(spark, sf_dir).select("id", m.extract_merchant(F.col("text")).alias("merchant"))
+    """Of the messages, and of texts that only name a payment handle."""
+    handle = F.concat(F.lit("Rs.5 debited, VPA shop"), F.col("id") % 7, F.lit("@okaxis"))
+    return texts(spark, sf_dir).select("id", m.extract_merchant(F.col("text")).alias("merchant"), m.extract_merchant(handle).alias("handle"))
 
 
 @query(
@@ -182,9 +187,12 @@ def extract_occurred_at(spark, sf_dir):
 REFERENCE = "nullif(coalesce(nullif(regexp_extract(body, 'UPI/([0-9]+)', 1), ''), regexp_extract(body, 'Ref ([0-9]+)', 1)), '')"
 
 
-@query("extract_reference", sql(f"SELECT id, {REFERENCE} AS reference FROM captures"))
+@query("extract_reference", sql(f"SELECT id, {REFERENCE} AS reference, CASE id % 4 WHEN 0 THEN 'R' WHEN 1 THEN 'U' WHEN 2 THEN 'T' ELSE 'F' END || (400000 + id) AS labelled FROM captures"))
 def extract_reference(spark, sf_dir):
-    return texts(spark, sf_dir).select("id", m.extract_reference(F.col("text")).alias("reference"))
+    """Of the messages, and of texts with the other labels."""
+    label = v.one_of(F.col("id") % 4, ["RRN: R", "UTR No. U", "Transaction ID: T", "Reference number F"])
+    labelled = F.concat(F.lit("Done. "), label, 400000 + F.col("id"))
+    return texts(spark, sf_dir).select("id", m.extract_reference(F.col("text")).alias("reference"), m.extract_reference(labelled).alias("labelled"))
 
 
 @query("parse_confidence", sql(f"SELECT id, CASE WHEN {LAST4} IS NULL THEN 0.8 ELSE 1.0 END::DOUBLE AS confidence FROM captures"))

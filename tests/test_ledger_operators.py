@@ -292,3 +292,20 @@ def test_stream_totals_query(spark, sf_dir):
     day = (F.floor(F.col("occurred_at_ms") / 86_400_000) * 86_400_000).alias("day_ms")
     want = messages.parse_captures(views.captures(spark, sf_dir)).groupBy("user_id", "direction", day).agg(F.count("*").alias("n"), F.sum("amount_paise").alias("total_paise"))
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
+
+
+def test_near_dup_stream_keeps_state(spark, tmp_path):
+    """What an earlier batch accepted is known to later ones, in its window."""
+    at, hour, path = 1_700_000_000_000, 3_600_000, str(tmp_path / "in")
+    card, app = "Rs.500.00 spent on HDFC Bank Card x1234 at SWIGGY Ref 400001", "₹500.00 paid to SWIGGY Limited"
+    arrivals = [
+        [(1, 1, "sms", "HDFCBK", card, at), (2, 1, "sms", "HDFCBK", card, at + 300_000), (9, 2, "sms", "HDFCBK", card, at)], [(3, 1, "notification", "com.phonepe.app", app, at + 5 * hour)],
+        [(4, 1, "notification", "com.phonepe.app", app, at + 30 * hour)], [(5, 1, "sms", "HDFCBK", card, at + 31 * hour), (6, 1, "notification", "com.phonepe.app", app, at + 60 * hour)],
+    ]
+    for rows in arrivals:
+        spark.createDataFrame(rows, captures.SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(captures.SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
+    run = ingest.stream_near_dup(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    run.awaitTermination()
+    got = {r["id"]: r["match_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: None, 2: 1, 3: 1, 4: None, 5: 4, 6: None, 9: None}
