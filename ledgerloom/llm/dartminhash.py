@@ -23,6 +23,7 @@ gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -174,18 +175,19 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, weighting: str, bands: i
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, weighting: str) -> DataFrame:
-    """(key, items) for the wanted (id, th, key): hashes of the unit regions, one row a key."""
+    """(key, size, items) for the wanted (id, th, key): hashes of the unit regions, one row a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, split in _runs(b.column(1)):
                 sets = [regions(*weighted(w, weighting)).view(np.int64) for w in split]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(split)), pa.array(sets, pa.list_(pa.int64()))], ["key", "items"])
+                sizes = pa.array(map(len, sets), pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(split)), sizes, pa.array(sets, pa.list_(pa.int64()))], ["key", "size", "items"])
 
     named = wanted.select(F.col("id").alias("__id"), F.col("th").alias("__th"), "key")
     same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
     chosen = _texts(docs, id_col, text_col).join(named, (F.xxhash64("id", "th") == F.xxhash64("__id", "__th")) & same).select("key", "text")
-    return chosen.mapInArrow(run, "key binary, items array<long>").dropDuplicates(["key"])
+    return chosen.mapInArrow(run, "key binary, size long, items array<long>").dropDuplicates(["key"])
 
 
 def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -219,20 +221,19 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _prefixes(rooted: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(key, root, size, e, item, n): the shingles by which a text of `rooted` (band, key, root) can be found by a similar one, `n` of these texts holding each.
+    """(key, root, size, e, item, n): the shingles by which a text of `rooted` (band, key, root, size) can be found by a similar one, `n` of these texts holding each.
 
     Texts of x and y shingles have threshold / (1 + threshold) * (x + y) in common if they are similar, so with shingles in any one order they have one in common
     among the first x - that + 1 of x, and of y alike. The order is by rarity. Of each text's `size` shingles only `e` are in another text; the others come first and
     find nothing, so a text with many of its own has no row.
     """
     part = threshold / (1 + threshold)
-    own = rooted.select("key", "root").distinct().join(sets, "key")
-    sized = own.select("key", "root", F.size("items").alias("size"))
-    least = rooted.join(sized.select("key", "size"), "key").groupBy("band").agg(F.min("size").alias("least"))
+    sized = rooted.select("key", "root", "size").distinct()
+    least = rooted.groupBy("band").agg(F.min("size").alias("least"))
     partner = rooted.join(least, "band").groupBy("key").agg(F.min("least").alias("least"))  # no partner in its bands is shorter
     need = F.ceil(part * (F.col("size") + F.greatest(F.col("least"), threshold * F.col("size"))) - 1e-9)
-    known = sized.join(partner, "key").select("key", "root", F.col("size").cast("long").alias("size"), (F.col("size") - need + 1).alias("first"))
-    item = own.select("key", F.explode("items").alias("item"))
+    known = sized.join(partner, "key").select("key", "root", "size", (F.col("size") - need + 1).alias("first"))
+    item = sets.join(sized.select("key"), "key").select("key", F.explode("items").alias("item"))
     shared = item.groupBy("item").agg(F.count("*").alias("n")).filter("n > 1")
     by_text = W.partitionBy("key")
     placed = item.join(shared, "item").withColumn("e", F.count("*").over(by_text)).withColumn("at", F.row_number().over(by_text.orderBy("n", "item")))
@@ -245,7 +246,7 @@ def _block_links(rows: DataFrame, sets: DataFrame, threshold: float, block: int)
 
     A text is sent to each block of the other side; a group holds two blocks, and only similar pairs leave it.
     """
-    full = rows.join(sets, "key").select("band", "key", "root", "items", (F.col("root") != F.col("big")).alias("rest"), "n_all", "n_rest")
+    full = rows.join(sets.select("key", "items"), "key").select("band", "key", "root", "items", (F.col("root") != F.col("big")).alias("rest"), "n_all", "n_rest")
     n_a, n_b = F.ceil(F.col("n_rest") / block).cast("int"), F.ceil(F.col("n_all") / block).cast("int")
     own = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
@@ -279,8 +280,13 @@ def _block_links(rows: DataFrame, sets: DataFrame, threshold: float, block: int)
 def apart_links(members: DataFrame, roots: DataFrame, sets: DataFrame, threshold: float, block: int = 256, few: int = 10, rare: int = 64) -> DataFrame:
     """Links between members (band, key) of one band that `roots` holds in different components."""
     rooted = members.join(roots, "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
-    split = rooted.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 != r2").select("band")
-    rooted = cut(rooted.join(split, "band", "left_semi"))
+    # similar texts differ in size by the threshold at most: a text stays if a text of its size's step or the next ones, in its band, has another root
+    step = F.floor(F.log("size") / (-math.log(threshold) * (1 + 1e-9))).alias("step")
+    rooted = rooted.join(sets.select("key", "size"), "key").select("band", "key", "root", "size", step)
+    by_step = rooted.groupBy("band", "step").agg(F.min("root").alias("r1"), F.max("root").alias("r2"))
+    reach = by_step.select("band", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"), "r1", "r2")
+    split = reach.groupBy("band", "step").agg(F.min("r1").alias("r1"), F.max("r2").alias("r2")).filter("r1 != r2").select("band", "step")
+    rooted = cut(rooted.join(split, ["band", "step"], "left_semi").drop("step"))
     prefixes = cut(_prefixes(rooted, sets, threshold))
     side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("root", "size", "e")]
     fits = F.least("e_a", "e_b") * (1 + 1 / threshold) >= F.col("size_a") + F.col("size_b") - 1e-6
@@ -289,7 +295,7 @@ def apart_links(members: DataFrame, roots: DataFrame, sets: DataFrame, threshold
     met = by_item.select("item", F.col("key").alias("a"), *side("a")).join(by_item.select("item", F.col("key").alias("b"), *side("b")), "item")
     pairs = met.filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & fits).select("a", "b").distinct()
     # the others can only meet by shingles of many texts: they are compared within their bands
-    able = cut(rooted.join(prefixes.filter(F.col("n") > rare).select("key", "size", "e").distinct(), "key"))
+    able = cut(rooted.join(prefixes.filter(F.col("n") > rare).select("key", "e").distinct(), "key"))
     counts = able.groupBy("band", "root").agg(F.count("*").alias("n"))
     bands = counts.groupBy("band").agg(
         F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n_all"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("k")

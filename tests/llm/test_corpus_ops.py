@@ -172,7 +172,7 @@ def test_near_dedup_rare_shingles_find_apart_texts(spark):
     rows = [(i, " ".join(edited(i))) for i in range(2000)] + [(5000 + i, " ".join([*edited(i), "more"])) for i in range(3)]
     docs = docs_of(spark, rows)
     sets = dartminhash.shingle_sets(docs, docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), F.col("doc_id").cast("string").cast("binary").alias("key")), "doc_id", "text", "set")
-    rooted = sets.select(F.lit(1).alias("band"), "key", F.col("key").alias("root"))
+    rooted = sets.select(F.lit(1).alias("band"), "key", F.col("key").alias("root"), "size")
     found = dartminhash._prefixes(rooted, sets, 0.8)
     assert {bytes(r["key"]).decode() for r in found.select("key").distinct().collect()} == {"0", "1", "2", "5000", "5001", "5002"}
     assert found.agg(F.max("n")).first()[0] == 2
