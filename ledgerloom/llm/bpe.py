@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: One cut in so many characters, on average.
-CHUNK = 512
+CHUNK = 1024
 #: Bounds of a worker's tables: ids of kept chunks, and words.
 KEPT_IDS, KEPT_WORDS = 4_000_000, 400_000
 TASK_CHARS = 2_000_000
@@ -128,13 +128,19 @@ class ChunkEncoder:
         if not first:
             return None
         start, end = first.start(), max(map(text.rfind, " \t\n\r")) + 1
-        bare = text[start:end].strip(" \t\n\r")
-        if not bare:
+        words = text[start:end].split()
+        if not words:
             return None
-        stop = _ENDS.search(bare)
-        one, last = bare[: stop.start()] if stop else bare, bare[max(map(bare.rfind, " \t\n\r")) + 1 :]
-        left, right = text.index(bare, start), text.rindex(bare, start, end) + len(bare)
-        return Piece(start, end, self.plain(text[start:end]), left - start + len(one), len(self.plain(one)), end - right + len(last), len(self.plain(last)))
+        one, last = words[0], words[-1]
+        head, tail = text.index(one, start) - start + len(one), end - text.rindex(last, start, end)
+        return Piece(start, end, self.plain(text[start:end]), head, self.count(one), tail, self.count(last))
+
+    def count(self, word: str) -> int:
+        """How many ids a word has; of a text just encoded, so its parts are known."""
+        try:
+            return sum(len(self.words[p]) for p in _SPLIT.findall(word.lower())) if self.by_word and not _ODD.search(word) else len(self.plain(word))
+        except KeyError:
+            return len(self.plain(word))
 
     def chunk(self, text: str) -> Piece | None:
         """The piece of a chunk, kept if the chunk was met before."""
@@ -160,9 +166,10 @@ class ChunkEncoder:
         than in the pieces."""
         start, end = left.end - left.tail if left else 0, right.start + right.head if right else len(text)
         ids, a, b = self.plain(text[start:end]), left.n_tail if left else 0, right.n_head if right else 0
-        if a + b > len(ids) or a and (ids[:a] != left.ids[-a:]).any() or b and (ids[-b:] != right.ids[:b]).any():
+        at = len(ids) - b
+        if a > at or a and ids[:a].tobytes() != left.ids[-a:].tobytes() or b and ids[at:].tobytes() != right.ids[:b].tobytes():
             return None
-        return ids[a : len(ids) - b]
+        return ids[a:at]
 
     def merged(self, text: str, left: Piece | None, right: Piece | None) -> Piece:
         """Both pieces and all between them, encoded at once."""
