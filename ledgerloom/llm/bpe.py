@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 #: One cut in so many characters, on average.
 CHUNK = 1024
 #: Bounds of a worker's tables: ids of kept chunks, and words.
-KEPT_IDS, KEPT_WORDS = 4_000_000, 400_000
+KEPT_IDS, KEPT_WORDS = 3_000_000, 250_000
+#: What a kept chunk takes besides its ids, in ids.
+PIECE = 120
 TASK_CHARS = 2_000_000
 
 # The split of the word tokenizer (fixed by its file), and the characters for which Python and the library surely agree on it.
@@ -156,7 +158,7 @@ class ChunkEncoder:
         else:
             self.reused += 1
         self.young[key] = found
-        self.size += 16 + (len(found.ids) if found else 0)
+        self.size += PIECE + (len(found.ids) if found else 0)
         if self.size > KEPT_IDS:
             self.old, self.young, self.size = self.young, {}, 0
         return found
