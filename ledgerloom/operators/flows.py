@@ -16,6 +16,7 @@ from ..functions.messages import capture_origin, parse_captures
 from ..sources.captures import DRAIN_ROWS, drain_pending, mark_consumed
 from ..sources.files import read_delimited, sniff_format
 from ..sources.shared import written
+from ..streaming.index import MatchIndex
 from .accounts import is_self_transfer, new_accounts, resolve_account_last4, resolve_account_mask
 from .dedup import collapse_batch, find_duplicate, import_report, merge_statement
 from .ledger import new_id, upsert
@@ -44,18 +45,19 @@ class Imported:
     report: DataFrame
 
 
-def ledger_rows(captures: DataFrame, ledger: DataFrame) -> DataFrame:
-    """New pending rows of one batch of messages: parsed, not in the ledger by any layer, and not twice in the batch. Newest first decides."""
-    parsed = parse_captures(captures).withColumn("origin", capture_origin(F.col("source"), F.col("sender")))
-    fresh = parsed.join(ledger.select("user_id", "dedup_key"), ["user_id", "dedup_key"], "left_anti")
-    known = find_duplicate(fresh, ledger).select("user_id", F.col("incoming_id").alias("id"))
-    fresh = fresh.join(known, ["user_id", "id"], "left_anti")
-    again = collapse_batch(fresh, [F.desc("posted_at_ms"), F.desc("id")]).filter("match_id is not null").select("user_id", "id")
+def ledger_rows(captures: DataFrame, ledger: DataFrame | MatchIndex) -> DataFrame:
+    """New pending rows of one batch of messages: parsed, not in the ledger by any layer, and not twice in the batch. Newest first decides. The ledger is a table, or a standing index of one."""
+    parsed = written(parse_captures(captures).withColumn("origin", capture_origin(F.col("source"), F.col("sender"))), "parsed")
+    keys = ledger.held_keys(parsed) if isinstance(ledger, MatchIndex) else ledger.select("user_id", "dedup_key")
+    fresh = written(parsed.join(keys, ["user_id", "dedup_key"], "left_anti"), "unknown-keys")
+    found = ledger.find_duplicate(fresh) if isinstance(ledger, MatchIndex) else find_duplicate(fresh, ledger)
+    fresh = written(fresh.join(found.select("user_id", F.col("incoming_id").alias("id")), ["user_id", "id"], "left_anti"), "unmatched")
+    again = collapse_batch(fresh, [-F.col("posted_at_ms"), -F.col("id")]).filter("match_id is not null").select("user_id", "id")
     rows = fresh.join(again, ["user_id", "id"], "left_anti")
     return rows.withColumn("status", F.lit("pending")).withColumn("raw_sender", F.col("sender")).withColumn("raw_body", F.col("body"))
 
 
-def pending_rows(captures: DataFrame, ledger: DataFrame, accounts: DataFrame, rules: DataFrame, keywords: Keywords) -> tuple[DataFrame, DataFrame]:
+def pending_rows(captures: DataFrame, ledger: DataFrame | MatchIndex, accounts: DataFrame, rules: DataFrame, keywords: Keywords) -> tuple[DataFrame, DataFrame]:
     """New ledger rows of a batch of messages, with account and category, and the accounts to make for them (user_id, id, name, last4, kind, archived).
 
     Transfers between a user's own accounts are judged by the accounts that were the user's before the message, and are categorised as such.
@@ -115,5 +117,5 @@ def import_statements(files: DataFrame, ledger: DataFrame, accounts: DataFrame,
     told = placed.withColumn("account_id", account).withColumn("raw_body", F.col("raw_line")).withColumn("title", F.lit(None).cast("string"))
     named = suggest_category(told, rules, keywords).withColumn("category", F.col("suggested")).withColumn("id", new_id("user_id", "dedup_key"))
     named = named.withColumn("source", F.lit("manual")).withColumn("status", F.lit("pending")).withColumn("raw_sender", F.concat(F.lit("statement:"), F.col("fmt")))
-    gone = decisions.filter("decision = 'replaced'").select("user_id", F.col("ledger_id").alias("id"))
+    gone = decisions.filter("deletes").select("user_id", F.col("ledger_id").alias("id"))
     return Imported(upsert(ledger, _like(named, ledger), deletes=gone), accounts.unionByName(made.select(*accounts.columns)), import_report(decisions, skipped))

@@ -11,12 +11,13 @@ from ..functions import matching, messages, periods
 from ..functions.text import day_of, ms_of
 from ..operators import accounts as ac
 from ..operators import categories as cat
-from ..operators import dedup, flows, ledger, rules
+from ..operators import dedup, flows, ledger, rules, store
 from ..operators import splits as sp
 from ..sources import captures as cap
 from ..sources import snapshots as snap
-from ..sources.shared import shared_path
+from ..sources.shared import shared_path, written
 from ..streaming import ingest
+from ..streaming.index import MatchIndex
 from . import views as v
 from .message_queries import PARSED, PREFILTERED
 from .registry import query
@@ -136,7 +137,7 @@ NEWEST = "posted_at_ms DESC, id DESC"
 @query("collapse_batch", sql("SELECT id, user_id, match_id FROM walk", PARSED, new_sql("came", "parsed"), *walk_sql("walk", "came", NEWEST, 600000)))
 def collapse_batch(spark, sf_dir):
     rows = led(spark, sf_dir).withColumn("origin", F.col("source"))
-    return dedup.collapse_batch(rows, [F.desc("posted_at_ms"), F.desc("id")])
+    return dedup.collapse_batch(rows, [-F.col("posted_at_ms"), -F.col("id")])
 
 
 @query(
@@ -151,13 +152,30 @@ def statement_supersedes(spark, sf_dir):
     return both.select("id", dedup.statement_supersedes(F.col("status"), messages.capture_origin(F.col("source"), F.col("raw_sender")), F.col("reference")).alias("replaces"))
 
 
-JUDGED = f"""judged AS MATERIALIZED (SELECT i.*, f.ledger_id, CASE WHEN f.ledger_id IS NULL THEN 'imported' WHEN l.status = 'pending' AND i.reference IS NOT NULL THEN 'replaced' ELSE 'duplicate' END AS first
-  FROM inc i LEFT JOIN found f ON f.user_id = i.user_id AND f.incoming_id = i.id LEFT JOIN led l ON l.user_id = f.user_id AND l.id = f.ledger_id)"""
-STAYS = "stays AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id, dedup_key ORDER BY id) > 1 AS again FROM judged WHERE first <> 'duplicate')"
-ALONE = "alone AS MATERIALIZED (SELECT * FROM stays WHERE NOT again)"
-DECIDED = """decided AS (SELECT j.user_id, j.file_id, j.id, j.dedup_key, j.ledger_id, CASE WHEN s.again OR w.match_id IS NOT NULL THEN 'duplicate' ELSE j.first END AS decision
-  FROM judged j LEFT JOIN stays s ON s.user_id = j.user_id AND s.id = j.id LEFT JOIN within_file w ON w.user_id = j.user_id AND w.id = j.id)"""
-MERGE = (*BASE, FOUND, JUDGED, STAYS, ALONE, *walk_sql("within_file", "alone", "id", 0), DECIDED)
+def replay_sql(name: str, inc: str, led: str, tight: int) -> tuple[str, ...]:
+    """A user's statement rows taken one after the other against the ledger as it is by then: the loop of one import, as a recursion over rows with the ledger as a list."""
+    held = "{'k': 0, 'id': id, 'ms': occurred_at_ms, 'amt': amount_paise, 'way': direction, 'm': m, 'o': o, 'r': r, 'may': status = 'pending' AND o <> 'statement'}"
+    own = "{'k': 1, 'id': q.id, 'ms': q.occurred_at_ms, 'amt': q.amount_paise, 'way': q.direction, 'm': q.m, 'o': q.o, 'r': q.r, 'may': FALSE}"
+    near = same_sql("s", "x", tight).replace("x.occurred_at_ms", "x.ms")
+    alike = "x.amt = s.amount_paise AND x.way = s.direction"
+    first = f"list_sort(list_transform(list_filter(w.held, lambda x: {alike} AND {REFS('s.r', 'x.r')}), lambda x: {{'apart': CAST(0 AS BIGINT), 'k': x.k, 'id': x.id, 'may': x.may}}))[1]"
+    close = f"list_sort(list_transform(list_filter(w.held, lambda x: {alike} AND coalesce({near}, FALSE)), lambda x: {{'apart': abs(x.ms - s.occurred_at_ms), 'k': x.k, 'id': x.id, 'may': x.may}}))[1]"
+    looks = "(s.reference IS NOT NULL OR s.m IS NOT NULL)"
+    lists = f"{name}_held AS MATERIALIZED (SELECT user_id, list({held}) AS held FROM {led} GROUP BY 1)"
+    seq = f"{name}_seq AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY id) AS seq FROM {inc})"
+    walk = f"""{name}(user_id, seq, id, file_id, dedup_key, ledger_id, decision, deletes, held, keys) AS (
+  SELECT u.user_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), FALSE, coalesce(h.held, []), CAST([] AS VARCHAR[])
+    FROM (SELECT DISTINCT user_id FROM {inc}) u LEFT JOIN {name}_held h ON h.user_id = u.user_id
+  UNION ALL SELECT q.user_id, q.seq, q.id, q.file_id, q.dedup_key, CASE WHEN q.f.k = 0 THEN q.f.id END, CASE WHEN NOT q.stays THEN 'duplicate' WHEN q.goes THEN 'replaced' ELSE 'imported' END, q.goes,
+    list_concat(CASE WHEN q.goes THEN list_filter(q.held, lambda x: x.k <> 0 OR x.id <> q.f.id) ELSE q.held END, CASE WHEN q.stays THEN [{own}] ELSE [] END),
+    CASE WHEN q.stays THEN list_append(q.keys, q.dedup_key) ELSE q.keys END
+  FROM (SELECT p.*, (p.f IS NULL OR p.goes) AND NOT list_contains(p.keys, p.dedup_key) AS stays FROM (
+    SELECT o.*, coalesce(o.f.may AND o.reference IS NOT NULL, FALSE) AS goes FROM (
+      SELECT s.*, w.held, w.keys, CASE WHEN {looks} THEN coalesce({first}, {close}) END AS f FROM {name} w JOIN {name}_seq s ON s.user_id = w.user_id AND s.seq = w.seq + 1) o) p) q)"""
+    return lists, seq, walk
+
+
+MERGE = (PARSED, led_sql("led", "parsed"), INC, *replay_sql("replay", "inc", "led", 0), "decided AS (SELECT user_id, file_id, id, dedup_key, ledger_id, decision, deletes FROM replay WHERE seq > 0)")
 
 
 @query("merge_statement", sql("SELECT * FROM decided", *MERGE))
@@ -168,7 +186,7 @@ def merge_statement(spark, sf_dir):
 @query(
     "import_report",
     sql("""SELECT user_id, file_id, count(*) FILTER (WHERE decision <> 'duplicate') AS imported, count(*) FILTER (WHERE decision = 'duplicate') AS duplicates,
-  count(*) FILTER (WHERE decision = 'replaced') AS replaced, CAST(0 AS BIGINT) AS unparsed FROM decided GROUP BY 1, 2""", *MERGE),
+  count(*) FILTER (WHERE deletes) AS replaced, CAST(0 AS BIGINT) AS unparsed FROM decided GROUP BY 1, 2""", *MERGE),
 )
 def import_report(spark, sf_dir):
     return dedup.import_report(merge_statement(spark, sf_dir))
@@ -533,6 +551,26 @@ def ledger_upsert(spark, sf_dir):
     return ledger.upsert(held, fresh.unionByName(again), updates, held.filter("id % 13 = 0"))
 
 
+@query(
+    "ledger_store",
+    sql("""SELECT user_id, id, category, dedup_key, occurred_at_ms FROM (
+  SELECT user_id, id, CASE WHEN id % 11 = 0 AND user_id % 7 = 2 THEN 'Moved' ELSE category END AS category, dedup_key, CASE WHEN id % 11 = 0 AND user_id % 7 = 2 THEN occurred_at_ms + 3000000000 ELSE occurred_at_ms END AS occurred_at_ms
+    FROM transactions WHERE id % 13 <> 0 OR user_id % 7 <> 1
+  UNION ALL SELECT user_id, id + 2000000000, category, dedup_key, occurred_at_ms + 1 FROM transactions WHERE id % 13 = 0 AND id % 2 = 0 AND user_id % 7 = 1)"""),
+)
+def ledger_store(spark, sf_dir):
+    """The ledger on disk: written, then changed twice for some users each, by partitions; the last version as read."""
+    held = v.transactions(spark, sf_dir).select("user_id", "id", "category", "dedup_key", "occurred_at_ms")
+    kept = store.LedgerStore(spark, shared_path(spark, "ledger"), 3)
+    kept.write(held)
+    own = held.filter("user_id % 7 = 1")
+    again = own.filter("id % 2 = 0").withColumn("id", F.col("id") + 2000000000).withColumn("occurred_at_ms", F.col("occurred_at_ms") + 1)  # known keys, but for those deleted
+    kept.upsert(again, None, own.filter("id % 13 = 0"))
+    moved = held.filter("user_id % 7 = 2 and id % 11 = 0").select("user_id", "id", F.lit("Moved").alias("category"), (F.col("occurred_at_ms") + 3000000000).alias("occurred_at_ms"))
+    kept.upsert(held.limit(0), moved)
+    return kept.read()
+
+
 # --- splits
 
 
@@ -723,26 +761,6 @@ def in_two(captures: DataFrame) -> list[DataFrame]:
     return [captures.filter(first), captures.filter(~first)]
 
 
-LEDGER = ["user_id", "id", "dedup_key", "source", "amount_paise", "direction", "merchant", "reference", "occurred_at_ms", "status"]
-
-
-@query("stream_ledger")
-def stream_ledger(spark, sf_dir):
-    """The whole ingest, twice over one checkpoint: what arrives later is matched with the ledger in the shared folder too. The rows it appends."""
-    path = shared_path(spark, "stream")
-    blank = messages.parse_captures(spark.createDataFrame([], cap.SCHEMA)).withColumn("title", F.lit(None).cast("string")).withColumn("raw_sender", F.col("sender")).withColumn("status", F.lit("pending"))
-    blank.write.parquet(f"{path}/ledger/batch=-1")
-    read = lambda: spark.read.schema(blank.schema).parquet(f"{path}/ledger")
-
-    def append(rows: DataFrame, i: int) -> None:
-        rows.withColumn("title", F.lit(None).cast("string")).select(*blank.columns).write.mode("overwrite").parquet(f"{path}/ledger/batch={i}")
-
-    for part in in_two(v.captures(spark, sf_dir)):
-        part.write.mode("append").parquet(f"{path}/in")
-        ingest.stream_ingest(cap.read_captures(spark, f"{path}/in", stream=True), f"{path}/cp", read, append).awaitTermination()
-    return read().select(*LEDGER)
-
-
 @query("stream_totals", sql("SELECT user_id, direction, occurred_at_ms // 86400000 * 86400000 AS day_ms, count(*) AS n, CAST(sum(amount_paise) AS BIGINT) AS total_paise FROM parsed GROUP BY 1, 2, 3", PARSED))
 def stream_totals(spark, sf_dir):
     rows, path = as_stream(spark, sf_dir)
@@ -845,24 +863,53 @@ STREAMED = (
 )
 
 
+LEDGER = ["user_id", "id", "dedup_key", "source", "amount_paise", "direction", "merchant", "reference", "occurred_at_ms", "status"]
+
+
+def live(spark: SparkSession, sf_dir: str, blank: DataFrame, rows_of) -> tuple[DataFrame, str]:
+    """The live ingest over two arrivals of messages, each matched by the index that the first has filled: the ledger that it appends to, and where all of it lies."""
+    path = shared_path(spark, "stream")
+    index = MatchIndex(spark, f"{path}/index", 8)
+
+    def append(rows: DataFrame, i: int) -> DataFrame:
+        rows.select(*blank.columns).write.mode("overwrite").parquet(f"{path}/ledger/batch={i}")
+        return spark.read.schema(blank.schema).parquet(f"{path}/ledger/batch={i}")
+
+    for part in in_two(v.captures(spark, sf_dir)):
+        part.write.mode("append").parquet(f"{path}/in")
+        ingest.stream_ingest(cap.read_captures(spark, f"{path}/in", stream=True), f"{path}/cp", append, index, rows_of).awaitTermination()
+    index.close()
+    return spark.read.schema(blank.schema).parquet(f"{path}/ledger"), path
+
+
+@query("stream_ledger", sql("SELECT p.user_id, p.id, dedup_key, source, amount_paise, direction, merchant, reference, occurred_at_ms, 'pending' AS status FROM passed p JOIN taken t ON t.id = p.id AND t.user_id = p.user_id", *STREAMED))
+def stream_ledger(spark, sf_dir):
+    """The rows that the live ingest appends, as parsed."""
+    titled = lambda rows: rows.withColumn("title", F.lit(None).cast("string")).withColumn("raw_sender", F.col("sender")).withColumn("status", F.lit("pending"))
+    blank = titled(messages.parse_captures(spark.createDataFrame([], cap.SCHEMA)))
+    return live(spark, sf_dir, blank, lambda rows, held: titled(flows.ledger_rows(rows, held)))[0].select(*LEDGER)
+
+
 @query("stream_ingest", sql(f"SELECT {ROW}, account_id FROM named", *STREAMED))
 def stream_ingest(spark, sf_dir):
     """The live ingest over two arrivals of messages: filter, exact dedup, parse, match with the ledger, collapse, account, category. The rows it appends, with the account if it was there."""
-    path = shared_path(spark, "stream")
     blank = blank_ledger(messages.parse_captures(spark.createDataFrame([], cap.SCHEMA)))
-    blank.write.parquet(f"{path}/ledger/batch=-1")
     accounts, own_rules = v.accounts(spark, sf_dir), v.category_rules(spark)
-    read = lambda: spark.read.schema(blank.schema).parquet(f"{path}/ledger")
-    append = lambda rows, i: rows.select(*blank.columns).write.mode("overwrite").parquet(f"{path}/ledger/batch={i}")
-    rows_of = lambda rows, held: flows.pending_rows(rows, held, accounts, own_rules, v.KEYWORDS)[0]
-    for part in in_two(v.captures(spark, sf_dir)):
-        part.write.mode("append").parquet(f"{path}/in")
-        ingest.stream_ingest(cap.read_captures(spark, f"{path}/in", stream=True), f"{path}/cp", read, append, rows_of).awaitTermination()
-    known = accounts.select("user_id", F.col("id").alias("account_id"))
-    out = read()
-    return out.join(known, ["user_id", "account_id"], "left_semi").select(*ROW.split(", "), "account_id").unionByName(
-        out.join(known, ["user_id", "account_id"], "left_anti").select(*ROW.split(", "), F.lit(None).cast("long").alias("account_id"))
-    )
+    out, _ = live(spark, sf_dir, blank, lambda rows, held: flows.pending_rows(rows, held, accounts, own_rules, v.KEYWORDS)[0])
+    known = accounts.select("user_id", F.col("id").alias("account_id"), F.lit(True).alias("known"))
+    return out.join(known, ["user_id", "account_id"], "left").withColumn("account_id", F.when(F.col("known"), F.col("account_id"))).select(*ROW.split(", "), "account_id")
+
+
+@query("index_matches", sql("SELECT f.user_id, f.incoming_id, f.layer, f.ledger_id FROM found f", *BASE, FOUND))
+def index_matches(spark, sf_dir):
+    """The statement rows against a standing index of the messages' ledger, filled in four parts."""
+    index = MatchIndex(spark, shared_path(spark, "index"), 8, 2)
+    held = led(spark, sf_dir)
+    for i in range(4):
+        index.add(held.filter(F.pmod("id", F.lit(4)) == i))
+    out = written(index.find_duplicate(inc(spark, sf_dir), 0), "found")
+    index.close()
+    return out
 
 
 #: The ledger before statements come: a third of their payments pending and known by reference, a third confirmed and known by time and shop.

@@ -15,6 +15,8 @@ from ..functions.messages import capture_origin, merchant_identity, parse_captur
 from ..operators.dedup import GROUP, Accepted
 from ..operators.flows import ledger_rows
 from ..sources.captures import MINUTE_MS, prefilter
+from ..sources.shared import written
+from .index import MatchIndex
 
 WATERMARK = "12 hours"
 
@@ -31,15 +33,19 @@ def stream_dedup(captures: DataFrame, watermark: str = WATERMARK) -> DataFrame:
 
 
 def stream_ingest(
-    captures: DataFrame, checkpoint: str, read_ledger: Callable[[], DataFrame], append: Callable[[DataFrame, int], None], rows_of: Callable[[DataFrame, DataFrame], DataFrame] = ledger_rows
+    captures: DataFrame, checkpoint: str, append: Callable[[DataFrame, int], DataFrame], index: MatchIndex, rows_of: Callable[[DataFrame, MatchIndex], DataFrame] = ledger_rows
 ) -> StreamingQuery:
-    """Run the stream: each batch is deduplicated, matched with the ledger as it stands, and appended.
+    """Run the stream: each batch is deduplicated, matched with the ledger by its standing index, appended to the ledger and added to the index. A batch costs what it holds and meets, not what the ledger holds.
 
-    `append(rows, batch_id)` must be idempotent by batch id, as a batch is replayed after a failure. `rows_of(messages, ledger)` makes a batch's rows.
+    `append(rows, batch_id)` writes a batch's rows and gives them back as written; it must be idempotent by batch id. A batch that is replayed after a failure is done again if the index doesn't know it, and otherwise left alone.
+    `rows_of(messages, index)` makes a batch's rows.
     """
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        append(rows_of(rows, read_ledger()), batch_id)
+        if batch_id > index.last_batch():
+            came = written(rows, "arrived")
+            if came.limit(1).count():  # a batch may only move the watermark
+                index.add(append(rows_of(came, index), batch_id), batch_id)
 
     return stream_dedup(captures).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()
 
