@@ -39,6 +39,10 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
 
 
+def part_of(id_col: str, parts: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(parts)).cast("int")
+
+
 def blocks(vectors: DataFrame, parts: int, rows: int) -> DataFrame:
     """(part, width, ids, nums, data) of (vec_id, embedding) and num, if there: at most `rows` integer vectors each, as doubles holding whole numbers; ids are hashed to parts."""
 
@@ -57,7 +61,7 @@ def blocks(vectors: DataFrame, parts: int, rows: int) -> DataFrame:
                     yield pa.RecordBatch.from_pylist([{"part": int(part), "width": width, "ids": ids.tobytes(), "nums": nums.tobytes(), "data": data.tobytes()}], schema=_BLOCK)
 
     chosen = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding"), F.col("num") if "num" in vectors.columns else F.lit(0).alias("num")).filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    return chosen.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).mapInArrow(run, "part int, width int, ids binary, nums binary, data binary")
+    return chosen.withColumn("part", part_of("vec_id", parts)).mapInArrow(run, "part int, width int, ids binary, nums binary, data binary")
 
 
 def _stats(x: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,7 +147,9 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     # a grid: each block of queries is sent to every shard of candidates, each block of candidates to every part of the queries
     parts = 1 + queries.count() // QUERY_ROWS
     shards = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + vectors.count() // (16 * BLOCK_ROWS))
-    asked = blocks(queries.repartition(parts, "vec_id"), parts, QUERY_ROWS).select(
+    # a block's rows lie together: dealt by the part that they are cut by, and in its order
+    dealt = queries.repartition(parts, part_of("vec_id", parts)).sortWithinPartitions(part_of("vec_id", parts))
+    asked = blocks(dealt, parts, QUERY_ROWS).select(
         F.col("part").alias("q"), F.col("width").alias("qw"), F.col("ids").alias("qi"), F.col("nums").alias("qn"), F.col("data").alias("qx"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
     )
     offered = blocks(vectors, 1, BLOCK_ROWS).withColumn("shard", F.pmod(F.xxhash64("ids"), F.lit(shards)).cast("int"))

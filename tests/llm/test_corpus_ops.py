@@ -392,6 +392,92 @@ def test_html_mark_does_not_decide_alone():
     assert html.main_text(f"<body>{menu}<article>{body}</article>{menu}</body>").split("\n") == story
 
 
+STORY = "A sentence of the story goes on and on, until the reader has had enough of all of it and stops."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><div><a title='it's here' href=x>L</a></div><p>{STORY}</p><p>It's here.</p></body>", f"<body><p><a title='it's'>L</a> {STORY}</p></body>",
+        f"<ul><li class='nav'>Home<li>{STORY}</ul>", f"<table><tr><td class='nav'>Home<td>{STORY}</table>", f"<article><ul><li class='share'>Share<li>{STORY}</ul></article>",
+        f"<div class='ad-free story'><p>{STORY}</p></div>", f"<div class='job-ads-story'><p>{STORY}</p></div>", f"<div class='alert-history'><p>{STORY}</p></div>",
+        f"<dl><dt class=menu>M<dd>{STORY}</dl>", f"<p class=share>Share<div>{STORY}</div>", f"<nav><ul><li>Home<article><p>{STORY}</p></article>", f'<p data-x="a > b" title="unclosed>{STORY}</p>',
+        f"<div class='sidebar-left'>Side</div><div class='site-footer'>{STORY[:50]}</div><div class='no-sidebar'>{STORY}</div>", f"<svg><p>{STORY}</p>", f"<div><div class=ad>Buy</span></div>{STORY}</div>",
+    ],
+)
+def test_html_keeps_text_of_broken_markup(page):
+    got = html.main_text(page)
+    assert STORY in got and not re.search("Home|Share|Side|Buy|^M$|title=", got, re.M)
+
+
+def test_html_footer_without_a_name():
+    body = "".join(f"<p>{STORY} {i}.</p>" for i in range(5))
+    for tail in ("<div>Copyright 2024 Foo</div><div>Contact us</div>", "<div>About</div><div>Imprint</div><div>Terms</div><div>Jobs</div>"):
+        assert html.main_text(f"<body><div>{body}<p>The end.</p></div>{tail}</body>").split("\n")[-2:] == [f"{STORY} 4.", "The end."]
+
+
+BROKEN = ['<a b="x ', "<script a='x ", "<div>", "<p>", "<li>", "<!--", "<a title='", "</", "<svg>", "<div><article>", "<nav><article>", "<td>", "&", "<x a=b c", "</div>", "<tr><td><li>"]
+
+
+@pytest.mark.parametrize("piece", BROKEN)
+def test_html_is_linear_in_broken_markup(piece):
+    """The time a megabyte takes is about four times that of a quarter of it, and little."""
+    import time
+
+    page = "<div><ul>" + piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    html.main_text(page)
+    assert time.process_time() - began < 12
+
+
+def made_page(rng):
+    """A page without an article mark, its names in mixed styles, and its article's lines."""
+    words = "the of river stone market quiet window letter summer bridge answer garden paper morning winter voice".split()
+    said = lambda n: " ".join(rng.choice(words) for _ in range(n)).capitalize() + rng.choice(".!?.")
+    story = [" ".join(said(rng.randint(8, 20)) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(3, 9))]
+    links = lambda n: "".join(f"<li><a href='/{i}'>{rng.choice(words)} {rng.choice(words)}</a>" for i in range(n))
+    name = lambda *x: rng.choice(["class='{}'", 'class="{}"', "id={}"]).format(rng.choice(x))
+    head = f"<div {name('site-header', 'masthead', 'topbar', 'page-header')}><ul>{links(rng.randint(3, 8))}</ul></div>"
+    side = f"<div {name('sidebar', 'sidebar-left', 'related-items', 'widget_2')}><p>{said(12)}</p><ul>{links(4)}</ul></div>"
+    bare = f"<ul>{links(rng.randint(4, 9))}</ul>"
+    advert = f"<div {name('ad', 'ad-slot', 'advert-box', 'sponsored')}>{said(15)}</div>"
+    foot = rng.choice([f"<div {name('footer', 'site-footer', 'footer-links')}>{said(14)}</div>", "<div>Copyright 2024 Foo</div><div>Contact us</div>"])
+    comments = f"<div {name('comments', 'comment-list', 'respond')}><p>{said(20)}</p><p>{said(25)}</p></div>"
+    middle = rng.randrange(1, len(story))
+    p = lambda x: f"<p>{x}" + rng.choice(["</p>", ""])
+    body = "".join(map(p, story[:middle])) + rng.choice([advert, ""]) + "".join(map(p, story[middle:]))
+    return f"<html><body>{head}{rng.choice([side, bare])}<div {name('story', 'post-body', 'content-with-menu', 'ad-free')}>{body}</div>{rng.choice([comments, ''])}{bare}{foot}</body></html>", story
+
+
+def test_html_of_made_pages():
+    rng, kept, told, right = random.Random(11), 0, 0, 0
+    for _ in range(200):
+        page, story = made_page(rng)
+        got = html.main_text(page).split("\n")
+        kept, told, right = kept + sum(map(len, story)), told + sum(map(len, got)), right + sum(len(x) for x in got if x in story)
+    assert right / kept > 0.99 and right / told > 0.97, (right / kept, right / told)
+
+
+def test_topk_blocks_hold_together(spark, monkeypatch):
+    """Queries of many parts lie in about as many blocks, and their results are those of brute force."""
+    monkeypatch.setattr(topk, "QUERY_ROWS", 40)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in rng.normal(size=12)]) for i in range(900)]
+    vectors = docs_of(spark, rows, "vec_id long, embedding array<double>")
+    asked = vectors.filter("vec_id % 3 = 0")
+    parts, seen, plain = 1 + 300 // 40, [], topk.blocks
+    monkeypatch.setattr(topk, "blocks", lambda v, n, r: seen.append(plain(v, n, r)) or seen[-1])
+    got = topk.topk(vectors, asked, 5).collect()
+    assert seen[0].count() <= parts + 4  # a part with more than its share of rows is two blocks
+    x = np.floor(np.array([r[1] for r in rows]) * 1024).astype(np.int64)
+    score = x @ x.T
+    want = set()
+    for q in range(0, 900, 3):
+        order = sorted((i for i in range(900) if i != q), key=lambda i: (-score[q, i], i))[:5]
+        want |= {(q, k + 1, i, int(score[q, i])) for k, i in enumerate(order)}
+    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == want
+
+
 def brute_regions(weights, marks, surge, window):
     """A line stays if some lines around it, of its own mark, hold a surge and no window of nothing."""
     n = len(weights)
