@@ -11,7 +11,7 @@ from ..functions import matching, messages, periods
 from ..functions.text import day_of, ms_of
 from ..operators import accounts as ac
 from ..operators import categories as cat
-from ..operators import dedup, flows, ledger, rules, store
+from ..operators import dedup, flows, ledger, rule_index, rules, store
 from ..operators import splits as sp
 from ..sources import captures as cap
 from ..sources import snapshots as snap
@@ -314,6 +314,38 @@ def category_from_rules(spark, sf_dir):
     return rules.with_rule(v.transactions(spark, sf_dir), v.category_rules(spark)).select("id", "rule_id", "rule_category")
 
 
+#: Rules in number: a user's own for every ninth payment, by its reference in the message, and one for all users for every hundredth, by its note or shop.
+MANY_RULES = """many_rules AS MATERIALIZED (SELECT * FROM category_rules UNION ALL
+  SELECT 1000 + id, user_id, CAST(500000000000 + id AS VARCHAR), 'Own ' || (id % 7), 'any', CASE id % 3 WHEN 0 THEN 'contains' ELSE 'ends_with' END, CASE WHEN id % 4 = 0 THEN 'debit' END, NULL, NULL, 45 + id % 9, id % 18 <> 0, 'learned', id % 5 FROM transactions WHERE id % 9 = 0
+  UNION ALL SELECT 5000000 + id, NULL, CASE id % 300 WHEN 0 THEN 'TE ' || (id % 20) WHEN 100 THEN (500000000000 + id) || '/s' ELSE '^paid .*' || (500000000000 + id) || '/' END, 'All ' || (id % 5), CASE id % 300 WHEN 0 THEN 'title' ELSE 'any' END,
+    CASE id % 300 WHEN 200 THEN 'regex' ELSE 'contains' END, NULL, CASE WHEN id % 8 = 0 THEN 1000000 END, NULL, 60, TRUE, 'manual', 0 FROM transactions WHERE id % 100 = 0)"""
+
+
+def many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, key, none = v.transactions(spark, sf_dir).select("id", "user_id"), F.col("id"), F.lit(None)
+    number = (500000000000 + key).cast("string")
+    own = t.filter("id % 9 = 0").select(
+        (1000 + key).alias("id"), "user_id", number.alias("pattern"), F.concat(F.lit("Own "), key % 7).alias("category"), F.lit("any").alias("field"), F.when(key % 3 == 0, "contains").otherwise("ends_with").alias("match_type"),
+        F.when(key % 4 == 0, "debit").alias("direction"), none.cast("long").alias("min_paise"), none.cast("long").alias("max_paise"), (45 + key % 9).cast("int").alias("priority"), (key % 18 != 0).alias("enabled"), F.lit("learned").alias("origin"), (key % 5).alias("hits"),
+    )
+    kind = key % 300
+    shared = t.filter("id % 100 = 0").select(
+        (5000000 + key).alias("id"), none.cast("long").alias("user_id"), F.when(kind == 0, F.concat(F.lit("TE "), key % 20)).when(kind == 100, F.concat(number, F.lit("/s"))).otherwise(F.concat(F.lit("^paid .*"), number, F.lit("/"))).alias("pattern"),
+        F.concat(F.lit("All "), key % 5).alias("category"), F.when(kind == 0, "title").otherwise("any").alias("field"), F.when(kind == 200, "regex").otherwise("contains").alias("match_type"), none.cast("string").alias("direction"),
+        F.when(key % 8 == 0, 1000000).cast("long").alias("min_paise"), none.cast("long").alias("max_paise"), F.lit(60).alias("priority"), F.lit(True).alias("enabled"), F.lit("manual").alias("origin"), F.lit(0).cast("long").alias("hits"),
+    )
+    return v.category_rules(spark).unionByName(own).unionByName(shared)
+
+
+MANY_HITS = (MANY_RULES, *(c.replace("FROM category_rules WHERE", "FROM many_rules WHERE") for c in HITS))
+
+
+@query("category_from_many_rules", sql("SELECT id, rule_id, rule_category FROM ruled", *MANY_HITS))
+def category_from_many_rules(spark, sf_dir):
+    """Rules that grow with the rows, by an inverted index."""
+    return rule_index.with_rule(v.transactions(spark, sf_dir), many_rules(spark, sf_dir)).select("id", "rule_id", "rule_category")
+
+
 def keyword_sql(h: str) -> str:
     return f"""CASE WHEN direction = 'debit' AND contains({h}, 'swiggy') THEN 'Food & Dining' WHEN direction = 'debit' AND contains({h}, 'blinkit') THEN 'Groceries'
   WHEN direction = 'debit' AND (contains({h}, 'hpcl') OR contains({h}, 'petrol pump')) THEN 'Fuel' WHEN direction = 'debit' AND contains({h}, 'netflix') THEN 'Subscriptions'

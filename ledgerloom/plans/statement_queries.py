@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import statements as s
 from ..functions.text import day_of
 from ..operators import statements as st
-from ..sources import files
+from ..sources import files, large_files
+from ..sources.shared import shared_path
 from . import views as v
 from .registry import query
 from .views import sql
@@ -151,6 +152,20 @@ def read_delimited(spark, sf_dir):
     return cells.groupBy("file_id", "row_idx").agg(F.min_by("cell", "col_idx").alias("first_cell"), F.count("*").alias("n_cells"))
 
 
+@query(
+    "read_delimited_files",
+    sql(f"""SELECT CAST(user_id AS VARCHAR) AS file_id, CAST(row_idx AS INTEGER) AS row_idx, CASE user_id % 3 WHEN 0 THEN dmy WHEN 1 THEN dmy ELSE strftime(o, '%d-%b-%Y') END AS first_cell,
+  CAST(CASE WHEN id % 9 = 0 THEN CASE user_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 2 END ELSE CASE user_id % 3 WHEN 0 THEN 3 WHEN 1 THEN 4 ELSE 3 END END AS BIGINT) AS n_cells FROM {ORDERED}"""),
+)
+def read_delimited_files(spark, sf_dir):
+    """The same statements as files in the shared folder, read in splits."""
+    path = shared_path(spark, "statements")
+    lines = statement_files(spark, sf_dir).select("file_id", F.decode("content", "UTF-8").alias("text"))
+    lines.write.partitionBy("file_id").text(path)
+    cells = large_files.read_delimited_files(spark, path).filter("row_idx > 2").withColumn("file_id", F.regexp_extract("file_id", "file_id=([^/]*)", 1))
+    return cells.groupBy("file_id", "row_idx").agg(F.min_by("cell", "col_idx").alias("first_cell"), F.count("*").alias("n_cells"))
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_delimited(statement_files(spark, sf_dir))
 
