@@ -5,6 +5,8 @@ Times are wall-clock milliseconds; ranges are half-open. `spent` is a debit's am
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from ..functions.text import day_of, ms_of
 from .accounts import txn_with_account
 
 PAGE_ROWS = 50
+UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 
 
 def in_range(at: Column, start_ms: int | None, end_ms: int | None) -> Column:
@@ -27,11 +30,11 @@ def in_range(at: Column, start_ms: int | None, end_ms: int | None) -> Column:
 def history_filter(
     ledger: DataFrame, search: str | None = None, origin: str | None = None, start_ms: int | None = None, end_ms: int | None = None, categories: list[str] | None = None
 ) -> DataFrame:
-    """Confirmed rows by search text, origin, time and categories; what isn't given doesn't filter. `%` and `_` in a search are wild."""
+    """Confirmed rows by search text, origin, time and categories; what isn't given doesn't filter. `%` and `_` in a search are wild, a backslash is itself, and only A to Z are alike in both cases."""
     test = (F.col("status") == "confirmed") & in_range(F.col("occurred_at_ms"), start_ms, end_ms)
     if search and search.strip():
-        like = f"%{search.strip()}%"
-        hit = [F.coalesce(F.ilike(F.col(c), F.lit(like)), F.lit(False)) for c in ("title", "merchant", "note", "category") if c in ledger.columns]
+        like = f"%{search.strip()}%".translate(str.maketrans(UPPER, LOWER)).replace("\\", "\\\\")
+        hit = [F.coalesce(F.translate(F.col(c), UPPER, LOWER).like(like), F.lit(False)) for c in ("title", "merchant", "note", "category") if c in ledger.columns]
         found = hit[0]
         for h in hit[1:]:
             found = found | h
@@ -136,6 +139,22 @@ def summary_by_period(full: DataFrame, cycle_day: int = 1) -> DataFrame:
     return rows.groupBy("user_id", F.col("p.period").alias("period"), F.col("p.start_ms").alias("start_ms")).agg(*totals())
 
 
+def running_totals(full: DataFrame) -> DataFrame:
+    """(user_id, day_ms, n, spent, earned, month_spent, month_earned, ever_spent, ever_earned): each day that has rows, with the sums of its month and of all time up to it.
+
+    Prefix sums in two levels: days within their month, and months before it; so a user's life is never one sort of days, and rows only meet in the daily sums.
+    """
+    day = day_of(F.col("occurred_at_ms"))
+    days = full.filter("status = 'confirmed'").groupBy("user_id", ms_of(F.trunc(day, "month")).alias("month_ms"), ms_of(day).alias("day_ms")).agg(*totals()).select("user_id", "month_ms", "day_ms", "n", "spent", "earned")
+    in_month = W.partitionBy("user_id", "month_ms").orderBy("day_ms").rowsBetween(W.unboundedPreceding, 0)
+    inside = days.select("*", *[F.sum(c).over(in_month).alias(f"month_{c}") for c in ("spent", "earned")])
+    months = days.groupBy("user_id", "month_ms").agg(F.sum("spent").alias("s"), F.sum("earned").alias("e"))
+    earlier = W.partitionBy("user_id").orderBy("month_ms").rowsBetween(W.unboundedPreceding, -1)
+    before = months.select("user_id", "month_ms", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"before_{c}") for c in ("s", "e")])
+    ever = [(F.col(f"before_{c[0]}") + F.col(f"month_{c}")).alias(f"ever_{c}") for c in ("spent", "earned")]
+    return inside.join(before, ["user_id", "month_ms"]).select("user_id", "day_ms", "n", "spent", "earned", "month_spent", "month_earned", *ever)
+
+
 def category_usage(ledger: DataFrame, rules: DataFrame) -> DataFrame:
     """(user_id, category, transactions, rules); rules for all users stand under a null user_id."""
     count = lambda df, name: df.groupBy("user_id", "category").agg(F.count("*").alias(name))

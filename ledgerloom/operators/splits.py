@@ -1,4 +1,4 @@
-"""Shared payments: exact shares, balances, settlement."""
+"""Shared payments: exact shares, balances, settlement. A share is settled at a time, `settled_at_ms`, or open, where that is null."""
 
 from __future__ import annotations
 
@@ -34,7 +34,7 @@ def my_share(amount: Column, lent: Column) -> Column:
 def outstanding_balances(splits: DataFrame) -> DataFrame:
     """(user_id, person_id, net_paise) of what is unsettled; who is square is left out. Positive is owed to the user."""
     signed = F.when(F.col("direction") == "owed_to_me", F.col("amount_paise")).otherwise(-F.col("amount_paise"))
-    return splits.filter(~F.col("settled")).groupBy("user_id", "person_id").agg(F.sum(signed).alias("net_paise")).filter("net_paise != 0")
+    return splits.filter("settled_at_ms is null").groupBy("user_id", "person_id").agg(F.sum(signed).alias("net_paise")).filter("net_paise != 0")
 
 
 def total_outstanding(splits: DataFrame) -> DataFrame:
@@ -47,19 +47,19 @@ def total_outstanding(splits: DataFrame) -> DataFrame:
 def replace_splits(splits: DataFrame, new: DataFrame) -> DataFrame:
     """The splits with those of the payments in `new` (user_id, transaction_id, person_id, direction, amount_paise) replaced.
 
-    Shares of nothing are dropped, and stand for a payment that is no longer shared; a share of the same person and direction stays settled if it was.
+    Shares of nothing are dropped, and stand for a payment that is no longer shared; a share of the same person and direction stays settled when it was, at the latest of its times.
     """
     key = ["user_id", "transaction_id"]
     kept = splits.join(new.select(*key).distinct(), key, "left_anti")
-    was = splits.groupBy(*key, "person_id", "direction").agg(F.max("settled").alias("settled"))
-    made = new.filter("amount_paise > 0").join(was, [*key, "person_id", "direction"], "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+    was = splits.groupBy(*key, "person_id", "direction").agg(F.max("settled_at_ms").alias("settled_at_ms"))
+    made = new.filter("amount_paise > 0").join(was, [*key, "person_id", "direction"], "left")
     return kept.unionByName(made.select(*kept.columns))
 
 
-def settle_up(splits: DataFrame, people: DataFrame) -> DataFrame:
-    """The splits with every one of the given (user_id, person_id) settled."""
-    done = people.select("user_id", "person_id").distinct().withColumn("__done", F.lit(True))
-    return splits.join(done, ["user_id", "person_id"], "left").withColumn("settled", F.col("settled") | F.coalesce("__done", F.lit(False))).drop("__done")
+def settle_up(splits: DataFrame, people: DataFrame, now_ms: int) -> DataFrame:
+    """The splits with all that is open with the given (user_id, person_id) settled now; what was settled before keeps its time."""
+    done = people.select("user_id", "person_id").distinct().withColumn("__now", F.lit(now_ms).cast("long"))
+    return splits.join(done, ["user_id", "person_id"], "left").withColumn("settled_at_ms", F.coalesce("settled_at_ms", "__now")).drop("__now")
 
 
 def split_with_person(splits: DataFrame, people: DataFrame) -> DataFrame:
@@ -68,5 +68,5 @@ def split_with_person(splits: DataFrame, people: DataFrame) -> DataFrame:
 
 def deletable_people(people: DataFrame, splits: DataFrame) -> DataFrame:
     """The people with whom their user has nothing unsettled."""
-    open_ = splits.filter(~F.col("settled")).select("user_id", F.col("person_id").alias("id")).distinct()
+    open_ = splits.filter("settled_at_ms is null").select("user_id", F.col("person_id").alias("id")).distinct()
     return people.join(open_, ["user_id", "id"], "left_anti")

@@ -18,6 +18,7 @@ from ..sources import snapshots as snap
 from ..sources.shared import shared_path, written
 from ..streaming import ingest
 from ..streaming.index import MatchIndex
+from ..streaming.sums import signed
 from . import views as v
 from .message_queries import PARSED, PREFILTERED
 from .registry import query
@@ -460,6 +461,15 @@ def history_filter(spark, sf_dir):
 PLACED = "CAST(row_number() OVER (PARTITION BY user_id ORDER BY occurred_at_ms DESC, id DESC) AS INTEGER) AS row_no"
 
 
+@query("history_search", sql("""SELECT id, user_id, title FROM (SELECT id, user_id, status, CASE id % 5 WHEN 0 THEN 'a\\b ' || id WHEN 1 THEN 'A\\B' WHEN 2 THEN 'É ' || id WHEN 3 THEN 'é\\' ELSE 'ab' END AS title FROM transactions)
+WHERE status = 'confirmed' AND (contains(lower(title), 'a\\b') OR contains(title, 'é'))"""))
+def history_search(spark, sf_dir):
+    """Searches are text but for % and _: a backslash is one, and only A to Z are alike in both cases."""
+    titled = v.transactions(spark, sf_dir).withColumn("title", v.one_of(F.col("id") % 5, ["a\\b ", "A\\B", "É ", "é\\", "ab"])).withColumn("title", F.when(F.col("id") % 5 % 2 == 0, F.concat("title", F.when(F.col("id") % 5 < 4, F.col("id").cast("string")).otherwise(""))).otherwise(F.col("title")))
+    found = ledger.history_filter(titled, "a\\b").unionByName(ledger.history_filter(titled, "é"))
+    return found.select("id", "user_id", "title").distinct()
+
+
 @query("history_page", sql(f"SELECT t.id, t.user_id, a.name AS account_name, row_no FROM (SELECT *, {PLACED} FROM transactions WHERE status = 'confirmed') t LEFT JOIN accounts a ON a.id = t.account_id AND a.user_id = t.user_id WHERE row_no > 10 AND row_no <= 60"))
 def history_page(spark, sf_dir):
     page = ledger.history_page(ledger.history_filter(v.transactions(spark, sf_dir)), 50, 10)
@@ -551,6 +561,16 @@ def summary_by_period(spark, sf_dir):
     return ledger.summary_by_period(full_rows(spark, sf_dir), 7)
 
 
+@query(
+    "running_totals",
+    sql(f"""SELECT user_id, day_ms, n, spent, earned, CAST(sum(spent) OVER (PARTITION BY user_id, date_trunc('month', d) ORDER BY day_ms) AS BIGINT) AS month_spent, CAST(sum(earned) OVER (PARTITION BY user_id, date_trunc('month', d) ORDER BY day_ms) AS BIGINT) AS month_earned,
+  CAST(sum(spent) OVER (PARTITION BY user_id ORDER BY day_ms) AS BIGINT) AS ever_spent, CAST(sum(earned) OVER (PARTITION BY user_id ORDER BY day_ms) AS BIGINT) AS ever_earned
+FROM (SELECT user_id, {DAY_SQL} AS d, {MS(DAY_SQL)} AS day_ms, {TOTALS} FROM full_rows WHERE status = 'confirmed' GROUP BY 1, 2, 3)""", FULL),
+)
+def running_totals(spark, sf_dir):
+    return ledger.running_totals(full_rows(spark, sf_dir))
+
+
 @query("category_usage", sql("SELECT user_id, category, count(*) FILTER (WHERE t) AS transactions, count(*) FILTER (WHERE NOT t) AS rules FROM (SELECT user_id, category, TRUE AS t FROM transactions UNION ALL SELECT user_id, category, FALSE FROM category_rules) GROUP BY 1, 2"))
 def category_usage(spark, sf_dir):
     return ledger.category_usage(v.transactions(spark, sf_dir), v.category_rules(spark))
@@ -631,7 +651,7 @@ def my_share(spark, sf_dir):
     return full_rows(spark, sf_dir).select("id", sp.my_share(F.expr("amount_paise div 1000"), F.col("lent_paise")).alias("own_paise"))
 
 
-NET = "net AS (SELECT user_id, person_id, CAST(sum(CASE WHEN direction = 'owed_to_me' THEN amount_paise ELSE -amount_paise END) AS BIGINT) AS net_paise FROM splits WHERE NOT settled GROUP BY 1, 2 HAVING net_paise <> 0)"
+NET = "net AS (SELECT user_id, person_id, CAST(sum(CASE WHEN direction = 'owed_to_me' THEN amount_paise ELSE -amount_paise END) AS BIGINT) AS net_paise FROM splits WHERE settled_at_ms IS NULL GROUP BY 1, 2 HAVING net_paise <> 0)"
 
 
 @query("outstanding_balances", sql("SELECT * FROM net", NET))
@@ -646,9 +666,9 @@ def total_outstanding(spark, sf_dir):
 
 @query(
     "replace_splits",
-    sql("""SELECT user_id, transaction_id, person_id, amount_paise, direction, settled FROM splits WHERE transaction_id % 5 <> 0
-UNION ALL SELECT n.user_id, n.transaction_id, n.person_id, n.amount_paise, n.direction, coalesce(w.settled, FALSE) FROM (SELECT DISTINCT user_id, transaction_id, person_id, direction, transaction_id % 1000 AS amount_paise FROM splits WHERE transaction_id % 5 = 0 AND transaction_id % 1000 > 0) n
-LEFT JOIN (SELECT user_id, transaction_id, person_id, direction, bool_or(settled) AS settled FROM splits GROUP BY 1, 2, 3, 4) w USING (user_id, transaction_id, person_id, direction)"""),
+    sql("""SELECT user_id, transaction_id, person_id, amount_paise, direction, settled_at_ms FROM splits WHERE transaction_id % 5 <> 0
+UNION ALL SELECT n.user_id, n.transaction_id, n.person_id, n.amount_paise, n.direction, w.settled_at_ms FROM (SELECT DISTINCT user_id, transaction_id, person_id, direction, transaction_id % 1000 AS amount_paise FROM splits WHERE transaction_id % 5 = 0 AND transaction_id % 1000 > 0) n
+LEFT JOIN (SELECT user_id, transaction_id, person_id, direction, max(settled_at_ms) AS settled_at_ms FROM splits GROUP BY 1, 2, 3, 4) w USING (user_id, transaction_id, person_id, direction)"""),
 )
 def replace_splits(spark, sf_dir):
     held = v.splits(spark, sf_dir)
@@ -656,18 +676,18 @@ def replace_splits(spark, sf_dir):
     return sp.replace_splits(held, new)
 
 
-@query("settle_up", sql("SELECT user_id, transaction_id, person_id, amount_paise, direction, settled OR person_id % 3 = 0 AS settled FROM splits"))
+@query("settle_up", sql("SELECT user_id, transaction_id, person_id, amount_paise, direction, coalesce(settled_at_ms, CASE WHEN person_id % 3 = 0 THEN 902158200000 END) AS settled_at_ms FROM splits"))
 def settle_up(spark, sf_dir):
     held = v.splits(spark, sf_dir)
-    return sp.settle_up(held, held.filter("person_id % 3 = 0")).select(*held.columns)
+    return sp.settle_up(held, held.filter("person_id % 3 = 0"), 902158200000).select(*held.columns)
 
 
-@query("split_with_person", sql("SELECT s.user_id, transaction_id, person_id, amount_paise, direction, settled, p.name AS person_name FROM splits s JOIN people p ON p.id = s.person_id AND p.user_id = s.user_id"))
+@query("split_with_person", sql("SELECT s.user_id, transaction_id, person_id, amount_paise, direction, settled_at_ms, p.name AS person_name FROM splits s JOIN people p ON p.id = s.person_id AND p.user_id = s.user_id"))
 def split_with_person(spark, sf_dir):
     return sp.split_with_person(v.splits(spark, sf_dir), v.people(spark, sf_dir))
 
 
-@query("deletable_people", sql("SELECT * FROM people p WHERE NOT EXISTS (SELECT 1 FROM splits s WHERE NOT s.settled AND s.user_id = p.user_id AND s.person_id = p.id)"))
+@query("deletable_people", sql("SELECT * FROM people p WHERE NOT EXISTS (SELECT 1 FROM splits s WHERE s.settled_at_ms IS NULL AND s.user_id = p.user_id AND s.person_id = p.id)"))
 def deletable_people(spark, sf_dir):
     return sp.deletable_people(v.people(spark, sf_dir), v.splits(spark, sf_dir))
 
@@ -793,41 +813,37 @@ def in_two(captures: DataFrame) -> list[DataFrame]:
     return [captures.filter(first), captures.filter(~first)]
 
 
-@query("stream_totals", sql("SELECT user_id, direction, occurred_at_ms // 86400000 * 86400000 AS day_ms, count(*) AS n, CAST(sum(amount_paise) AS BIGINT) AS total_paise FROM parsed GROUP BY 1, 2, 3", PARSED))
+@query("stream_totals", sql("SELECT user_id, direction, occurred_at_ms // 86400000 * 86400000 AS start_ms, count(*) AS n, CAST(sum(amount_paise) AS BIGINT) AS total_paise FROM parsed GROUP BY 1, 2, 3", PARSED))
 def stream_totals(spark, sf_dir):
-    rows, path = as_stream(spark, sf_dir)
-
-    def keep(df: DataFrame, i: int) -> None:
-        df.select("user_id", "direction", F.unix_millis("w.start").alias("day_ms"), "n", "total_paise").write.mode("overwrite").parquet(f"{path}/out/batch={i}")
-
-    run = ingest.stream_totals(rows).writeStream.outputMode("complete").option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).foreachBatch(keep).start()
-    run.awaitTermination()
-    out = spark.read.schema("user_id long, direction string, day_ms long, n long, total_paise long, batch int").parquet(f"{path}/out")
-    last = out.agg(F.max("batch")).first()[0]
-    return out.filter(F.col("batch") == last).drop("batch")
-
-
-@query("stream_pending_count", sql("SELECT user_id, count(*) AS pending FROM transactions WHERE status = 'pending' GROUP BY 1"))
-def stream_pending_count(spark, sf_dir):
+    """Daily totals over two arrivals of messages."""
     path = shared_path(spark, "stream")
-    v.transactions(spark, sf_dir).write.parquet(f"{path}/in")
-    rows = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).parquet(f"{path}/in")
+    sums = ingest.total_sums(spark, f"{path}/sums")
+    for part in in_two(v.captures(spark, sf_dir)):
+        part.write.mode("append").parquet(f"{path}/in")
+        ingest.stream_totals(cap.read_captures(spark, f"{path}/in", stream=True), sums, f"{path}/cp").awaitTermination()
+    return sums.read()
 
-    def keep(df: DataFrame, i: int) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/out/batch={i}")
 
-    run = ingest.stream_pending_count(rows).writeStream.outputMode("complete").option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).foreachBatch(keep).start()
-    run.awaitTermination()
-    out = spark.read.schema("user_id long, pending long, batch int").parquet(f"{path}/out")
-    last = out.agg(F.max("batch")).first()[0]
-    return out.filter(F.col("batch") == last).select("user_id", "pending")
+@query("stream_pending_count", sql("SELECT user_id, count(*) AS pending FROM transactions WHERE (status = 'pending' AND id % 14 <> 0 AND id % 5 <> 0) OR (status = 'confirmed' AND id % 15 = 1) GROUP BY 1"))
+def stream_pending_count(spark, sf_dir):
+    """Rows arrive; then some that wait are confirmed, some go, and some that were confirmed wait again."""
+    path, rows = shared_path(spark, "stream"), v.transactions(spark, sf_dir)
+    counts, kept = ingest.pending_sums(spark, f"{path}/sums"), rows.select("user_id", "id", "status")
+    confirmed, gone, reopened = kept.filter("status = 'pending' and id % 14 = 0"), kept.filter("status = 'pending' and id % 14 != 0 and id % 5 = 0"), kept.filter("status = 'confirmed' and id % 15 = 1")
+    none = kept.limit(0)
+    changed = signed(confirmed.union(gone).union(reopened), confirmed.withColumn("status", F.lit("confirmed")).union(reopened.withColumn("status", F.lit("pending"))))
+    for change in (signed(none, kept), changed):
+        change.write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema("user_id long, id long, status string, sign int").parquet(f"{path}/in")
+        ingest.stream_pending_count(stream, counts, f"{path}/cp").awaitTermination()
+    return counts.read().select("user_id", F.col("n").alias("pending"))
 
 
 @query("stream_near_dup", sql("SELECT id, user_id, match_id FROM walk", PARSED, new_sql("came_all", "parsed"), "came AS MATERIALIZED (SELECT * REPLACE (CAST(NULL AS VARCHAR) AS r) FROM came_all)", *walk_sql("walk", "came", "posted_at_ms, id", 600000)))
 def stream_near_dup(spark, sf_dir):
     rows, path = as_stream(spark, sf_dir)
-    run = ingest.stream_near_dup(rows).writeStream.format("parquet").option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).start(f"{path}/out")
-    run.awaitTermination()
+    with ingest.with_rocksdb(spark):
+        ingest.stream_near_dup(rows).writeStream.format("parquet").option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
     return spark.read.schema("id long, user_id long, match_id long").parquet(f"{path}/out")
 
 

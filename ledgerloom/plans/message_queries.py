@@ -94,6 +94,23 @@ def mark_consumed(spark, sf_dir):
     return c.mark_consumed(done, c.drain_pending(rows, done))
 
 
+@query(
+    "drain_with_bitmaps",
+    sql(
+        """SELECT user_id, max(n) AS drained, CAST(sum(CASE WHEN n <= 200 THEN id ELSE 0 END) AS BIGINT) AS ids, count(*) FILTER (WHERE n > 200) AS waiting
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY posted_at_ms DESC, id DESC) AS n FROM captures WHERE id % 5 <> 0) GROUP BY 1""".replace("max(n) AS drained", "least(max(n), 200) AS drained")
+    ),
+)
+def drain_with_bitmaps(spark, sf_dir):
+    """One drain over bitmaps of what was consumed, marked, and what a second drain would still find."""
+    rows = v.captures(spark, sf_dir)
+    done = c.consumed_bitmaps(rows.filter("id % 5 = 0"))
+    first = c.drain_pending(rows, done)
+    left = c.drain_pending(rows, c.mark_consumed(done, first), 1 << 30).groupBy("user_id").agg(F.count("*").alias("waiting"))
+    got = first.groupBy("user_id").agg(F.count("*").alias("drained"), F.sum("id").alias("ids"))
+    return got.join(left, "user_id", "left").select("user_id", "drained", "ids", F.coalesce("waiting", F.lit(0)).alias("waiting"))
+
+
 NOW_MS = 1_706_600_000_000
 
 

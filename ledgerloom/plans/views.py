@@ -81,7 +81,7 @@ def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     owners = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.expr("o_custkey div 10").alias("user_id"))
     return table(spark, sf_dir, "lineitem").join(owners, "l_orderkey").select(
         "user_id", F.col("l_orderkey").alias("transaction_id"), F.col("l_suppkey").alias("person_id"), (cents("l_extendedprice") % 50000 + 1).alias("amount_paise"),
-        F.when(F.col("l_returnflag") == "R", "i_owe").otherwise("owed_to_me").alias("direction"), (F.col("l_linestatus") == "F").alias("settled"),
+        F.when(F.col("l_returnflag") == "R", "i_owe").otherwise("owed_to_me").alias("direction"), F.when(F.col("l_linestatus") == "F", wall_ms("l_shipdate")).alias("settled_at_ms"),
     )
 
 
@@ -183,7 +183,7 @@ transactions AS (SELECT o_orderkey AS id, o_custkey // 10 AS user_id, CASE WHEN
   CASE WHEN o_orderkey % 4 = 2 THEN 'stmt|table|' || (700000 + o_orderkey) ELSE 'k|' || o_orderkey END AS dedup_key,
   CASE WHEN o_orderkey % 5 = 0 THEN CAST(900000 + o_orderkey AS VARCHAR) END AS reference FROM orders),
 splits AS (SELECT o_custkey // 10 AS user_id, l_orderkey AS transaction_id, l_suppkey AS person_id, CAST(round(l_extendedprice * 100) AS BIGINT) % 50000 + 1 AS amount_paise,
-  CASE WHEN l_returnflag = 'R' THEN 'i_owe' ELSE 'owed_to_me' END AS direction, l_linestatus = 'F' AS settled
+  CASE WHEN l_returnflag = 'R' THEN 'i_owe' ELSE 'owed_to_me' END AS direction, CASE WHEN l_linestatus = 'F' THEN epoch_us(l_shipdate) // 1000 END AS settled_at_ms
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 captures AS (SELECT event_id * 2 + k AS id, user_id, CASE WHEN k = 0 THEN 'sms' ELSE 'notification' END AS source,
   CASE WHEN k = 0 THEN 'HDFCBK' ELSE 'com.phonepe.app' END AS sender,

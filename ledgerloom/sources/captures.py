@@ -58,8 +58,29 @@ def exact_dedup(captures: DataFrame) -> DataFrame:
 
 
 def drain_pending(captures: DataFrame, consumed: DataFrame, most: int = DRAIN_ROWS) -> DataFrame:
-    """Each user's newest unconsumed messages."""
-    return _newest(captures.join(consumed.select("user_id", "id"), ["user_id", "id"], "left_anti"), most)
+    """Each user's newest unconsumed messages. What is consumed is a list of (user_id, id), or their bitmaps."""
+    if "bits" not in consumed.columns:
+        return _newest(captures.join(consumed.select("user_id", "id"), ["user_id", "id"], "left_anti"), most)
+    held = consumed.select("user_id", F.col("id_range").alias("__range"), F.col("bits").alias("__bits"))
+    met = captures.withColumn("__range", F.bitmap_bucket_number("id")).join(held, ["user_id", "__range"], "left")
+    return _newest(met.filter(~F.coalesce(_is_set(F.col("__bits"), F.bitmap_bit_position("id")), F.lit(False))).select(*captures.columns), most)
+
+
+def _is_set(bits: Column, at: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(bits, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, (at % 8).cast("int")) == 1
+
+
+def consumed_bitmaps(ids: DataFrame) -> DataFrame:
+    """(user_id, id_range, bits): the ids (user_id, id) as one bitmap of 4 kB for each range of 32,768 ids."""
+    at = F.bitmap_bit_position("id")
+    return ids.groupBy("user_id", F.bitmap_bucket_number("id").alias("id_range")).agg(F.bitmap_construct_agg(at).alias("bits"))
+
+
+def consumed_ids(bitmaps: DataFrame) -> DataFrame:
+    """(user_id, id) of bitmaps of ids from 1 on."""
+    every = F.filter(F.sequence(F.lit(0), F.lit(32_767)), lambda p: _is_set(F.col("bits"), p))
+    return bitmaps.select("user_id", "id_range", F.explode(every).alias("p")).select("user_id", ((F.col("id_range") - 1) * 32_768 + F.col("p") + 1).alias("id"))
 
 
 def _newest(captures: DataFrame, most: int) -> DataFrame:
@@ -68,7 +89,10 @@ def _newest(captures: DataFrame, most: int) -> DataFrame:
 
 
 def mark_consumed(consumed: DataFrame, drained: DataFrame) -> DataFrame:
-    """The consumed ids with those drained; marking twice changes nothing."""
+    """The consumed ids with those drained, as a list or, where they are kept so, as bitmaps: of these only the ranges drained are merged. Marking twice changes nothing."""
+    if "bits" in consumed.columns:
+        both = consumed.unionByName(consumed_bitmaps(drained.select("user_id", "id")))
+        return both.groupBy("user_id", "id_range").agg(F.bitmap_or_agg("bits").alias("bits"))
     return consumed.select("user_id", "id").union(drained.select("user_id", "id")).distinct()
 
 

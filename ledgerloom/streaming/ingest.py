@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.matching import TIGHT_MS, WIDE_MS
+from ..functions.text import DAY_MS
 from ..functions.messages import capture_origin, merchant_identity, parse_captures
 from ..operators.dedup import GROUP, Accepted
 from ..operators.flows import ledger_rows
 from ..sources.captures import MINUTE_MS, prefilter
 from ..sources.shared import written
 from .index import MatchIndex
+from .sums import DeltaSums, follow
 
 WATERMARK = "12 hours"
 
@@ -50,49 +53,88 @@ def stream_ingest(
     return stream_dedup(captures).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()
 
 
+class NearDup(StatefulProcessor):
+    """Accepted payments of one (user, amount, direction): a map from 12-hour bucket to the payments in it, of which a batch reads and writes only those that it reaches. A timer for each bucket ends it."""
+
+    def __init__(self, tight_ms: int):
+        self.tight_ms = tight_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getMapState("held", "bucket long", "ids array<long>, times array<long>, merchants array<string>, origins array<string>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(rows).sort_values(["posted_at_ms", "id"])
+        known, read, changed, out = Accepted(), {}, set(), []
+
+        def reach(bucket: int) -> None:
+            """Read a bucket's payments, once."""
+            if bucket not in read:
+                found = self.held.getValue((bucket,)) or ([], [], [], [])
+                read[bucket] = [list(c) for c in found]
+                for i, ms, m, origin in zip(*read[bucket], strict=True):
+                    known.add((i, ms, m or None, origin, None, self.tight_ms))
+
+        for i, ms, m, origin in zip(*(batch[c].tolist() for c in ("id", "ms", "m", "origin")), strict=True):
+            own = ms // WIDE_MS
+            for b in (own - 1, own, own + 1):
+                reach(b)
+            row = (i, ms, m if isinstance(m, str) else None, origin, None, self.tight_ms)
+            out.append(known.match(row))
+            if out[-1] is None:
+                known.add(row)
+                for column, x in zip(read[own], (i, ms, row[2] or "", origin), strict=True):
+                    column.append(x)
+                changed.add(own)
+        for b in sorted(changed):
+            self.held.updateValue((b,), tuple(read[b]))
+            self.handle.registerTimer((b + 3) * WIDE_MS)  # two windows behind the bucket's end
+        yield pd.DataFrame({"id": batch["id"], "user_id": batch["user_id"], "match_id": pd.array(out, dtype="Int64")})
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.held.removeKey((expiredTimerInfo.getExpiryTimeInMs() // WIDE_MS - 3,))
+        yield pd.DataFrame({"id": [], "user_id": [], "match_id": []})
+
+    def close(self) -> None:
+        pass
+
+
 def stream_near_dup(captures: DataFrame, watermark: str = WATERMARK, tight_ms: int = TIGHT_MS) -> DataFrame:
     """(id, user_id, match_id) of a stream's parsed payments: the payment accepted before it that time and merchant take for the same one, or null.
 
     Each (user, amount, direction) keeps its accepted payments as state, the earliest posted first in a batch, and forgets those that the watermark has left two windows
-    behind. References match at any distance in time, so they need the ledger, as in `stream_ingest`, not bounded state.
+    behind. References match at any distance in time, so they need the ledger, as in `stream_ingest`, not bounded state. Needs the RocksDB state store (`with_rocksdb`).
     """
     parsed = parse_captures(captures).withColumn("posted_at", F.timestamp_millis("posted_at_ms")).withWatermark("posted_at", watermark)
     rows = parsed.select("id", *GROUP, "posted_at", "posted_at_ms", F.col("occurred_at_ms").alias("ms"), merchant_identity(F.col("merchant"), 1).alias("m"), capture_origin(F.col("source"), F.col("sender")).alias("origin"))
+    return rows.groupBy(*GROUP).transformWithStateInPandas(NearDup(tight_ms), "id long, user_id long, match_id long", "Append", "EventTime")
+
+
+@contextmanager
+def with_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB: a map's entries are read and written one by one, and spill to disk."""
+    name, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def pending_sums(spark: SparkSession, path: str) -> DeltaSums:
+    return DeltaSums(spark, path, {"user_id": "long"})
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = Accepted()
-        kept = list(zip(*state.get, strict=True)) if state.exists else []
-        for i, ms, m, origin in kept:
-            held.add((i, ms, m or None, origin, None, tight_ms))
-        batch = pd.concat(frames).sort_values(["posted_at_ms", "id"])
-        out = []
-        for i, ms, m, origin in zip(*(batch[c].tolist() for c in ("id", "ms", "m", "origin")), strict=True):
-            row = (i, ms, m if isinstance(m, str) else None, origin, None, tight_ms)
-            out.append(held.match(row))
-            if out[-1] is None:
-                held.add(row)
-                kept.append((i, ms, row[2] or "", origin))
-        oldest = state.getCurrentWatermarkMs() - 2 * WIDE_MS
-        kept = [x for x in kept if x[1] >= oldest]
-        state.update(tuple(list(c) for c in zip(*kept)) if kept else ([], [], [], []))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(batch["posted_at_ms"].max())) + 2 * WIDE_MS)
-        yield pd.DataFrame({"id": batch["id"], "user_id": batch["user_id"], "match_id": pd.array(out, dtype="Int64")})
 
-    return rows.groupBy(*GROUP).applyInPandasWithState(
-        run, "id long, user_id long, match_id long", "ids array<long>, times array<long>, merchants array<string>, origins array<string>", "append", GroupStateTimeout.EventTimeTimeout
-    )
+def stream_pending_count(changes: DataFrame, sums: DeltaSums, checkpoint: str) -> StreamingQuery:
+    """Follow ledger changes (rows with `sign`, as `sums.signed` gives them): the number of rows per user that wait for review. A row that is confirmed or deleted leaves the count."""
+    return follow(changes.filter("status = 'pending'"), sums, checkpoint)
 
 
-def stream_pending_count(ledger: DataFrame) -> DataFrame:
-    """The running number of rows per user that wait for review, over a stream of ledger rows."""
-    return ledger.filter("status = 'pending'").groupBy("user_id").agg(F.count("*").alias("pending"))
+def total_sums(spark: SparkSession, path: str) -> DeltaSums:
+    return DeltaSums(spark, path, {"user_id": "long", "direction": "string", "start_ms": "long"}, {"total_paise": "long"})
 
 
-def stream_totals(captures: DataFrame, width: str = "1 day", watermark: str = WATERMARK) -> DataFrame:
-    """Tumbling totals of the parsed payments, per user and direction."""
-    parsed = parse_captures(captures)
-    timed = parsed.withColumn("occurred_at", F.timestamp_millis("occurred_at_ms")).withWatermark("occurred_at", watermark)
-    return timed.groupBy("user_id", "direction", F.window("occurred_at", width).alias("w")).agg(F.count("*").alias("n"), F.sum("amount_paise").alias("total_paise"))
+def stream_totals(captures: DataFrame, sums: DeltaSums, checkpoint: str, width_ms: int = DAY_MS) -> StreamingQuery:
+    """Follow messages: tumbling totals of their payments, per user and direction. Late messages count where they belong."""
+    start = F.floor(F.col("occurred_at_ms") / width_ms) * width_ms
+    return follow(parse_captures(captures).select("user_id", "direction", start.cast("long").alias("start_ms"), "amount_paise").withColumnRenamed("amount_paise", "total_paise").withColumn("sign", F.lit(1)), sums, checkpoint)
