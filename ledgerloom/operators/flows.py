@@ -1,6 +1,7 @@
 """Whole flows, from raw input to the next version of the ledger: messages that wait in the queue, and statement files.
 
-A ledger row has user_id, id, account_id, amount_paise, direction, title, merchant, category, occurred_at_ms, source, status, raw_sender, raw_body, dedup_key and reference.
+A ledger row has user_id, id, account_id, amount_paise, direction, title, merchant, category, occurred_at_ms, source, status, raw_sender, raw_body, dedup_key and reference, and as it likes
+confidence (how sure the parse is; of statement rows 1, or 0.6 without a merchant) and note (the user's own, null in new rows).
 What a flow decides is written to the shared folder before it is used, as several results read it.
 """
 
@@ -24,6 +25,8 @@ from .rules import Keywords, suggest_category
 from .statements import detect_wallet_statement, parse_wallet_statement, table_rows
 
 OWN_TRANSFER = "Transfers"
+#: Confidence of statement rows without and with a merchant.
+UNSURE = (0.6, 1.0)
 
 
 @dataclass
@@ -72,7 +75,7 @@ def pending_rows(captures: DataFrame, ledger: DataFrame | MatchIndex, accounts:
     return told.withColumn("id", new_id("user_id", "dedup_key")), made
 
 
-def _like(rows: DataFrame, ledger: DataFrame) -> DataFrame:
+def like_ledger(rows: DataFrame, ledger: DataFrame) -> DataFrame:
     """`rows` with the ledger's columns, null where they have none."""
     kinds = {f.name: f.dataType for f in ledger.schema}
     return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in ledger.columns])
@@ -82,7 +85,7 @@ def drain_batch(captures: DataFrame, consumed: DataFrame, ledger: DataFrame, acc
     """Each user's newest waiting messages read into the ledger. Running it again over its own results changes nothing."""
     drained = written(drain_pending(captures, consumed, most).drop("row_no"), "drained")
     rows, made = pending_rows(drained, ledger, accounts, rules, keywords)
-    rows = written(_like(rows, ledger), "pending-rows")
+    rows = written(like_ledger(rows, ledger), "pending-rows")
     seen = drained.groupBy("user_id").agg(F.count("*").alias("seen"))
     taken = rows.groupBy("user_id").agg(F.count("*").alias("imported"))
     imported = F.coalesce("imported", F.lit(0))
@@ -116,6 +119,7 @@ def import_statements(files: DataFrame, ledger: DataFrame, accounts: DataFrame,
     account = F.coalesce("account_id", F.when(F.col("new_name").isNotNull(), new_id("user_id", "new_name")))
     told = placed.withColumn("account_id", account).withColumn("raw_body", F.col("raw_line")).withColumn("title", F.lit(None).cast("string"))
     named = suggest_category(told, rules, keywords).withColumn("category", F.col("suggested")).withColumn("id", new_id("user_id", "dedup_key"))
+    named = named.withColumn("confidence", F.when(F.col("merchant").isNotNull(), UNSURE[1]).otherwise(UNSURE[0]))
     named = named.withColumn("source", F.lit("manual")).withColumn("status", F.lit("pending")).withColumn("raw_sender", F.concat(F.lit("statement:"), F.col("fmt")))
     gone = decisions.filter("deletes").select("user_id", F.col("ledger_id").alias("id"))
-    return Imported(upsert(ledger, _like(named, ledger), deletes=gone), accounts.unionByName(made.select(*accounts.columns)), import_report(decisions, skipped))
+    return Imported(upsert(ledger, like_ledger(named, ledger), deletes=gone), accounts.unionByName(made.select(*accounts.columns)), import_report(decisions, skipped))

@@ -16,6 +16,8 @@ from .categories import INCOME, INCOME_ONLY
 
 #: Rules for all users in one literal array.
 SHARED_CHUNK = 200
+#: Behind the rules that users write.
+LEARNED_PRIORITY = 100
 
 Keywords = dict[str, list[str]]
 
@@ -168,5 +170,28 @@ def learn_rules(corrections: DataFrame, rules: DataFrame) -> DataFrame:
     return both.select("user_id", "pattern", F.coalesce("new_category", "old").alias("category"), (F.coalesce("had", F.lit(0)) + F.coalesce("n", F.lit(0))).cast("long").alias("hits"))
 
 
+def next_rules(rules: DataFrame, corrections: DataFrame) -> DataFrame:
+    """The rules table after the corrections (user_id, merchant, category, at): a user's learned rule of a key gets the last category and its hits, other keys get a rule of their own, and every other rule stays as it is.
+
+    A new rule has an id from its user and key, the same whenever it is made; it looks for the key anywhere, at priority `LEARNED_PRIORITY`. Of several learned rules with one key the lowest id is the one that is kept up.
+    """
+    keyed = corrections.withColumn("pattern", rule_key(F.col("merchant"))).filter("pattern is not null and user_id is not null")
+    new = keyed.groupBy("user_id", "pattern").agg(F.max_by("category", F.struct("at", "category")).alias("__category"), F.count("*").alias("__n"))
+    simple = (F.col("origin") == "learned") & (F.col("field") == "any") & (F.col("match_type") == "contains") & F.col("user_id").isNotNull()
+    owner = rules.filter(simple).groupBy("user_id", "pattern").agg(F.min("id").alias("id"))
+    told = owner.join(new, ["user_id", "pattern"]).select(F.col("user_id").alias("__u"), F.col("id").alias("__id"), "__category", "__n")
+    hit = F.col("__n").isNotNull()
+    kept = rules.join(told, (F.col("user_id") == F.col("__u")) & (F.col("id") == F.col("__id")) & simple, "left").select(
+        *[F.when(hit, F.col("__category")).otherwise(F.col(c)).alias(c) if c == "category" else (F.col(c) + F.coalesce("__n", F.lit(0))).alias(c) if c == "hits" else F.col(c) for c in rules.columns]
+    )
+    made = new.join(owner, ["user_id", "pattern"], "left_anti")
+    fresh = {
+        "id": F.shiftrightunsigned(F.xxhash64("user_id", "pattern"), 1), "user_id": F.col("user_id"), "pattern": F.col("pattern"), "category": F.col("__category"), "field": F.lit("any"), "match_type": F.lit("contains"),
+        "priority": F.lit(LEARNED_PRIORITY), "enabled": F.lit(True), "origin": F.lit("learned"), "hits": F.col("__n"),
+    }
+    kinds = {f.name: f.dataType for f in rules.schema}
+    return kept.unionByName(made.select(*[fresh.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in rules.columns]))
+
+
 def rules_ordered(rules: DataFrame) -> DataFrame:
     return rules.orderBy("priority", F.desc("hits"), "id")

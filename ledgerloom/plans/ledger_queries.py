@@ -14,6 +14,7 @@ from ..operators import categories as cat
 from ..operators import dedup, flows, ledger, rule_index, rules, store
 from ..operators import splits as sp
 from ..sources import captures as cap
+from ..sources import snapshot_parts as sparts
 from ..sources import snapshots as snap
 from ..sources.shared import shared_path, written
 from ..streaming import ingest
@@ -363,6 +364,20 @@ def keyword_category(spark, sf_dir):
     return v.transactions(spark, sf_dir).select("id", rules.keyword_category(text, F.col("direction"), v.KEYWORDS).alias("category"))
 
 
+@query(
+    "keyword_category_table",
+    sql(f"""SELECT t.id, coalesce(k.category, CASE WHEN direction = 'credit' THEN 'Other Income' ELSE 'Other' END) AS category FROM transactions t LEFT JOIN (
+  SELECT id, first(category ORDER BY list_place, category) AS category FROM (SELECT t.id, k.category, k.list_place FROM (SELECT id, direction, {TEXT} AS h FROM transactions) t
+    JOIN (SELECT w.keyword, w.category, min(w.place) OVER (PARTITION BY w.category) AS list_place, c.kind FROM keyword_table w JOIN categories c ON c.name = w.category) k
+    ON contains(t.h, k.keyword) AND CASE WHEN k.category IN {tuple(cat.INCOME_ONLY)} THEN t.direction = 'credit' WHEN k.category IN {tuple(cat.INCOME)} THEN TRUE ELSE t.direction = 'debit' END) GROUP BY 1) k ON k.id = t.id"""),
+)
+def keyword_category_table(spark, sf_dir):
+    """Some hundreds of keywords in 40 lists, read from a table: lists in their order, those for income alone, and those for both."""
+    text = F.lower(F.concat(F.coalesce("merchant", F.lit("")), F.lit(" "), F.coalesce("raw_body", F.lit(""))))
+    lists = rules.keywords_of(v.keyword_table(spark, sf_dir))
+    return v.transactions(spark, sf_dir).select("id", rules.keyword_category(text, F.col("direction"), lists).alias("category"))
+
+
 @query("suggest_category", sql(f"SELECT id, coalesce(rule_category, {keyword_sql('h')}) AS suggested FROM (SELECT *, {TEXT} AS h FROM ruled)", *HITS))
 def suggest_category(spark, sf_dir):
     return rules.suggest_category(v.transactions(spark, sf_dir), v.category_rules(spark), v.KEYWORDS).select("id", "suggested")
@@ -389,6 +404,20 @@ def learn_rules(spark, sf_dir):
     return rules.learn_rules(corrections, v.category_rules(spark).filter("user_id is not null"))
 
 
+@query(
+    "next_rules",
+    sql("""SELECT r.user_id, r.pattern, CASE WHEN n.category IS NOT NULL AND r.origin = 'learned' AND r.field = 'any' AND r.match_type = 'contains' THEN n.category ELSE r.category END AS category, r.field, r.match_type, r.priority, r.enabled, r.origin,
+  r.hits + CASE WHEN r.origin = 'learned' AND r.field = 'any' AND r.match_type = 'contains' THEN coalesce(n.n, 0) ELSE 0 END AS hits FROM category_rules r LEFT JOIN learned n ON n.user_id = r.user_id AND n.pattern = r.pattern
+UNION ALL SELECT n.user_id, n.pattern, n.category, 'any', 'contains', 100, TRUE, 'learned', n.n FROM learned n
+WHERE NOT EXISTS (SELECT 1 FROM category_rules r WHERE r.user_id = n.user_id AND r.pattern = n.pattern AND r.origin = 'learned' AND r.field = 'any' AND r.match_type = 'contains')""",
+        "learned AS (SELECT user_id, lower(trim(merchant)) AS pattern, first(category ORDER BY occurred_at_ms DESC, category DESC) AS category, count(*) AS n FROM transactions WHERE status = 'confirmed' AND length(trim(merchant)) >= 3 GROUP BY 1, 2)"),
+)
+def next_rules(spark, sf_dir):
+    """The whole rules table after all corrections: learned ones updated or added, all others as they were."""
+    corrections = v.transactions(spark, sf_dir).filter("status = 'confirmed'").select("user_id", "merchant", "category", F.col("occurred_at_ms").alias("at"))
+    return rules.next_rules(v.category_rules(spark), corrections).select("user_id", "pattern", "category", "field", "match_type", "priority", "enabled", "origin", "hits")
+
+
 @query("rules_ordered", sql("SELECT r.id, r.category, CAST(row_number() OVER (ORDER BY priority, hits DESC, r.id) AS INTEGER) AS place, u.n FROM category_rules r JOIN (SELECT category, count(*) AS n FROM transactions GROUP BY 1) u USING (category)"))
 def rules_ordered(spark, sf_dir):
     from pyspark.sql import Window as W
@@ -782,6 +811,28 @@ def snapshot_restore(spark, sf_dir):
     return back.join(refused, "user_id", "full").select("user_id", "reason", "transactions", "total_paise")
 
 
+@query(
+    "snapshot_parts",
+    sql("""SELECT user_id, reason, CASE WHEN reason IS NULL THEN transactions END AS transactions, CASE WHEN reason IS NULL THEN total_paise END AS total_paise, CASE WHEN reason IS NULL THEN coalesce(splits, 0) END AS splits
+FROM (SELECT user_id, CASE user_id % 6 WHEN 1 THEN 'newer schema' WHEN 2 THEN 'foreign format' WHEN 3 THEN 'missing part' WHEN 4 THEN CASE WHEN accounts > 0 THEN 'rows without parents' END END AS reason, transactions, total_paise, splits
+  FROM (SELECT user_id, count(*) AS transactions, CAST(sum(amount_paise) AS BIGINT) AS total_paise, count(account_id) AS accounts FROM transactions GROUP BY 1) t LEFT JOIN (SELECT user_id, count(*) AS splits FROM splits GROUP BY 1) s USING (user_id))"""),
+)
+def snapshot_parts(spark, sf_dir):
+    """Snapshots in small parts and back: some users' manifests are of others' making, some have lost a part, some were exported without their accounts."""
+    tables = user_tables(spark, sf_dir)
+    tables["accounts"] = tables["accounts"].filter("user_id % 6 != 4")
+    parts, manifests = sparts.export_parts(tables, "2026-01-01T00:00:00Z", 20_000)
+    kind = F.col("user_id") % 6
+    manifests = manifests.withColumn("schemaVersion", F.when(kind == 1, 9).otherwise(F.col("schemaVersion"))).withColumn("format", F.when(kind == 2, "other").otherwise(F.col("format")))
+    lost = parts.filter("user_id % 6 = 3 and table = 'transactions'").groupBy("user_id", "table").agg(F.max("part").alias("part"))
+    shapes = {"accounts": "id: long", "people": "id: long", "transactions": "id: long, account_id: long, amount_paise: long", "splits": "transaction_id: long, person_id: long"}
+    rows, refused = sparts.restore_parts(parts.join(lost, ["user_id", "table", "part"], "left_anti"), manifests, shapes)
+    back = rows["transactions"].groupBy("user_id").agg(F.count("*").alias("transactions"), F.sum("amount_paise").alias("total_paise"))
+    shared = rows["splits"].groupBy("user_id").agg(F.count("*").alias("splits"))
+    out = back.join(shared, "user_id", "left").withColumn("splits", F.coalesce("splits", F.lit(0)))
+    return out.join(refused, "user_id", "full").join(tables["transactions"].select("user_id").distinct(), "user_id", "left_semi").select("user_id", "reason", "transactions", "total_paise", "splits")
+
+
 @query("snapshot_retain", sql("SELECT user_id, id AS snapshot_id, occurred_at_ms AS modified_ms FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY occurred_at_ms DESC, id DESC) AS n FROM transactions) WHERE n > 10"))
 def snapshot_retain(spark, sf_dir):
     kept = v.transactions(spark, sf_dir).select("user_id", F.col("id").alias("snapshot_id"), F.col("occurred_at_ms").alias("modified_ms"))
@@ -849,10 +900,10 @@ def stream_near_dup(spark, sf_dir):
 
 # --- whole flows
 
-ROW = "user_id, dedup_key, amount_paise, direction, merchant, category, status"
+ROW = "user_id, dedup_key, amount_paise, direction, merchant, category, status, confidence"
 #: Rows accepted from messages, read like a ledger's.
 ACCEPTED = "accepted AS MATERIALIZED (SELECT p.*, CAST(NULL AS VARCHAR) AS title, p.body AS raw_body FROM parsed p JOIN taken t ON t.id = p.id AND t.user_id = p.user_id)"
-NAMED = f"""named AS (SELECT r.user_id, dedup_key, amount_paise, direction, merchant, coalesce(rule_category, {keyword_sql("h")}) AS category, 'pending' AS status, r.last4, k.account_id
+NAMED = f"""named AS (SELECT r.user_id, dedup_key, amount_paise, direction, merchant, coalesce(rule_category, {keyword_sql("h")}) AS category, 'pending' AS status, r.confidence, r.last4, k.account_id
   FROM (SELECT *, {TEXT} AS h FROM ruled) r LEFT JOIN known k ON k.user_id = r.user_id AND k.last4 = r.last4)"""
 
 
@@ -862,6 +913,7 @@ def blank_ledger(rows: DataFrame) -> DataFrame:
     return rows.select(
         "user_id", "id", none("long").alias("account_id"), "amount_paise", "direction", none("string").alias("title"), "merchant", F.lit("Other").alias("category"), "occurred_at_ms", "source",
         F.lit("confirmed").alias("status"), F.col("sender").alias("raw_sender"), F.col("body").alias("raw_body"), "dedup_key", "reference",
+        "confidence", none("string").alias("note"),
     )
 
 
@@ -884,7 +936,7 @@ def drained(spark: SparkSession, sf_dir: str) -> flows.Drained:
 @query(
     "drain_batch",
     sql(f"""SELECT {ROW}, coalesce(a.name, CASE WHEN n.last4 IS NOT NULL THEN 'Card ••' || n.last4 END) AS account_name FROM named n LEFT JOIN (SELECT id, name FROM accounts) a ON a.id = n.account_id
-UNION ALL SELECT user_id, dedup_key, amount_paise, direction, merchant, 'Other', 'confirmed', NULL FROM old""", *DRAINED),
+UNION ALL SELECT user_id, dedup_key, amount_paise, direction, merchant, 'Other', 'confirmed', confidence, NULL FROM old""", *DRAINED),
 )
 def drain_batch(spark, sf_dir):
     """From the queue to the next version of the ledger; the messages consumed before are in it already."""
@@ -920,7 +972,7 @@ def live(spark: SparkSession, sf_dir: str, blank: DataFrame, rows_of) -> tuple[D
     index = MatchIndex(spark, f"{path}/index", 8)
 
     def append(rows: DataFrame, i: int) -> DataFrame:
-        rows.select(*blank.columns).write.mode("overwrite").parquet(f"{path}/ledger/batch={i}")
+        flows.like_ledger(rows, blank).write.mode("overwrite").parquet(f"{path}/ledger/batch={i}")
         return spark.read.schema(blank.schema).parquet(f"{path}/ledger/batch={i}")
 
     for part in in_two(v.captures(spark, sf_dir)):
@@ -961,9 +1013,9 @@ def index_matches(spark, sf_dir):
 
 
 #: The ledger before statements come: a third of their payments pending and known by reference, a third confirmed and known by time and shop.
-BEFORE = """before AS MATERIALIZED (SELECT user_id, id, amount_paise, direction, 'Shop ' || (id % 50) AS merchant, 'k|' || id AS dedup_key, CASE WHEN id % 3 = 0 THEN 'pending' ELSE 'confirmed' END AS status FROM transactions WHERE id % 3 <> 2)"""
+BEFORE = """before AS MATERIALIZED (SELECT user_id, id, amount_paise, direction, 'Shop ' || (id % 50) AS merchant, 'k|' || id AS dedup_key, CASE WHEN id % 3 = 0 THEN 'pending' ELSE 'confirmed' END AS status, CAST(0.8 AS DOUBLE) AS confidence FROM transactions WHERE id % 3 <> 2)"""
 TAKEN = f"""accepted AS MATERIALIZED (SELECT user_id, id, amount_paise, direction, CAST(NULL AS VARCHAR) AS title, 'Shop ' || (id % 50) AS merchant, 'UPI/SHOP ' || (id % 50) || '/' || (300000000000 + id) || '/x' AS raw_body,
-  'stmt|table|' || (300000000000 + id) AS dedup_key, lpad(CAST(user_id % 10000 AS VARCHAR), 4, '0') AS last4 FROM transactions WHERE id % 9 <> 0 AND id % 3 <> 1)"""
+  'stmt|table|' || (300000000000 + id) AS dedup_key, lpad(CAST(user_id % 10000 AS VARCHAR), 4, '0') AS last4, CAST(1.0 AS DOUBLE) AS confidence FROM transactions WHERE id % 9 <> 0 AND id % 3 <> 1)"""
 
 
 def imported(spark: SparkSession, sf_dir: str) -> flows.Imported:
@@ -973,7 +1025,7 @@ def imported(spark: SparkSession, sf_dir: str) -> flows.Imported:
         "user_id", "id", F.lit(None).cast("long").alias("account_id"), "amount_paise", "direction", F.lit(None).cast("string").alias("title"), F.concat(F.lit("Shop "), F.col("id") % 50).alias("merchant"),
         F.lit("Other").alias("category"), noon.cast("long").alias("occurred_at_ms"), F.lit("sms").alias("source"), F.when(F.col("id") % 3 == 0, "pending").otherwise("confirmed").alias("status"),
         F.lit("HDFCBK").alias("raw_sender"), F.lit(None).cast("string").alias("raw_body"), F.concat(F.lit("k|"), "id").alias("dedup_key"),
-        F.when(F.col("id") % 3 == 0, (300000000000 + F.col("id")).cast("string")).alias("reference"),
+        F.when(F.col("id") % 3 == 0, (300000000000 + F.col("id")).cast("string")).alias("reference"), F.lit(0.8).alias("confidence"), F.lit(None).cast("string").alias("note"),
     )
     return flows.import_statements(statement_files(spark, sf_dir), held, v.accounts(spark, sf_dir), v.category_rules(spark), v.KEYWORDS)
 
@@ -981,7 +1033,7 @@ def imported(spark: SparkSession, sf_dir: str) -> flows.Imported:
 @query(
     "import_statements",
     sql(f"""SELECT {ROW}, coalesce(a.name, 'Card ••' || n.last4) AS account_name FROM named n LEFT JOIN (SELECT id, name FROM accounts) a ON a.id = n.account_id
-UNION ALL SELECT user_id, dedup_key, amount_paise, direction, merchant, 'Other', status, NULL FROM before WHERE id % 3 <> 0 OR id % 9 = 0""", KNOWN, BEFORE, TAKEN, *hits_sql("accepted"), NAMED),
+UNION ALL SELECT user_id, dedup_key, amount_paise, direction, merchant, 'Other', status, confidence, NULL FROM before WHERE id % 3 <> 0 OR id % 9 = 0""", KNOWN, BEFORE, TAKEN, *hits_sql("accepted"), NAMED),
 )
 def import_statements(spark, sf_dir):
     """From whole statement files to the next version of the ledger."""

@@ -158,6 +158,15 @@ def category_rules(spark: SparkSession, sf_dir: str = "") -> DataFrame:
     return spark.createDataFrame(RULES, RULES_SCHEMA)
 
 
+def keyword_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(category, keyword, place): the short list above, then for the built-in categories in turn the shop numbers that end a message, some hundreds."""
+    first = [(c, w, 1_000 * i + j) for i, (c, ws) in enumerate(KEYWORDS.items()) for j, w in enumerate(ws)]
+    names = F.array(*[F.lit(r[1]) for r in seed_rows()])
+    k = transactions(spark, sf_dir).select((F.col("id") % 1000).alias("k")).filter("k < 700").distinct()
+    more = k.select(F.element_at(names, (F.col("k") % 40 + 1).cast("int")).alias("category"), F.concat(F.lpad("k", 3, "0"), F.lit("/s")).alias("keyword"), (100_000 + 1_000 * (F.col("k") % 40) + F.col("k")).cast("int").alias("place"))
+    return spark.createDataFrame(first, "category string, keyword string, place int").unionByName(more)
+
+
 def _value(v) -> str:
     return "NULL" if v is None else str(v).upper() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
 
@@ -207,6 +216,8 @@ accounts AS (SELECT c_custkey AS id, c_custkey // 10 AS user_id, c_name AS name,
   c_custkey % 13 = 0 AS archived FROM customer),
 people AS (SELECT DISTINCT user_id, s_suppkey AS id, s_name AS name, s_suppkey % 10 = 0 AS archived FROM splits JOIN supplier ON s_suppkey = person_id),
 categories(id, name, kind, money_moved, archived, sort_order, builtin) AS (VALUES {_values(seed_rows())}),
+keyword_table(category, keyword, place) AS (SELECT * FROM (VALUES {_values([(c, w, 1_000 * i + j) for i, (c, ws) in enumerate(KEYWORDS.items()) for j, w in enumerate(ws)])}) UNION ALL
+  SELECT c.name, lpad(CAST(k AS VARCHAR), 3, '0') || '/s', 100000 + 1000 * (k % 40) + k FROM (SELECT DISTINCT o_orderkey % 1000 AS k FROM orders) JOIN categories c ON c.id = k % 40 + 1 WHERE k < 700),
 category_rules(id, user_id, pattern, category, field, match_type, direction, min_paise, max_paise, priority, enabled, origin, hits) AS (VALUES {_values(RULES)})"""
 
 
