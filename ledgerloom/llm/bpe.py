@@ -28,6 +28,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: One cut in so many characters, on average.
 CHUNK = 1024
@@ -272,7 +273,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 texts = [said(np.asarray(x.values).tolist()) for x in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, encoded.schema.simpleString()[7:-1].replace(":", " ", 2) + ", decoded string")
+    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:

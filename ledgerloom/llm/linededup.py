@@ -125,11 +125,13 @@ def dropped_positions(docs: DataFrame, id_col: str, text_col: str, min_chars: in
     per_doc = lines.select("batch", "h1", "h2", "id").distinct()
     index = LineRuns(spark, fanout)
     staged = index.scratch.written(per_doc.groupBy("batch", "h1", "h2").agg(F.count("*").alias("n_docs"), F.max("id").cast("long").alias("last_doc")), "line-batches", "batch")
-    for b in range(batches):
-        index.add(staged.filter(F.col("batch") == b).drop("batch"))
-    # written, so that both sides of the join are plain exchanges and a hot line's rows can be dealt to several tasks
-    repeated = cut(index.repeated(min_docs))
-    index.close()
+    try:
+        for b in range(batches):
+            index.add(staged.filter(F.col("batch") == b).drop("batch"))
+        # written, so that both sides of the join are plain exchanges and a hot line's rows can be dealt to several tasks
+        repeated = cut(index.repeated(min_docs))
+    finally:
+        index.close()
     hits = lines.join(repeated, ["h1", "h2"]).filter(~F.col("id").eqNullSafe(F.col("last_doc")))
     return hits.groupBy("id", "th").agg(F.array_sort(F.collect_set("pos")).alias("drops"))
 

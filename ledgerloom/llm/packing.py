@@ -68,6 +68,15 @@ def optimal_bounds(lengths: list[int], counts: list[int], buckets: int, tokens:
     return bounds[::-1]
 
 
+def _copies(rows: DataFrame) -> DataFrame:
+    """Each row `__n` times, numbered from `__first` in `__at`. A row repeated very often is cut into runs that are dealt over all tasks before they are written out."""
+    run = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(SHARD_ROWS).cast("long"))).alias("__run")
+    every = F.explode(F.sequence(F.col("__run"), F.least(F.col("__run") + SHARD_ROWS, F.col("__n")) - 1)).alias("__c")
+    few = rows.filter(F.col("__n") <= SHARD_ROWS).withColumn("__run", F.lit(0).cast("long"))
+    many = rows.filter(F.col("__n") > SHARD_ROWS).select("*", run).repartition("__first", "__run")
+    return few.unionByName(many).select("doc_id", "n_tokens", "bucket", "__first", every).withColumn("__at", F.col("__first") + F.col("__c"))
+
+
 def pack(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, budget: int = TOKEN_BUDGET, length: Column | None = None
 ) -> DataFrame:
@@ -79,22 +88,25 @@ def pack(
     """
     length = token_count(F.col(text_col)) if length is None else length
     text = F.coalesce(F.col(text_col), F.lit(""))
-    sized = cut(docs.select(F.col(id_col).alias("doc_id"), length.alias("n_tokens"), F.xxhash64(F.col(id_col), text).alias("__o")).withColumn("__g", grid(F.col("n_tokens"))))
-    bins = sized.groupBy("__g").agg(F.count("*").alias("n"), F.max("n_tokens").alias("most"), F.sum("n_tokens").alias("held")).collect()  # bounded by the grid, not by the corpus
+    rows = docs.select(F.col(id_col).alias("doc_id"), length.alias("n_tokens"), F.xxhash64(F.col(id_col), text).alias("__o"))
+    # rows that repeat id and text are one row with a number from here on, wherever they lie
+    sized = cut(rows.groupBy("doc_id", "n_tokens", "__o").agg(F.count("*").alias("__n")).withColumn("__g", grid(F.col("n_tokens"))))
+    bins = sized.groupBy("__g").agg(F.sum("__n").alias("n"), F.max("n_tokens").alias("most"), F.sum(F.col("n_tokens") * F.col("__n")).alias("held")).collect()  # bounded by the grid, not by the corpus
     bounds = optimal_bounds([r["most"] for r in bins], [r["n"] for r in bins], buckets, [r["held"] for r in bins])
     shards = max(1, -(-sum(r["n"] for r in bins) // SHARD_ROWS))  # by the rows alone, so the same batches come of any cluster
     at = F.lit(None).cast("int")
     for i in reversed(range(len(bounds))):
         at = F.when(F.col("n_tokens") <= bounds[i], F.lit(i)).otherwise(at)
     placed = sized.withColumn("bucket", at).withColumn("__s", F.pmod("__o", F.lit(shards)).cast("int"))
-    counts = placed.groupBy("bucket", "__s").agg(F.count("*").alias("n"))
+    counts = placed.groupBy("bucket", "__s").agg(F.sum("__n").alias("n"))
     # the count table has a row per bucket and shard
     before = counts.select("bucket", "__s", (F.sum("n").over(W.partitionBy("bucket").orderBy("__s")) - F.col("n")).alias("__before"))
-    numbered = placed.withColumn("__r", F.row_number().over(W.partitionBy("bucket", "__s").orderBy("__o", "doc_id", "n_tokens")))
-    joined = numbered.join(before, ["bucket", "__s"])
+    in_shard = W.partitionBy("bucket", "__s").orderBy("__o", "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, W.currentRow)
+    numbered = placed.withColumn("__first", F.sum("__n").over(in_shard) - F.col("__n")).join(before, ["bucket", "__s"])
+    joined = _copies(numbered.select("doc_id", "n_tokens", "bucket", (F.col("__before") + F.col("__first")).alias("__first"), "__n"))
     bound = F.element_at(F.array(*[F.lit(b) for b in bounds]).cast("array<long>"), F.col("bucket") + 1) if bounds else F.lit(None).cast("long")
     room = F.greatest(F.expr(f"{budget} div greatest(bound, 1)"), F.lit(1)).cast("long")
-    at0 = F.col("__before") + F.col("__r") - 1
+    at0 = F.col("__at")
     return (
         joined.withColumn("bound", bound).withColumn("__room", room)
         .select("doc_id", "n_tokens", "bucket", "bound", F.floor(at0 / F.col("__room")).cast("long").alias("batch"), (at0 % F.col("__room")).cast("long").alias("slot"))

@@ -6,7 +6,8 @@ Spans are (kind, start, end) in code points, end exclusive. The method's kinds a
   openssh  base64 of an openssh-key-v1 container whose length-prefixed fields all fit
   encoded  base64 or hex of UTF-8 text, of one line or many, that itself holds a base secret or any of the kinds above, at any depth
 
-Base64 and hex are read in whole runs, and in lines of 60 or more characters, as encoders wrap them, also as one block. Text may hold
+Base64 and hex are read in whole runs, and in lines of 60 or more characters, as encoders wrap them, also as one block. A run that is nothing as a whole may be glued to other text: it is read again behind each of its
+`/`, `-` and `_`, where what comes first could begin a key or a text; a header of a token may stand behind these, too. Text may hold
 tabs and line ends, but no other control characters.
 
 Edge cases: a null or empty text has no spans; a candidate that fails to decode or parse is skipped; overlapping spans of different
@@ -34,11 +35,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # greedy runs are whole, so the length test can sit in the pattern
 KINDS = ("assign", "access", "hex", "jwt", "der", "openssh", "encoded")
 
-JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
+JWT_START, JWT_PART = re.compile(r"(?<![A-Za-z0-9])eyJ"), re.compile(r"[A-Za-z0-9_-]*")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,24}PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]{16,}?)-----END \1-----")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{19,}={0,2}")  # the shortest base secret has 14 bytes, which are 19 characters and padding
 HEX_ANY = re.compile(r"(?:[0-9a-f]{2}){12,}|(?:[0-9A-F]{2}){12,}")
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{60,}+\r?\n[ \t]*+)+[A-Za-z0-9+/_-]*={0,2}")
+SEPARATOR = re.compile(r"[/_-]")
 CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 
 SEQUENCE, INTEGER, OCTETS, OID = 0x30, 0x02, 0x04, 0x06
@@ -139,6 +141,74 @@ def confirmed(data: bytes | None, deep: bool = True) -> str | None:
     return "encoded" if text and (base_spans(text) or deep and structured_spans(text)) else None
 
 
+def begins_text(data: bytes) -> bool:
+    """Whether bytes could be the beginning of a text; a character cut off at their end doesn't count against it."""
+    try:
+        return not CONTROL.search(data.decode())
+    except UnicodeDecodeError as e:
+        return e.start > 8 and e.start >= len(data) - 3 and e.reason == "unexpected end of data" and not CONTROL.search(data[: e.start].decode())
+
+
+def _fits_der(head: bytes, size: int) -> bool:
+    """Whether the outer length that the first bytes give is that of `size` bytes."""
+    if len(head) < 6 or head[0] != SEQUENCE:
+        return False
+    n = head[1] & 0x7F if head[1] & 0x80 else 0
+    return n <= 4 and 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1]) == size
+
+
+def glued_value(run: str) -> tuple[int, str] | None:
+    """(offset, kind) of a base64 value that ends a run of other characters.
+
+    Only beginnings that could be one are decoded whole. Where such a value is found to be no text at some place, others of its alignment that begin before the place aren't either, so a run is decoded a few times at most.
+    """
+    bare, bad = run.rstrip("="), [-1] * 4
+    for m in SEPARATOR.finditer(bare):
+        p = m.end()
+        if len(bare) - p < 19:
+            return None
+        head = unbase64(bare[p : p + 24])
+        if head is None:
+            continue
+        texts = begins_text(head) and bad[p % 4] <= p
+        if not texts and not _fits_der(head, (len(bare) - p) * 3 // 4) and not head.startswith(b"openssh-key-v1\0"):
+            continue
+        data = unbase64(run[p:])
+        if data is None:
+            continue
+        if kind := confirmed(data):
+            return p, kind
+        if plain_text(data):
+            return None  # a text without secrets holds none behind its other separators
+        if texts:
+            try:
+                at = len(data[: CONTROL.search(data.decode()).start()])
+            except UnicodeDecodeError as e:
+                at = e.start
+            bad[p % 4] = max(bad[p % 4], p + at * 4 // 3 - 8)
+    return None
+
+
+def jwt_spans(text: str) -> list[tuple[int, int, int]]:
+    """Token headers may stand behind `_`, `-` or `/`. The parts of a run are found once, however many headers could begin in it."""
+    out, run, done = [], (-1, -1, -1), -1
+    for m in JWT_START.finditer(text):
+        at = m.start()
+        if at < done:
+            continue
+        if at >= run[0]:
+            head = JWT_PART.match(text, at).end()
+            body = JWT_PART.match(text, head + 1).end() if text.startswith(".", head) else -1
+            run = head, body, JWT_PART.match(text, body + 1).end() if body >= 0 and text.startswith(".", body) else -1
+        head, body, end = run
+        if end < 0 or head - at < 9 or body - head < 3 or not begins_text(unbase64(text[at : min(head, at + 24)]) or b"\xff"):
+            continue
+        if is_jwt(text[at:head], text[head + 1 : body], text[body + 1 : end]):
+            out.append((at, 3, end))
+            done = end
+    return out
+
+
 def unhex(text: str) -> bytes | None:
     try:
         return bytes.fromhex(text)
@@ -178,7 +248,7 @@ def within(spans: list[tuple[int, int]], at: int) -> bool:
 def structured_spans(text: str) -> list[tuple[int, int, int]]:
     out = []
     if "eyJ" in text:
-        out += [(m.start(), 3, m.end()) for m in JWT.finditer(text) if is_jwt(*m.groups())]
+        out += jwt_spans(text)
     armored: list[tuple[int, int]] = []
     if "PRIVATE KEY-----" in text:
         for m in PEM.finditer(text):
@@ -194,8 +264,13 @@ def structured_spans(text: str) -> list[tuple[int, int, int]]:
                 out.append((m.start(), KINDS.index(kind), end))
     for pattern, decode in ((BASE64, unbase64), (HEX_ANY, bytes.fromhex)):
         for m in pattern.finditer(text):
-            if not within(blocks, m.start()) and (kind := confirmed(decode(m[0]))):
+            if within(blocks, m.start()):
+                continue
+            data = decode(m[0])
+            if kind := confirmed(data):
                 out.append((m.start(), KINDS.index(kind), m.end()))
+            elif decode is unbase64 and not plain_text(data) and (found := glued_value(m[0])):
+                out.append((m.start() + found[0], KINDS.index(found[1]), m.end()))
     return out
 
 
