@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.messages import capture_origin, parse_captures
 from ..sources.captures import DRAIN_ROWS, drain_pending, mark_consumed
-from ..sources.files import read_delimited, sniff_format
+from ..sources.files import format_of, read_delimited
 from ..sources.shared import written
 from ..streaming.index import MatchIndex
 from .accounts import is_self_transfer, new_accounts, resolve_account_last4, resolve_account_mask
@@ -98,7 +98,7 @@ def read_statements(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     What a file is, its content tells: a wallet's text, else a delimited table. Files that are neither have no rows.
     """
-    named = files.select(F.col("file_id").cast("string").alias("file_id"), "user_id", "content").join(sniff_format(files), "file_id")
+    named = files.select(F.col("file_id").cast("string").alias("file_id"), "user_id", "content", format_of(F.col("content")).alias("format"))
     text = F.decode("content", "UTF-8")
     named = named.withColumn("wallet", detect_wallet_statement(text))
     tables = table_rows(read_delimited(named.filter("not wallet and format = 'delimited'"))).withColumn("fmt", F.lit("table"))

@@ -91,12 +91,15 @@ def _delimited(heads: pd.Series) -> pd.Series:
     return heads.map(lambda b: looks_delimited(bytes(b).decode("utf-8", "replace")))
 
 
+def format_of(content: Column) -> Column:
+    """xlsx, xls, delimited or unsupported, by content. Only the head of a file goes to the text test."""
+    magic = F.hex(F.substring(content, 1, 8))
+    return F.when(magic.startswith(ZIP), "xlsx").when(magic == OLE2, "xls").when(_delimited(F.substring(content, 1, 4 * SNIFF_CHARS)), "delimited").otherwise("unsupported")
+
+
 def sniff_format(files: DataFrame) -> DataFrame:
-    """(file_id, format): xlsx, xls, delimited or unsupported, by content; the file's name decides nothing. Only the head of a file goes to the text test."""
-    head = F.substring("content", 1, 8)
-    kinds = files.select("file_id", F.hex(head).alias("magic"), F.substring("content", 1, 4 * SNIFF_CHARS).alias("head"))
-    kind = F.when(F.col("magic").startswith(ZIP), "xlsx").when(F.col("magic") == OLE2, "xls").when(_delimited("head"), "delimited").otherwise("unsupported")
-    return kinds.select("file_id", kind.alias("format"))
+    """(file_id, format); the file's name decides nothing."""
+    return files.select("file_id", format_of(F.col("content")).alias("format"))
 
 
 def read_delimited(files: DataFrame) -> DataFrame:

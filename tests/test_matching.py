@@ -27,7 +27,7 @@ def held_of(spark, rows):
     return spark.createDataFrame(rows, PAYMENT).withColumn("source", F.col("origin")).withColumn("raw_sender", none).withColumn("title", none)
 
 
-@pytest.mark.parametrize("seed,tight", [(1, 600_000), (2, 0), (3, 600_000)])
+@pytest.mark.parametrize("seed,tight", [(1, 600_000), (2, 0)])
 def test_nearest_equals_least_pair(spark, seed, tight):
     rng = random.Random(seed)
     inc, led = spread(rng, 150), [(r[0] + 1_000, *r[1:]) for r in spread(rng, 200)]
@@ -61,7 +61,7 @@ def brute_islands(rows, gap):
     return label
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_islands_hold_what_may_match(spark, seed):
     rng = random.Random(seed)
     rows = [(i, 1, rng.choice([1, 2]), "debit", rng.randrange(60) * 9 * HOUR, None, rng.choice(["123456", "999123456", "777777x", None, None, None, None, None]), "sms") for i in range(60)]
@@ -85,7 +85,7 @@ def test_hot_group_is_many_islands(spark):
     assert hot.select("island").distinct().count() == 200
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_collapse_over_islands_equals_loop(spark, seed):
     rows = spread(random.Random(seed), 120)
     got = {r["id"]: r["match_id"] for r in dedup.collapse_batch(spark.createDataFrame(rows, PAYMENT), [-F.col("occurred_at_ms"), F.col("id")]).collect()}
@@ -151,7 +151,7 @@ def test_import_does_not_match_what_is_gone(spark):
     assert got == {(1, 1): ("replaced", 7, True), (1, 2): ("imported", None, False)} == plain_import(rows, ledger)
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_import_equals_loop(spark, seed):
     rng = random.Random(seed)
     ref = lambda: rng.choice(["123456", "999123456", "123456777", "777777", None, None])
