@@ -6,7 +6,8 @@ are looked up in a small table. Each row leaves a byte per place, its backpointe
 
 Giant conversations: their turns are cut into ranges of `SPAN` turn numbers, which are streamed by different tasks, from each of the four places. A range leaves its counts, its costs from place to place, and
 its backpointers, which are spilled, packed, to the shared folder; no task holds a conversation. The ranges of a conversation, a short row each, are then chained, first forward for the cost, then back for the
-places that the cheapest way passes; last, the texts meet the ranges' backpointers, and edits are read off and applied range by range. That all runs on narrow rows without texts, but for the last step.
+places that the cheapest way passes; last, the texts meet the ranges' backpointers, and edits are read off and applied range by range. That all runs on narrow rows without texts, but for the last step. `repair` is free of whole conversations throughout; `digest`
+hashes each repaired conversation as one sequence, and so streams its texts through one task, turn by turn.
 
 Edits: Keep, Rerole (to user or assistant), Delete (needed for blank and repeated turns), Insert (an empty user or assistant turn). Of the cheapest lists of edits the ASCII-least of their initials is taken; it fixes the repair. Lists
 of rows in one place never begin one another, as each ends with its row's own letter, so their order is carried as a rank beside the cost.
@@ -319,12 +320,12 @@ def plan(rows: DataFrame, piece: int = PIECE) -> DataFrame:
 
 def _walk(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
     """(key, range, edit, role, text) for each turn, and (key, None, figures, audit is whole, ...) at a conversation's end. Edits of a range come before its rows."""
-    ready, place, key, b = [], START, None, None
+    ready, place = [], START
     for f in frames:
-        for c0, c, part, n_piece, exit_, inserts, last, gaps, blank, duplicate, truncated, illegal, cost, backs, turn, role, text in f.itertuples(index=False, name=None):
-            if key != (c0, c):
-                key, place = (c0, c), START
+        for c0, c, part, n_piece, entry, exit_, inserts, last, gaps, blank, duplicate, truncated, illegal, cost, backs, turn, role, text in f.itertuples(index=False, name=None):
+            key = (c0, c)
             if n_piece >= 0:  # edits of a piece, the last of the conversation with its figures
+                place = place if ready else entry
                 letters = traced(zlib.decompress(backs), exit_)
                 ready.append([iter(letters), len(letters), (inserts, (gaps, blank, duplicate, truncated, illegal, cost)) if last else None])
             else:
@@ -347,36 +348,39 @@ def _walk(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
                     yield key, None, figures, None, None, None
 
 
-def _met(turns: DataFrame, span: int, piece: int) -> DataFrame:
-    """Rows and edits in one stream: of each range first its pieces' edits, then its rows in order; a conversation's texts cross the network once."""
+def _met(turns: DataFrame, span: int, piece: int, by: list[str]) -> DataFrame:
+    """Rows and edits in one stream: of each range first its pieces' edits, then its rows in order, dealt to tasks by `by`; texts cross the network once."""
     rows = _rows(turns, span)
     none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
     zero = lambda kind, *names: [F.lit(0).cast(kind).alias(n) for n in names]
     figures = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
     edits = plan(rows, piece).select(
-        *KEY, "b", "piece", "exit", "tail_inserts", "last", *figures, "backs", *zero("int", "t0"), *zero("long", "t"), *none("string", "role", "text"), *zero("long", "h1", "h2"),
+        *KEY, "b", "piece", "entry", "exit", "tail_inserts", "last", *figures, "backs", *zero("int", "t0"), *zero("long", "t"), *none("string", "role", "text"), *zero("long", "h1", "h2"),
     )
     own = rows.filter("not dropped").select(
-        *KEY, "b", F.lit(-1).alias("piece"), *zero("int", "exit", "tail_inserts"), F.lit(False).alias("last"), *zero("long", *figures), *none("binary", "backs"), "t0", "t", "role", "text",
+        *KEY, "b", F.lit(-1).alias("piece"), *zero("int", "entry", "exit", "tail_inserts"), F.lit(False).alias("last"), *zero("long", *figures), *none("binary", "backs"), "t0", "t", "role", "text",
         F.xxhash64("role", "text").alias("h1"), F.xxhash64(F.lit(7), "text", "role").alias("h2"),
     )
-    met = edits.unionByName(own).withColumn("row", (F.col("piece") < 0).cast("int")).repartition(*KEY).sortWithinPartitions(*KEY, "b", "row", "piece", *ORDER)
+    met = edits.unionByName(own).withColumn("row", (F.col("piece") < 0).cast("int")).repartition(*by).sortWithinPartitions(*KEY, "b", "row", "piece", *ORDER)
     turn = F.when(F.col("t0") == 1, F.col("t").cast("string")).alias("turn")
-    return met.select(*KEY, "b", "piece", "exit", "tail_inserts", "last", *figures, "backs", turn, "role", "text")
+    return met.select(*KEY, "b", "piece", "entry", "exit", "tail_inserts", "last", *figures, "backs", turn, "role", "text")
 
 
-REPAIRED = "c0 int, c long, at long, edit string, turn string, role string, text string"
+REPAIRED = "c0 int, c long, b long, at long, edit string, turn string, role string, text string"
 
 
 def repair(turns: DataFrame, span: int = SPAN, piece: int = PIECE, chars: int = 4_000_000) -> DataFrame:
-    """(conv_id, at, edit, turn, role, text): the turns of each conversation in order with what was done to each. Deleted turns are there with the edit D; the others are the repaired conversation."""
+    """(conv_id, range, at, edit, turn, role, text): the turns of each conversation, in order of range and place in it, with what was done to each. Deleted turns are there with the edit D; the others are the repaired conversation.
+
+    Ranges are repaired side by side, as each begins at a place of the grammar that is known by then, so no task gets more of a conversation than a range.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size, now, at = [], 0, None, 0
         for key, part, turn, edit, role, text in _walk(frames):
             if part is not None:
-                now, at = key, at + 1 if now == key else 0
-                held.append((*key, at, edit, turn, role, text))
+                now, at = (key, part), at + 1 if now == (key, part) else 0
+                held.append((*key, part, at, edit, turn, role, text))
                 size += 200 + len(text)
             if size > chars:
                 yield _frame(held, REPAIRED)
@@ -384,8 +388,8 @@ def repair(turns: DataFrame, span: int = SPAN, piece: int = PIECE, chars: int =
         if held:
             yield _frame(held, REPAIRED)
 
-    out = _met(turns, span, piece).mapInPandas(run, REPAIRED)
-    return out.select(F.when(F.col("c0") == 1, F.col("c")).alias("conv_id"), "at", "edit", F.col("turn").cast("long").alias("turn"), "role", "text")
+    out = _met(turns, span, piece, [*KEY, "b"]).mapInPandas(run, REPAIRED)
+    return out.select(F.when(F.col("c0") == 1, F.col("c")).alias("conv_id"), F.col("b").alias("range"), "at", "edit", F.col("turn").cast("long").alias("turn"), "role", "text")
 
 
 DIGEST = "c0 int, c long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string"
@@ -411,5 +415,5 @@ def digest(turns: DataFrame, span: int = SPAN, piece: int = PIECE) -> DataFrame:
         if held:
             yield _frame(held, DIGEST)
 
-    out = _met(turns, span, piece).mapInPandas(run, DIGEST)
+    out = _met(turns, span, piece, KEY).mapInPandas(run, DIGEST)
     return out.select(F.when(F.col("c0") == 1, F.col("c")).alias("conv_id"), *[f.split(" ")[0] for f in DIGEST.split(", ")[2:]])

@@ -138,10 +138,15 @@ def test_turn_repair_ties_are_least():
 def test_turn_repair_rows_and_edges(spark):
     rows = [(1, 0, "system", "s.", "x"), (1, 1, "assistant", "b.", "x"), (1, 1, "assistant", "b.", "x"), (1, 2, "user", " ", "x"), (2, 0, "user", "w " * 50_000 + ".", "x"), (3, None, None, None, "x")]
     frame = spark.createDataFrame(rows, TURNS + ", at string")
-    out = [tuple(r) for r in turns.repair(frame, 2, 2, 1_000).orderBy("conv_id", "at").collect()]
-    assert [(r[0], r[1], r[2], r[3], r[4]) for r in out] == [
-        (1, 0, "K", 0, "system"), (1, 1, "I", None, "user"), (1, 2, "K", 1, "assistant"), (1, 3, "D", 1, "assistant"), (1, 4, "D", 2, "user"), (2, 0, "K", 0, "user"), (2, 1, "I", None, "assistant"), (3, 0, "D", None, " "),
+    out = [tuple(r)[:6] for r in turns.repair(frame, 2, 2, 1_000).orderBy("conv_id", "range", "at").collect()]
+    assert out == [
+        (1, 0, 0, "K", 0, "system"), (1, 0, 1, "I", None, "user"), (1, 0, 2, "K", 1, "assistant"), (1, 0, 3, "D", 1, "assistant"), (1, 1, 0, "D", 2, "user"),
+        (2, 0, 0, "K", 0, "user"), (2, 0, 1, "I", None, "assistant"), (3, -(1 << 62), 0, "D", None, " "),
     ]
+    giant = made_turns(9, 3, 400)
+    whole, cut = (turns.repair(spark.createDataFrame(giant, TURNS), span, 7) for span in (1 << 40, 16))
+    told_of = lambda df: [tuple(r) for r in df.orderBy("conv_id", "range", "at").select("conv_id", "edit", "turn", "role", "text").collect()]
+    assert told_of(whole) == told_of(cut) and cut.select("range").distinct().count() > 20
     assert turns.digest(spark.createDataFrame([], TURNS)).count() == 0 and turns.repair(spark.createDataFrame([], TURNS)).count() == 0
 
 
