@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from ..functions.text import day_of
 from ..sources.manifest import Manifest
@@ -50,17 +50,10 @@ class LedgerStore:
         return StructType.fromJson(said["schema"])
 
     def _read(self, parts: dict[tuple[int, str], str], schema: StructType) -> DataFrame:
-        """The named partitions as one frame with their places; nothing else is listed or opened."""
-        wide = StructType([*schema.fields, StructField("user_bucket", IntegerType()), StructField("month", StringType())])
-        if not parts:
-            return self.spark.createDataFrame([], wide)
+        """The named partitions as one scan, with their places; nothing else is listed or opened, however many versions they are of."""
         paths = [f"{self.path}/data/{f}/user_bucket={b}/month={m}" for (b, m), f in sorted(parts.items())]
-        rows = None
-        for folder in sorted(set(parts.values())):  # each folder is one scan over its own base
-            own = [p for p in paths if p.startswith(f"{self.path}/data/{folder}/")]
-            one = self.spark.read.schema(wide).option("basePath", f"{self.path}/data/{folder}").parquet(*own)
-            rows = one if rows is None else rows.unionByName(one)
-        return rows
+        rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return rows.withColumn("user_bucket", self.bucket()).withColumn("month", self.month())
 
     def read(self, version: int | None = None, users: list[int] | None = None, months: list[str] | None = None) -> DataFrame:
         """The ledger of a version, the latest if none is named; `users` and `months` leave out the partitions that can't hold them."""

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_OPEN = threading.local()
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -23,8 +27,23 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that `written` makes inside are deleted at the end, also after a failure; what is read from them must have been written by then."""
+    outer, _OPEN.paths = getattr(_OPEN, "paths", None), []
+    try:
+        yield
+    finally:
+        made, _OPEN.paths = _OPEN.paths, outer
+        for p in made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a table in the shared folder: read by several steps and computed once, also where executors are lost."""
+    """`df` as a table in the shared folder: read by several steps and computed once, also where executors are lost. It stays there unless `scratch` is open."""
     path = shared_path(df.sparkSession, name)
+    if getattr(_OPEN, "paths", None) is not None:
+        _OPEN.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -17,7 +17,7 @@ from ..functions.messages import capture_origin, merchant_identity, parse_captur
 from ..operators.dedup import GROUP, Accepted
 from ..operators.flows import ledger_rows
 from ..sources.captures import MINUTE_MS, prefilter
-from ..sources.shared import written
+from ..sources.shared import scratch, written
 from .index import MatchIndex
 from .sums import DeltaSums, follow
 
@@ -46,9 +46,10 @@ def stream_ingest(
 
     def batch(rows: DataFrame, batch_id: int) -> None:
         if batch_id > index.last_batch():
-            came = written(rows, "arrived")
-            if came.limit(1).count():  # a batch may only move the watermark
-                index.add(append(rows_of(came, index), batch_id), batch_id)
+            with scratch(index.spark):  # a stream that runs for years leaves nothing behind but its ledger and index
+                came = written(rows, "arrived")
+                if came.limit(1).count():  # a batch may only move the watermark
+                    index.add(append(rows_of(came, index), batch_id), batch_id)
 
     return stream_dedup(captures).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()
 

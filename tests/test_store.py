@@ -1,5 +1,6 @@
 """The ledger on disk and the standing index: versions, crashes, what a change rewrites and what a batch exchanges, and equality with the plain operators."""
 
+import os
 import random
 import re
 
@@ -185,6 +186,8 @@ def test_stream_over_four_arrivals_equals_batches(spark, sf_dir, tmp_path):
             start().awaitTermination()
         except PySparkException:
             start().awaitTermination()
+    shared = spark.conf.get("spark.checkpoint.dir")
+    assert not [x for x in os.listdir(shared) if x.startswith("arrived-")]  # a batch takes its tables with it
     got = spark.read.schema(blank.schema).parquet(f"{path}/ledger").select("user_id", "id", "dedup_key").collect()
     assert not failing and sorted(map(tuple, got)) == sorted(map(tuple, want.select("user_id", "id", "dedup_key").collect()))
     index.close()
