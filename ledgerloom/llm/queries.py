@@ -23,7 +23,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
-    return chat.read_back(chat.format_windows(turns))
+    return chat.read_back(chat.format_windows(turns, tokens=chat.tokenizer_tokens(tokenizer_path())))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,6 +92,63 @@ def test_chat_long_and_clashing(spark):
     assert (back["n_turns"], back["loss_chars"]) == (4, 20)
 
 
+def loop_windows(turns, budget, history):
+    """(first, context, turns) of each window of one conversation's (role, tokens), by the definition."""
+    out, i, system = [], 0, turns[0][1] if turns[0][0] == "system" else None
+    while i < len(turns):
+        room = budget - (system if system and i else 0)
+        h = i
+        while h > (1 if system else 0) and sum(n for _, n in turns[h - 1 : i]) <= history:
+            h -= 1
+        while h < i and sum(n for _, n in turns[h : i + 1]) > room:
+            h += 1
+        j = i + 1
+        while j < len(turns) and sum(n for _, n in turns[h : j + 1]) <= room:
+            j += 1
+        out.append((i, i - h + (1 if system and i else 0), j - h + (1 if system and i else 0)))
+        i = j
+    return out
+
+
+@pytest.mark.parametrize("budget,history,size", [(60, 25, 121), (40, 39, 90), (45, 0, 100), (30, 60, 150)])
+def test_chat_ranges_give_the_windows_of_one_pass(spark, budget, history, size):
+    """Conversations over many ranges, a third of the rows in one, with and without a system turn, null ids and numbers."""
+    rng, rows = np.random.default_rng(7), []
+    for conv, count, system in [(1, 700, True), (2, 650, False), (None, 300, True), (3, 121, True), (4, 122, False), (5, 1, True)]:
+        for i in range(count):
+            role = "system" if system and not i else ("user", "assistant")[i % 2]
+            words = int(rng.integers(0, 9)) if rng.random() < 0.97 else 50
+            rows.append((conv, None if conv == 2 and not i else i * 37, role, f"<|end|>{i}\\\n" + "w " * words))
+    frame = docs_of(spark, rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = chat.format_windows(frame, budget, history, size=size).collect()
+    for conv in {r[0] for r in rows}:
+        said = [(role, text) for c, _, role, text in rows if c == conv]
+        sizes = [len(re.findall(r"[^\W_]+|[^\s\w]|_", f"{role} {chat.escape(text)}")) + chat.MARKS for role, text in said]
+        wins = sorted((r for r in got if r["conv_id"] == conv), key=lambda r: r["window"])
+        assert [r["window"] for r in wins] == list(range(len(wins)))
+        assert [(r["first_turn"], r["n_context"], r["n_turns"]) for r in wins] == loop_windows([(r, n) for (r, _), n in zip(said, sizes)], budget, history)
+        for r in wins:
+            parsed, own = list(chat.parse_window(r["text"])), r["n_turns"] - r["n_context"]
+            assert parsed[r["n_context"] :] == said[r["first_turn"] : r["first_turn"] + own]
+            past = r["n_context"] - (1 if said[0][0] == "system" and r["window"] else 0)
+            assert parsed[: r["n_context"]] == (said[:1] if past < r["n_context"] else []) + said[r["first_turn"] - past : r["first_turn"]]
+
+
+def test_chat_budget_by_a_tokenizer(spark, sf_dir):
+    """Counted as the library counts each written turn, so no window of more than a system turn and one turn passes the budget."""
+    from tokenizers import Tokenizer
+
+    path, budget = queries.tokenizer_path(), 200
+    tok = Tokenizer.from_file(path)
+    out = chat.format_windows(table(spark, sf_dir, "conversations"), budget, 50, chat.tokenizer_tokens(path)).collect()
+    for r in out:
+        turns = list(chat.parse_window(r["text"]))
+        sizes = [len(tok.encode(f"{chat.OPEN}{chat.escape_role(role)}{chat.SEP}{chat.escape(text)}{chat.CLOSE}", add_special_tokens=False).ids) for role, text in turns]
+        assert r["n_tokens"] == sum(sizes)
+        assert r["n_tokens"] <= budget or r["n_turns"] - (turns[0][0] == "system" and r["n_context"] > 0) == 1 or r["n_turns"] == 1
+    assert len(out) > 10
+
+
 # --- near-dedup
 
 
