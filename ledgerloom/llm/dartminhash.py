@@ -3,7 +3,8 @@
 Elements are the five-word shingles of a text. Each element owns a region, weight by rank; darts land in it as a Poisson process of unit rate whose places
 are hashes of the element, so equal elements get equal darts everywhere. A dart has a rank, a place on the weight axis and a coordinate; it counts if
 its place lies under the element's weight. The earliest dart of each coordinate is the signature, and two texts agree on a coordinate with the chance of their
-weighted Jaccard similarity. Only ranks that some coordinate still needs are visited, so a text costs its elements plus about k ln k darts.
+weighted Jaccard similarity. Only ranks that some coordinate still needs are visited, and the weight axis is cut into stretches that double, each with its own darts
+in order of rank, so a text costs its elements, times the logarithm of their weights, plus about k ln k darts.
 
 Bands of the signature are joined; each pair that the join proposes is checked on its exact shingle sets, so links are those of similarity at or over the
 threshold. With 24 bands of 4, a pair at exactly 0.8 is missed with chance 3e-6, at 0.85 with 2e-7.
@@ -86,23 +87,36 @@ def regions(items: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return mix(np.repeat(items, weights) + cell.astype(np.uint64) * _GOLD)
 
 
+def dart_regions(items: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(element, hash, width, part) of the stretches [0, 1), [1, 2), [2, 4), [4, 8) ... of the weight axis that begin under each element's weight.
+
+    `element` is the place in `items`, `part` the share of the stretch under the weight: one, but for an element's last. There are about log2(weight) a weight.
+    """
+    mantissa, exponent = np.frexp(weights)
+    n = 1 + np.maximum(exponent - (mantissa == 0.5), 0)
+    element = np.repeat(np.arange(len(items)), n)
+    at = np.arange(len(element)) - np.repeat(np.cumsum(n) - n, n)
+    start = np.where(at == 0, 0.0, np.ldexp(0.5, at))
+    width = np.maximum(start, 1.0)
+    return element, mix(items[element] + at.astype(np.uint64) * _GOLD), width, np.minimum((weights[element] - start) / width, 1.0)
+
+
 def dart_signatures(items: np.ndarray, doc: np.ndarray, n_docs: int, k: int, weights: np.ndarray) -> np.ndarray:
-    """n_docs x k dart ids, zero where a document has no elements. `doc` gives each element's document; weights are positive.
+    """n_docs x k dart ids, zero where a document has no elements. `doc` gives each element's document; weights are positive and may be fractions.
 
-    An element of weight w owns ceil(w) unit regions; darts of the last one count only under w.
+    A stretch of the weight axis has its own Poisson process of darts, as many a rank as it is wide; those of an element's last stretch count only under the
+    weight, which is more than half of it. So time is in elements, the logarithm of their weights and k, not in the weights. Similarity doesn't
+    depend on the scale: weights far below one had better be scaled up, as most darts of [0, 1) would lie above them.
     """
-    weights = np.asarray(weights, float)
-    cells = np.ceil(weights).astype(np.int64)
-    items, doc = regions(items, cells), np.repeat(doc, cells)
-    part = np.ones(len(items))
-    part[np.cumsum(cells) - 1] = weights - cells + 1
-    thin = bool((part < 1).any())  # whole weights leave no dart out
-    total = np.bincount(doc, weights=part, minlength=n_docs)
+    element, start, width, part = dart_regions(items, np.asarray(weights, float))
+    doc, gap = doc[element], 1 / width
+    thin = bool((part < 1).any())  # powers of two leave no dart out
+    total = np.bincount(doc, weights=part * width, minlength=n_docs)
     ranks, ids = np.full(n_docs * k, np.inf), np.zeros(n_docs * k, np.uint64)
     limit = (np.log(k) + 1) * k / np.maximum(total, 1e-300)
-    state, at = mix(items + _GOLD), np.zeros(len(items))
-    at = at - np.log1p(-(state >> np.uint64(11)).astype(np.float64) * 2.0**-53)  # the rank of each region's next dart
-    while len(items):
+    state, at = mix(start + _GOLD), np.zeros(len(start))
+    at = at - np.log1p(-(state >> np.uint64(11)).astype(np.float64) * 2.0**-53) * gap  # the rank of each stretch's next dart
+    while len(at):
         open_ = np.flatnonzero(at <= limit[doc])
         while len(open_):
             dart, counts = mix(state[open_] ^ _M1), open_
@@ -114,14 +128,14 @@ def dart_signatures(items: np.ndarray, doc: np.ndarray, n_docs: int, k: int, wei
             first = rank == ranks[slot]
             ids[slot[first]] = dart[first]
             state[open_] = mix(state[open_] + _GOLD)
-            at[open_] -= np.log1p(-(state[open_] >> np.uint64(11)).astype(np.float64) * 2.0**-53)
+            at[open_] -= np.log1p(-(state[open_] >> np.uint64(11)).astype(np.float64) * 2.0**-53) * gap[open_]
             open_ = open_[at[open_] <= limit[doc[open_]]]
         short = np.isinf(ranks).reshape(n_docs, k).any(1) & (total > 0)
         if not short.any():
             break
         limit = np.where(short, 2 * limit, -1.0)  # documents with an empty coordinate look twice as far
         more = short[doc]
-        items, doc, state, at, part = items[more], doc[more], state[more], at[more], part[more]
+        doc, state, at, part, gap = doc[more], state[more], at[more], part[more], gap[more]
     return ids.reshape(n_docs, k)
 
 

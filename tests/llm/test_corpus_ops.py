@@ -251,6 +251,55 @@ def test_near_dedup_edges(spark):
     assert dartminhash.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def brute_darts(element: int, weight: float, far: float):
+    """All darts of one element under its weight, up to a rank, one stretch of the weight axis after the other: (rank, dart)."""
+    one = lambda x: int(dartminhash.mix(np.array([x % 2**64], np.uint64))[0])
+    gold, m1, m2 = (int(x) for x in (dartminhash._GOLD, dartminhash._M1, dartminhash._M2))
+    start, width, stretch, out = 0.0, 1.0, 0, []
+    while start < weight:
+        state, rank = one(one(element + stretch * gold) + gold), 0.0
+        while True:
+            rank -= math.log1p(-(state >> 11) * 2.0**-53) / width
+            if rank > far:
+                break
+            dart = one(state ^ m1)
+            if start + width * (one(dart ^ m2) >> 11) * 2.0**-53 < weight:
+                out.append((rank, dart))
+            state = one(state + gold)
+        start, width, stretch = start + width, max(1.0, start + width), stretch + 1
+    return out
+
+
+def test_darts_are_the_earliest_of_each_coordinate():
+    rng, k = random.Random(8), 16
+    sets = [{rng.randrange(2**63): rng.choice((0.4, 1, 1.5, 2, 3, 8, 9.25)) for _ in range(n)} for n in (1, 2, 7)] + [{}]
+    sets.append(dict(list(sets[2].items())[:4]))  # shares elements with another document
+    items = np.array([x for d in sets for x in d], np.uint64)
+    doc = np.repeat(np.arange(len(sets)), [len(d) for d in sets])
+    got = dartminhash.dart_signatures(items, doc, len(sets), k, np.array([w for d in sets for w in d.values()]))
+    for d, row in zip(sets, got, strict=True):
+        best: dict[int, tuple[float, int]] = {}
+        for x, w in d.items():
+            for rank, dart in brute_darts(x, w, 400.0):
+                best[dart % k] = min(best.get(dart % k, (math.inf, 0)), (rank, dart))
+        assert row.tolist() == ([best[i][1] for i in range(k)] if d else [0] * k)
+
+
+def test_darts_take_elements_not_weights():
+    rng = np.random.default_rng(4)
+    items = rng.integers(0, 2**63, 300).astype(np.uint64)
+    a = np.exp(rng.uniform(0, np.log(1e9), 300))
+    b = np.where(rng.random(300) < 0.2, a * 3, a)
+    # as unit regions these would be more than 10^10 rows
+    assert len(dartminhash.dart_regions(items, a)[0]) <= 300 * 31
+    sig = dartminhash.dart_signatures(np.tile(items, 2), np.repeat([0, 1], 300), 2, 4096, np.concatenate([a, b]))
+    assert abs((sig[0] == sig[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.04
+    element, _, width, part = dartminhash.dart_regions(items[:4], np.array([0.25, 1.0, 4.0, 5.0]))
+    assert element.tolist() == [0, 1, 2, 2, 2, 3, 3, 3, 3] and width.tolist() == [1, 1, 1, 1, 2, 1, 1, 2, 4]
+    assert part.tolist() == [0.25, 1, 1, 1, 1, 1, 1, 1, 0.25]
+    assert np.array_equal(np.bincount(element, weights=part * width), [0.25, 1, 4, 5])
+
+
 def test_darts_estimate_weighted_similarity():
     rng = np.random.default_rng(3)
     items = rng.integers(1, 2**63, 60, dtype=np.uint64)
