@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -14,7 +15,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from ..functions.matching import TIGHT_MS, WIDE_MS
 from ..functions.text import DAY_MS
 from ..functions.messages import capture_origin, merchant_identity, parse_captures
-from ..operators.dedup import GROUP, Accepted
+from ..operators.dedup import Accepted
 from ..operators.flows import ledger_rows
 from ..sources.captures import MINUTE_MS, prefilter
 from ..sources.shared import scratch, written
@@ -22,6 +23,8 @@ from .index import MatchIndex
 from .sums import DeltaSums, follow
 
 WATERMARK = "12 hours"
+#: Shards of users of the near-duplicate state.
+SHARDS = 1024
 
 
 def _timed(captures: DataFrame) -> DataFrame:
@@ -55,42 +58,46 @@ def stream_ingest(
 
 
 class NearDup(StatefulProcessor):
-    """Accepted payments of one (user, amount, direction): a map from 12-hour bucket to the payments in it, of which a batch reads and writes only those that it reaches. A timer for each bucket ends it."""
+    """Accepted payments of one shard of users: a map from 12-hour bucket to the payments in it, of which a batch reads and writes only those that it reaches, once. A timer for each bucket ends it.
+
+    A call, and each step to the state, costs about as much as a hundred payments do, and most payments are alone with their user, amount and direction: so a key is a shard, and those three a column.
+    """
 
     def __init__(self, tight_ms: int):
         self.tight_ms = tight_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "bucket long", "ids array<long>, times array<long>, merchants array<string>, origins array<string>")
+        self.held = handle.getMapState("held", "bucket long", "ids array<long>, payments array<string>, times array<long>, merchants array<string>, origins array<string>")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(rows).sort_values(["posted_at_ms", "id"])
-        known, read, changed, out = Accepted(), {}, set(), []
+        known, read, changed, out = defaultdict(Accepted), {}, set(), []
 
         def reach(bucket: int) -> None:
             """Read a bucket's payments, once."""
             if bucket not in read:
-                found = self.held.getValue((bucket,)) or ([], [], [], [])
+                found = self.held.getValue((bucket,)) or ([], [], [], [], [])
                 read[bucket] = [list(c) for c in found]
-                for i, ms, m, origin in zip(*read[bucket], strict=True):
-                    known.add((i, ms, m or None, origin, None, self.tight_ms))
+                for i, payment, ms, m, origin in zip(*read[bucket], strict=True):
+                    known[payment].add((i, ms, m or None, origin, None, self.tight_ms))
 
-        for i, ms, m, origin in zip(*(batch[c].tolist() for c in ("id", "ms", "m", "origin")), strict=True):
+        for i, payment, ms, m, origin in zip(*(batch[c].tolist() for c in ("id", "payment", "ms", "m", "origin")), strict=True):
             own = ms // WIDE_MS
             for b in (own - 1, own, own + 1):
                 reach(b)
             row = (i, ms, m if isinstance(m, str) else None, origin, None, self.tight_ms)
-            out.append(known.match(row))
+            out.append(known[payment].match(row))
             if out[-1] is None:
-                known.add(row)
-                for column, x in zip(read[own], (i, ms, row[2] or "", origin), strict=True):
+                known[payment].add(row)
+                for column, x in zip(read[own], (i, payment, ms, row[2] or "", origin), strict=True):
                     column.append(x)
                 changed.add(own)
         for b in sorted(changed):
             self.held.updateValue((b,), tuple(read[b]))
             self.handle.registerTimer((b + 3) * WIDE_MS)  # two windows behind the bucket's end
-        yield pd.DataFrame({"id": batch["id"], "user_id": batch["user_id"], "match_id": pd.array(out, dtype="Int64")})
+        users = [int(u) if u else None for u in (p.split("|")[0] for p in batch["payment"].tolist())]  # not a column of numbers, which one null among them would round
+        yield pd.DataFrame({"id": batch["id"], "user_id": pd.array(users, dtype="Int64"), "match_id": pd.array(out, dtype="Int64")})
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.held.removeKey((expiredTimerInfo.getExpiryTimeInMs() // WIDE_MS - 3,))
@@ -100,15 +107,17 @@ class NearDup(StatefulProcessor):
         pass
 
 
-def stream_near_dup(captures: DataFrame, watermark: str = WATERMARK, tight_ms: int = TIGHT_MS) -> DataFrame:
+def stream_near_dup(captures: DataFrame, watermark: str = WATERMARK, tight_ms: int = TIGHT_MS, shards: int = SHARDS) -> DataFrame:
     """(id, user_id, match_id) of a stream's parsed payments: the payment accepted before it that time and merchant take for the same one, or null.
 
-    Each (user, amount, direction) keeps its accepted payments as state, the earliest posted first in a batch, and forgets those that the watermark has left two windows
-    behind. References match at any distance in time, so they need the ledger, as in `stream_ingest`, not bounded state. Needs the RocksDB state store (`with_rocksdb`).
+    Only payments of one user, amount and direction meet. They are kept as state, the earliest posted first in a batch, and forgotten when the watermark has left them two windows
+    behind. The state lies by shards of users, whose number stays the same for a stream's life. References match at any distance in time, so they need the ledger, as in `stream_ingest`, not bounded state. Needs the RocksDB state store (`with_rocksdb`).
     """
     parsed = parse_captures(captures).withColumn("posted_at", F.timestamp_millis("posted_at_ms")).withWatermark("posted_at", watermark)
-    rows = parsed.select("id", *GROUP, "posted_at", "posted_at_ms", F.col("occurred_at_ms").alias("ms"), merchant_identity(F.col("merchant"), 1).alias("m"), capture_origin(F.col("source"), F.col("sender")).alias("origin"))
-    return rows.groupBy(*GROUP).transformWithStateInPandas(NearDup(tight_ms), "id long, user_id long, match_id long", "Append", "EventTime")
+    payment = F.concat_ws("|", F.coalesce(F.col("user_id").cast("string"), F.lit("")), "amount_paise", "direction").alias("payment")
+    shard = F.pmod(F.xxhash64("user_id"), F.lit(shards)).alias("shard")
+    rows = parsed.select("id", shard, payment, "posted_at", "posted_at_ms", F.col("occurred_at_ms").alias("ms"), merchant_identity(F.col("merchant"), 1).alias("m"), capture_origin(F.col("source"), F.col("sender")).alias("origin"))
+    return rows.groupBy("shard").transformWithStateInPandas(NearDup(tight_ms), "id long, user_id long, match_id long", "Append", "EventTime")
 
 
 @contextmanager

@@ -301,3 +301,19 @@ def test_near_dup_stream_keeps_state(spark, tmp_path):
         ingest.stream_near_dup(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
     got = {r["id"]: r["match_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {1: None, 2: 1, 3: 1, 4: None, 5: 4, 6: None, 9: None}
+
+
+def test_near_dup_state_is_of_shards(spark, tmp_path):
+    """Payments that share nothing make no key each: the state has an entry for a shard's 12 hours, and ids stay exact beside a missing one."""
+    at, big = 1_700_000_000_000, 2**60 + 1
+    say = lambda i: f"Rs.{100 + i}.00 spent on HDFC Bank Card x1234 at SWIGGY Ref {400000 + i}"
+    rows = [(i, None if i % 7 == 0 else big + i % 5, "sms", "HDFCBK", say(i), at) for i in range(200)] + [(1000 + i, None if i % 7 == 0 else big + i % 5, "sms", "HDFCBK", say(i), at + 60_000) for i in range(200)]
+    spark.createDataFrame(rows, captures.SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(captures.SCHEMA).parquet(str(tmp_path / "in"))
+    with ingest.with_rocksdb(spark):
+        run = ingest.stream_near_dup(stream, shards=3).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        run.awaitTermination()
+    kept = max(o["numRowsTotal"] for p in run.recentProgress for o in p["stateOperators"])
+    got = {r["id"]: (r["user_id"], r["match_id"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {r[0]: (r[1], r[0] - 1000 if r[0] >= 1000 else None) for r in rows}
+    assert 0 < kept < 100
