@@ -66,15 +66,27 @@ def drain_pending(captures: DataFrame, consumed: DataFrame, most: int = DRAIN_RO
     return _newest(met.filter(~F.coalesce(_is_set(F.col("__bits"), F.bitmap_bit_position("id")), F.lit(False))).select(*captures.columns), most)
 
 
+def _word(at: Column) -> Column:
+    return F.shiftright(at, 6).cast("int")
+
+
 def _is_set(bits: Column, at: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bits, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, (at % 8).cast("int")) == 1
+    return F.getbit(F.try_element_at(bits, _word(at)), (at % 64).cast("int")) == 1
 
 
 def consumed_bitmaps(ids: DataFrame) -> DataFrame:
-    """(user_id, id_range, bits): the ids (user_id, id) as one bitmap of 4 kB for each range of 32,768 ids."""
+    """(user_id, id_range, bits): the ids (user_id, id) as one bitmap for each range of 32,768 ids, a map of its words of 64 bits that are not zero: a user with few ids in a range has a few bytes there."""
+    return _joined_words(_id_words(ids))
+
+
+def _id_words(ids: DataFrame) -> DataFrame:
     at = F.bitmap_bit_position("id")
-    return ids.groupBy("user_id", F.bitmap_bucket_number("id").alias("id_range")).agg(F.bitmap_construct_agg(at).alias("bits"))
+    return ids.select("user_id", F.bitmap_bucket_number("id").alias("id_range"), _word(at).alias("word"), F.expr("shiftleft(1L, CAST(bitmap_bit_position(id) % 64 AS INT))").alias("held"))
+
+
+def _joined_words(words: DataFrame) -> DataFrame:
+    each = words.groupBy("user_id", "id_range", "word").agg(F.bit_or("held").alias("held"))
+    return each.groupBy("user_id", "id_range").agg(F.map_from_entries(F.collect_list(F.struct("word", "held"))).alias("bits"))
 
 
 def consumed_ids(bitmaps: DataFrame) -> DataFrame:
@@ -89,10 +101,9 @@ def _newest(captures: DataFrame, most: int) -> DataFrame:
 
 
 def mark_consumed(consumed: DataFrame, drained: DataFrame) -> DataFrame:
-    """The consumed ids with those drained, as a list or, where they are kept so, as bitmaps: of these only the ranges drained are merged. Marking twice changes nothing."""
+    """The consumed ids with those drained, as a list or, where they are kept so, as bitmaps. Marking twice changes nothing."""
     if "bits" in consumed.columns:
-        both = consumed.unionByName(consumed_bitmaps(drained.select("user_id", "id")))
-        return both.groupBy("user_id", "id_range").agg(F.bitmap_or_agg("bits").alias("bits"))
+        return _joined_words(consumed.select("user_id", "id_range", F.explode("bits").alias("word", "held")).union(_id_words(drained)))
     return consumed.select("user_id", "id").union(drained.select("user_id", "id")).distinct()
 
 

@@ -65,6 +65,16 @@ def test_bitmaps_equal_id_lists(spark):
     assert captures.consumed_bitmaps(done.limit(0)).count() == 0
 
 
+def test_bitmaps_are_as_small_as_what_they_hold(spark):
+    """Ids far apart cost some bytes each, not a whole range's bitmap, which a task that sorts thousands of them would hold."""
+    rows = spark.range(2_000).selectExpr("id % 40 as user_id", "id * 40000 + 1 as id")
+    bits = captures.consumed_bitmaps(rows)
+    held = bits.select(F.sum(F.length(F.to_json(F.struct("bits")))).alias("n"), F.count("*").alias("ranges")).first()
+    assert held["ranges"] == 2_000 and held["n"] < 2_000 * 100
+    full = captures.consumed_bitmaps(spark.range(1, 32_769).selectExpr("1L as user_id", "id"))
+    assert [r["n"] for r in captures.consumed_ids(full).agg(F.countDistinct("id").alias("n")).collect()] == [32_768] and full.count() == 1
+
+
 def test_settled_times_stay(spark):
     schema = "user_id long, transaction_id long, person_id long, amount_paise long, direction string, settled_at_ms long"
     held = spark.createDataFrame([(1, 1, 7, 100, "owed_to_me", 5), (1, 1, 8, 100, "owed_to_me", None), (1, 2, 7, 50, "i_owe", None)], schema)
