@@ -317,3 +317,11 @@ def test_near_dup_state_is_of_shards(spark, tmp_path):
     got = {r["id"]: (r["user_id"], r["match_id"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {r[0]: (r[1], r[0] - 1000 if r[0] >= 1000 else None) for r in rows}
     assert 0 < kept < 100
+
+
+def test_messages_are_dealt_by_their_number(spark, sf_dir, monkeypatch):
+    """Reading messages costs by the row, and their files are small: tasks are as many as the rows need, not as the files' bytes say."""
+    monkeypatch.setattr(views, "TASK_EVENTS", 50)
+    events = views.table(spark, sf_dir, "events").count()
+    sizes = views.captures(spark, sf_dir).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(sizes) == -(-events // 50) and max(sizes) < 50 * 4
