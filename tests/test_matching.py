@@ -176,3 +176,21 @@ def test_matching_of_empty_tables(spark):
     assert dedup.find_duplicate(none, held).count() == 0 == dedup.collapse_batch(none, [F.col("id")]).count()
     assert dedup.merge_statement(spark.createDataFrame([], STATEMENT), spark.createDataFrame([], LEDGER), "table").count() == 0
     assert dedup.find_duplicate(spark.createDataFrame(payments(random.Random(0), 5), PAYMENT), held).count() == 0
+
+
+def test_merge_statement_reads_the_ledger_once(spark):
+    """The ledger may be costly to make: its keys and its rows come from one pass."""
+    read = spark.sparkContext.accumulator(0)
+    schema = "id long, user_id long, amount_paise long, direction string, occurred_at_ms long, merchant string, title string, reference string, source string, raw_sender string, status string, dedup_key string"
+
+    def counted(frames):
+        for f in frames:
+            read.add(len(f))
+            yield f
+
+    held = [(i, 1, 100 * i, "debit", 1_000_000, "Swiggy", None, f"REF{100000 + i}", "sms", "HDFCBK", "pending", "stmt|table|REF100003" if i == 9 else f"k|{i}") for i in range(1, 11)]
+    ledger = spark.createDataFrame(held, schema).coalesce(1).mapInPandas(counted, schema)
+    rows = spark.createDataFrame([(1, 1, 100, "debit", 1_000_000, "Swiggy", "REF100001", False), (2, 1, 999, "debit", 1_000_000, "Zara", "REF100003", False), (3, 1, 998, "debit", 1_000_000, "Zara", "REF999999", False)], "id long, user_id long, amount_paise long, direction string, occurred_at_ms long, merchant string, reference string, has_exact_time boolean")
+    got = {r["id"]: (r["decision"], r["ledger_id"]) for r in dedup.merge_statement(rows, ledger, "table").collect()}
+    assert got == {1: ("replaced", 1), 2: ("duplicate", None), 3: ("imported", None)}
+    assert read.value == len(held)
