@@ -2,6 +2,7 @@
 
 from datetime import date, datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,8 @@ from ledgerloom.functions import matching, messages, periods, statements
 from ledgerloom.functions.text import day_of, ms_of, squeezed
 from ledgerloom.operators import rules
 from ledgerloom.operators import splits as sp
+from ledgerloom.operators import statements as st
+from ledgerloom.sources import files
 
 
 def ms(y, m, d, h=12, minute=0):
@@ -168,3 +171,25 @@ def test_keywords(spark):
     got = [r[0] for r in df.select(rules.keyword_category(F.col("t"), F.col("d"), lists)).collect()]
     assert got == ["Food & Dining", "Other", "Salary", "Transfers", "Other Income", "Other", "Loan & EMI"]
     assert df.select(rules.keyword_category(F.col("t"), F.col("d"), {"Mine": ["zzz"]})).collect()[5][0] == "Mine"
+
+
+def test_table_dates_of_every_form_are_read_once(spark):
+    """Patterns are only taken apart where they fit, and a filter on the result doesn't read dates and amounts again."""
+    made = {"03/04/2024": "2024-04-03", "2024-04-03": "2024-04-03", "3-Apr-24": "2024-04-03", "Apr 3, 2024": "2024-04-03", "03 Apr 2024": "2024-04-03", "45385": "2024-04-03", "31/02/2024": None, "3-Foo-2024": None, "": None, "x": None, "03/04/2024 10:30": "2024-04-03"}
+    rows = spark.createDataFrame(list(made.items()), "raw string, want string").select("raw", "want", statements.parse_table_date(F.col("raw")).alias("ms"))
+    assert [(r["raw"], r["day"]) for r in rows.select("raw", F.date_format(day_of(F.col("ms")), "yyyy-MM-dd").alias("day")).collect()] == list(made.items())
+    cells = spark.createDataFrame([("f", i, j, c) for i, row in enumerate([["Date", "Narration", "Amount"], ["03/04/2024", "UPI/SHOP/300000000001/x", "-5.00"], ["note", None, None]]) for j, c in enumerate(row) if c], "file_id string, row_idx int, col_idx int, cell string")
+    out = st.parse_table_statement(cells)
+    assert [(r["row_idx"], r["amount_paise"], r["direction"]) for r in out.collect()] == [(1, 500, "debit")]
+    assert all(st.DATE_WORD in s for s in statements.COLUMN_SYNONYMS["date"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    filters = [x for x in plan.split("\n") if "Filter" in x]
+    assert not any("\\d" in x or "make_date" in x for x in filters)
+
+
+def test_small_files_share_batches():
+    """Ten files leave the parser as one batch of cells, not one each."""
+    made = pa.RecordBatch.from_pydict({"file_id": [str(i) for i in range(10)], "content": [f'a;b;c\n{i};"x;y";z'.encode() for i in range(10)]})
+    out = [b.to_pylist() for b in files._cell_batches(iter([made]))]
+    assert [len(b) for b in out] == [60]
+    assert [r["cell"] for r in out[0] if r["file_id"] == "7" and r["row_idx"] == 1] == ["7", "x;y", "z"]
