@@ -193,3 +193,12 @@ def test_small_files_share_batches():
     out = [b.to_pylist() for b in files._cell_batches(iter([made]))]
     assert [len(b) for b in out] == [60]
     assert [r["cell"] for r in out[0] if r["file_id"] == "7" and r["row_idx"] == 1] == ["7", "x;y", "z"]
+
+
+def test_only_the_fields_used_are_read(spark):
+    """A job that takes no merchant and no reference doesn't look for them, and a pattern is looked for once."""
+    rows = spark.createDataFrame([(1, 1, "sms", "HDFCBK", "Rs.5.00 spent on Card XX1234 at Shop Ref 400001", 0)], "id long, user_id long, source string, sender string, body string, posted_at_ms long")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    few, every = plan(messages.parse_captures(rows).select("id", "amount_paise", "last4")), plan(messages.parse_captures(rows))
+    assert "towards" not in few and "rtgs" not in few and "spent" in few
+    assert every.count(r"\brrn") == 1 and every.count("towards") == 1
