@@ -61,7 +61,7 @@ def restore_parts(parts: DataFrame, manifests: DataFrame, schemas: dict[str, str
     for name in TABLES:
         if name in schemas:
             parsed = good.filter(F.col("table") == name).select("user_id", F.from_json("document", f"array<struct<{schemas[name]}>>").alias("rows"))
-            rows[name] = parsed.select("user_id", F.inline("rows"))
+            rows[name] = written(parsed.select("user_id", F.inline("rows")), "restored-rows")  # as a parent, as a child and as a result: a document is parsed once
     orphans = None
     for child, column, parent in PARENTS:
         if child in rows and parent in rows and column in rows[child].columns:

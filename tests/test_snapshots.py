@@ -50,3 +50,11 @@ def test_a_user_is_restored_whole_or_not_at_all(spark, what, reason):
     rows, refused = snapshot_parts.restore_parts(parts, manifests, SHAPES)
     assert [tuple(r) for r in refused.collect()] == [(1, reason)]
     assert {r["user_id"] for r in rows["transactions"].collect()} == {2, None}
+
+
+def test_documents_are_parsed_once(spark):
+    """What is read from a restore doesn't parse the documents again."""
+    parts, manifests = snapshot_parts.export_parts(tables_of(spark, 30), "now", 2_000)
+    rows, _ = snapshot_parts.restore_parts(parts, manifests, SHAPES)
+    assert all("from_json" not in df._jdf.queryExecution().optimizedPlan().toString().lower() for df in rows.values())
+    assert rows["transactions"].count() == 33
