@@ -325,3 +325,9 @@ def test_messages_are_dealt_by_their_number(spark, sf_dir, monkeypatch):
     events = views.table(spark, sf_dir, "events").count()
     sizes = views.captures(spark, sf_dir).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
     assert len(sizes) == -(-events // 50) and max(sizes) < 50 * 4
+
+
+def test_self_transfers_read_messages_once(spark, sf_dir):
+    rows = messages.parse_captures(views.captures(spark, sf_dir))
+    out = accounts.is_self_transfer(rows, views.accounts(spark, sf_dir))
+    assert "spent" not in out._jdf.queryExecution().optimizedPlan().toString()
