@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import rule_index, rules
-from ledgerloom.plans import views
+from ledgerloom.plans import statement_queries, views
 from ledgerloom.sources import files, large_files
 
 
@@ -54,6 +54,42 @@ def test_large_file_is_many_tasks(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+@pytest.mark.parametrize("seed,split", [(4, 400), (5, 1 << 20)])
+def test_small_files_in_common_ones_equal_whole_files(spark, tmp_path, monkeypatch, seed, split):
+    """Statements share files, wherever these are split and runs end; names may hold anything."""
+    monkeypatch.setattr(large_files, "PARSED_LINES", 7)
+    monkeypatch.setattr(large_files, "RUN_BYTES", 90)
+    rng = random.Random(seed)
+    texts = {f"{i}\t/ü\n%": made_file(rng, rng.choice(",;|\t"), rng.choice([1, 4, 30])) for i in range(12)} | {"empty": "", "null": None, "open": '"' + "never closed\n" * 90, "crs": 'a;"b\rc";d\r\re;f;g'}
+    large_files.pack_files(spark.createDataFrame(list(texts.items()), "file_id string, text string").coalesce(3), str(tmp_path / "packed"))
+    assert len(list((tmp_path / "packed").glob("part-*"))) == 3
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        got = {(r["file_id"], r["row_idx"], r["col_idx"]): r["cell"] for r in large_files.read_delimited_files(spark, str(tmp_path / "packed"), packed=True).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == {(f, r, c): x for f, t in texts.items() for r, row in enumerate(files.grid(t or "")) for c, x in enumerate(row) if x is not None}
+
+
+def test_bytes_that_are_not_text_are_replaced(spark, tmp_path):
+    (tmp_path / "odd.csv").write_bytes(b"a,\xff\xc3,b\n1,\xe2\x82\n,3\n")
+    got = {(r["row_idx"], r["col_idx"]): r["cell"] for r in large_files.read_delimited_files(spark, str(tmp_path / "odd.csv")).collect()}
+    assert got == {(r, c): x for r, row in enumerate(files.grid((tmp_path / "odd.csv").read_bytes().decode("utf-8", "replace"))) for c, x in enumerate(row) if x is not None}
+
+
+def test_statements_do_not_cost_a_file_each(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(statement_queries, "shared_path", lambda _, name: str(tmp_path / name))
+    out = statement_queries.read_delimited_files(spark, sf_dir)
+    assert out.select("file_id").distinct().count() > len([p for p in tmp_path.rglob("part-*") if p.stat().st_size]) < 9
+
+
+@pytest.mark.parametrize("text,rows", [('a""b,"c""d"', [["ab", 'c"d']]), ('"""",""', [['"', ""]]), ('x"1,2"y\r"a\nb"\r\n', [["x1,2y"], ["a\nb"]]), ("a,", [["a", ""]]), ('"', []), ('a,"b""', [["a", 'b"']]), ("\n", [[""]])])
+def test_quoting_rules(text, rows):
+    assert list(files._fields(text, ",")) == rows and files.sniff_delimiter(text + '\n"a;b;c;d";e') in ",;"
+
+
 def made_rules(rng, n, users=(None, None, 1, 2)):
     kinds = ["contains", "starts_with", "ends_with", "equals", "regex"]
     words = ["swiggy", "Food", "a", "ab", "note 1", "xy", "é", "zzz never", "limited ", "SWI", " "]
