@@ -6,7 +6,8 @@ the highest bounds give a first floor of k exact scores; of the others, those ov
 of the rest, and those still over it the whole product. The floor of a query is kept for the next block of the task.
 
 Queries and candidates are packed into blocks of bounded size; every block of candidates meets every block of queries once, as the job is
-a stated query set against all rows. A block pair gives at most k + 1 rows a query, the query's own row among them, and a window keeps the best
+a stated query set against all rows. They meet in a grid of cells, each a bounded run of query blocks and a shard of the candidates; its sides are chosen by the tables' rows, so that
+least is sent. Both sides are exchanged, never broadcast: the copies of the queries, one a shard, would pass the driver together. A block pair gives at most k + 1 rows a query, the query's own row among them, and a window keeps the best
 k of all others. Query rows of one id are told apart by a row number.
 
 Edge cases: vectors null or holding null or non-finite components take no part; shorter vectors count as padded by zeros; ties go to the smaller
@@ -16,6 +17,7 @@ an empty result; scores beyond a long are held at its ends, where they tie.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,8 @@ K = 10
 #: Segments of each level; no level has more than half as many as a vector has components.
 SEGMENTS = (1, 4, 16, 32)
 BLOCK_ROWS, QUERY_ROWS = 4_096, 512
+#: Blocks of a cell of the grid at most, of queries and (on average) of candidates.
+CELL_QUERIES, CELL_BLOCKS = 8, 16
 #: Queries whose bounds are taken together.
 QUERY_GROUP = 32
 SCALE = 1024.0
@@ -140,20 +144,33 @@ def search_blocks(
 _HITS = pa.schema([("query_id", pa.int64()), ("num", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("own", pa.int32())])
 
 
+def grid(asking: int, held: int, tasks: int) -> tuple[int, int]:
+    """Groups of query blocks and shards of candidates. As many cells as tasks, if there are so many pairs of blocks; the candidates are sent once a group, the queries once a shard."""
+    blocks_of = lambda n, rows: 1 + n // rows
+    parts, offered = blocks_of(asking, QUERY_ROWS), blocks_of(held, BLOCK_ROWS)
+    cells = min(tasks, parts * offered)
+    groups = min(parts, max(-(-parts // CELL_QUERIES), round(math.sqrt(cells * asking / max(1, held)))))
+    return groups, max(-(-cells // groups), blocks_of(held, CELL_BLOCKS * BLOCK_ROWS))
+
+
 def topk(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest scores of each query row over all vectors but itself."""
     # equal rows of an id can stand for each other, so the numbers are the same whenever they are computed
     queries = queries.select("vec_id", "embedding", F.row_number().over(W.partitionBy("vec_id").orderBy("embedding")).alias("num"))
-    # a grid: each block of queries is sent to every shard of candidates, each block of candidates to every part of the queries
-    parts = 1 + queries.count() // QUERY_ROWS
-    shards = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + vectors.count() // (16 * BLOCK_ROWS))
+    # a grid: each block of queries is sent to every shard of candidates, each block of candidates to every group of query blocks
+    asking, held = queries.count(), vectors.count()
+    parts = 1 + asking // QUERY_ROWS
+    groups, shards = grid(asking, held, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # a block's rows lie together: dealt by the part that they are cut by, and in its order
     dealt = queries.repartition(parts, part_of("vec_id", parts)).sortWithinPartitions(part_of("vec_id", parts))
     asked = blocks(dealt, parts, QUERY_ROWS).select(
-        F.col("part").alias("q"), F.col("width").alias("qw"), F.col("ids").alias("qi"), F.col("nums").alias("qn"), F.col("data").alias("qx"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+        F.pmod("part", F.lit(groups)).alias("q"), F.col("width").alias("qw"), F.col("ids").alias("qi"), F.col("nums").alias("qn"), F.col("data").alias("qx"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
     )
     offered = blocks(vectors, 1, BLOCK_ROWS).withColumn("shard", F.pmod(F.xxhash64("ids"), F.lit(shards)).cast("int"))
-    met = offered.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(asked, ["q", "shard"])
+    offered = offered.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    # cells are few bytes and much work, so they are not put together by bytes; and the size of exploded blocks is misjudged, by which they would be broadcast
+    offered, asked = (side.repartition(groups * shards, "q", "shard") for side in (offered, asked))
+    met = offered.join(asked.hint("merge"), ["q", "shard"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         floors: dict[bytes, np.ndarray] = {}  # of each block of queries, over the candidates that this task has seen

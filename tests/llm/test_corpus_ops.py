@@ -1037,3 +1037,20 @@ def test_topk_bounds_prune():
     x = np.floor(1024 * rng.normal(size=(4000, 64)) * np.linspace(0.05, 1, 4000)[:, None])
     done = [n for *_, n in topk.search_blocks(np.arange(0, 4000, 100), x[::100], np.arange(4000), x, 10)]
     assert np.mean(done) < 2500
+
+
+def test_topk_broadcasts_no_copies(spark, monkeypatch):
+    """The copies of the queries, one a shard, don't go through the driver, however small the optimiser takes them for, and candidates are sent once a group of query blocks, not once a block."""
+    monkeypatch.setattr(topk, "QUERY_ROWS", 10)
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 0.3) for _ in range(8)]) for i in range(0, 6000, 25)]
+    vectors = docs_of(spark, rows, "vec_id long, embedding array<double>")
+    got = topk.topk(vectors, vectors.filter("vec_id % 100 = 0"))
+    assert sorted(map(tuple, got.collect())) == brute_topk(rows)
+    ran = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in ran and "SortMergeJoin" in ran
+    for asking, held, tasks in ((6_154, 615_384, 600), (61_540, 6_153_840, 600), (100, 100, 200), (0, 0, 200), (10**6, 10**8, 10**4)):
+        groups, shards = topk.grid(asking, held, tasks)
+        blocks, offered = 1 + asking // topk.QUERY_ROWS, 1 + held // topk.BLOCK_ROWS
+        assert groups * topk.CELL_QUERIES >= blocks >= groups >= 1 and shards * topk.CELL_BLOCKS >= offered >= 1
+        assert groups * shards >= min(tasks, blocks * offered)
