@@ -1,6 +1,7 @@
 """Snapshots of users of any size: documents of bounded size under a manifest.
 
-A user's table is cut into parts by the hash of its rows, as many as its bytes ask for, so no task gathers more than a part. A manifest, a row per user, says which parts there are, with rows and checksum of each. A
+A user's table is cut into parts by the hash of its rows, as many as its bytes ask for, so no task gathers more than a part. Rows cross the network once, with what all of their user's table's rows
+come to, and a table of more than `TASK_PARTS` parts is dealt over several tasks. A manifest, a row per user, says which parts there are, with rows and checksum of each. A
 restore takes a user whole or not at all: it refuses a foreign format, a newer schema, a part that is missing, changed or not named, and rows whose parents are not there.
 """
 
@@ -9,10 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import passing, written
 from .snapshots import FORMAT, SCHEMA_VERSION, TABLES, VERSION
 
 PART_BYTES = 8 << 20
+#: Parts that one task makes of a user's table at most.
+TASK_PARTS = 64
+#: Rows and documents are much text of few words, and on disk all at once.
+CODEC = "zstd"
 #: (child, column, parent): what a child's column names, if it isn't null, is an id of the parent.
 PARENTS = (("transactions", "account_id", "accounts"), ("splits", "transaction_id", "transactions"), ("splits", "person_id", "people"))
 
@@ -21,6 +26,18 @@ def _checksum(document: Column) -> Column:
     return F.sha2(document.cast("binary"), 256)
 
 
+def _documents(held: DataFrame, sizes: DataFrame, large: DataFrame) -> DataFrame:
+    """(user_id, table, part, rows, document) of the rows (user_id, table, row), which are exchanged once: users are keys as structs, equal where both hold null, so the join deals rows by the very columns that they are grouped by."""
+    keyed = lambda df: df.withColumn("user", F.struct("user_id")).drop("user_id")
+    place = F.pmod(F.xxhash64("row"), F.col("n")).cast("int")
+    of_task = F.coalesce(F.floor(place / TASK_PARTS).cast("int"), F.lit(0))
+    rows = keyed(held).join(keyed(large), ["user", "table"], "left").select("user", "table", of_task.alias("task"), "row")
+    tasks = keyed(sizes).withColumn("task", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / TASK_PARTS).cast("int"))))
+    dealt = rows.join(tasks.hint("merge"), ["user", "table", "task"]).select("user", "table", "task", place.alias("part"), "row")
+    made = dealt.groupBy("user", "table", "task", "part").agg(F.count("*").alias("rows"), F.array_sort(F.collect_list("row")).alias("all"))
+    return made.select("user.user_id", "table", "part", "rows", F.concat(F.lit("["), F.array_join("all", ","), F.lit("]")).alias("document"))
+
+
 def export_parts(tables: dict[str, DataFrame], exported_at: str, part_bytes: int = PART_BYTES) -> tuple[DataFrame, DataFrame]:
     """(user_id, table, part, document), a document being a JSON array of rows in order, and the manifests (user_id, format, version, schemaVersion, exportedAt, parts)."""
     rows = None
@@ -28,12 +45,10 @@ def export_parts(tables: dict[str, DataFrame], exported_at: str, part_bytes: int
         kept = [c for c in tables[name].columns if c != "user_id"]
         one = tables[name].select("user_id", F.lit(name).alias("table"), F.to_json(F.struct(*kept)).alias("row"))
         rows = one if rows is None else rows.union(one)
-    rows = written(rows, "snapshot-rows")
-    sizes = rows.groupBy("user_id", "table").agg(F.ceil(F.sum(F.octet_length("row") + 1) / part_bytes).cast("int").alias("n"))
-    same = F.col("s.user_id").eqNullSafe(F.col("r.user_id")) & (F.col("s.table") == F.col("r.table"))
-    dealt = rows.alias("r").join(sizes.alias("s"), same).select("r.user_id", "r.table", F.pmod(F.xxhash64("row"), F.col("n")).cast("int").alias("part"), "row")
-    made = dealt.groupBy("user_id", "table", "part").agg(F.count("*").alias("rows"), F.array_sort(F.collect_list("row")).alias("all"))
-    parts = written(made.select("user_id", "table", "part", "rows", F.concat(F.lit("["), F.array_join("all", ","), F.lit("]")).alias("document")), "snapshot-parts")
+    with passing(rows, "snapshot-rows", CODEC) as held:
+        sizes = written(held.groupBy("user_id", "table").agg(F.ceil(F.sum(F.octet_length("row") + 1) / part_bytes).cast("int").alias("n")), "snapshot-sizes")
+        large = written(sizes.filter(F.col("n") > TASK_PARTS), "snapshot-large")  # a row for so many parts' bytes
+        parts = written(_documents(held, sizes, large), "snapshot-parts", CODEC)
     said = F.array_sort(F.collect_list(F.struct("table", "part", "rows", _checksum(F.col("document")).alias("checksum"))))
     head = [F.lit(FORMAT).alias("format"), F.lit(VERSION).alias("version"), F.lit(SCHEMA_VERSION).alias("schemaVersion"), F.lit(exported_at).alias("exportedAt")]
     return parts.select("user_id", "table", "part", "document"), parts.groupBy("user_id").agg(said.alias("parts")).select("user_id", *head, "parts")

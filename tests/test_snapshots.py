@@ -1,8 +1,11 @@
 """Snapshots in parts: round trips, bounded parts, and what is refused."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.plans import ledger_queries
 from ledgerloom.sources import snapshot_parts, snapshots
 
 SHAPES = {"accounts": "id: long", "categories": "id: long", "people": "id: long", "transactions": "id: long, account_id: long, note: string", "category_rules": "id: long", "splits": "id: long, transaction_id: long, person_id: long"}
@@ -58,3 +61,34 @@ def test_documents_are_parsed_once(spark):
     rows, _ = snapshot_parts.restore_parts(parts, manifests, SHAPES)
     assert all("from_json" not in df._jdf.queryExecution().optimizedPlan().toString().lower() for df in rows.values())
     assert rows["transactions"].count() == 33
+
+
+def test_rows_cross_the_network_once_and_go(spark, monkeypatch):
+    """One exchange for the rows and one for the sizes; a large table is dealt over tasks; rows don't stay on disk beside their documents."""
+    monkeypatch.setattr(snapshot_parts, "TASK_PARTS", 4)
+    made, plain = [], snapshot_parts._documents
+    monkeypatch.setattr(snapshot_parts, "_documents", lambda *a: made.append(plain(*a)) or made[-1])
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    tables = tables_of(spark, 4_000)
+    parts, manifests = snapshot_parts.export_parts(tables, "now", 5_000)
+    new = {x.rpartition("-")[0].rstrip("-0123456789abcdef") for x in set(os.listdir(folder)) - before}
+    assert any(x.startswith("snapshot-part") for x in new) and not any(x.startswith("snapshot-row") for x in new)
+    plan = made[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2, plan
+    assert parts.filter("user_id = 1 and table = 'transactions'").count() > 8
+    rows, refused = snapshot_parts.restore_parts(parts, manifests, SHAPES)
+    assert refused.count() == 0
+    for name in snapshots.TABLES:
+        want = tables[name]
+        assert rows[name].select(*want.columns).exceptAll(want).count() == 0 == want.exceptAll(rows[name].select(*want.columns)).count()
+
+
+def test_the_query_exchanges_no_document_that_it_keeps(spark, monkeypatch, sf_dir):
+    """Only documents of users and tables that lose a part are joined with what is lost."""
+    seen, plain = [], ledger_queries.sparts.restore_parts
+    monkeypatch.setattr(ledger_queries.sparts, "restore_parts", lambda parts, *a: seen.append(parts) or plain(parts, *a))
+    ledger_queries.snapshot_parts(spark, sf_dir)
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union") and plan.count("Join") == 1, plan
+    assert "% 6) = 3" in plan.partition("Join LeftAnti")[2].partition("Relation")[0]
