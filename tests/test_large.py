@@ -127,6 +127,31 @@ def test_ten_thousand_rules_cost_what_they_match(spark):
     assert out.filter("rule_id = id").count() == 10_000
 
 
+@pytest.mark.parametrize("limits", [{"FEW": 2, "HOT": 3}, {"FEW": 0, "HOT": 1, "BROADCAST_ROWS": 0}, {"SAMPLE": 5, "BITS": 1 << 10, "CUT_BYTES": 16, "SIZES": (2, 1)}])
+def test_index_of_rules_by_every_way(spark, monkeypatch, limits):
+    """Users of many rules, texts of many rows, full bitmaps, samples of few texts: the rules found are the same."""
+    for name, value in limits.items():
+        monkeypatch.setattr(rule_index, name, value)
+    rng = random.Random(7)
+    text = lambda: rng.choice([None, "", "Swiggy Limited", "food court", "ab", "Note 1", "éé x", "xy", " ", "noote 1", "limited", "paid 500000000017/s"])
+    txn = spark.createDataFrame([(rng.choice([1, 2, 3, None]), i, text(), text(), text(), text(), rng.choice(["debit", "credit"]), rng.choice([10, 60, 99])) for i in range(120)], TXN)
+    more = [(100 + i, rng.choice([None, 1, 2]), p, f"d{i}", "any", k, None, None, None, rng.randint(1, 5), True, "manual", 0) for i, (p, k) in enumerate([("00000017/S", "contains"), ("500000000018", "contains"), ("^paid .*0000017/", "regex"), ("ÉÉ", "contains"), ("é x", "ends_with")])]
+    table = spark.createDataFrame(made_rules(rng, 50) + more, views.RULES_SCHEMA)
+    want = {(r["user_id"], r["id"], i) for r in rules.with_matches(txn, table).collect() for i in r["matched"]}
+    got = [(r["user_id"], r["id"], r["rule_id"]) for r in rule_index.matches(txn, table).collect()]
+    assert {g for g in got if g[0] is not None} == {w for w in want if w[0] is not None} and len(got) == len(set(got)) and len(got) > 100
+    assert {g for g in got if g[0] is None} == {w for w in want if w[0] is None}
+
+
+def test_rules_of_numbers_meet_few_texts(spark):
+    """3,000 rules that look for numbers whose every three digits many texts hold, and which no text has: tested are a few pairs a rule, not rules times texts."""
+    number = lambda add: F.concat(F.lit("paid by 5"), F.lpad((F.col("id") * 7 + add).cast("string"), 11, "0"), F.lit("/shop"))
+    rows = spark.range(3_000)
+    texts = rows.select(F.lit("all").alias("scope"), F.lit("any").alias("field"), number(0).alias("hay"))
+    good = rows.select(F.lit("all").alias("scope"), F.lit("any").alias("field"), F.col("id").alias("rule_id"), F.substring(number(1), 9, 14).alias("pattern"), F.lit("contains").alias("match_type"))
+    assert rule_index.candidates(texts, good).count() < 10_000
+
+
 @pytest.mark.parametrize("pattern,run", [("^paid .*500/", "paid "), ("abc?d", None), ("abcd?e", "abc"), ("a+bcd*?efg", "efg"), ("(abc)", None), ("a.c", None), ("ABCD$", "abcd"), ("éabc", None), ("abc|d", None)])
 def test_needed_run(spark, pattern, run):
     assert spark.range(1).select(rule_index.needed_run(F.lit(pattern))).first()[0] == run
