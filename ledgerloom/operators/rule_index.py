@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
+from ..sources.shared import exchanged, written
 from .rules import order_key, rule_haystack, rule_text_match, subject_of, usable_rules
 
 #: Bytes of a run that is worth to be looked up.
@@ -31,8 +31,6 @@ SAMPLE, BITS = 50_000, 1 << 24
 CUT_BYTES = 1 << 20
 #: Rules of a user for a field that are tested on each of the user's rows; rows from which on a text is one of many rows.
 FEW, HOT = 200, 1_000
-#: Rows of a table that may be broadcast at most: by its file the optimiser takes a compressed table for a tenth of what it is or less.
-BROADCAST_ROWS = 20_000
 CODEC = "zstd"
 FIELDS = ("any", "merchant", "title", "note")
 #: The scope of rules for all users, beside that of each user.
@@ -133,11 +131,6 @@ def needed_run(pattern: Column) -> Column:
     return F.when(~pattern.rlike(r"[|()\[\]{}\\]") & (F.size(runs) > 0), F.lower(longest))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A written table, to be exchanged unless its rows are few."""
-    return df.hint("merge") if df.count() > BROADCAST_ROWS else df
-
-
 def _row(txn: DataFrame, *more: Column | str) -> DataFrame:
     return txn.select("user_id", "id", "direction", "amount_paise", *more)
 
@@ -148,7 +141,7 @@ def texts_of(txn: DataFrame, rules: DataFrame, raw: str) -> DataFrame:
     fields = F.array(*[F.struct(F.lit(f).alias("field"), rule_haystack(subject, F.lit(f)).alias("hay")) for f in FIELDS])
     told = _row(txn, F.explode(fields).alias("f"), F.array(F.lit(EVERYBODY), F.col("user_id").cast("string")).alias("scopes"))
     rows = told.select("user_id", "id", "direction", "amount_paise", "f.field", "f.hay", F.explode("scopes").alias("scope"))
-    return rows.join(_small(written(rules.select("scope", "field").distinct(), "scopes")), ["scope", "field"], "left_semi")
+    return rows.join(exchanged(written(rules.select("scope", "field").distinct(), "scopes")), ["scope", "field"], "left_semi")
 
 
 def candidates(texts: DataFrame, rules: DataFrame) -> DataFrame:
@@ -164,7 +157,7 @@ def candidates(texts: DataFrame, rules: DataFrame) -> DataFrame:
     shared = cut.groupBy("salt", "piece").agg(F.count("*").alias("rules"))
     told = shared.join(seen, ["salt", "piece"], "left").withColumn("texts", F.coalesce("texts", F.lit(0)))
     rarest = cut.join(told, ["salt", "piece"]).groupBy(*name, "salt").agg(F.min(F.struct("texts", "rules", "piece")).alias("k")).select(*name, "salt", F.col("k.piece").alias("piece"))
-    keys = _small(written(rarest.join(_small(rules), name), "rule-keys"))
+    keys = exchanged(written(rarest.join(exchanged(rules), name), "rule-keys"))
     met = _cut(texts, "hay", ["hay"], sizes, marks=_marks(keys)).join(keys, ["salt", "piece"])
     out = ["scope", "field", "hay", *[c for c in rules.columns if c not in ("scope", "field")]]
     return met.select(*out).union(texts.join(blind, ["scope", "field"]).select(*out))
@@ -175,7 +168,7 @@ def matches(txn: DataFrame, rules: DataFrame, raw: str = "raw_body") -> DataFram
     good = usable_rules(rules).withColumn("scope", _scope(F.col("user_id"))).withColumn("field", F.when(F.col("field").isin(*FIELDS), F.col("field")).otherwise("any"))
     good = written(good.select("scope", "field", F.col("id").alias("rule_id"), "pattern", "category", "match_type", F.col("direction").alias("way"), "min_paise", "max_paise", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order_key())]).alias("place")), "rules", CODEC)
     many = written(good.groupBy("scope", "field").agg(F.count("*").alias("n")).filter((F.col("n") > FEW) | (F.col("scope") == EVERYBODY)).drop("n"), "scopes-of-many")
-    many = _small(many)
+    many = exchanged(many)
     hit = rule_text_match(F.col("hay"), F.col("pattern"), F.col("match_type"))
     result = ("user_id", "id", "direction", "amount_paise", "rule_id", "category", "way", "min_paise", "max_paise", "place")
     found = []
@@ -183,19 +176,19 @@ def matches(txn: DataFrame, rules: DataFrame, raw: str = "raw_body") -> DataFram
     for f in FIELDS:
         mine = written(own.filter(F.col("field") == f).drop("field"), "own-rules", CODEC)
         rows = _row(txn, rule_haystack(subject_of(txn, raw), F.lit(f)).alias("hay"), F.col("user_id").cast("string").alias("scope"))
-        found.append(rows.join(_small(mine), "scope").filter(hit).select(*result))
+        found.append(rows.join(exchanged(mine), "scope").filter(hit).select(*result))
     large = written(good.join(many, ["scope", "field"], "left_semi"), "rules-of-many", CODEC)
     # texts are named by two hashes where they meet their rows
     names = [F.xxhash64("scope", "field", "hay").alias("t1"), F.xxhash64("hay", "field", "scope", F.lit(1)).alias("t2")]
     rows = texts_of(txn, large, raw)
     texts = written(rows.groupBy("scope", "field", "hay").agg(F.count("*").alias("n")), "distinct-texts", CODEC)
-    hot = _small(written(texts.filter(F.col("n") >= HOT).select(*names), "hot-texts"))
+    hot = exchanged(written(texts.filter(F.col("n") >= HOT).select(*names), "hot-texts"))
     # equal expressions come one after the other: Spark compiles a pattern anew only where it changes
     sure = candidates(texts.drop("n"), large).sortWithinPartitions("pattern").filter(hit)
     sure = written(sure.select(*names, "rule_id", "category", "way", "min_paise", "max_paise", "place"), "matches", CODEC)
     rows, by = _row(rows, *names), ["t1", "t2"]
-    found.append(rows.join(_small(written(sure.join(hot, by, "left_semi"), "hot-matches")), by).select(*result))
-    found.append(rows.join(hot, by, "left_anti").join(_small(written(sure.join(hot, by, "left_anti"), "cold-matches", CODEC)), by).select(*result))
+    found.append(rows.join(exchanged(written(sure.join(hot, by, "left_semi"), "hot-matches")), by).select(*result))
+    found.append(rows.join(hot, by, "left_anti").join(exchanged(written(sure.join(hot, by, "left_anti"), "cold-matches", CODEC)), by).select(*result))
     every = found[0]
     for one in found[1:]:
         every = every.union(one)

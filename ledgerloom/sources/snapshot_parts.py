@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import passing, written
+from .shared import exchanged, passing, written
 from .snapshots import FORMAT, SCHEMA_VERSION, TABLES, VERSION
 
 PART_BYTES = 8 << 20
@@ -80,8 +80,10 @@ def restore_parts(parts: DataFrame, manifests: DataFrame, schemas: dict[str, str
     orphans = None
     for child, column, parent in PARENTS:
         if child in rows and parent in rows and column in rows[child].columns:
-            held = rows[parent].select(F.col("user_id").alias("__u"), F.col("id").alias("__id"))
-            lost = rows[child].filter(F.col(column).isNotNull()).join(held, F.col("user_id").eqNullSafe(F.col("__u")) & (F.col(column) == F.col("__id")), "left_anti").select("user_id")
+            # a document's rows name a parent many times; what is left is dealt as the join needs it
+            held = rows[parent].select(F.struct("user_id").alias("__u"), F.col("id").alias("__id"))
+            named = rows[child].filter(F.col(column).isNotNull()).select(F.struct("user_id").alias("__u"), F.col(column).alias("__id")).distinct()
+            lost = named.join(exchanged(held), ["__u", "__id"], "left_anti").select("__u.user_id")
             orphans = lost if orphans is None else orphans.union(lost)
     if orphans is None:
         return rows, bad

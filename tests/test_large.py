@@ -127,7 +127,7 @@ def test_ten_thousand_rules_cost_what_they_match(spark):
     assert out.filter("rule_id = id").count() == 10_000
 
 
-@pytest.mark.parametrize("limits", [{"FEW": 2, "HOT": 3}, {"FEW": 0, "HOT": 1, "BROADCAST_ROWS": 0}, {"SAMPLE": 5, "BITS": 1 << 10, "CUT_BYTES": 16, "SIZES": (2, 1)}])
+@pytest.mark.parametrize("limits", [{"FEW": 2, "HOT": 3}, {"FEW": 0, "HOT": 1, "exchanged": lambda df: df.hint("merge")}, {"SAMPLE": 5, "BITS": 1 << 10, "CUT_BYTES": 16, "SIZES": (2, 1)}])
 def test_index_of_rules_by_every_way(spark, monkeypatch, limits):
     """Users of many rules, texts of many rows, full bitmaps, samples of few texts: the rules found are the same."""
     for name, value in limits.items():
